@@ -5,6 +5,121 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from ..sources import fixtures as fx
+from ..sources.fixtures import AS_OF
+from . import audit, audit_sql, benchmark, benchmark_sql, coverage, coverage_sql, dashboard, dashboard_sql, ops, ops_sql
+
+Query = Callable[[SparkSession, str], DataFrame]
+DAY = "2024-01-19"
+
+
+def over(plan: Callable[..., DataFrame], *relations: Callable[[SparkSession, str], DataFrame], **how) -> Query:
+    """The plan over adapters of the generated tables."""
+    return lambda spark, sf_dir: plan(*[r(spark, sf_dir) for r in relations], **how)
+
+
+def of(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: fx.load(spark, sf_dir, name)
+
+
+A, R, C, M = fx.articles, fx.runs, fx.catalog, fx.mentions
+SERIES = over(benchmark.daily_series, A, C)
+HEALTH = over(coverage.latest_health, R, as_of=AS_OF)
+CHECKED = over(coverage.checked_by_country, R, as_of=AS_OF)
+
+
+def metrics(window: str) -> Query:
+    return over(coverage.source_metrics, A, as_of=AS_OF, window=window)
+
+
+def nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, r = fx.load(spark, sf_dir, "nation"), fx.load(spark, sf_dir, "region")
+    return n.join(F.broadcast(r), n["n_regionkey"] == r["r_regionkey"]).select("n_name", "r_name")  # fixed tables
+
+
+def response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, c = A(spark, sf_dir), C(spark, sf_dir)
+    week = benchmark.day_rows(SERIES(spark, sf_dir), "2024-01-13", DAY)
+    return benchmark.response(benchmark.hourly(a, c, AS_OF), benchmark.daily(a, c, DAY), week)
+
+
+def parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A day's snapshot against the series of all days: no differences."""
+    a, c = A(spark, sf_dir), C(spark, sf_dir)
+    stored = benchmark.daily(a, c, DAY).filter("published > 0 or inserted > 0")
+    counted = SERIES(spark, sf_dir).filter(F.col("day_bucket") == F.lit(DAY).cast("date"))
+    return benchmark.parity(stored, counted, ["country"], ["published", "inserted", "fresh", "late", "active_sources", "top1_bps"])
+
+
+SEARCH = audit.NewsQuery(text="report 1", sections=["world, sports", "world"], hours=720, limit=50, offset=20)
+
+QUERIES: dict[str, Query] = {
+    "q01_dashboard_totals": over(dashboard.totals, A, as_of=AS_OF),
+    "q02_checked_sources": over(dashboard.checked_sources, R, C, as_of=AS_OF),
+    "q03_section_totals": over(dashboard.section_totals, A, as_of=AS_OF),
+    "q04_preview_date": over(dashboard.preview_date, A, as_of=AS_OF),
+    "q05_recent_dates": over(dashboard.recent_dates, A, as_of=AS_OF),
+    "q06_topic_groups": over(dashboard.topic_groups, A, as_of=AS_OF),
+    "q07_category_coverage": over(dashboard.category_coverage, A, as_of=AS_OF),
+    "q07_top_categories": over(dashboard.top_categories, A, as_of=AS_OF),
+    "q08_preview_countries": over(dashboard.preview_countries, A, C, as_of=AS_OF),
+    "q09_preview_headlines": over(dashboard.preview_headlines, A, as_of=AS_OF),
+    "q10_news_search": over(audit.search, A, query=SEARCH, as_of=AS_OF),
+    "q10_keyset_page": over(audit.after, A, created_at="2024-01-15 00:00:00", external_id="5000", k=100),
+    "q11_filter_values": over(audit.filter_values, A),
+    "q12_benchmark_hourly": over(benchmark.hourly, A, C, as_of=AS_OF),
+    "q13_benchmark_daily": over(benchmark.daily, A, C, day=DAY),
+    "q13_benchmark_source_daily": over(benchmark.daily_sources, A, C, day=DAY),
+    "q14_latest_windows": over(benchmark.latest_windows, SERIES),
+    "q15_day_rows": over(benchmark.day_rows, SERIES, first="2024-01-10", last=DAY),
+    "q16_period_totals": over(benchmark.period_totals, SERIES),
+    "q17_period_countries": over(benchmark.period_countries, SERIES),
+    "q18_benchmark_response": response,
+    "q19_source_metrics_24h": metrics("24h"),
+    "q20_source_metrics_1h": metrics("1h"),
+    "q20_source_metrics_7d": metrics("7d"),
+    "q21_latest_health": HEALTH,
+    "q22_hourly_by_country": over(coverage.hourly_counts, A, as_of=AS_OF),
+    "q22_hourly_by_source": over(coverage.hourly_counts, A, as_of=AS_OF, key="source"),
+    "q23_checked_by_country": CHECKED,
+    "q24_hourly_running": over(audit.per_hour, A),
+    "q25_country_metrics": over(coverage.country_metrics, metrics("24h"), C, CHECKED),
+    "q26_publishers": over(coverage.publishers, metrics("24h"), C),
+    "q27_country_sources": over(coverage.country_sources, metrics("24h"), C, HEALTH),
+    "q27_regions": over(coverage.regions, metrics("24h"), C, nations),
+    "q28_source_detail": over(coverage.source_detail, metrics("7d"), HEALTH),
+    "q30_ops_hourly": over(lambda r: ops.listing(ops.rollup(r), AS_OF), R),
+    "q30_ops_daily": over(lambda r: ops.listing(ops.rollup(r, "day"), AS_OF, hours=480), R),
+    "q31_failure_reasons": over(ops.failure_reasons, R, as_of=AS_OF),
+    "q32_latest_diagnostics": over(ops.latest_diagnostics, R, as_of=AS_OF),
+    "q33_day_summary": over(ops.day_summary, R, A, as_of=AS_OF),
+    "q34_failing_endpoints": over(ops.failing_endpoints, R, as_of=AS_OF),
+    "q35_earliest_recent": over(ops.earliest_and_recent, A, as_of=AS_OF),
+    "q36_outlet_page": over(lambda r: ops.paged(ops.outlet_table(r, AS_OF), "runs", True, "outlet_id", 2, 20), R),
+    "q37_mention_summary": over(audit.mention_summary, A, M, as_of=AS_OF),
+    "q37_mention_lane": over(audit.mention_lane, A, M, as_of=AS_OF),
+    "q38_latest_snapshots": over(audit.latest_snapshots, of("orders")),
+    "q38_roster": over(audit.roster, of("customer"), of("orders")),
+    "q39_head_watchlist": over(ops.head_watchlist, A, R, as_of=AS_OF),
+    "q40_failure_watchlist": over(ops.failure_watchlist, R, as_of=AS_OF),
+    "q41_stale_watchlist": over(ops.stale_watchlist, R, as_of=AS_OF),
+    "q42_repair_pairs": over(ops.repair_pairs, R, as_of=AS_OF),
+    "q43_blocked_backlog": over(ops.blocked_backlog, R, C, as_of=AS_OF),
+    "q44_stability": over(ops.stability, R, as_of=AS_OF),
+    "q45_ops_report": over(ops.report, R, as_of=AS_OF),
+    "q46_country_report": over(audit.country_report, A, C, as_of=AS_OF),
+    "q47_taxonomy_totals": over(audit.taxonomy_totals, A, as_of=AS_OF),
+    "q47_taxonomy_by_source": over(audit.taxonomy_by_source, A, as_of=AS_OF),
+    "q47_category_sections": over(audit.category_sections, A, as_of=AS_OF),
+    "q48_others_by_source": over(lambda a: audit.others_by_source(a.withColumn("candidates", audit.candidates()), AS_OF), A),
+    "q49_topic_audit": over(audit.topic_audit, A, as_of=AS_OF),
+    "q50_url_sample": over(audit.url_sample, A, as_of=AS_OF),
+    "q51_url_drift": over(audit.url_drift, A),
+    "q52_category_prediction": over(audit.category_prediction, A),
+    "q53_title_lift": over(audit.title_lift, A, as_of=AS_OF),
+    "q54_country_stats": over(audit.country_stats, A, as_of=AS_OF),
+    "q55_parity": parity,
+}
+ORACLE: dict[str, str] = {**dashboard_sql.SQL, **benchmark_sql.SQL, **coverage_sql.SQL, **ops_sql.SQL, **audit_sql.SQL}
