@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources import fixtures as fx
 from ..sources.fixtures import AS_OF
-from . import audit, audit_sql, benchmark, benchmark_sql, coverage, coverage_sql, dashboard, dashboard_sql, ops, ops_sql
+from . import audit, audit_sql, benchmark, benchmark_sql, coverage, coverage_sql, dashboard, dashboard_sql, ingest, ingest_sql, ops, ops_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 DAY = "2024-01-19"
@@ -121,5 +121,6 @@ QUERIES: dict[str, Query] = {
     "q53_title_lift": over(audit.title_lift, A, as_of=AS_OF),
     "q54_country_stats": over(audit.country_stats, A, as_of=AS_OF),
     "q55_parity": parity,
+    **ingest.QUERIES,
 }
-ORACLE: dict[str, str] = {**dashboard_sql.SQL, **benchmark_sql.SQL, **coverage_sql.SQL, **ops_sql.SQL, **audit_sql.SQL}
+ORACLE: dict[str, str] = {**dashboard_sql.SQL, **benchmark_sql.SQL, **coverage_sql.SQL, **ops_sql.SQL, **audit_sql.SQL, **ingest_sql.SQL}
