@@ -12,6 +12,7 @@ from zoneinfo import ZoneInfo
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Parameters that only track, and offsets of zone names.
 TRACKING = {"utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_id", "gclid", "fbclid", "ocid", "cmpid", "ref", "output"}
@@ -43,12 +44,12 @@ def clean_url(link: str | None) -> str:
     return urlunsplit((u.scheme, place, quote(path, safe="/%:@!$&'()*+,;=~-._"), urlencode(kept), ""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_url(links: pd.Series) -> pd.Series:
     return links.map(clean_url)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def feed_id(ids: pd.Series, links: pd.Series) -> pd.Series:
     """feed:host:id, with ids that are addresses in their one form and others in NFKC, at most 512 characters."""
 
@@ -63,7 +64,7 @@ def feed_id(ids: pd.Series, links: pd.Series) -> pd.Series:
     return pd.Series([one(v, x) for v, x in zip(ids, links, strict=True)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def plain_text(values: pd.Series) -> pd.Series:
     """Entities decoded, up to three times; white space collapsed."""
 
@@ -79,7 +80,7 @@ def plain_text(values: pd.Series) -> pd.Series:
     return values.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def folded(values: pd.Series) -> pd.Series:
     """Lower case without accents."""
     return values.map(lambda v: "".join(c for c in unicodedata.normalize("NFKD", v or "") if not unicodedata.combining(c)).lower())
@@ -88,7 +89,7 @@ def folded(values: pd.Series) -> pd.Series:
 DULL = re.compile(r"(?:19|20)\d{2}|\d+|a\d{6,}|(?:art|audio)[- ]?\d+|story\d{8}(?:[-_]\d+)?|[a-f0-9]{32}|cision[0-9a-z]+|catalog(?:\.aspx)?|index|news|article|story|video|world|home", re.I)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def title_from_link(links: pd.Series) -> pd.Series:
     """Words of the last path segment that says something."""
 
@@ -132,7 +133,7 @@ def loose_moment(value: str | None) -> datetime | None:
     return None
 
 
-@F.pandas_udf("timestamp")
+@F.pandas_udf(T.TimestampType())
 def loose_date(values: pd.Series) -> pd.Series:
     return pd.Series(pd.to_datetime([loose_moment(v) for v in values], utc=True))
 
@@ -146,7 +147,7 @@ def keyword_section(high: list = HIGH, medium: list = MEDIUM):
     """A function title -> (section, confidence, reason): the first high rule, else the first medium one, else others."""
     rules = [(s, re.compile(rf"(?<!\w)(?:{'|'.join(w.split())})(?!\w)"), c, why) for table, c, why in ((high, 0.84, "high"), (medium, 0.72, "medium")) for s, w in table]
 
-    @F.pandas_udf("section string, confidence double, reason string")
+    @F.pandas_udf(T.StructType([T.StructField("section", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("reason", T.StringType())]))
     def classify(titles: pd.Series) -> pd.DataFrame:
         def one(title: str | None) -> tuple[str, float, str]:
             low = "".join(c for c in unicodedata.normalize("NFKD", title or "") if not unicodedata.combining(c)).lower()
