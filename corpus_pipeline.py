@@ -19,11 +19,15 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the least id; rows with one id and one fingerprint are one document."""
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"), size=5)
-    keep = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    rows = docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi").select(*COLUMNS)
-    return rows.dropDuplicates(["doc_id"])
+    """One document of each group stays: that with the least id, then the least digest; of equal rows one."""
+    key = [F.col("doc_id").isNull().alias("_none"), F.col("doc_id").alias("_id"), F.md5(F.coalesce("text", F.lit(""))).alias("_md5")]
+    groups = simhash.near_duplicates(docs.select(F.struct(*key).alias("key"), "text"), key="key", size=5, similarity=0.8)
+    keep = stored(groups.filter(F.col("key") == F.col("component_id")).groupBy("key").agg(F.count("*").alias("_n")).select("key.*", "_n"))
+    rows = docs.withColumn("_digest", F.md5(F.coalesce("text", F.lit("")))).join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_md5")))
+    once = rows.filter("_n = 1").select(*COLUMNS)
+    if not keep.filter("_n > 1").limit(1).count():
+        return once
+    return once.unionByName(rows.filter("_n > 1").dropDuplicates(["doc_id", "_digest"]).select(*COLUMNS))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,14 +1,21 @@
 """SimHash near-duplicates by tiled exact comparison.
 
-A fingerprint is the bitwise majority of the digests of a text's word shingles. Equal fingerprints are merged first. Two
-fingerprints that differ in at most two bits agree in at least two of four sixteen-bit quarters, so each distinct
-fingerprint goes into six blocks, one for each pair of quarters, and every link lies within some block. A block is cut into
-tiles; pairs of tiles are compared in full with exclusive-or and bit counts, but for pairs whose bit totals cannot be within
-the radius. A pair of tiles returns a spanning star for each group it connects, and the stars are joined over the corpus.
+A fingerprint is the bitwise majority of the digests of a text's word shingles. Equal fingerprints are merged first; then
+fingerprints within the radius are linked, and documents reachable by links form a component.
 
-Scale: blocks have 2^32 keys each, so a block stays small while the corpus grows; one that does not (a large group of near
-copies) is spread over its pairs of tiles of at most about ``tile`` fingerprints. No task holds more than two tiles. Links,
-components and fingerprints stay in DataFrames.
+Fingerprints meet in blocks. With a radius of two bits of 64, two fingerprints agree in at least two of four sixteen-bit
+quarters, so six blocks each, one for each pair of quarters, hold every link. With a similarity instead (0.8 of five-word
+shingles, say), fingerprints have 256 bits and the radius is the number of bits by which texts of that similarity differ;
+as no choice of bits is then sure to agree, blocks are pairs of least digests of the shingles, which such texts share in at
+least one of sixteen with all but one in ten million. Within a block every fingerprint is compared with every other.
+
+A block is cut into tiles; pairs of tiles are compared in full with exclusive-or and bit counts, but for parts whose bit
+totals cannot be within the radius. A pair of tiles returns a spanning star for each group it connects, and the stars are
+joined over the corpus.
+
+Scale: blocks have 2^32 keys and more each, so a block stays small while the corpus grows; one that does not (a large group
+of near copies) is spread over its pairs of tiles of at most about ``tile`` fingerprints. No task holds more than two tiles.
+Links, components and fingerprints stay in DataFrames.
 
 Edge cases: null and empty texts have fingerprint zero and link like any other; a text with fewer words than a shingle is one
 shingle; repeated rows and repeated ids link through their fingerprint; the component of rows without any id is null; an
@@ -29,6 +36,8 @@ from pyspark.sql import functions as F
 from .common import stored, unpacked
 
 SEED = 42
+#: Digests handled at once.
+PART = 65536
 QUARTERS = (0xFFFF, 0xFFFF << 16, 0xFFFF << 32, 0xFFFF << 48)
 
 
@@ -40,41 +49,80 @@ def shingles(text: str | None, size: int) -> list[str]:
     return [b" ".join(x) for x in zip(*[words[k:] for k in range(size)])]
 
 
-def majority(hashes: np.ndarray) -> int:
-    """Bits that are set in over half of the digests."""
-    if not len(hashes):
-        return 0
-    counts = np.zeros(64, dtype=np.int64)
-    for k in range(0, len(hashes), 65536):  # in parts, for bounded memory
-        part = hashes[k : k + 65536]
-        counts += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = (2 * counts > len(hashes)).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+def majority(hashes: np.ndarray, words: int = 1) -> bytes:
+    """Bits that are set in over half of the digests, big-endian; further words of 64 bits come from the digests mixed again."""
+    out = []
+    for k in range(words):
+        counts = np.zeros(64, dtype=np.int64)
+        for at in range(0, len(hashes), PART):  # in parts, for bounded memory
+            part = mixed(hashes[at : at + PART], k)
+            counts += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        out.append(np.packbits((2 * counts > len(hashes)).astype(np.uint8)).tobytes())
+    return b"".join(out)
+
 
+def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The digests themselves for 0, else other digests of them."""
+    if not k:
+        return hashes
+    x = (hashes ^ np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ x >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
 
-def fingerprint(text: str | None, size: int) -> int:
+
+def digests(text: str | None, size: int) -> np.ndarray:
     digest = xxhash.xxh64_intdigest
-    return majority(np.fromiter((digest(x, SEED) for x in shingles(text, size)), dtype=np.uint64))
+    return np.fromiter((digest(x, SEED) for x in shingles(text, size)), dtype=np.uint64)
+
+
+#: For blocks by shared shingles: so many blocks a text, each named by so many least digests.
+BANDS, ROWS = 16, 2
+_salts = np.array([k * 0xD1342543DE82EF95 + 0x632BE59BD9B4E019 & (1 << 64) - 1 for k in range(1, BANDS * ROWS + 1)], dtype=np.uint64)
+
+
+def least_digests(hashes: np.ndarray) -> list[int]:
+    """A key for each of the BANDS blocks."""
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(hashes), PART // 8):
+        x = (hashes[at : at + PART // 8, None] ^ _salts) * np.uint64(0xBF58476D1CE4E5B9)
+        np.minimum(low, (x ^ x >> np.uint64(31)).min(axis=0), out=low)
+    pairs = low.reshape(BANDS, ROWS)
+    return (pairs[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ pairs[:, 1]).view(np.int64).tolist()
+
 
+def radius_of(similarity: float, bits: int) -> int:
+    """Bits by which texts differ whose shingle sets have this Jaccard similarity: the mean and one and a half deviations."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * p + 1.5 * np.sqrt(bits * p * (1 - p)))
 
-def fingerprints(docs: DataFrame, text: str = "text", size: int = 3) -> DataFrame:
-    """The columns of docs but for the text, then _fp (long: the 64 bits, signed)."""
+
+def fingerprints(docs: DataFrame, text: str = "text", size: int = 3, words: int = 1, bands: bool = False) -> DataFrame:
+    """The columns of docs but for the text, then _fp (binary) and _keys (names of blocks by shared shingles, if asked for)."""
     rest = [c for c in docs.columns if c != text]
-    schema = docs.select(*[docs[f"`{c}`"] for c in rest], F.lit(0).cast("long").alias("_fp")).schema
+    schema = docs.select(*[docs[f"`{c}`"] for c in rest], F.lit(b"").alias("_fp"), F.array(F.lit(0).cast("long")).alias("_keys")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t.as_py(), size) for t in b.column(text)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in rest], pa.array(fps, pa.int64())], names=[*rest, "_fp"])
+            fps, keys = [], []
+            for t in b.column(text):
+                h = digests(t.as_py(), size)
+                fps.append(majority(h, words))
+                keys.append(least_digests(h) if bands else [])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in rest], pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=[*rest, "_fp", "_keys"])
 
     return docs.mapInArrow(run, schema)
 
 
+def bits(x: np.ndarray) -> np.ndarray:
+    """x: (..., words)."""
+    return np.bitwise_count(x).sum(axis=-1, dtype=np.int32)
+
+
 def compare(left: np.ndarray, right: np.ndarray, radius: int, part: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of all pairs within the radius. Both sides are ordered by bit count, so parts too far apart are skipped."""
-    lo, ro = (np.argsort(np.bitwise_count(x), kind="stable") for x in (left, right))
-    ls, rs = left[lo], right[ro]
-    lc, rc = np.bitwise_count(ls).astype(int), np.bitwise_count(rs).astype(int)
+    """Indices of all pairs within the radius; left and right: (n, words). Both sides are ordered by bit count, so that
+    parts too far apart are skipped."""
+    lc, rc = bits(left), bits(right)
+    lo, ro = np.argsort(lc, kind="stable"), np.argsort(rc, kind="stable")
+    ls, rs, lc, rc = left[lo], right[ro], lc[lo], rc[ro]
     out: list[tuple[np.ndarray, np.ndarray]] = []
     for a in range(0, len(ls), part):
         x = ls[a : a + part]
@@ -82,16 +130,19 @@ def compare(left: np.ndarray, right: np.ndarray, radius: int, part: int = 512) -
             y = rs[b : b + part]
             if rc[b] - lc[a + len(x) - 1] > radius or lc[a] - rc[b + len(y) - 1] > radius:
                 continue
-            i, j = np.nonzero(np.bitwise_count(x[:, None] ^ y[None, :]) <= radius)
+            apart = np.zeros((len(x), len(y)), dtype=np.uint16)
+            for w in range(x.shape[1]):
+                apart += np.bitwise_count(x[:, w, None] ^ y[None, :, w])
+            i, j = np.nonzero(apart <= radius)
             out.append((lo[a + i], ro[b + j]))
     if not out:
         return np.empty(0, dtype=int), np.empty(0, dtype=int)
     return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
 
 
-def stars(values: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For each value the smallest index that the links i-j connect it to."""
-    label = np.arange(len(values))
+def stars(values: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of so many values the smallest index that the links i-j connect it to."""
+    label = np.arange(values)
     while True:
         low = label.copy()
         np.minimum.at(low, i, label[j])
@@ -102,12 +153,15 @@ def stars(values: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = low
 
 
-def links(fps: DataFrame, radius: int = 2, tile: int = 1024) -> DataFrame:
-    """fps: fp (long), distinct. Edges (a, b): within their blocks, stars over all groups linked at radius or fewer bits."""
-    if radius != 2:
-        raise ValueError("six blocks of two quarters are exact for radius 2")
+def quarters(fps: DataFrame) -> DataFrame:
+    """fp (binary of 8 bytes) in its six blocks: exact for a radius of two bits."""
+    value = F.conv(F.hex("fp"), 16, -10).cast("long")
     mask: Column = F.array(*[F.lit(np.uint64(QUARTERS[p] | QUARTERS[q]).astype(np.int64).item()) for p, q in combinations(range(4), 2)])
-    blocks = fps.select("fp", F.posexplode(mask).alias("_block", "_mask")).select("fp", "_block", F.col("fp").bitwiseAND(F.col("_mask")).alias("_key"))
+    return fps.select("fp", value.alias("_value"), F.posexplode(mask).alias("_block", "_mask")).select("fp", "_block", F.col("_value").bitwiseAND(F.col("_mask")).alias("_key"))
+
+
+def links(blocks: DataFrame, radius: int, tile: int = 1024) -> DataFrame:
+    """blocks: fp, _block, _key, distinct. Edges (a, b): within their blocks, stars over all groups linked by the radius."""
     # only blocks with two members have pairs; the number of tiles comes from the number of members
     sizes = blocks.groupBy("_block", "_key").agg(F.count("*").alias("_n")).filter("_n > 1")
     tiles = F.ceil(F.col("_n") / tile).cast("int")
@@ -119,19 +173,20 @@ def links(fps: DataFrame, radius: int = 2, tile: int = 1024) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             a_out, b_out = [], []
-            for lv, rv in zip(b.column("left"), b.column("right"), strict=True):
-                left, right = (np.asarray(v.values.to_numpy(zero_copy_only=False), dtype=np.int64).view(np.uint64) for v in (lv, rv))
+            for lv, rv in zip(b.column("left").to_pylist(), b.column("right").to_pylist(), strict=True):
+                values = lv + rv
+                fps = np.frombuffer(b"".join(values), dtype=">u8").astype(np.uint64).reshape(len(values), -1)
+                left, right = fps[: len(lv)], fps[len(lv) :]
                 # within one tile against itself; of two tiles only across, as each is compared with itself elsewhere
                 i, j = compare(left, right if len(right) else left, radius)
-                values = np.concatenate([left, right])
-                label = stars(values, i, j + (len(left) if len(right) else 0))
-                k = np.nonzero(label != np.arange(len(values)))[0]
-                a_out.append(values[k].view(np.int64))
-                b_out.append(values[label[k]].view(np.int64))
+                label = stars(len(values), i, j + (len(left) if len(right) else 0))
+                for k in np.nonzero(label != np.arange(len(values)))[0]:
+                    a_out.append(values[k])
+                    b_out.append(values[label[k]])
             if a_out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_out), pa.int64()), pa.array(np.concatenate(b_out), pa.int64())], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.binary()), pa.array(b_out, pa.binary())], names=["a", "b"])
 
-    return pairs.mapInArrow(run, "a long, b long").distinct()
+    return pairs.mapInArrow(run, "a binary, b binary").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -152,19 +207,23 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 3, radius: int = 2, tile: int = 1024) -> DataFrame:
-    """The columns of docs but for the text, then fingerprint (16 hex digits) and component_id (the least key reachable)."""
+def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 3, similarity: float | None = None, tile: int = 1024) -> DataFrame:
+    """The columns of docs but for the text, then fingerprint (hex digits) and component_id (the least key reachable).
+
+    Links: at most two of 64 bits, or texts of at least the given similarity.
+    """
     columns = [c for c in docs.columns if c != text]
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in columns]).alias("_row"), docs[key].alias("_id"), docs[text].alias("_text"))
-    marked = stored(fingerprints(rows, "_text", size))
-    return assigned(marked, columns, radius, tile)
-
-
-def assigned(marked: DataFrame, columns: list[str], radius: int, tile: int) -> DataFrame:
+    marked = stored(fingerprints(rows, "_text", size, 1 if similarity is None else 4, similarity is not None))
     distinct = stored(marked.groupBy(F.col("_fp").alias("fp")).agg(F.min("_id").alias("_least")))
-    labels = components(links(distinct.select("fp"), radius, tile))
+    if similarity is None:
+        edges = links(quarters(distinct.select("fp")), 2, tile)
+    else:
+        blocks = marked.select(F.col("_fp").alias("fp"), F.posexplode("_keys").alias("_block", "_key")).distinct()
+        edges = links(blocks, radius_of(similarity, 256), tile)
+    labels = components(edges)
     groups = labels.join(distinct, labels["node"] == distinct["fp"]).select("node", "label", "_least")
     least = groups.groupBy("label").agg(F.min("_least").alias("_reach"))
     reach = groups.select("node", "label").join(least, "label").select(F.col("node").alias("fp"), "_reach")
     final = distinct.join(reach, "fp", "left").select(F.col("fp").alias("_fp"), F.coalesce("_reach", "_least").alias("_component"))
-    return unpacked(marked.join(final, "_fp"), columns, {"fingerprint": F.lower(F.lpad(F.hex("_fp"), 16, "0")), "component_id": F.col("_component")})
+    return unpacked(marked.join(final, "_fp"), columns, {"fingerprint": F.lower(F.hex("_fp")), "component_id": F.col("_component")})
