@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.exprs import at
 from ..sources import fixtures as fx
 from ..sources.fixtures import AS_OF
-from . import audit, audit_sql, benchmark, benchmark_sql, coverage, coverage_sql, dashboard, dashboard_sql, ingest, ingest_sql, ops, ops_sql
+from . import audit, audit_sql, benchmark, benchmark_sql, coverage, coverage_sql, dashboard, dashboard_sql, ingest, ingest_sql, ops, ops_sql, taxonomy, taxonomy_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 DAY = "2024-01-19"
@@ -122,5 +123,13 @@ QUERIES: dict[str, Query] = {
     "q54_country_stats": over(audit.country_stats, A, as_of=AS_OF),
     "q55_parity": parity,
     **ingest.QUERIES,
+    "x25_hybrid_sections": over(taxonomy.classify, A),
+    "x27_section_candidates": over(taxonomy.candidates, A),
+    "x28_primary_section": over(taxonomy.primary_section, A),
+    "x29_topic_scores": over(taxonomy.topic_scores, A),
+    "x34_places": over(taxonomy.places, A),
+    "x37_publishers": over(taxonomy.publisher_match, A, rules=taxonomy.PUBLISHERS),
+    "a24_endpoint_classes": over(taxonomy.endpoint_classes, R),
+    "x46_freshness": lambda spark, sf_dir: taxonomy.freshness(R(spark, sf_dir), at(AS_OF)),
 }
-ORACLE: dict[str, str] = {**dashboard_sql.SQL, **benchmark_sql.SQL, **coverage_sql.SQL, **ops_sql.SQL, **audit_sql.SQL, **ingest_sql.SQL}
+ORACLE: dict[str, str] = {**dashboard_sql.SQL, **benchmark_sql.SQL, **coverage_sql.SQL, **ops_sql.SQL, **audit_sql.SQL, **ingest_sql.SQL, **taxonomy_sql.SQL}
