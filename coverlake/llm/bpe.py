@@ -5,8 +5,8 @@ next one (and its place, so that the leftmost of equal ranks is the least); the
 three leaves, so three paths are updated, until the root holds no rank. Many short pieces are merged side by side, as rows of
 one numpy array; a long piece has a tree of its own, so its cost stays n log n.
 
-Scale: a map over batches without shuffle. Each worker keeps the ids of up to ``CACHE`` chunks between spaces and starts
-again when these are used up, so its memory is bounded while common chunks are merged once. What is broadcast is the
+Scale: a map over batches without shuffle. Each worker keeps the ids of up to ``CACHE`` pieces and starts again when these
+are used up, so its memory is bounded while common pieces are merged once. What is broadcast is the
 vocabulary, which is fixed.
 
 Edge cases: null text is empty and has no ids; special tokens in a text get their own id; texts of any length are encoded
@@ -26,12 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import unpacked
+from .tables import Table
 
 #: Fixed values of byte-level BPE: how a text is cut into pieces before merging.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-NONE = np.int64(2**62)
-#: Chunks whose ids a worker remembers.
-CACHE = 200_000
+CONTRACTIONS = regex.compile("'(?:s|t|re|ve|m|ll|d)")
+LETTER, NUMBER, SPACE, OTHER, BREAK = range(5)
+NONE = np.int32(2**31 - 1)
+#: Pieces whose ids a worker remembers.
+CACHE = 400_000
 #: Pieces of up to so many bytes are merged side by side.
 SIDE_BY_SIDE = 64
 
@@ -44,6 +47,49 @@ def byte_names() -> dict[str, int]:
     return out | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+def kinds() -> np.ndarray:
+    """The kind of each code point in PIECES' terms."""
+    out = np.full(0x110001, OTHER, dtype=np.uint8)
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    shift = lambda k: k if k < 0xD800 else k + 0x800  # noqa: E731  surrogates are left out
+    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+        for m in regex.finditer(pattern, every):
+            out[shift(m.start()) : shift(m.end() - 1) + 1] = kind
+    out[0x110000] = BREAK
+    return out
+
+
+def cut(texts: list[str], kind: np.ndarray) -> list[list[str]]:
+    """The pieces of each text, as PIECES finds them, on one array of all code points.
+
+    A piece is a run of one kind; the space before it belongs to it, and leaves a longer run of white space.
+    """
+    whole = "\0".join(texts)
+    codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    starts = np.cumsum([0, *[len(t) + 1 for t in texts]])
+    k = np.append(kind[codes], np.uint8(BREAK))
+    k[starts[1:] - 1] = BREAK
+    first = np.concatenate([[True], k[1:] != k[:-1]]) | (k == BREAK)
+    after_break = np.concatenate([[False], k[:-1] == BREAK])
+    first |= after_break
+    last = np.append(k[1:] != SPACE, True) & (k == SPACE)  # ends of runs of white space
+    followed = np.flatnonzero(last & np.append(k[1:] != BREAK, False))
+    first[followed] = True  # the last white space stands alone, or
+    joined = followed[codes[followed] == 32]
+    first[joined + 1] = False  # as a space belongs to what follows
+    # contractions: an apostrophe alone that begins a piece, before letters
+    quote = np.flatnonzero((codes == 39) & first[:-1] & (k[1:] == LETTER))
+    for i in quote.tolist():
+        if m := CONTRACTIONS.match(whole, i):
+            first[i + 1] = False
+            first[m.end()] = True
+    at = np.flatnonzero(first & (k != BREAK))
+    ends = np.append(np.flatnonzero(first), len(k))[np.searchsorted(np.flatnonzero(first), at) + 1]
+    pieces = [whole[a:b] for a, b in zip(at.tolist(), ends.tolist(), strict=True)]
+    place = np.searchsorted(at, starts).tolist()
+    return [pieces[a:b] for a, b in zip(place[:-1], place[1:], strict=True)]
+
+
 def load(path: str) -> dict:
     """The arrays of a tokenizers JSON file of kind byte-level BPE; its size is that of the vocabulary."""
     with open(path, encoding="utf-8") as f:
@@ -57,14 +103,14 @@ def load(path: str) -> dict:
         raw[i] = bytes(names[c] for c in token)
     for token, i in added.items():
         raw[i] = token.encode()
-    first = np.zeros(256, dtype=np.int64)
+    first = np.zeros(256, dtype=np.int32)
     for c, b in names.items():
         first[b] = vocab[c]
     merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
     pairs = np.array([[vocab[a], vocab[b], vocab[a + b]] for a, b in merges], dtype=np.int64).reshape(-1, 3)
     keys = pairs[:, 0] << 32 | pairs[:, 1]
     order = np.argsort(keys, kind="stable")
-    return {"raw": raw, "first": first, "keys": keys[order], "ranks": order.astype(np.int64), "made": pairs[:, 2], "added": added}
+    return {"raw": raw, "first": first, "keys": keys[order], "ranks": order.astype(np.int32), "made": pairs[:, 2].astype(np.int32), "added": added}
 
 
 class Merger:
@@ -73,83 +119,67 @@ class Merger:
     def __init__(self, model: dict):
         self.first, self.keys, self.ranks, self.made = (model[k] for k in ("first", "keys", "ranks", "made"))
         self.added = model["added"]
-        self.scalar = {int(k): int(r) for k, r in zip(self.keys, self.ranks, strict=True)}
-        self.pieces = regex.compile(PIECES)
-        # a space beside white space or at an end: there a space does not start a chunk
-        self.unclear = regex.compile(r"(?:\A|\s) | (?:\s|\Z)")
+        self.table = Table(self.keys.astype(np.uint64))
+        self.scalar = dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True))
+        self.kind = kinds()
         self.special = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
-        self.cache: dict[str, np.ndarray] = {}
+        self.cache: dict[str, bytes] = {}
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left << 32 | right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.ranks[at], NONE)
+        """The merge rank of each pair, -1 for those that do not merge."""
+        at = self.table.find((left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)).reshape(-1)).reshape(left.shape)
+        return np.where((at >= 0) & (left >= 0) & (right >= 0), self.ranks[at], np.int32(-1))
 
-    def side_by_side(self, pieces: list[bytes], width: int) -> list[np.ndarray]:
+    def side_by_side(self, pieces: list[bytes], width: int) -> list[bytes]:
         """Merge pieces of up to width bytes (a power of two), one tree per row."""
         n = len(pieces)
         lengths = np.fromiter(map(len, pieces), dtype=np.int64, count=n)
-        flat = self.first[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
-        inside = np.arange(width) < lengths[:, None]
-        sym = np.full((n, width + 1), -1, dtype=np.int64)  # the last column stands for "no symbol"
-        sym[:, :width][inside] = flat
-        after = np.broadcast_to(np.minimum(np.arange(1, width + 2), width), (n, width + 1)).copy()
-        after = np.where(after < lengths[:, None], after, width)
-        before = np.broadcast_to(np.concatenate([[width], np.arange(width)]), (n, width + 1)).copy()
-        tree = np.full((n, 2 * width), NONE, dtype=np.int64)
-        place = np.arange(width)
-        ranks = self.rank(sym[:, :width], np.concatenate([sym[:, 1:width], np.full((n, 1), -1)], axis=1))
-        tree[:, width:] = np.where(ranks < NONE, ranks * width + place, NONE)
+        place = np.arange(width, dtype=np.int32)
+        sym = np.full((n, width + 1), -1, dtype=np.int32)  # the last column stands for "no symbol"
+        sym[:, :width][place < lengths[:, None]] = self.first[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
+        after = np.where(np.arange(1, width + 2) < lengths[:, None], np.arange(1, width + 2, dtype=np.int32), np.int32(width))
+        before = np.broadcast_to(np.concatenate([[np.int32(width)], place]), (n, width + 1)).copy()
+        tree = np.full((n, 2 * width), NONE)
+        ranks = self.rank(sym[:, :width], np.concatenate([sym[:, 1:width], np.full((n, 1), np.int32(-1))], axis=1))
+        tree[:, width:] = np.where(ranks >= 0, ranks * width + place, NONE)
         for k in range(width - 1, 0, -1):
             tree[:, k] = np.minimum(tree[:, 2 * k], tree[:, 2 * k + 1])
-        out_sym, rows = sym, np.arange(n)
-
-        def put(rows: np.ndarray, leaf: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
-            r = self.rank(left, right)
-            tree[rows, leaf + width] = np.where(r < NONE, r * width + leaf, NONE)
-            self.climb(tree, rows, leaf + width)
-
-        while True:
-            rows = rows[tree[rows, 1] < NONE]
-            if not len(rows):
-                break
+        rows, flat = np.arange(n), tree.reshape(-1)
+        while len(rows := rows[tree[rows, 1] < NONE]):
             rank, left = np.divmod(tree[rows, 1], width)
             right = after[rows, left]
-            beyond = after[rows, right]
+            beyond, earlier = after[rows, right], before[rows, left]
             merged = self.made[rank]
             sym[rows, left], sym[rows, right] = merged, -1
             after[rows, left] = beyond
             has = beyond < width
             before[rows[has], beyond[has]] = left[has]
-            tree[rows, right + width] = NONE
-            self.climb(tree, rows, right + width)
-            put(rows, left, merged, sym[rows, beyond])
-            earlier = before[rows, left]
+            # three leaves change: the pairs that now begin at left and before it, and the one at right, which is gone
             has = earlier < width
-            if has.any():
-                r, e = rows[has], earlier[has]
-                put(r, e, sym[r, e], merged[has])
-        live = out_sym[:, :width] >= 0
-        return np.split(out_sym[:, :width][live].astype(np.int32), np.cumsum(live.sum(axis=1))[:-1])
-
-    @staticmethod
-    def climb(tree: np.ndarray, rows: np.ndarray, node: np.ndarray) -> None:
-        while True:
-            node = node >> 1
-            if not node[0]:
-                return
-            tree[rows, node] = np.minimum(tree[rows, 2 * node], tree[rows, 2 * node + 1])
-
-    def alone(self, piece: bytes) -> np.ndarray:
+            own, leaf = np.concatenate([rows, rows[has]]), np.concatenate([left, earlier[has]])
+            ranks = self.rank(np.concatenate([merged, sym[rows[has], earlier[has]]]), np.concatenate([sym[rows, beyond], merged[has]]))
+            tree[own, leaf + width] = np.where(ranks >= 0, ranks * width + leaf, NONE)
+            tree[rows, right + width] = NONE
+            base, node = 2 * width * np.concatenate([own, rows]), np.concatenate([leaf, right]) + width
+            for _ in range(width.bit_length() - 1):
+                node >>= 1
+                below = base + 2 * node
+                flat[base + node] = np.minimum(flat[below], flat[below + 1])
+        live = sym[:, :width] >= 0
+        ids = sym[:, :width][live].astype("<i4").tobytes()
+        ends = (4 * np.cumsum(live.sum(axis=1))).tolist()
+        return [ids[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def alone(self, piece: bytes) -> bytes:
         """Merge one long piece."""
         n = len(piece)
         width = 1 << (n - 1).bit_length()
         sym = self.first[np.frombuffer(piece, dtype=np.uint8)].tolist()
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        none, get, made = int(NONE), self.scalar.get, self.made
-        ranks = self.rank(np.array(sym[:-1]), np.array(sym[1:])) if n > 1 else np.empty(0, dtype=np.int64)
-        leaves = np.full(width, NONE)
-        leaves[: n - 1] = np.where(ranks < NONE, ranks * width + np.arange(n - 1), NONE)
+        none, get, made = 1 << 62, self.scalar.get, self.made
+        ranks = self.rank(np.array(sym[:-1]), np.array(sym[1:])).astype(np.int64)
+        leaves = np.full(width, none)
+        leaves[: n - 1] = np.where(ranks >= 0, ranks * width + np.arange(n - 1), none)
         levels = [leaves]
         while len(levels[-1]) > 1:
             levels.append(np.minimum(levels[-1][::2], levels[-1][1::2]))
@@ -181,54 +211,32 @@ class Merger:
             if (e := before[left]) >= 0:
                 r = get(sym[e] << 32 | sym[left])
                 put(e, none if r is None else r * width + e)
-        return np.array([s for s in sym if s >= 0], dtype=np.int32)
-
-    def merge(self, pieces: list[bytes]) -> dict[bytes, np.ndarray]:
-        out: dict[bytes, np.ndarray] = {}
-        classes: dict[int, list[bytes]] = {}
-        for p in pieces:
-            if len(p) > SIDE_BY_SIDE:
-                out[p] = self.alone(p)
-            else:
-                classes.setdefault(1 << (len(p) - 1).bit_length() if len(p) > 1 else 2, []).append(p)
-        for width, mine in classes.items():
-            for k in range(0, len(mine), 1 << 15):
-                part = mine[k : k + (1 << 15)]
-                out.update(zip(part, self.side_by_side(part, width), strict=True))
-        return out
-
-    def learn(self, chunks: set[str]) -> None:
-        """Put the ids of the chunks into the cache."""
-        cut = {c: [p.encode("utf-8", "surrogatepass") for p in self.pieces.findall(c)] for c in chunks}
-        ids = self.merge(list(set(chain.from_iterable(cut.values()))))
-        for c, pieces in cut.items():
-            self.cache[c] = ids[pieces[0]] if len(pieces) == 1 else np.concatenate([ids[p] for p in pieces])
-
-    def chunks(self, text: str) -> list[str]:
-        """The text, cut before single spaces; pieces never reach over such a cut."""
-        if not text:
-            return []
-        if self.unclear.search(text):
-            return regex.split(r"(?<=\S)(?= \S)", text, flags=regex.V1)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
+        return np.array([s for s in sym if s >= 0], dtype="<i4").tobytes()
+
+    def learn(self, pieces: list[str]) -> None:
+        """Put the ids of the pieces into the cache, as little-endian bytes."""
+        raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
+        sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+        # the least power of two that holds the piece; 0 for those with a tree of their own
+        width = np.where(sizes > SIDE_BY_SIDE, 0, 1 << np.maximum(1, np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64)))
+        for w in np.unique(width).tolist():
+            mine = np.flatnonzero(width == w).tolist()
+            for k in range(0, len(mine), 1 << 14):
+                part = mine[k : k + (1 << 14)]
+                own = [raw[i] for i in part]
+                self.cache.update(zip([pieces[i] for i in part], self.side_by_side(own, w) if w else map(self.alone, own), strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        empty = np.empty(0, dtype=np.int32)
-        parts: list[list[str]] = []
-        for t in texts:
-            own: list[str] = []
-            for k, x in enumerate(self.special.split(t) if self.special else [t]):
-                own += [x] if k % 2 else self.chunks(x)
-            parts.append(own)
+        parts = [self.special.split(t) if self.special else [t] for t in texts]  # ordinary text and special tokens in turn
+        pieces = iter(cut([x for own in parts for x in own[::2]], self.kind))
+        rows = [[p for k, x in enumerate(own) for p in ([x] if k % 2 else next(pieces))] if len(own) > 1 else next(pieces) for own in parts]
         if len(self.cache) > CACHE:
             self.cache.clear()
-        for token, i in self.added.items():
-            self.cache[token] = np.array([i], dtype=np.int32)
-        if missing := set(chain.from_iterable(parts)).difference(self.cache):
-            self.learn(missing)
+        self.cache.update({token: np.array([i], dtype="<i4").tobytes() for token, i in self.added.items()})
+        if missing := set(chain.from_iterable(rows)).difference(self.cache):
+            self.learn(list(missing))
         get = self.cache.__getitem__
-        return [np.concatenate(list(map(get, own))) if own else empty for own in parts]
+        return [np.frombuffer(b"".join(map(get, own)), dtype="<i4") for own in rows]
 
 
 _mergers: dict[str, Merger] = {}
