@@ -14,7 +14,7 @@ packed each; a document of any length is cut without loss; an empty table gives
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import encode
+from .bpe import batches_of, load, merger
 
 SCHEMA = "pack_id long, ids binary, n_tokens int, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, doc_starts array<int>"
 
@@ -81,8 +81,12 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[tuple[int, int, int
     return rows
 
 
-def pack(tokens: DataFrame, *, capacity: int = 2048, end_id: int = 50256, vocabulary: int = 50257, key: str = "doc_id", ids: str = "ids", block: int = 2_000_000) -> DataFrame:
-    """Packed rows of SCHEMA; ids are uint16 if the vocabulary allows, else uint32."""
+def stored_ids(column: pa.Array) -> Iterator[np.ndarray]:
+    return (x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.empty(0, dtype=np.int32) for x in column)
+
+
+def pack(tokens: DataFrame, *, capacity: int = 2048, end_id: int = 50256, vocabulary: int = 50257, key: str = "doc_id", ids: str = "ids", block: int = 2_000_000, ids_of: Callable[[pa.Array], Iterator[np.ndarray]] = stored_ids) -> DataFrame:
+    """Packed rows of SCHEMA; ids are uint16 if the vocabulary allows, else uint32. ids_of reads them from the column."""
     kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
 
     def packed(docs: list, parts: list[np.ndarray], first: int) -> pa.RecordBatch:
@@ -100,9 +104,7 @@ def pack(tokens: DataFrame, *, capacity: int = 2048, end_id: int = 50256, vocabu
         made = TaskContext.get().partitionId() << 40
         docs, parts, size = [], [], 0
         for b in batches:
-            lists = b.column(1)
-            for doc, x in zip(b.column(0).to_pylist(), lists, strict=True):
-                own = x.values.to_numpy(zero_copy_only=False) if x.is_valid else ()
+            for doc, own in zip(b.column(0).to_pylist(), ids_of(b.column(1)), strict=True):
                 docs.append(doc)
                 parts.append(np.append(np.asarray(own, dtype=np.int64), end_id).astype(kind))
                 size += len(parts[-1])
@@ -116,8 +118,16 @@ def pack(tokens: DataFrame, *, capacity: int = 2048, end_id: int = 50256, vocabu
     return tokens.select(F.col(key).cast("long").alias("_key"), F.col(ids).alias("_ids")).mapInArrow(run, SCHEMA)
 
 
-def pack_documents(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    return pack(encode(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), path, text="_text"), key="_key", **how)
+def pack_documents(docs: DataFrame, path: str, *, text: str = "text", **how) -> DataFrame:
+    """Encode and pack in one pass over the texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(load(path))
+
+    def ids_of(column: pa.Array) -> Iterator[np.ndarray]:
+        m = merger(path, shared.value)
+        for some in batches_of([t or "" for t in column.to_pylist()]):
+            yield from m.encode(some)
+
+    return pack(docs, ids=text, ids_of=ids_of, **how)
 
 
 def write(packs: DataFrame, path: str) -> None:
