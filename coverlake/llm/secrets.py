@@ -67,7 +67,7 @@ def scan(docs: DataFrame, *, text: str = "text", owner: str = "source", reposito
     counts = by_owner.groupBy("_v").agg(F.count("*").alias("_owners"), F.sum("_r").alias("_repos"), F.max("_named").alias("_named"))
     texts = each.groupBy("_key").agg(F.first("_spans").alias("_spans"))
     spans = texts.select("_key", F.explode("_spans").alias("_s")).withColumn("_v", value).join(counts, "_v")
-    varied = F.size(F.array_distinct(F.split(F.lower("_s.value"), ""))) >= 6  # the split ends in an empty piece
+    varied = F.size(F.array_distinct(F.split(F.lower("_s.value"), ""))) >= 5
     live = ~((F.col("_owners") >= example_owners) & (F.col("_repos") >= example_repositories)) & varied
     judged = spans.withColumn("_live", live).filter((F.col("_s.kind") != "opaque") | ((F.col("_named") == 1) & F.col("_live")))
     span = F.struct(F.col("_s.start").alias("start"), F.col("_s.rank").alias("rank"), F.col("_s.end").alias("end"), F.col("_s.kind").alias("kind"), F.col("_s.value").alias("value"), F.col("_owners").alias("owners"), F.col("_repos").alias("repositories"), F.col("_live").alias("live"))
