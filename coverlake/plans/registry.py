@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import at
 from ..sources import fixtures as fx
 from ..sources.fixtures import AS_OF
-from . import audit, audit_sql, benchmark, benchmark_sql, coverage, coverage_sql, dashboard, dashboard_sql, ingest, ingest_sql, ops, ops_sql, taxonomy, taxonomy_sql
+from . import audit, audit_sql, benchmark, benchmark_sql, coverage, coverage_sql, dashboard, dashboard_sql, ingest, ingest_sql, ops, ops_sql, tables, tables_sql, taxonomy, taxonomy_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 DAY = "2024-01-19"
@@ -123,6 +123,16 @@ QUERIES: dict[str, Query] = {
     "q54_country_stats": over(audit.country_stats, A, as_of=AS_OF),
     "q55_parity": parity,
     **ingest.QUERIES,
+    "q36_ingest_runs": over(tables.ingest_runs, R, as_of=AS_OF),
+    "q36_feed_status": over(tables.feed_status, R, as_of=AS_OF),
+    "q36_benchmark_metrics": over(tables.benchmark_metrics, SERIES),
+    "q36_map_metrics": lambda spark, sf_dir: tables.map_snapshots(tables.snapshot(QUERIES["q25_country_metrics"](spark, sf_dir), "24h", "v1", AS_OF)),
+    "q49_topics_by_section": over(tables.topics_by_section, A, as_of=AS_OF),
+    "q49_unassigned_categories": over(tables.unassigned_categories, A, as_of=AS_OF),
+    "q49_unassigned_sources": over(tables.unassigned_sources, A, as_of=AS_OF),
+    "q47_others_categories": over(tables.others_categories, A, as_of=AS_OF),
+    "q24_day_counts_by_source": over(tables.day_counts_by_source, A),
+    "s2_schedule_gaps": over(tables.schedule, A, R, as_of=AS_OF),
     "x25_hybrid_sections": over(taxonomy.classify, A),
     "x27_section_candidates": over(taxonomy.candidates, A),
     "x28_primary_section": over(taxonomy.primary_section, A),
@@ -132,4 +142,4 @@ QUERIES: dict[str, Query] = {
     "a24_endpoint_classes": over(taxonomy.endpoint_classes, R),
     "x46_freshness": lambda spark, sf_dir: taxonomy.freshness(R(spark, sf_dir), at(AS_OF)),
 }
-ORACLE: dict[str, str] = {**dashboard_sql.SQL, **benchmark_sql.SQL, **coverage_sql.SQL, **ops_sql.SQL, **audit_sql.SQL, **ingest_sql.SQL, **taxonomy_sql.SQL}
+ORACLE: dict[str, str] = {**dashboard_sql.SQL, **benchmark_sql.SQL, **coverage_sql.SQL, **ops_sql.SQL, **audit_sql.SQL, **ingest_sql.SQL, **taxonomy_sql.SQL, **tables_sql.SQL}
