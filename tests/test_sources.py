@@ -47,3 +47,28 @@ def test_catalog(spark, tmp_path):
     f.write_text(json.dumps({"countries": [{"name": "A", "code": "AA", "feeds": [{"name": "s", "url": None, "sitemapUrl": "m", "distributionClass": "portal"}, {"name": "s", "url": "u", "sitemapUrl": "m2", "distributionClass": "publisher"}]}]}))
     row = feeds.read_catalog(spark, str(f)).first()
     assert (row["country"], row["source"], row["url"], row["sitemap"], row["distribution_class"]) == ("A", "s", "u", "m", "publisher")
+
+
+def test_charsets():
+    import gzip
+
+    from coverlake.sources.charset import to_text
+
+    word = "Größe é"
+    assert to_text(word.encode(), None) == word
+    assert to_text(gzip.compress(word.encode("latin-1")), "text/html; charset=ISO-8859-1") == word
+    assert to_text(b'<?xml version="1.0" encoding="windows-1252"?>' + word.encode("cp1252"), "").endswith(word)
+    assert to_text(b"\xff\xfe" + word.encode("utf-16-le"), None) == word
+    assert to_text(word.encode("cp1252"), "charset=nonsense") == word
+    assert to_text(None, None) == "" and to_text(b"\x1f\x8bbroken", None) == ""
+
+
+def test_read_documents(spark, tmp_path):
+    import gzip
+
+    from coverlake.sources.charset import read_documents
+
+    (tmp_path / "a.xml").write_bytes(RSS.encode())
+    (tmp_path / "b.xml").write_bytes(gzip.compress(ATOM.encode()))
+    items = feeds.feed_items(read_documents(spark, str(tmp_path)))
+    assert sorted(r["title"] for r in items.collect()) == ["", "A", "One & only", "three"]
