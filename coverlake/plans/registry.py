@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import at
 from ..sources import fixtures as fx
 from ..sources.fixtures import AS_OF
-from . import audit, audit_sql, benchmark, benchmark_sql, coverage, coverage_sql, dashboard, dashboard_sql, ingest, ingest_sql, ops, ops_sql, repair, repair_sql, tables, tables_sql, taxonomy, taxonomy_sql
+from . import audit, audit_sql, benchmark, benchmark_sql, coverage, coverage_sql, dashboard, dashboard_sql, ingest, ingest_sql, ops, ops_sql, repair, repair_sql, tables, tables_sql, taxonomy, taxonomy_sql, urls, urls_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 DAY = "2024-01-19"
@@ -133,6 +133,8 @@ QUERIES: dict[str, Query] = {
     "q47_others_categories": over(tables.others_categories, A, as_of=AS_OF),
     "q24_day_counts_by_source": over(tables.day_counts_by_source, A),
     "s2_schedule_gaps": over(tables.schedule, A, R, as_of=AS_OF),
+    "f15_not_articles": over(urls.flagged, A),
+    "x42_title_overlap": over(urls.title_overlap, of("pages")),
     "x09_assess_titles": over(repair.assess_titles, A),
     "m11_country_repairs": over(repair.country_repairs, A, C),
     "m06_category_backfill": over(repair.category_backfill, A),
@@ -147,4 +149,4 @@ QUERIES: dict[str, Query] = {
     "a24_endpoint_classes": over(taxonomy.endpoint_classes, R),
     "x46_freshness": lambda spark, sf_dir: taxonomy.freshness(R(spark, sf_dir), at(AS_OF)),
 }
-ORACLE: dict[str, str] = {**dashboard_sql.SQL, **benchmark_sql.SQL, **coverage_sql.SQL, **ops_sql.SQL, **audit_sql.SQL, **ingest_sql.SQL, **taxonomy_sql.SQL, **tables_sql.SQL, **repair_sql.SQL}
+ORACLE: dict[str, str] = {**dashboard_sql.SQL, **benchmark_sql.SQL, **coverage_sql.SQL, **ops_sql.SQL, **audit_sql.SQL, **ingest_sql.SQL, **taxonomy_sql.SQL, **tables_sql.SQL, **repair_sql.SQL, **urls_sql.SQL}
