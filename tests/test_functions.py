@@ -116,3 +116,9 @@ def test_handles(spark):
 def test_failure_kind(spark, status, error, want):
     df = spark.createDataFrame([(status, error)], "s int, e string")
     assert tuple(df.select(scalars.failure_kind(F.col("s"), F.col("e")).alias("f")).first()["f"]) == want
+
+
+def test_display_name(spark):
+    from coverlake.plans.dossier import display_name
+
+    assert values(spark, display_name, ["Doe, Jane", "A  B (captain)", "X [1] Y", None]) == ["Jane Doe", "A B", "X Y", ""]
