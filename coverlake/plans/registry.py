@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import at
 from ..sources import fixtures as fx
 from ..sources.fixtures import AS_OF
-from . import audit, audit_sql, benchmark, benchmark_sql, coverage, coverage_sql, dashboard, dashboard_sql, dossier, dossier_sql, ingest, ingest_sql, ops, ops_sql, repair, repair_sql, tables, tables_sql, taxonomy, taxonomy_sql, urls, urls_sql
+from . import audit, audit_sql, benchmark, benchmark_sql, coverage, coverage_sql, dashboard, dashboard_sql, dossier, dossier_sql, ingest, ingest_sql, lanes, lanes_sql, ops, ops_sql, repair, repair_sql, tables, tables_sql, taxonomy, taxonomy_sql, urls, urls_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 DAY = "2024-01-19"
@@ -133,6 +133,13 @@ QUERIES: dict[str, Query] = {
     "q47_others_categories": over(tables.others_categories, A, as_of=AS_OF),
     "q24_day_counts_by_source": over(tables.day_counts_by_source, A),
     "s2_schedule_gaps": over(tables.schedule, A, R, as_of=AS_OF),
+    "q37_mentions_by_day": over(lanes.mentions_by_day, A, M, as_of=AS_OF),
+    "q37_top_entities": over(lanes.top_entities, A, M, as_of=AS_OF),
+    "q37_unmentioned": over(lanes.unmentioned, A, M, as_of=AS_OF),
+    "q48_others_by_section": over(lanes.others_by_section, A, as_of=AS_OF),
+    "q48_others_titles": over(lanes.others_titles, A, as_of=AS_OF),
+    "q53_candidate_sources": over(lanes.candidate_sources, A, C, as_of=AS_OF),
+    "x39_foreign_operated": over(lanes.foreign_operated, A, C),
     "q56_coverage": over(dossier.coverage, dossier.persons),
     "q56_priorities": over(dossier.priorities, dossier.persons),
     "q57_overlay": over(dossier.overlay, dossier.persons, dossier.edits),
@@ -152,4 +159,4 @@ QUERIES: dict[str, Query] = {
     "a24_endpoint_classes": over(taxonomy.endpoint_classes, R),
     "x46_freshness": lambda spark, sf_dir: taxonomy.freshness(R(spark, sf_dir), at(AS_OF)),
 }
-ORACLE: dict[str, str] = {**dashboard_sql.SQL, **benchmark_sql.SQL, **coverage_sql.SQL, **ops_sql.SQL, **audit_sql.SQL, **ingest_sql.SQL, **taxonomy_sql.SQL, **tables_sql.SQL, **repair_sql.SQL, **urls_sql.SQL, **dossier_sql.SQL}
+ORACLE: dict[str, str] = {**dashboard_sql.SQL, **benchmark_sql.SQL, **coverage_sql.SQL, **ops_sql.SQL, **audit_sql.SQL, **ingest_sql.SQL, **taxonomy_sql.SQL, **tables_sql.SQL, **repair_sql.SQL, **urls_sql.SQL, **dossier_sql.SQL, **lanes_sql.SQL}
