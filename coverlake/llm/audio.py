@@ -31,6 +31,8 @@ STEPS = np.array(
 )
 CHANGES = np.array([-1, -1, -1, -1, 2, 4, 6, 8] * 2, dtype=np.int32)
 BLOCK = 64
+#: Blocks decoded at once.
+PART = 16384
 
 
 def mulaw_table() -> np.ndarray:
@@ -94,13 +96,20 @@ def read_wav(clip: bytes) -> tuple[int, int, bytes] | None:
     return None if kind is None or data is None else (kind, rate, data)
 
 
-def expand(kind: int, data: bytes) -> np.ndarray | None:
-    raw = np.frombuffer(data, dtype=np.uint8)
-    if kind in TABLES:
-        return TABLES[kind][raw]
-    if kind == ADPCM:
-        return np.concatenate([adpcm(x) for x in np.array_split(raw[: len(raw) - len(raw) % BLOCK].reshape(-1, BLOCK), max(1, len(raw) // (BLOCK * 65536)))])
-    return None
+def expand(clips: list[tuple[int, bytes] | None]) -> list[np.ndarray | None]:
+    """PCM of each clip (format tag, data); the ADPCM blocks of all of them are decoded together."""
+    out: list[np.ndarray | None] = []
+    blocks: list[np.ndarray] = []
+    for clip in clips:
+        kind, data = clip or (0, b"")
+        raw = np.frombuffer(data, dtype=np.uint8)
+        own = raw[: len(raw) - len(raw) % BLOCK].reshape(-1, BLOCK) if kind == ADPCM else raw[:0].reshape(-1, BLOCK)
+        blocks.append(own)
+        out.append(TABLES[kind][raw] if kind in TABLES else None)
+    whole = np.concatenate(blocks) if blocks else np.empty((0, BLOCK), dtype=np.uint8)
+    samples = np.concatenate([adpcm(whole[k : k + PART]) for k in range(0, max(len(whole), 1), PART)])
+    ends = np.cumsum([0, *[len(x) for x in blocks]]) * (1 + 2 * (BLOCK - 4))
+    return [samples[x:y] if clip and clip[0] == ADPCM else pcm for clip, pcm, x, y in zip(clips, out, ends[:-1], ends[1:], strict=True)]
 
 
 def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
@@ -113,8 +122,8 @@ def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
     return ((a * (to - part) + b * part) // to).astype(np.int16)
 
 
-def mapped(df: DataFrame, inputs: list[str], work, added: dict[str, str]) -> DataFrame:
-    """All columns, then those that work(values of inputs) makes for each row."""
+def mapped(df: DataFrame, inputs: list[str], work, added: dict[str, str], rows_at_once: int = 256) -> DataFrame:
+    """All columns, then those that work(lists of input values) makes for a few rows at a time, as a list of rows."""
     columns = df.columns
     rows = df.select(F.struct(*[df[f"`{c}`"] for c in columns]).alias("_row"), *[df[c].alias(f"_in{k}") for k, c in enumerate(inputs)])
     schema = rows.select("_row", *[F.lit(None).cast(t).alias(f"_out{k}") for k, t in enumerate(added.values())]).schema
@@ -122,9 +131,9 @@ def mapped(df: DataFrame, inputs: list[str], work, added: dict[str, str]) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                made = [work(*x) for x in zip(*[part.column(k + 1).to_pylist() for k in range(len(inputs))], strict=True)]
+            for at in range(0, b.num_rows, rows_at_once):
+                part = b.slice(at, rows_at_once)
+                made = work(*[part.column(k + 1).to_pylist() for k in range(len(inputs))])
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(v, t) for v, t in zip(zip(*made, strict=True), kinds, strict=True)]], names=schema.names)
 
     return unpacked(rows.mapInArrow(run, schema), columns, {c: F.col(f"_out{k}") for k, c in enumerate(added)})
@@ -133,17 +142,18 @@ def mapped(df: DataFrame, inputs: list[str], work, added: dict[str, str]) -> Dat
 def store(df: DataFrame, payload: str = "payload", *, kind: str | None = None, output: str = "media") -> DataFrame:
     """All columns, then the payload (bytes) as a WAV file. kind: a column with the format tag; mu-law without one."""
     rows = df.withColumn("_kind", F.lit(MULAW) if kind is None else F.col(kind))
-    return mapped(rows, [payload, "_kind"], lambda x, k: (wav(bytes(x or b""), int(k or MULAW)),), {output: "binary"}).drop("_kind")
+    def work(payloads: list, kinds: list) -> list[tuple]:
+        return [(wav(bytes(x or b""), int(k or MULAW)),) for x, k in zip(payloads, kinds, strict=True)]
+
+    return mapped(rows, [payload, "_kind"], work, {output: "binary"}).drop("_kind")
 
 
 def decode(df: DataFrame, media: str = "media", *, rate: int = 16000, keep_pcm: bool = True) -> DataFrame:
     """All columns, then data (the stored bytes), codec, pcm (resampled to rate; null unless kept), its CRC, peak, energy
     and zero crossings."""
 
-    def work(clip: bytes | None) -> tuple:
-        found = read_wav(bytes(clip or b""))
-        pcm = expand(found[0], found[2]) if found else None
-        if pcm is None:
+    def heard(found: tuple | None, pcm: np.ndarray | None) -> tuple:
+        if found is None or pcm is None:
             return None, None, None, None, None, None, None
         out = resample(pcm, found[1], rate).astype("<i2")
         wide = out.astype(np.int32)
@@ -152,4 +162,8 @@ def decode(df: DataFrame, media: str = "media", *, rate: int = 16000, keep_pcm:
         energy = int(np.dot(wide.astype(np.float64), wide)) if len(out) < 1 << 22 else int((wide.astype(np.int64) ** 2).sum())
         return found[2], found[0], raw if keep_pcm else None, zlib.crc32(raw), peak, energy, int(np.count_nonzero((out[1:] < 0) != (out[:-1] < 0)))
 
+    def work(clips: list) -> list[tuple]:
+        found = [read_wav(bytes(c or b"")) for c in clips]
+        return [heard(f, pcm) for f, pcm in zip(found, expand([f and (f[0], f[2]) for f in found]), strict=True)]
+
     return mapped(df, [media], work, {"data": "binary", "codec": "int", "pcm": "binary", "pcm_crc32": "long", "peak": "int", "energy": "long", "crossings": "int"})

@@ -221,7 +221,7 @@ def main_text(html: str | None, costs: dict[str, float]) -> str:
 
 
 def fit(pages: DataFrame, html: str = "html", fit_pages: int = 2_000, prior_weight: float = 20.0) -> dict[str, float]:
-    """Log odds of content for each shape feature, from at most fit_pages pages (those with the least digests)."""
+    """Log odds of content for each shape feature, from the fit_pages pages with the least digests (and rows equal to these)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[str, bool], int] = {}
@@ -233,7 +233,10 @@ def fit(pages: DataFrame, html: str = "html", fit_pages: int = 2_000, prior_weig
                             seen[f, block[1] > 0] = seen.get((f, block[1] > 0), 0) + 1
         yield pa.RecordBatch.from_pydict({"feature": pa.array([f for f, _ in seen], pa.string()), "content": pa.array([c for _, c in seen], pa.bool_()), "n": pa.array(list(seen.values()), pa.int64())})
 
-    some = pages.select(F.col(html).alias("_html")).orderBy(F.xxhash64("_html")).limit(fit_pages)
+    # digests alone find the bound, so that no page moves; rows that are equal throughout share theirs
+    digest = F.xxhash64(*[F.col(f"`{c}`") for c in pages.columns])
+    bound = pages.select(digest.alias("d")).orderBy("d").limit(fit_pages).agg(F.max("d")).first()[0]
+    some = pages.filter(digest <= bound).select(F.col(html).alias("_html")) if bound is not None else pages.limit(0).select(F.col(html).alias("_html"))
     counts = some.mapInArrow(run, "feature string, content boolean, n long").groupBy("feature", "content").agg(F.sum("n").alias("n")).collect()  # at most two rows a feature
     n = {(r["feature"], r["content"]): r["n"] for r in counts}
     groups = {g: [sum(n.get((f, c), 0) for f in PRIOR if f.startswith(g)) for c in (False, True)] for g in ("length:", "links:", "stops:", "tag:")}
