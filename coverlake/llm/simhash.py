@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import stored, unpacked
@@ -179,14 +180,25 @@ def links(blocks: DataFrame, radius: int, tile: int = 1024) -> DataFrame:
                 left, right = fps[: len(lv)], fps[len(lv) :]
                 # within one tile against itself; of two tiles only across, as each is compared with itself elsewhere
                 i, j = compare(left, right if len(right) else left, radius)
-                label = stars(len(values), i, j + (len(left) if len(right) else 0))
+                # the least fingerprint is the centre, so that the stars of one group mostly agree on it
+                by = sorted(range(len(values)), key=values.__getitem__)
+                rank = np.empty(len(values), dtype=int)
+                rank[by] = np.arange(len(values))
+                label = stars(len(values), rank[i], rank[j + (len(left) if len(right) else 0)])
                 for k in np.nonzero(label != np.arange(len(values)))[0]:
-                    a_out.append(values[k])
-                    b_out.append(values[label[k]])
+                    a_out.append(values[by[k]])
+                    b_out.append(values[by[label[k]]])
             if a_out:
                 yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.binary()), pa.array(b_out, pa.binary())], names=["a", "b"])
 
-    return pairs.mapInArrow(run, "a binary, b binary").distinct()
+    return one_each(pairs.mapInArrow(run, "a binary, b binary").distinct())
+
+
+def one_each(edges: DataFrame) -> DataFrame:
+    """edges: (a, b), b the lesser. The same components with about one edge for each a: to the least b, which the other b
+    are then joined to."""
+    least = edges.select("b", "a", F.min("b").over(W.partitionBy("a")).alias("_least"))
+    return least.select(F.explode(F.array(F.struct("a", F.col("_least").alias("b")), F.struct(F.col("b").alias("a"), F.col("_least").alias("b")))).alias("e")).select("e.a", "e.b").filter("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
