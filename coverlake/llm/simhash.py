@@ -39,6 +39,8 @@ from .common import stored, unpacked
 SEED = 42
 #: Digests handled at once.
 PART = 65536
+#: Places over which the nodes of one component are dealt.
+SALTS = 32
 QUARTERS = (0xFFFF, 0xFFFF << 16, 0xFFFF << 32, 0xFFFF << 48)
 
 
@@ -235,7 +237,9 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         edges = links(blocks, radius_of(similarity, 256), tile)
     labels = components(edges)
     groups = labels.join(distinct, labels["node"] == distinct["fp"]).select("node", "label", "_least")
-    least = groups.groupBy("label").agg(F.min("_least").alias("_reach"))
-    reach = groups.select("node", "label").join(least, "label").select(F.col("node").alias("fp"), "_reach")
+    # a component may hold a third of all fingerprints: its nodes meet their least id in several places
+    least = groups.groupBy("label").agg(F.min("_least").alias("_reach")).select("label", "_reach", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    salted = groups.select("node", "label", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("_salt"))
+    reach = salted.join(least, ["label", "_salt"]).select(F.col("node").alias("fp"), "_reach")
     final = distinct.join(reach, "fp", "left").select(F.col("fp").alias("_fp"), F.coalesce("_reach", "_least").alias("_component"))
     return unpacked(marked.join(final, "_fp"), columns, {"fingerprint": F.lower(F.hex("_fp")), "component_id": F.col("_component")})
