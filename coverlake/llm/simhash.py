@@ -5,9 +5,11 @@ fingerprints within the radius are linked, and documents reachable by links form
 
 Fingerprints meet in blocks. With a radius of two bits of 64, two fingerprints agree in at least two of four sixteen-bit
 quarters, so six blocks each, one for each pair of quarters, hold every link. With a similarity instead (0.8 of five-word
-shingles, say), fingerprints have 256 bits and the radius is the number of bits by which texts of that similarity differ;
-as no choice of bits is then sure to agree, blocks are pairs of least digests of the shingles, which such texts share in at
-least one of sixteen with all but one in ten million. Within a block every fingerprint is compared with every other.
+shingles, say), fingerprints are those of the set of shingles, have 256 bits and are followed by a digest of that set, and the
+radius is a number of bits that texts of that similarity practically never exceed; as no choice of bits is then sure to agree,
+blocks are pairs of least digests of the shingles, which such texts share in at least one of sixteen with all but one in ten
+million. Within a block every fingerprint is compared with every other. What is within the radius is only a candidate: the
+sets of shingles of each group of candidates meet again, and pairs are linked whose Jaccard similarity, counted out, suffices.
 
 A block is cut into tiles; pairs of tiles are compared in full with exclusive-or and bit counts, but for parts whose bit
 totals cannot be within the radius. A pair of tiles returns a spanning star for each group it connects, and the stars are
@@ -15,6 +17,7 @@ joined over the corpus.
 
 Scale: blocks have 2^32 keys and more each, so a block stays small while the corpus grows; one that does not (a large group
 of near copies) is spread over its pairs of tiles of at most about ``tile`` fingerprints. No task holds more than two tiles.
+Groups of candidates are cut in the same way, by members and by shingles, and only their members' texts are dealt.
 Links, components and fingerprints stay in DataFrames.
 
 Edge cases: null and empty texts have fingerprint zero and link like any other; a text with fewer words than a shingle is one
@@ -26,10 +29,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,6 +46,10 @@ SEED = 42
 PART = 65536
 #: Places over which the nodes of one component are dealt.
 SALTS = 32
+#: Shingles in a tile of candidates, about.
+SHINGLES = 1 << 20
+#: Words of 64 bits in a fingerprint of a set of shingles.
+WORDS = 4
 QUARTERS = (0xFFFF, 0xFFFF << 16, 0xFFFF << 32, 0xFFFF << 48)
 
 
@@ -92,25 +101,47 @@ def least_digests(hashes: np.ndarray) -> list[int]:
     return (pairs[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ pairs[:, 1]).view(np.int64).tolist()
 
 
-def radius_of(similarity: float, bits: int) -> int:
-    """Bits by which texts differ whose shingle sets have this Jaccard similarity: the mean and one and a half deviations."""
-    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * p + 1.5 * np.sqrt(bits * p * (1 - p)))
+def differing(common: int, left: int, right: int) -> float:
+    """Chance that a bit differs between sets that have so many shingles in common and so many of their own."""
+    out = 0
+    for k in range(common + 1):
+        a = sum(comb(left, x) for x in range(left + 1) if 2 * (k + x) > common + left)
+        b = sum(comb(right, y) for y in range(right + 1) if 2 * (k + y) > common + right)
+        out += comb(common, k) * (a * (2**right - b) + (2**left - a) * b)
+    return out / 2 ** (common + left + right)
 
 
-def fingerprints(docs: DataFrame, text: str = "text", size: int = 3, words: int = 1, bands: bool = False) -> DataFrame:
-    """The columns of docs but for the text, then _fp (binary) and _keys (names of blocks by shared shingles, if asked for)."""
+def radius_of(similarity: float, bits: int, small: int = 24) -> int:
+    """Bits by which sets of at least this Jaccard similarity practically never differ more: the mean and five deviations,
+    of large sets by the angle between them, of small ones, whose ties raise it, by counting."""
+    p = [np.arccos(2 * similarity / (1 + similarity)) / np.pi]
+    for n in range(2, small + 1):
+        p += [differing(c, x, n - c - x) for c in range(1, n) if c / n >= similarity for x in range((n - c) // 2 + 1)]
+    return int(min(bits, bits * max(p) + 5 * np.sqrt(bits * max(p) * (1 - max(p)))))
+
+
+def fingerprints(docs: DataFrame, text: str = "text", size: int = 3, sets: bool = False) -> DataFrame:
+    """The columns of docs but for the text, then _fp (binary). Of sets also the text again, _at (a number for each row),
+    _keys (names of blocks by shared shingles) and _shingles (how many)."""
     rest = [c for c in docs.columns if c != text]
-    schema = docs.select(*[docs[f"`{c}`"] for c in rest], F.lit(b"").alias("_fp"), F.array(F.lit(0).cast("long")).alias("_keys")).schema
+    schema = docs.select(*[docs[f"`{c}`"] for c in rest], F.lit(b"").alias("_fp"), *([docs[f"`{text}`"], F.lit(0).cast("long").alias("_at"), F.array(F.lit(0).cast("long")).alias("_keys"), F.lit(0).cast("long").alias("_shingles")] if sets else [])).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = TaskContext.get().partitionId() << 40
         for b in batches:
-            fps, keys = [], []
+            fps, keys, sizes = [], [], []
             for t in b.column(text):
                 h = digests(t.as_py(), size)
-                fps.append(majority(h, words))
-                keys.append(least_digests(h) if bands else [])
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in rest], pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=[*rest, "_fp", "_keys"])
+                if sets:
+                    h = np.unique(h)
+                    fps.append(majority(h, WORDS) + xxhash.xxh3_128_digest(h.tobytes(), SEED))
+                    keys.append(least_digests(h))
+                    sizes.append(len(h))
+                else:
+                    fps.append(majority(h))
+            more = [b.column(text), pa.array(made + np.arange(len(fps))), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64())] if sets else []
+            made += len(fps)
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in rest], pa.array(fps, pa.binary()), *more], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -167,26 +198,75 @@ def links(blocks: DataFrame, radius: int, tile: int = 1024) -> DataFrame:
     """blocks: fp, _block, _key, distinct. Edges (a, b): within their blocks, stars over all groups linked by the radius."""
     # only blocks with two members have pairs; the number of tiles comes from the number of members
     sizes = blocks.groupBy("_block", "_key").agg(F.count("*").alias("_n")).filter("_n > 1")
-    tiles = F.ceil(F.col("_n") / tile).cast("int")
-    member = blocks.join(sizes, ["_block", "_key"]).select("fp", "_block", "_key", tiles.alias("_tiles"), F.pmod(F.xxhash64("fp"), tiles).cast("int").alias("_tile"))
+    member = blocks.join(sizes, ["_block", "_key"]).select("fp", "_block", "_key", F.ceil(F.col("_n") / tile).cast("int").alias("_tiles"))
+    return tiled(member, ["_block", "_key"], radius)
+
+
+def verified(members: DataFrame, radius: int, similarity: float, size: int) -> DataFrame:
+    """members: fp, label, _text, _tiles, distinct. Edges (a, b): stars over all within a label whose shingle sets are at
+    least so similar."""
+    schema = members.select("fp", "label", "_tiles", F.lit(b"").alias("_set")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(digests(t.as_py(), size)).tobytes() for t in b.column("_text")]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in schema.names[:-1]], pa.array(sets, pa.binary())], names=schema.names)
+
+    return tiled(members.select("fp", "label", "_tiles", "_text").mapInArrow(run, schema), ["label"], radius, similarity)
+
+
+def similar(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Of the pairs i-j of sets of distinct digests, those with at least this Jaccard similarity."""
+    sizes = np.array([len(x) for x in sets])
+    most = np.maximum(sizes[i], sizes[j])
+    at = np.flatnonzero((np.minimum(sizes[i], sizes[j]) >= similarity * most * (1 - 1e-9)) & (most > 0))
+    at = at[np.argsort(i[at], kind="stable")]
+    if not len(at):
+        return np.zeros(len(i), dtype=bool)
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    seen, out = np.zeros(len(ids), dtype=bool), np.zeros(len(i), dtype=bool)
+    for some in np.split(at, np.flatnonzero(np.diff(i[at])) + 1):
+        one, others = i[some[0]], j[some]
+        own = ids[first[one] : first[one] + sizes[one]]
+        seen[own] = True
+        common = np.array([np.count_nonzero(seen[ids[first[o] : first[o] + sizes[o]]]) for o in others])
+        seen[own] = False
+        out[some] = common / (sizes[one] + sizes[others] - common) >= similarity
+    return out
+
+
+def tiled(member: DataFrame, block: list[str], radius: int, similarity: float | None = None) -> DataFrame:
+    """member: fp, the columns of its block, _tiles and, for a similarity, _set. Edges (a, b) between members of a block."""
+    value = F.struct("fp", "_set") if similarity is not None else F.col("fp")
+    placed = member.select(value.alias("_value"), *block, "_tiles", F.pmod(F.xxhash64("fp"), "_tiles").cast("int").alias("_tile"))
     other = F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)).alias("_other")
-    dealt = member.select("fp", "_block", "_key", "_tile", other).select("fp", "_block", "_key", "_tile", F.least("_tile", "_other").alias("_i"), F.greatest("_tile", "_other").alias("_j"))
-    pairs = dealt.groupBy("_block", "_key", "_i", "_j").agg(F.collect_list(F.when(F.col("_tile") == F.col("_i"), F.col("fp"))).alias("left"), F.collect_list(F.when(F.col("_tile") != F.col("_i"), F.col("fp"))).alias("right")).select("left", "right")
+    dealt = placed.select("_value", *block, "_tile", other).select("_value", *block, "_tile", F.least("_tile", "_other").alias("_i"), F.greatest("_tile", "_other").alias("_j"))
+    pairs = dealt.groupBy(*block, "_i", "_j").agg(F.collect_list(F.when(F.col("_tile") == F.col("_i"), F.col("_value"))).alias("left"), F.collect_list(F.when(F.col("_tile") != F.col("_i"), F.col("_value"))).alias("right")).select("left", "right")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             a_out, b_out = [], []
-            for lv, rv in zip(b.column("left").to_pylist(), b.column("right").to_pylist(), strict=True):
+            for lc, rc in zip(b.column("left"), b.column("right"), strict=True):
+                lv, rv = lc.as_py(), rc.as_py()
                 values = lv + rv
-                fps = np.frombuffer(b"".join(values), dtype=">u8").astype(np.uint64).reshape(len(values), -1)
+                if similarity is not None:
+                    sets = [np.frombuffer(x["_set"], dtype=np.uint64) for x in values]
+                    values = [x["fp"] for x in values]
+                fps = np.frombuffer(b"".join(values), dtype=">u8").astype(np.uint64).reshape(len(values), -1)[:, :WORDS]
                 left, right = fps[: len(lv)], fps[len(lv) :]
                 # within one tile against itself; of two tiles only across, as each is compared with itself elsewhere
                 i, j = compare(left, right if len(right) else left, radius)
+                j = j + (len(left) if len(right) else 0)
+                if similarity is not None:
+                    i, j = i[i < j], j[i < j]
+                    linked = similar(sets, i, j, similarity)
+                    i, j = i[linked], j[linked]
                 # the least fingerprint is the centre, so that the stars of one group mostly agree on it
                 by = sorted(range(len(values)), key=values.__getitem__)
                 rank = np.empty(len(values), dtype=int)
                 rank[by] = np.arange(len(values))
-                label = stars(len(values), rank[i], rank[j + (len(left) if len(right) else 0)])
+                label = stars(len(values), rank[i], rank[j])
                 for k in np.nonzero(label != np.arange(len(values)))[0]:
                     a_out.append(values[by[k]])
                     b_out.append(values[by[label[k]]])
@@ -221,25 +301,38 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def beside(groups: DataFrame, totals: DataFrame) -> DataFrame:
+    """groups (node, label, ...) with the columns of totals, which has one row for each label."""
+    # a component may hold a third of all fingerprints: its nodes meet their totals in several places
+    spread = totals.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    salted = groups.select("*", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("_salt"))
+    return salted.join(spread, ["label", "_salt"]).drop("_salt")
+
+
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 3, similarity: float | None = None, tile: int = 1024) -> DataFrame:
     """The columns of docs but for the text, then fingerprint (hex digits) and component_id (the least key reachable).
 
-    Links: at most two of 64 bits, or texts of at least the given similarity.
+    Links: at most two of 64 bits, or texts whose sets of shingles have at least the given Jaccard similarity.
     """
     columns = [c for c in docs.columns if c != text]
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in columns]).alias("_row"), docs[key].alias("_id"), docs[text].alias("_text"))
-    marked = stored(fingerprints(rows, "_text", size, 1 if similarity is None else 4, similarity is not None))
-    distinct = stored(marked.groupBy(F.col("_fp").alias("fp")).agg(F.min("_id").alias("_least")))
+    marked = stored(fingerprints(rows, "_text", size, similarity is not None))
     if similarity is None:
+        distinct = stored(marked.groupBy(F.col("_fp").alias("fp")).agg(F.min("_id").alias("_least")))
         edges = links(quarters(distinct.select("fp")), 2, tile)
     else:
+        distinct = stored(marked.groupBy(F.col("_fp").alias("fp")).agg(F.min("_id").alias("_least"), F.min("_at").alias("_at"), F.min("_shingles").alias("_shingles")))
         blocks = marked.select(F.col("_fp").alias("fp"), F.posexplode("_keys").alias("_block", "_key")).distinct()
-        edges = links(blocks, radius_of(similarity, 256), tile)
+        radius = radius_of(similarity, 64 * WORDS)
+        candidates = components(links(blocks, radius, tile))
+        groups = candidates.join(distinct, candidates["node"] == distinct["fp"]).select("node", "label", "_at", "_shingles")
+        tiles = F.ceil(F.greatest(F.count("*") / tile, F.sum("_shingles") / SHINGLES, F.lit(1))).cast("int")
+        members = beside(groups, groups.groupBy("label").agg(tiles.alias("_tiles")))
+        texts = members.join(marked.select("_at", "_text"), "_at").select(F.col("node").alias("fp"), "label", "_tiles", "_text")
+        edges = verified(texts, radius, similarity, size)
     labels = components(edges)
     groups = labels.join(distinct, labels["node"] == distinct["fp"]).select("node", "label", "_least")
-    # a component may hold a third of all fingerprints: its nodes meet their least id in several places
-    least = groups.groupBy("label").agg(F.min("_least").alias("_reach")).select("label", "_reach", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    salted = groups.select("node", "label", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("_salt"))
-    reach = salted.join(least, ["label", "_salt"]).select(F.col("node").alias("fp"), "_reach")
+    reach = beside(groups, groups.groupBy("label").agg(F.min("_least").alias("_reach"))).select(F.col("node").alias("fp"), "_reach")
     final = distinct.join(reach, "fp", "left").select(F.col("fp").alias("_fp"), F.coalesce("_reach", "_least").alias("_component"))
-    return unpacked(marked.join(final, "_fp"), columns, {"fingerprint": F.lower(F.hex("_fp")), "component_id": F.col("_component")})
+    shown = F.substring(F.lower(F.hex("_fp")), 1, 16 * (1 if similarity is None else WORDS))
+    return unpacked(marked.select("_row", "_fp").join(final, "_fp"), columns, {"fingerprint": shown, "component_id": F.col("_component")})

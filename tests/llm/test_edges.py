@@ -254,6 +254,27 @@ def test_similarity(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 1, 5: 5, 6: 5}
 
 
+@pytest.mark.parametrize("tile", [1024, 8])
+def test_similarity_boundary(spark, tile):
+    # 2 texts each: (shingles in common, of the first alone, of the second alone); words are in no other pair
+    pairs = [(80, 10, 10)] * 50 + [(400, 0, 100)] * 10 + [(4, 0, 1), (8, 1, 1), (12, 0, 3)] * 10 + [(79, 10, 11)] * 50 + [(399, 1, 100)] * 10 + [(3, 0, 1), (7, 1, 1), (11, 0, 3)] * 10
+    rows, want = [], {}
+    for k, (common, left, right) in enumerate(pairs):
+        both = [f"p{k}c{x}" for x in range(common)]
+        for side, n in enumerate((left, right)):
+            words = both + [f"p{k}s{side}x{x}" for x in range(n)] + both[:1] * (7 * side)  # repeats do not count
+            rng.shuffle(words)
+            rows.append((2 * k + side, " ".join(words)))
+            want[2 * k + side] = 2 * k if common / (common + left + right) >= 0.8 else 2 * k + side
+    # twelve texts of which all share most, none enough, and a chain whose ends are apart
+    rows += [(1000 + k, " ".join([f"t{x}" for x in range(70)] + [f"t{k}x{x}" for x in range(15)])) for k in range(12)]
+    rows += [(2000 + k, " ".join(f"h{x}" for x in range(4 * k, 4 * k + 60))) for k in range(30)]
+    want |= {1000 + k: 1000 + k for k in range(12)} | {2000 + k: 2000 for k in range(30)}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, size=1, similarity=0.8, tile=tile).collect()}
+    assert got == want
+
+
 def test_packing(spark, docs):
     import numpy as np
 
