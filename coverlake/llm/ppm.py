@@ -9,9 +9,12 @@ those of the level above, so that totals after exclusion are sums that can be ta
 on whole arrays of bytes.
 
 Scale: one pass counts strings and tokens per task and sends counts, not rows, to the shuffle; the counts come from the whole
-training corpus and grow with it. What is broadcast is bounded: strings and tokens are kept in order of count, down
-to the power of two at which at most ``model_rows`` (``head_rows``) are left; with fewer, all are kept. Tokens below that
-line are looked up by a join, in which no key has more rows than the line, so there is no hot key by construction.
+training corpus and grow with it. What is broadcast is bounded: tokens are kept in order of count, down to the power of two
+at which at most ``head_rows`` are left; with fewer, all are kept. Tokens below that line are looked up by a join, in which no
+key has more rows than the line, so there is no hot key by construction. A trie of at most ``model_rows`` strings is broadcast
+whole. Of a larger one, the longest strings are, down to such a line, each with its probability in the whole trie; what a
+text has besides is looked up by joins: strings below the line with their probabilities, strings not in the trie, each once,
+with the counts of their ends in the stored levels. Ends of one or two bytes, the keys that many share, are fixed tables.
 
 Edge cases: null text is empty: it scores its end only; null or repeated ids are scored row by row; texts of any length are
 scored whole; without training texts all bytes are equally likely; an empty table gives an empty table.
@@ -125,8 +128,18 @@ def cutoff(counts: DataFrame, most: int) -> int:
     return next(2**k for k in range(62) if row[k] <= most)
 
 
+class Listed:
+    """Log10 probabilities by string; NaN for a string that is not listed."""
+
+    def __init__(self, keys: np.ndarray, logp: np.ndarray):
+        self.strings, self.logp = Table(keys), np.append(logp.astype(float), np.nan)
+
+    def score(self, grams: np.ndarray) -> np.ndarray:
+        return self.logp[self.strings.find(grams)]
+
+
 class Model:
-    """Log10 probabilities of bytes from the counts of strings of order + 1 bytes, kept by level down to one cutoff."""
+    """Log10 probabilities of bytes from the counts of all strings of one to order + 1 bytes."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int = ORDER):
         """keys: level << 56 | string, where a string of level k has k bytes of context."""
@@ -204,6 +217,63 @@ def trie_levels(counts: DataFrame, order: int = ORDER) -> DataFrame:
     return each.groupBy(F.col("x.item").alias("item")).agg(F.sum("x.n").alias("n"))
 
 
+def mask(length: str) -> str:
+    """Of so many bytes, as SQL."""
+    return f"(shiftleft(1L, 8 * ({length})) - 1)"
+
+
+def leveled(levels: DataFrame) -> DataFrame:
+    """item and n of trie_levels, then level, string and context (level << 56 | the string but for its last byte)."""
+    level, string = "cast(shiftright(item, 56) as int)", f"(item & {mask('7')})"
+    return levels.selectExpr("item", "n", f"{level} level", f"{string} string", f"shiftleft(cast({level} as bigint), 56) | shiftright({string}, 8) context")
+
+
+def context_logs(levels: DataFrame) -> DataFrame:
+    """context, level, then Log10: open and escape, the denominator and the escape there; next_open and next_escape, those of
+    the next shorter context without the bytes that this one rules out. No key here has more than 256 rows."""
+    each = leveled(levels)
+    ends = each.selectExpr("*", f"if(level > 0, shiftleft(cast(level - 1 as bigint), 56) | (string & {mask('level')}), null) below")
+    below = levels.selectExpr("item below", "n n_below")
+    sums = ends.join(below, "below", "left").groupBy("context").agg(F.first("level").alias("level"), F.sum("n").alias("total"), F.count("*").alias("size"), F.sum("n_below").alias("ruled"))
+    keyed = stored(sums.selectExpr("*", f"if(level > 0, shiftleft(cast(level - 1 as bigint), 56) | (context & {mask('level - 1')}), null) shorter"))
+    beside = keyed.join(keyed.selectExpr("context shorter", "total whole", "size sizes"), "shorter", "left").selectExpr("*", "whole - ruled left_", "sizes - size kinds")
+    return beside.selectExpr(
+        "context", "level", "log10(total + size) open", "log10(size) - log10(total + size) escape",
+        "if(kinds > 0, log10(left_ + kinds), 0.0D) next_open", "if(kinds > 0, log10(kinds) - log10(left_ + kinds), 0.0D) next_escape",
+    )
+
+
+def joined(rows: DataFrame, table: DataFrame, key: str, few: str) -> DataFrame:
+    """rows with what table has for their key; keys where few holds, a condition on level, are shared by many and few in all."""
+    own = table.drop("level")
+    return rows.filter(few).join(F.broadcast(table.filter(few).drop("level")), key, "left").unionByName(rows.filter(f"not ({few})").join(own, key, "left"))
+
+
+def escaped(grams: DataFrame, levels: DataFrame, contexts: DataFrame, floor: float, order: int) -> DataFrame:
+    """grams: gram, distinct, none of them in the trie. gram and Log10 of the probability of its last byte: of the longest
+    context known the escape, then those of the shorter ones, down to the first that the byte did follow."""
+    ends = grams.select("gram", F.explode(F.sequence(F.lit(0), F.lit(order))).alias("level"))
+    ends = ends.selectExpr("gram", "level", f"shiftleft(cast(level as bigint), 56) | (gram & {mask('level + 1')}) item", f"shiftleft(cast(level as bigint), 56) | (shiftright(gram, 8) & {mask('level')}) context")
+    strings_ = leveled(levels).select("item", "n", "level")
+    rows = joined(joined(ends, strings_, "item", "level <= 1"), contexts, "context", "level <= 2")
+    known = F.when(F.col("open").isNotNull(), F.col("level"))
+    hit = F.when(F.col("n").isNotNull(), F.col("level"))
+    each = rows.groupBy("gram").agg(F.max(known).alias("m"), F.coalesce(F.max(hit), F.lit(-1)).alias("h"), F.max_by("open", known).alias("open"), F.max_by("escape", known).alias("escape"), F.max_by("n", hit).alias("n"), F.collect_list(F.struct("level", "next_open", "next_escape")).alias("next"))
+    passed = "aggregate(filter(next, x -> x.level >= h + 2 and x.level <= m), 0.0D, (s, x) -> s + x.next_escape)"
+    there = "log10(n) - element_at(filter(next, x -> x.level = h + 1), 1).next_open"
+    return each.selectExpr("gram", f"if(h = m, log10(n) - open, escape + {passed} + if(h >= 0, {there}, {floor!r}D)) logp")
+
+
+def outside(flat: np.ndarray, inside: np.ndarray, first: np.ndarray, n: np.ndarray) -> list[pa.Array]:
+    """Of each text's n values from first on, those that are not inside, and how often: two columns of lists."""
+    values, times, sizes = [], [], []
+    for f, m in zip(first, n, strict=True):
+        t, k = np.unique(flat[f : f + m][~inside[f : f + m]], return_counts=True)
+        values.append(t), times.append(k), sizes.append(len(t))
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+    return [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(values).view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(times).astype(np.int32)))]
+
+
 def arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Of a table whose size is bounded: item and n."""
     t = df.select("item", "n").toArrow()
@@ -223,19 +293,27 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", order: in
     train, kinds = int(totals["n"]), int(totals["v"])
     head_from = cutoff(tokens, head_rows)
     levels = stored(trie_levels(counts.filter("kind = 1"), order))
-    level_from = cutoff(levels, model_rows)
-    shared = spark.sparkContext.broadcast((*arrays(tokens.filter(F.col("n") >= head_from)), *arrays(levels.filter(F.col("n") >= level_from))))
+    whole = levels.count() <= model_rows
+    if whole:
+        model_of = levels
+    else:
+        contexts = stored(context_logs(levels))
+        top = leveled(levels).filter(F.col("level") == order).join(contexts.select("context", "open"), "context").selectExpr("string item", "n", "log10(n) - open logp")
+        longest = stored(top)
+        string_from = cutoff(longest, model_rows)
+        model_of = longest.filter(F.col("n") >= string_from).select("item", F.col("logp").alias("n"))
+    shared = spark.sparkContext.broadcast((*arrays(tokens.filter(F.col("n") >= head_from)), *arrays(model_of)))
     name = uuid.uuid4().hex
     logs = np.log10(train + smooth * (kinds + 1))
 
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in columns]).alias("_row"), F.col(key).alias("_key"), F.col(text).alias("_text"))
-    schema = rows.select("_row", F.lit(True).alias("held_out"), *[F.lit(0).cast(t).alias(c) for c, t in (("_id", "long"), ("n_tokens", "long"), ("_known", "long"), ("_base", "double"), ("score", "double"))], F.array(F.lit(0).cast("long")).alias("_tail"), F.array(F.lit(0).cast("int")).alias("_times")).schema
+    schema = rows.select("_row", F.lit(True).alias("held_out"), *[F.lit(0).cast(t).alias(c) for c, t in (("_id", "long"), ("n_tokens", "long"), ("_known", "long"), ("_base", "double"), ("score", "double"))], F.array(F.lit(0).cast("long")).alias("_tail"), F.array(F.lit(0).cast("int")).alias("_times"), *([] if whole else [F.array(F.lit(0).cast("long")).alias("_grams"), F.array(F.lit(0).cast("int")).alias("_often")])).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _models:  # one for each worker process
             _models.clear()
             head, head_n, strings_, strings_n = shared.value
-            _models[name] = (Table(head), head_n, Model(strings_, strings_n, order))
+            _models[name] = (Table(head), head_n, Model(strings_, strings_n, order) if whole else Listed(strings_, strings_n))
         head, head_n, model = _models[name]
         head_log = np.log10(head_n + smooth) - logs
         made = TaskContext.get().partitionId() << 40
@@ -244,7 +322,11 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", order: in
             for some in runs((k, lowered(t)) for k, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
                 texts = [t for _, t in some]
                 sizes = np.array([len(t) + 1 for t in texts])
-                logp = np.add.reduceat(model.score(strings(texts, order)), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+                starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+                grams = strings(texts, order)
+                each = model.score(grams)
+                logp = np.add.reduceat(np.nan_to_num(each, nan=0.0), starts)
+                more = [] if whole else outside(grams, ~np.isnan(each), starts, sizes)
                 digests = [np.append(token_digests(t), END_TOKEN) for t in texts]
                 n = np.array([len(d) for d in digests])
                 first = np.concatenate([[0], np.cumsum(n)[:-1]])
@@ -253,15 +335,10 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", order: in
                 inside = place >= 0
                 known = np.add.reduceat(inside.astype(np.int64), first)
                 base = np.add.reduceat(np.where(inside, head_log[place] if len(head_log) else 0.0, 0.0), first)
-                tails, times, sizes = [], [], []
-                for f, m in zip(first, n, strict=True):
-                    t, k = np.unique(flat[f : f + m][~inside[f : f + m]], return_counts=True)
-                    tails.append(t), times.append(k), sizes.append(len(t))
-                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
                 ids = made + np.arange(len(some))
                 made += len(some)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(at, len(some)), pa.array([held_out(k) for k, _ in some]), pa.array(ids), pa.array(n), pa.array(known), pa.array(base), pa.array(logp), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(tails).view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(times).astype(np.int32)))],
+                    [b.column(0).slice(at, len(some)), pa.array([held_out(k) for k, _ in some]), pa.array(ids), pa.array(n), pa.array(known), pa.array(base), pa.array(logp), *outside(flat, inside, first, n), *more],
                     names=schema.names,
                 )
                 at += len(some)
@@ -271,6 +348,16 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", order: in
     rare = tokens.filter(F.col("n") < head_from)
     c = F.coalesce("n", F.lit(0))
     found = tail.join(rare, "item", "left").groupBy("_id").agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("_rare_known"), F.sum(F.col("times") * (F.log10(c + F.lit(smooth)) - F.lit(float(logs)))).alias("_rare_base"))
+    rest = F.lit(0.0)
+    if not whole:
+        grams = scored.select("_id", F.explode(F.arrays_zip("_grams", "_often")).alias("_g")).select("_id", F.col("_g._grams").alias("gram"), F.col("_g._often").alias("times"))
+        listed = longest.filter(F.col("n") < string_from).select(F.col("item").alias("gram"), "logp")
+        # texts of the training have no others
+        new = scored.filter("held_out").select(F.explode("_grams").alias("gram")).distinct().join(listed, "gram", "left_anti")
+        floor = -float(np.log10(max(SYMBOLS - levels.filter(F.col("item") < 1 << 56).count(), 1)))
+        logs_of = listed.unionByName(escaped(new, levels, contexts, floor, order))
+        found = found.join(grams.join(logs_of, "gram").groupBy("_id").agg(F.sum(F.col("times") * F.col("logp")).alias("_rare_score")), "_id", "full")
+        rest = F.coalesce("_rare_score", F.lit(0.0))
     zero = F.lit(0).cast("long")
     added = {
         "held_out": F.col("held_out"),
@@ -278,6 +365,6 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", order: in
         "n_known": F.col("_known") + F.coalesce("_rare_known", zero),
         "train_tokens": F.lit(train).cast("long"),
         "base_score": F.col("_base") + F.coalesce("_rare_base", F.lit(0.0)),
-        "score": F.col("score"),
+        "score": F.col("score") + rest,
     }
-    return unpacked(scored.drop("_tail", "_times").join(found, "_id", "left"), columns, added)
+    return unpacked(scored.drop("_tail", "_times", "_grams", "_often").join(found, "_id", "left"), columns, added)

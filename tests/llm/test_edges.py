@@ -72,6 +72,20 @@ def test_scores(spark, docs):
     assert ppm.score(docs.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("model_rows", [0, 40, 3000])
+def test_scores_beyond_the_broadcast(spark, model_rows):
+    texts = [t for t in TEXTS if len(t or "") <= 5000]
+    texts += ["".join(rng.choice("abcdé \n") for _ in range(rng.randrange(80))) for _ in range(60)] + ["abcxyz" * 3, "\U0001f601é", "~~~"]
+    rows = [(k, t) for k, t in enumerate(texts * 2)]
+    for k in [k for k in range(len(rows), len(rows) + 400) if ppm.held_out(k)]:  # bytes and contexts that no other text has
+        rows.append((k, "".join(rng.choice("abcé^~{日") for _ in range(20))))
+    model = brute.Ppm([t for d, t in rows if not ppm.held_out(d)], 5)
+    out = ppm.score(spark.createDataFrame(rows, "doc_id long, text string"), model_rows=model_rows).collect()
+    assert len(out) == len(rows) and {r["held_out"] for r in out} == {True, False}
+    for r in out:
+        assert r["score"] == pytest.approx(model.score(dict(rows)[r["doc_id"]]), rel=1e-9)
+
+
 def test_secrets(spark, docs):
     out = secrets.scan(docs)
     same_columns(out, docs, ["spans"])
