@@ -157,3 +157,9 @@ def keyword_section(high: list = HIGH, medium: list = MEDIUM):
 
     return classify
 
+
+@F.pandas_udf("string")
+def dedupe_text(values: pd.Series) -> pd.Series:
+    """Letters a-z and digits in lower case, without accents, and single spaces for all else."""
+    plain = values.fillna("").str.normalize("NFKD").str.replace(r"[\u0300-\u036f]", "", regex=True)
+    return plain.str.replace(r"[^a-zA-Z0-9]+", " ", regex=True).str.strip().str.lower()

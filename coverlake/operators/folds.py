@@ -1,8 +1,12 @@
-"""Order-dependent operators, as grouped pandas functions over keys whose groups are small by nature."""
+"""Order-dependent operators: folds over sorted batches, and grouped pandas functions over keys whose groups are small by
+nature."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,22 +35,37 @@ def greedy_order(titles: DataFrame) -> DataFrame:
 
 def syndication_clusters(items: DataFrame, hours: int = 36) -> DataFrame:
     """(network, fingerprint, external_id, published_at): clusters of one title within a band of time of the cluster's own
-    time, newest first; a cluster's time is that of its newest member. Returns each item's cluster number and size."""
-
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["published_at", "external_id"], ascending=[False, True], kind="stable")
-        heads: list = []
-        own = []
-        for t in rows["published_at"]:
-            k = next((k for k, h in enumerate(heads) if abs((h - t).total_seconds()) <= hours * 3600), len(heads))
-            if k == len(heads):
-                heads.append(t)
-            own.append(k)
-        rows["cluster"] = own
-        rows["size"] = rows.groupby("cluster")["external_id"].transform("size")
-        return rows[["network", "fingerprint", "external_id", "cluster", "size"]]
-
-    return items.groupBy("network", "fingerprint").applyInPandas(group, "network string, fingerprint string, external_id string, cluster long, size long")
+    time, newest first; a cluster's time is that of its newest member. Returns each item's cluster number and size; items
+    without network, fingerprint or time are in no cluster.
+
+    Only the distinct times of a title are put in order. They pass by in batches, and of a title only the last cluster's
+    time is kept: times come newest first, so none is near an earlier cluster.
+    """
+    clustered = F.col("network").isNotNull() & F.col("fingerprint").isNotNull() & F.col("published_at").isNotNull()
+    key = ["network", "fingerprint"]
+    times = items.filter(clustered).groupBy(*key, "published_at").agg(F.count("*").alias("_n"))
+    ordered = times.withColumn("_at", F.unix_micros(F.col("published_at").cast("timestamp"))).repartition(*key).sortWithinPartitions(*key, F.desc("_at"))
+    band = hours * 3_600_000_000
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        title, head, k = None, 0, 0
+        for b in batches:
+            own = []
+            for n, f, t in zip(b.column("network").to_pylist(), b.column("fingerprint").to_pylist(), b.column("_at").to_pylist(), strict=True):
+                if (n, f) != title:
+                    title, head, k = (n, f), t, 0
+                elif head - t > band:
+                    head, k = t, k + 1
+                own.append(k)
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(own, pa.int64())], names=[*names, "cluster"])
+
+    names = [*key, "published_at", "_n"]
+    schema = times.select(*names, F.lit(0).cast("long").alias("cluster")).schema
+    numbered = ordered.mapInArrow(number, schema)
+    sizes = numbered.groupBy(*key, "cluster").agg(F.sum("_n").alias("size"))
+    placed = numbered.drop("_n").join(sizes, [*key, "cluster"])
+    out = items.filter(clustered).join(placed, [*key, "published_at"]).select(*key, "external_id", "cluster", "size")
+    return out.unionByName(items.filter(~clustered).select(*key, "external_id", F.lit(None).cast("long").alias("cluster"), F.lit(1).cast("long").alias("size")))
 
 
 def next_state(state: tuple, ok: bool, kind: str | None, reason: str | None) -> tuple:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as x
 from ..functions.exprs import at, before, blank_to
+from ..functions.text import dedupe_text
 from ..operators import folds, merge
 from ..sources import fixtures as fx
 from ..sources.fixtures import AS_OF
@@ -95,9 +96,15 @@ def lift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.greedy_order(a.select(F.coalesce("country", F.lit("none")).alias("network"), "source", F.lower(blank_to("title_original", "")).alias("title")))
 
 
+def title_fingerprint(title: Column) -> Column:
+    """The normalised title; null where it is too short to tell a story: under 32 characters or five words of three."""
+    plain = dedupe_text(title)
+    return F.when((F.length(plain) >= 32) & (F.size(F.filter(F.split(plain, " "), lambda t: F.length(t) >= 3)) >= 5), plain)
+
+
 def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = fx.articles(spark, sf_dir)
-    return folds.syndication_clusters(a.select(F.coalesce("country", F.lit("none")).alias("network"), F.lower(blank_to("title_original", "")).alias("fingerprint"), "external_id", F.col("publication_datetime").alias("published_at")))
+    return folds.syndication_clusters(a.select(F.col("country").alias("network"), title_fingerprint(F.col("title_original")).alias("fingerprint"), "external_id", F.col("publication_datetime").alias("published_at")))
 
 
 def breaker(spark: SparkSession, sf_dir: str) -> DataFrame:

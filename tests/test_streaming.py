@@ -90,3 +90,19 @@ def test_clusters(spark):
     rows = [("n", "f", str(h), T + datetime.timedelta(hours=h)) for h in hours]
     got = {r["external_id"]: (r["cluster"], r["size"]) for r in folds.syndication_clusters(spark.createDataFrame(rows, "network string, fingerprint string, external_id string, published_at timestamp")).collect()}
     assert got == {"100": (0, 1), "60": (1, 2), "30": (1, 2), "0": (2, 1)}
+
+
+def test_clusters_need_a_telling_title(spark):
+    from coverlake.plans.ingest import title_fingerprint
+
+    long = "Élection: the «new» Council votes on Budget"
+    titles = [long, "ELECTION - the new council votes on budget!", "", None, "Too short a title for this", "aa bb cc dd ee ff gg hh ii jj kk ll", "a council of four long wordsinarow xx"]
+    rows = [("n", t, str(2 * k + j), T + datetime.timedelta(hours=j)) for k, t in enumerate(titles) for j in range(2)] + [(None, long, "x", T)]
+    items = spark.createDataFrame(rows, "network string, title string, external_id string, published_at timestamp")
+    out = folds.syndication_clusters(items.withColumn("fingerprint", title_fingerprint(items["title"])).drop("title"))
+    got = {r["external_id"]: (r["fingerprint"], r["cluster"], r["size"]) for r in out.collect()}
+    one = "election the new council votes on budget"
+    assert {k: got.pop(k) for k in "0123"} == {k: (one, 0, 4) for k in "0123"}
+    assert got.pop("x") == (one, None, 1)
+    assert {k: got.pop(k)[1:] for k in ("12", "13")} == {k: (None, 1) for k in ("12", "13")}
+    assert set(got.values()) == {(None, None, 1)} and len(got) == 8
