@@ -6,7 +6,8 @@ by smoothness edges. The maximum flow's cut separates content from boilerplate a
 
 The costs are log odds of shape features (length, share of link text, punctuation, tag), learned by counting over pages whose
 markup names its parts (article and main against nav, footer, aside and the like), plus fixed evidence from such names where
-a page has them.
+a page has them. A name in class, id or role weighs less than a tag, so that the shape can overrule it; it ends where an
+article or main begins, and words that only tell a layout (has-sidebar), or header within an article, are no names.
 
 Scale: a map over batches without shuffle. Learning reads at most ``fit_pages`` pages and returns one count per feature, of
 which there are a fixed number.
@@ -36,10 +37,13 @@ BLOCKS = {"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl"
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Words in class, id or role that name boilerplate.
 NAMED = re.compile(r"(?:^|[^a-z])(?:ads?|adverts?|advertisements?|advertising|banners?|sponsor(?:ed)?|promos?|promotions?|cookies?|consent|gdpr|notices?|alerts?|sidebars?|navs?|navbars?|navigation|menus?|breadcrumbs?|footers?|headers?|masthead|topbar|comments?|commentlist|disqus|repl(?:y|ies)|respond|related|recommend(?:ed|ations)?|shar(?:e|ing)|social|newsletters?|subscribe|signup|login|popups?|modals?|overlay|widgets?|pagination|pager|toolbar|skip|search|complementary|contentinfo)(?:$|[^a-z])")
+#: Words that tell what a part has or has not, not what it is, and those that are content's own within an article.
+LAYOUT = re.compile(r"(?<!\S)(?:has|have|with|without|no|not|hide|hides|show|shows)[-_]\S*")
+OWN = re.compile(r"(?<![a-z])headers?(?![a-z])")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 SPACE = re.compile(r"\s+")
 
-IN_NAMED, IN_ARTICLE, HEADING = 14.0, 6.0, 3.0
+IN_NAMED, IN_CLASSED, IN_ARTICLE, HEADING = 14.0, 8.0, 6.0, 3.0
 ADJACENT, SIBLING = 0.8, 0.4
 #: Log odds of content for each shape feature before any page has been counted.
 PRIOR = {"length:0": -0.8, "length:1": -0.2, "length:2": 0.6, "length:3": 1.2, "links:0": 0.6, "links:1": -0.6, "links:2": -2.0, "stops:0": -0.5, "stops:1": 0.4, "tag:p": 0.8, "tag:h": 0.3, "tag:li": -0.5, "tag:div": -0.3, "tag:other": -0.1}
@@ -50,8 +54,8 @@ class Reader(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        # tag, is it left out, is it named boilerplate, is it in an article, its number
-        self.stack: list[tuple[str, bool, bool, bool, int]] = [("", False, False, False, 0)]
+        # tag, is it left out, how far it is named boilerplate (0, IN_CLASSED or IN_NAMED), is it in an article, its number
+        self.stack: list[tuple[str, bool, float, bool, int]] = [("", False, 0.0, False, 0)]
         self.blocks: list[tuple[str, float, str, int, int]] = []
         self.parts: list[str] = []
         self.linked = self.links = self.made = 0
@@ -63,7 +67,7 @@ class Reader(HTMLParser):
             tag, _, named, article, _ = self.stack[-1]
             own = next((x for x in reversed(self.stack) if x[0] in BLOCKS), self.stack[0])
             tag = own[0]
-            evidence = -IN_NAMED if named else IN_ARTICLE if article else 0.0
+            evidence = -named if named else IN_ARTICLE if article else 0.0
             if len(tag) == 2 and tag[0] == "h" and article and not named:
                 evidence += HEADING
             at = self.stack.index(own)
@@ -83,7 +87,13 @@ class Reader(HTMLParser):
         words = " ".join(v.lower() for k, v in attrs if v and k in ("class", "id", "role"))
         hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and HIDDEN.search(v.lower()) for k, v in attrs)
         begins = tag in ("article", "main")
-        named = named or tag in BOILERPLATE or tag == "header" and not article or bool(words and tag not in ("body", "html", "article", "main") and NAMED.search(words))
+        if begins and named == IN_CLASSED:
+            named = 0.0
+        if tag in BOILERPLATE or tag == "header" and not article:
+            named = IN_NAMED
+        elif words and not named and tag not in ("body", "html", "article", "main"):
+            words = LAYOUT.sub("", words)
+            named = IN_CLASSED if NAMED.search(OWN.sub("", words) if article else words) else 0.0
         self.made += 1
         self.links += tag == "a"
         self.stack.append((tag, out or hidden or tag in SKIPPED, named, article or begins, self.made))

@@ -57,6 +57,18 @@ def test_mixing_hits_targets(spark):
     assert all(abs(r["taken"] - r["target"]) <= 100 for r in out)
 
 
+def test_class_names():
+    costs = dict(extraction.PRIOR)
+    body = "<p>A long paragraph of the article, with many words in it, that ends with a stop as such texts do.</p>"
+    text = extraction.main_text(body, costs)
+    for page in (f'<div class="page has-sidebar"><article>{body}</article></div>', f'<div class="page has-sidebar no-comments">{body}</div>', f'<div class="sidebar"><main>{body}</main></div>', f'<div id="widget social"><div><article>{body}</article></div></div>'):
+        assert extraction.main_text(page, costs) == text, page
+    assert extraction.main_text(f'<article><div class="entry-header"><h1>Head line</h1></div>{body}</article>', costs) == "Head line " + text
+    # what such names do mark still goes, and tags are not overruled
+    for page in ('<article>{}<div class="ad">Buy now</div></article>', '<article>{}</article><div class="sidebar">More to read</div>', '<article>{}</article><div class="header">Name of the site</div>', f'<article>{{}}</article><footer>{body}</footer>', f'<nav>{body}</nav><main>{{}}</main>'):
+        assert extraction.main_text(page.format(body), costs) == text, page
+
+
 def test_scores(spark, docs):
     out = ppm.score(docs, model_rows=10**6, head_rows=3)
     same_columns(out, docs, ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"], ["text"])
