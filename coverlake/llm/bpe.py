@@ -5,9 +5,8 @@ next one (and its place, so that the leftmost of equal ranks is the least); the
 three leaves, so three paths are updated, until the root holds no rank. Many short pieces are merged side by side, as rows of
 one numpy array; a long piece has a tree of its own, so its cost stays n log n.
 
-Scale: a map over batches without shuffle. Each worker keeps the ids of up to ``CACHE`` pieces and starts again when these
-are used up, so its memory is bounded while common pieces are merged once. What is broadcast is the
-vocabulary, which is fixed.
+Scale: a map over batches without shuffle. Each worker remembers the ids of up to ``CACHE`` pieces; of more, the more used
+half stays, so its memory is bounded while common pieces are merged once. What is broadcast is the vocabulary, which is fixed.
 
 Edge cases: null text is empty and has no ids; special tokens in a text get their own id; texts of any length are encoded
 whole; null ids decode to the empty text; an empty table gives an empty table; input columns named like the results give way.
@@ -16,7 +15,7 @@ whole; null ids decode to the empty text; an empty table gives an empty table; i
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -37,6 +36,10 @@ NONE = np.int32(2**31 - 1)
 CACHE = 400_000
 #: Pieces of up to so many bytes are merged side by side.
 SIDE_BY_SIDE = 64
+#: So many pieces at once, and ids.
+ROWS, PART = 1 << 14, 1 << 18
+#: The lowest bytes of a number, by how many.
+LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def byte_names() -> dict[str, int]:
@@ -59,21 +62,29 @@ def kinds() -> np.ndarray:
     return out
 
 
-def cut(texts: list[str], kind: np.ndarray) -> list[list[str]]:
-    """The pieces of each text, as PIECES finds them, on one array of all code points.
+def cut(texts: list[str], kind: np.ndarray) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The pieces of each text, as PIECES finds them, on one array of all code points: the texts in a row, their code points,
+    where pieces start and end, and for each text (and the end) the number of its first piece.
 
     A piece is a run of one kind; the space before it belongs to it, and leaves a longer run of white space.
     """
     whole = "\0".join(texts)
     codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    starts = np.cumsum([0, *[len(t) + 1 for t in texts]])
-    k = np.append(kind[codes], np.uint8(BREAK))
+    starts = np.zeros(len(texts) + 1, dtype=np.int64)
+    np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1, out=starts[1:])
+    k = np.empty(len(codes) + 1, dtype=np.uint8)
+    np.take(kind, codes, out=k[:-1])
     k[starts[1:] - 1] = BREAK
-    first = np.concatenate([[True], k[1:] != k[:-1]]) | (k == BREAK)
-    after_break = np.concatenate([[False], k[:-1] == BREAK])
-    first |= after_break
-    last = np.append(k[1:] != SPACE, True) & (k == SPACE)  # ends of runs of white space
-    followed = np.flatnonzero(last & np.append(k[1:] != BREAK, False))
+    change = k[1:] != k[:-1]
+    first = np.empty(len(k), dtype=bool)
+    first[0] = True
+    first[1:] = change
+    space = k == SPACE
+    breaks = starts[1:] - 1
+    first[breaks] = True
+    first[breaks[:-1] + 1] = True
+    ends_of_space = np.flatnonzero(space[:-1] & change)
+    followed = ends_of_space[k[ends_of_space + 1] != BREAK]
     first[followed] = True  # the last white space stands alone, or
     joined = followed[codes[followed] == 32]
     first[joined + 1] = False  # as a space belongs to what follows
@@ -83,11 +94,11 @@ def cut(texts: list[str], kind: np.ndarray) -> list[list[str]]:
         if m := CONTRACTIONS.match(whole, i):
             first[i + 1] = False
             first[m.end()] = True
-    at = np.flatnonzero(first & (k != BREAK))
-    ends = np.append(np.flatnonzero(first), len(k))[np.searchsorted(np.flatnonzero(first), at) + 1]
-    pieces = [whole[a:b] for a, b in zip(at.tolist(), ends.tolist(), strict=True)]
-    place = np.searchsorted(at, starts).tolist()
-    return [pieces[a:b] for a, b in zip(place[:-1], place[1:], strict=True)]
+    every = np.flatnonzero(first)
+    piece = k[every] != BREAK
+    at = every[piece]
+    ends = np.append(every[1:], len(k))[piece]
+    return whole, codes, at, ends, np.searchsorted(at, starts)
 
 
 def load(path: str) -> dict:
@@ -113,6 +124,91 @@ def load(path: str) -> dict:
     return {"raw": raw, "first": first, "keys": keys[order], "ranks": order.astype(np.int32), "made": pairs[:, 2].astype(np.int32), "added": added}
 
 
+class Remembered:
+    """Ids of pieces seen before. A piece of up to 15 bytes is found by these and its length, as two numbers, in a table by
+    open addressing; longer ones by a dict. Of too many pieces the more used half stays."""
+
+    def __init__(self, most: int = CACHE):
+        self.most = most
+        self.start()
+
+    def start(self) -> None:
+        self.bits = int(2 * self.most).bit_length()
+        self.slots = np.full(1 << self.bits, -1, dtype=np.int32)
+        self.low, self.high = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        self.first, self.size, self.uses = np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64)
+        self.ids = np.empty(0, np.int32)
+        self.long: dict[bytes, int] = {}
+
+    def home(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        x = (low ^ high * np.uint64(0xD1342543DE82EF95)) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+        return (x * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The number of each piece, -1 for those not there."""
+        at = self.home(low, high)
+        out = self.slots[at]
+        if not len(self.low):
+            return out
+        open_ = np.flatnonzero(((self.low[out] != low) | (self.high[out] != high)) & (out >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & (1 << self.bits) - 1
+            out[open_] = now = self.slots[at[open_]]
+            open_ = open_[((self.low[now] != low[open_]) | (self.high[now] != high[open_])) & (now >= 0)]
+        return out
+
+    def put(self, low: np.ndarray, high: np.ndarray, ids: np.ndarray, size: np.ndarray, raw: list[bytes] | None = None) -> int:
+        """Add pieces, distinct and not there yet; longer ones with raw, and zeros for low and high. The number of the first."""
+        n, now = len(self.size), np.arange(len(self.size), len(self.size) + len(size), dtype=np.int32)
+        first = np.zeros(len(size), dtype=np.int64)
+        np.cumsum(size[:-1], out=first[1:])
+        self.first = np.append(self.first, first + len(self.ids))
+        self.size, self.ids = np.append(self.size, size), np.append(self.ids, ids)
+        self.uses = np.append(self.uses, np.zeros(len(size), dtype=np.int64))
+        self.low, self.high = np.append(self.low, low), np.append(self.high, high)
+        if raw is not None:
+            self.long.update(zip(raw, now.tolist(), strict=True))
+            return n
+        if 2 * len(self.size) > len(self.slots):
+            self.bits = int(2 * len(self.size)).bit_length()
+            self.slots = np.full(1 << self.bits, -1, dtype=np.int32)
+            now = np.flatnonzero(self.high > 0).astype(np.int32)
+        at = self.home(self.low[now], self.high[now])
+        while len(at):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = now[free]  # of those that want a slot the last one gets it
+            lost = self.slots[at] != now
+            at, now = (at[lost] + 1) & (1 << self.bits) - 1, now[lost]
+        return n
+
+    def use(self, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these pieces in a row, and how many each has."""
+        self.uses += np.bincount(pieces, minlength=len(self.uses))
+        size = self.size[pieces]
+        ends = np.cumsum(size, dtype=np.int64)
+        shift = self.first[pieces]
+        shift[1:] -= ends[:-1]
+        at = np.arange(ends[-1] if len(ends) else 0)
+        at += np.repeat(shift, size)
+        return self.ids[at], size
+
+    def trim(self) -> None:
+        """Forget the less used pieces if there are too many; uses count half from then on."""
+        if len(self.size) <= self.most and len(self.ids) <= 8 * self.most:
+            return
+        order = np.argsort(-self.uses, kind="stable")[: self.most // 2]
+        keep = np.sort(order[(self.uses[order] > 1) & (np.cumsum(self.size[order], dtype=np.int64) <= 4 * self.most)])
+        low, high, uses, raw = self.low[keep], self.high[keep], self.uses[keep] // 2, {k: x for x, k in self.long.items()}
+        longer = np.array([k in raw for k in keep.tolist()], dtype=bool)
+        short, long = keep[~longer], keep[longer]
+        (a, n), (b, m) = self.use(short), self.use(long)
+        self.start()
+        self.put(low[~longer], high[~longer], a, n)
+        self.put(low[longer], high[longer], b, m, [raw[k] for k in long.tolist()])
+        self.uses = np.concatenate([uses[~longer], uses[longer]])
+
+
 class Merger:
     """Encodes texts with the arrays of load()."""
 
@@ -121,56 +217,59 @@ class Merger:
         self.added = model["added"]
         self.table = Table(self.keys.astype(np.uint64))
         self.scalar = dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True))
+        self.of_bytes = self.rank(np.repeat(self.first, 256), np.tile(self.first, 256)).reshape(256, 256)
         self.kind = kinds()
         self.special = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
-        self.cache: dict[str, bytes] = {}
+        self.pieces = Remembered()
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The merge rank of each pair, -1 for those that do not merge."""
         at = self.table.find((left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)).reshape(-1)).reshape(left.shape)
         return np.where((at >= 0) & (left >= 0) & (right >= 0), self.ranks[at], np.int32(-1))
 
-    def side_by_side(self, pieces: list[bytes], width: int) -> list[bytes]:
-        """Merge pieces of up to width bytes (a power of two), one tree per row."""
-        n = len(pieces)
-        lengths = np.fromiter(map(len, pieces), dtype=np.int64, count=n)
+    def side_by_side(self, raw: np.ndarray, start: np.ndarray, lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Merge the pieces of up to width bytes (a power of two) that start there in raw, one tree per row: their ids in a
+        row, and how many each has."""
+        n = len(start)
         place = np.arange(width, dtype=np.int32)
+        filled = place < lengths[:, None]
+        own = raw[np.where(filled, start[:, None] + place, 0)]
         sym = np.full((n, width + 1), -1, dtype=np.int32)  # the last column stands for "no symbol"
-        sym[:, :width][place < lengths[:, None]] = self.first[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
+        sym[:, :width] = np.where(filled, self.first[own], -1)
         after = np.where(np.arange(1, width + 2) < lengths[:, None], np.arange(1, width + 2, dtype=np.int32), np.int32(width))
         before = np.broadcast_to(np.concatenate([[np.int32(width)], place]), (n, width + 1)).copy()
         tree = np.full((n, 2 * width), NONE)
-        ranks = self.rank(sym[:, :width], np.concatenate([sym[:, 1:width], np.full((n, 1), np.int32(-1))], axis=1))
-        tree[:, width:] = np.where(ranks >= 0, ranks * width + place, NONE)
-        for k in range(width - 1, 0, -1):
-            tree[:, k] = np.minimum(tree[:, 2 * k], tree[:, 2 * k + 1])
-        rows, flat = np.arange(n), tree.reshape(-1)
-        while len(rows := rows[tree[rows, 1] < NONE]):
-            rank, left = np.divmod(tree[rows, 1], width)
+        ranks = np.where(filled[:, 1:], self.of_bytes[own[:, :-1], own[:, 1:]], np.int32(-1))
+        tree[:, width:-1] = np.where(ranks >= 0, ranks * np.int32(width) + place[:-1], NONE)
+        for k in range(width.bit_length() - 2, -1, -1):
+            row = tree[:, 2 << k : 4 << k]
+            np.minimum(row[:, ::2], row[:, 1::2], out=tree[:, 1 << k : 2 << k])
+        rows, flat = np.flatnonzero(tree[:, 1] < NONE), tree.reshape(-1)
+        while len(rows):
+            rank, left = np.divmod(tree[rows, 1], np.int32(width))
             right = after[rows, left]
             beyond, earlier = after[rows, right], before[rows, left]
             merged = self.made[rank]
             sym[rows, left], sym[rows, right] = merged, -1
             after[rows, left] = beyond
-            has = beyond < width
+            has = np.flatnonzero(beyond < width)
             before[rows[has], beyond[has]] = left[has]
             # three leaves change: the pairs that now begin at left and before it, and the one at right, which is gone
-            has = earlier < width
-            own, leaf = np.concatenate([rows, rows[has]]), np.concatenate([left, earlier[has]])
-            ranks = self.rank(np.concatenate([merged, sym[rows[has], earlier[has]]]), np.concatenate([sym[rows, beyond], merged[has]]))
-            tree[own, leaf + width] = np.where(ranks >= 0, ranks * width + leaf, NONE)
-            tree[rows, right + width] = NONE
-            base, node = 2 * width * np.concatenate([own, rows]), np.concatenate([leaf, right]) + width
+            prior = np.flatnonzero(earlier < width)
+            ranks = self.rank(np.concatenate([merged, sym[rows[prior], earlier[prior]]]), np.concatenate([sym[rows, beyond], merged[prior]]))
+            leaf = np.concatenate([left, earlier[prior]])
+            base = np.concatenate([rows, rows[prior], rows]) * (2 * width)
+            node = np.concatenate([leaf, right]) + width
+            flat[base + node] = np.concatenate([np.where(ranks >= 0, ranks * np.int32(width) + leaf, NONE), np.full(len(rows), NONE)])
             for _ in range(width.bit_length() - 1):
                 node >>= 1
                 below = base + 2 * node
                 flat[base + node] = np.minimum(flat[below], flat[below + 1])
+            rows = rows[tree[rows, 1] < NONE]
         live = sym[:, :width] >= 0
-        ids = sym[:, :width][live].astype("<i4").tobytes()
-        ends = (4 * np.cumsum(live.sum(axis=1))).tolist()
-        return [ids[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)]
+        return sym[:, :width][live], live.sum(axis=1, dtype=np.int32)
 
-    def alone(self, piece: bytes) -> bytes:
+    def alone(self, piece: bytes) -> np.ndarray:
         """Merge one long piece."""
         n = len(piece)
         width = 1 << (n - 1).bit_length()
@@ -211,32 +310,80 @@ class Merger:
             if (e := before[left]) >= 0:
                 r = get(sym[e] << 32 | sym[left])
                 put(e, none if r is None else r * width + e)
-        return np.array([s for s in sym if s >= 0], dtype="<i4").tobytes()
+        return np.array([s for s in sym if s >= 0], dtype=np.int32)
 
-    def learn(self, pieces: list[str]) -> None:
-        """Put the ids of the pieces into the cache, as little-endian bytes."""
-        raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
-        sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+    def merge(self, raw: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of pieces in raw, in parts: which ones, their ids in a row, and how many each has."""
         # the least power of two that holds the piece; 0 for those with a tree of their own
-        width = np.where(sizes > SIDE_BY_SIDE, 0, 1 << np.maximum(1, np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64)))
+        width = np.where(lengths > SIDE_BY_SIDE, 0, 1 << np.maximum(1, np.ceil(np.log2(np.maximum(lengths, 1))).astype(np.int64)))
         for w in np.unique(width).tolist():
-            mine = np.flatnonzero(width == w).tolist()
-            for k in range(0, len(mine), 1 << 14):
-                part = mine[k : k + (1 << 14)]
-                own = [raw[i] for i in part]
-                self.cache.update(zip([pieces[i] for i in part], self.side_by_side(own, w) if w else map(self.alone, own), strict=True))
+            mine = np.flatnonzero(width == w)
+            for k in range(0, len(mine), ROWS if w else 1):
+                part = mine[k : k + (ROWS if w else 1)]
+                if w:
+                    yield part, *self.side_by_side(raw, start[part], lengths[part], w)
+                else:
+                    ids = self.alone(raw[start[k_ := part[0]] : start[k_] + lengths[k_]].tobytes())
+                    yield part, ids, np.array([len(ids)], dtype=np.int32)
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of ordinary texts in a row, and where those of each text (and the end) begin."""
+        whole, codes, at, ends, of_text = cut(texts, self.kind)
+        if not len(at):
+            return np.empty(0, np.int32), np.zeros(len(texts) + 1, dtype=np.int64)
+        utf8 = whole.encode("utf-8", "surrogatepass")
+        raw = np.frombuffer(utf8 + bytes(16), dtype=np.uint8)
+        if len(utf8) != len(codes):
+            place = np.zeros(len(codes) + 1, dtype=np.int64)
+            np.cumsum(1 + (codes >= 0x80).view(np.int8) + (codes >= 0x800).view(np.int8) + (codes >= 0x10000).view(np.int8), out=place[1:])
+            at, ends = place[at], place[np.minimum(ends, len(codes))]
+        lengths = ends - at
+        words = np.ndarray(len(raw) - 7, dtype="<u8", buffer=raw, strides=(1,))
+        low, high = words[at] & LOW[np.minimum(lengths, 8)], words[at + 8] & LOW[np.clip(lengths - 8, 0, 7)]
+        high |= lengths.astype(np.uint64) << np.uint64(56)
+        self.pieces.trim()
+        found = self.pieces.find(low, high)
+        longer = np.flatnonzero(lengths > 15)
+        if len(longer):
+            own = [utf8[a:b] for a, b in zip(at[longer].tolist(), ends[longer].tolist(), strict=True)]
+            found[longer] = [self.pieces.long.get(x, -1) for x in own]
+            if new := {x: k for k, x in zip(longer.tolist(), own, strict=True) if x not in self.pieces.long}:
+                first, names = np.fromiter(new.values(), dtype=np.int64), list(new)
+                part, ids, size = map(np.concatenate, zip(*self.merge(raw, at[first], lengths[first]), strict=True))
+                none = np.zeros(len(part), dtype=np.uint64)
+                self.pieces.put(none, none, ids, size, [names[k] for k in part.tolist()])
+                found[longer] = [self.pieces.long[x] for x in own]
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            a, b = low[missing], high[missing]
+            by = np.lexsort((a, b))
+            a, b = a[by], b[by]
+            fresh = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+            first = missing[by[fresh]]
+            part, ids, size = map(np.concatenate, zip(*self.merge(raw, at[first], lengths[first]), strict=True))
+            n = self.pieces.put(low[first[part]], high[first[part]], ids, size)
+            number = np.empty(len(part), dtype=np.int32)
+            number[part] = np.arange(n, n + len(part))
+            found[missing[by]] = number[np.cumsum(fresh) - 1]
+        ids, size = self.pieces.use(found)
+        ends = np.zeros(len(size) + 1, dtype=np.int64)
+        np.cumsum(size, out=ends[1:])
+        return ids, ends[of_text]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         parts = [self.special.split(t) if self.special else [t] for t in texts]  # ordinary text and special tokens in turn
-        pieces = iter(cut([x for own in parts for x in own[::2]], self.kind))
-        rows = [[p for k, x in enumerate(own) for p in ([x] if k % 2 else next(pieces))] if len(own) > 1 else next(pieces) for own in parts]
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        self.cache.update({token: np.array([i], dtype="<i4").tobytes() for token, i in self.added.items()})
-        if missing := set(chain.from_iterable(rows)).difference(self.cache):
-            self.learn(list(missing))
-        get = self.cache.__getitem__
-        return [np.frombuffer(b"".join(map(get, own)), dtype="<i4") for own in rows]
+        flat, ends = self.encode_flat([x for own in parts for x in own[::2]])
+        places = ends.tolist()
+        out, at = [], 0
+        for own in parts:
+            n = len(own) // 2 + 1
+            some = [flat[places[at + k] : places[at + k + 1]] for k in range(n)]
+            at += n
+            if n > 1:
+                special = [np.array([self.added[x]], dtype=np.int32) for x in own[1::2]]
+                some = [np.concatenate([x for both in zip(some, [*special, flat[:0]], strict=True) for x in both])]
+            out.append(some[0])
+        return out
 
 
 _mergers: dict[str, Merger] = {}
@@ -250,7 +397,7 @@ def merger(key: str, model: dict) -> Merger:
     return _mergers[key]
 
 
-def batches_of(texts: list[str], most: int = 2_000_000) -> Iterator[list[str]]:
+def batches_of(texts: Iterable[str], most: int = 500_000) -> Iterator[list[str]]:
     """Runs of texts of about so many characters, for bounded memory."""
     own, size = [], 0
     for t in texts:
@@ -278,7 +425,7 @@ def encode(docs: DataFrame, path: str, *, text: str = "text", output: str = "ids
         m = merger(path, shared.value)
         for b in batches:
             at = 0
-            for some in batches_of([t or "" for t in b.column(1).to_pylist()]):
+            for some in batches_of(t.as_py() or "" for t in b.column(1)):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(some)), lists(m.encode(some))], names=["_row", "_ids"])
                 at += len(some)
 
@@ -286,18 +433,43 @@ def encode(docs: DataFrame, path: str, *, text: str = "text", output: str = "ids
     return unpacked(rows.mapInArrow(run, schema), columns, {output: F.col("_ids")})
 
 
+class Vocabulary:
+    """The bytes of tokens in a row."""
+
+    def __init__(self, raw: list[bytes]):
+        self.size = np.array([len(x) for x in raw], dtype=np.int64)
+        self.first = np.concatenate([[0], np.cumsum(self.size)])[:-1]
+        self.bytes = np.frombuffer(b"".join(raw), dtype=np.uint8)
+
+    def texts(self, ids: np.ndarray, ends: np.ndarray) -> Iterator[str]:
+        """The text of each run of ids, between one end and the next."""
+        size = self.size[ids]
+        place = np.concatenate([[0], np.cumsum(size)])
+        at = np.arange(place[-1])
+        at += np.repeat(self.first[ids] - place[:-1], size)
+        whole = self.bytes[at].tobytes()
+        cuts = place[ends].tolist()
+        return (whole[a:b].decode("utf-8", "replace") for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+
+
 def decode(tokens: DataFrame, path: str, *, ids: str = "ids", output: str = "decoded") -> DataFrame:
     """All columns, then the decoded text; bytes that are not UTF-8 become the replacement character."""
     columns = tokens.columns
-    rows = tokens.select(F.struct(*[tokens[f"`{c}`"] for c in columns]).alias("_row"), tokens[ids].alias("_ids"))
+    rows = tokens.select(F.struct(*[tokens[f"`{c}`"] for c in columns]).alias("_row"), F.coalesce(tokens[ids].cast("array<int>"), F.array().cast("array<int>")).alias("_ids"))
     shared = tokens.sparkSession.sparkContext.broadcast(load(path)["raw"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = shared.value
+        vocabulary = Vocabulary(shared.value)
         for b in batches:
-            texts = [b"".join([raw[i] for i in (x or ())]).decode("utf-8", "replace") for x in (v.as_py() for v in b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["_row", "_out"])
+            own = b.column(1)
+            ends = own.offsets.to_numpy().astype(np.int64)
+            flat = own.values.to_numpy(zero_copy_only=False)
+            k = 0
+            while k < len(own):  # in runs of about so many ids, for bounded memory
+                last = max(k + 1, int(np.searchsorted(ends, ends[k] + PART, side="right")) - 1)
+                texts = list(vocabulary.texts(flat[ends[k] : ends[last]], ends[k : last + 1] - ends[k]))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, last - k), pa.array(texts, pa.string())], names=["_row", "_out"])
+                k = last
 
     schema = rows.select("_row", F.lit("").alias("_out")).schema
     return unpacked(rows.mapInArrow(run, schema), columns, {output: F.col("_out")})
-

@@ -106,7 +106,9 @@ def pack(tokens: DataFrame, *, capacity: int = 2048, end_id: int = 50256, vocabu
         for b in batches:
             for doc, own in zip(b.column(0).to_pylist(), ids_of(b.column(1)), strict=True):
                 docs.append(doc)
-                parts.append(np.append(np.asarray(own, dtype=np.int64), end_id).astype(kind))
+                closed = np.empty(len(own) + 1, dtype=kind)
+                closed[:-1], closed[-1] = own, end_id
+                parts.append(closed)
                 size += len(parts[-1])
                 if size >= block:
                     yield (out := packed(docs, parts, made))
@@ -124,7 +126,7 @@ def pack_documents(docs: DataFrame, path: str, *, text: str = "text", **how) ->
 
     def ids_of(column: pa.Array) -> Iterator[np.ndarray]:
         m = merger(path, shared.value)
-        for some in batches_of([t or "" for t in column.to_pylist()]):
+        for some in batches_of(t.as_py() or "" for t in column):
             yield from m.encode(some)
 
     return pack(docs, ids=text, ids_of=ids_of, **how)
