@@ -38,15 +38,17 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 #: Words in class, id or role that name boilerplate.
 NAMED = re.compile(r"(?:^|[^a-z])(?:ads?|adverts?|advertisements?|advertising|banners?|sponsor(?:ed)?|promos?|promotions?|cookies?|consent|gdpr|notices?|alerts?|sidebars?|navs?|navbars?|navigation|menus?|breadcrumbs?|footers?|headers?|masthead|topbar|comments?|commentlist|disqus|repl(?:y|ies)|respond|related|recommend(?:ed|ations)?|shar(?:e|ing)|social|newsletters?|subscribe|signup|login|popups?|modals?|overlay|widgets?|pagination|pager|toolbar|skip|search|complementary|contentinfo)(?:$|[^a-z])")
 #: Words that tell what a part has or has not, not what it is, and those that are content's own within an article.
-LAYOUT = re.compile(r"(?<!\S)(?:has|have|with|without|no|not|hide|hides|show|shows)[-_]\S*")
+LAYOUT = re.compile(r"(?:(?<!\S)|(?<=[-_]))(?:has|have|with|without|no|not|hide|hides|show|shows)[-_]\S*|\S*[-_](?:open|opened|closed|enabled|disabled|on|off|active|inactive)(?!\S)")
 OWN = re.compile(r"(?<![a-z])headers?(?![a-z])")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 SPACE = re.compile(r"\s+")
+UNFINISHED = re.compile(r"</?[A-Za-z!]")
 
-IN_NAMED, IN_CLASSED, IN_ARTICLE, HEADING = 14.0, 8.0, 6.0, 3.0
+#: OWN_CLASSED is for a paragraph or heading of an article that itself has such a class.
+IN_NAMED, IN_CLASSED, OWN_CLASSED, IN_ARTICLE, HEADING = 14.0, 8.0, 2.0, 6.0, 3.0
 ADJACENT, SIBLING = 0.8, 0.4
 #: Log odds of content for each shape feature before any page has been counted.
-PRIOR = {"length:0": -0.8, "length:1": -0.2, "length:2": 0.6, "length:3": 1.2, "links:0": 0.6, "links:1": -0.6, "links:2": -2.0, "stops:0": -0.5, "stops:1": 0.4, "tag:p": 0.8, "tag:h": 0.3, "tag:li": -0.5, "tag:div": -0.3, "tag:other": -0.1}
+PRIOR = {"length:0": -0.8, "length:1": -0.2, "length:2": 0.6, "length:3": 1.2, "links:0": 0.6, "links:1": -0.6, "links:2": -2.0, "stops:0": -0.5, "stops:1": 0.4, "tag:p": 0.8, "tag:h": 0.8, "tag:li": -0.5, "tag:div": -0.3, "tag:other": -0.1}
 
 
 class Reader(HTMLParser):
@@ -54,24 +56,23 @@ class Reader(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        # tag, is it left out, how far it is named boilerplate (0, IN_CLASSED or IN_NAMED), is it in an article, its number
-        self.stack: list[tuple[str, bool, float, bool, int]] = [("", False, 0.0, False, 0)]
+        # tag, is it left out, how far it is named boilerplate (0 or a cost), is it in an article, its number, then of the
+        # innermost block around (itself, if it is one): its place in the stack, and the number of what that is in
+        self.stack: list[tuple[str, bool, float, bool, int, int, int]] = [("", False, 0.0, False, 0, 0, 0)]
+        self.open: dict[str, list[int]] = {}  # places in the stack by tag
         self.blocks: list[tuple[str, float, str, int, int]] = []
         self.parts: list[str] = []
-        self.linked = self.links = self.made = 0
-        self.tag = ""
+        self.linked = self.made = 0
 
     def flush(self) -> None:
         text = SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            tag, _, named, article, _ = self.stack[-1]
-            own = next((x for x in reversed(self.stack) if x[0] in BLOCKS), self.stack[0])
-            tag = own[0]
+            _, _, named, article, _, block, parent = self.stack[-1]
+            tag = self.stack[block][0]
             evidence = -named if named else IN_ARTICLE if article else 0.0
             if len(tag) == 2 and tag[0] == "h" and article and not named:
                 evidence += HEADING
-            at = self.stack.index(own)
-            self.blocks.append((text, evidence, tag, self.stack[max(at - 1, 0)][4], self.linked))
+            self.blocks.append((text, evidence, tag, parent, self.linked))
         self.parts, self.linked = [], 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -83,57 +84,59 @@ class Reader(HTMLParser):
             self.parts.append(" ")
         if tag in VOID:
             return
-        _, out, named, article, _ = self.stack[-1]
+        _, out, named, article, inside, block, parent = self.stack[-1]
         words = " ".join(v.lower() for k, v in attrs if v and k in ("class", "id", "role"))
         hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and HIDDEN.search(v.lower()) for k, v in attrs)
         begins = tag in ("article", "main")
-        if begins and named == IN_CLASSED:
+        if begins and named < IN_NAMED:
             named = 0.0
         if tag in BOILERPLATE or tag == "header" and not article:
             named = IN_NAMED
         elif words and not named and tag not in ("body", "html", "article", "main"):
             words = LAYOUT.sub("", words)
-            named = IN_CLASSED if NAMED.search(OWN.sub("", words) if article else words) else 0.0
+            if NAMED.search(OWN.sub("", words) if article else words):
+                named = OWN_CLASSED if article and (tag == "p" or len(tag) == 2 and tag[0] == "h") else IN_CLASSED
         self.made += 1
-        self.links += tag == "a"
-        self.stack.append((tag, out or hidden or tag in SKIPPED, named, article or begins, self.made))
+        if tag in BLOCKS:
+            block, parent = len(self.stack), inside
+        self.open.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, out or hidden or tag in SKIPPED, named, article or begins, self.made, block, parent))
 
     def close_open(self, tag: str) -> None:
         """End an open element of this kind, unless a larger one was begun in it."""
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k][0] == tag:
-                self.cut(k)
-                return
-            if self.stack[k][0] in BLOCKS:
-                return
+        block = self.stack[-1][5]
+        if self.stack[block][0] == tag:
+            self.cut(block)
 
     def cut(self, k: int) -> None:
-        self.links -= sum(x[0] == "a" for x in self.stack[k:])
+        for x in reversed(self.stack[k:]):
+            self.open[x[0]].pop()
         del self.stack[k:]
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self.flush()
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k][0] == tag:
-                self.cut(k)
-                return
-            if tag not in BLOCKS and self.stack[k][0] in BLOCKS:
-                return  # an inline end tag closes nothing beyond its block
+        places = self.open.get(tag)
+        # an inline end tag closes nothing beyond its block
+        if places and (tag in BLOCKS or places[-1] > self.stack[-1][5]):
+            self.cut(places[-1])
 
     def handle_data(self, data: str) -> None:
         if not self.stack[-1][1]:
             self.parts.append(data)
-            if self.links:
+            if self.open.get("a"):
                 self.linked += len(data)
 
 
 def read(html: str | None) -> list[tuple[str, float, str, int, int]]:
     r = Reader()
     text = html or ""
-    cut = text.rfind("<")
-    if cut >= 0 and ">" not in text[cut:] and re.match(r"</?[A-Za-z!]", text[cut:]):
-        text = text[:cut]  # an unfinished tag at the end
+    # an unfinished tag or comment at the end goes with all after it
+    last = text.rfind(">") + 1
+    if m := UNFINISHED.search(text, last):
+        text = text[: m.start()]
+    if (at := text.rfind("<!--")) >= 0 and "-->" not in text[at:] and "--!>" not in text[at:]:
+        text = text[: text.index("<!--", max(text.rfind("-->", 0, at), text.rfind("--!>", 0, at), 0))]
     r.feed(text)
     r.close()
     r.flush()

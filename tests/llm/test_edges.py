@@ -69,6 +69,41 @@ def test_class_names():
         assert extraction.main_text(page.format(body), costs) == text, page
 
 
+def test_class_names_are_no_verdict():
+    costs = dict(extraction.PRIOR)
+    body = "<p>A long paragraph of the article, with many words in it, that ends with a stop as such texts do.</p>"
+    text = extraction.main_text(body, costs)
+    pages = ('<div class="site has-sidebar">{}</div>', '<div class="page no-sidebar"><article>{}</article></div>', '<div id="content-with-header"><article>{}</article></div>', '<div class="post comments-open">{}</div>', '<div id="content-with-header">{}</div>')
+    for page in pages:
+        assert extraction.main_text(page.format(body), costs) == text, page
+    lead = "Readers who follow the river upstream find the old mill, long since closed."
+    assert extraction.main_text(f'<article><p class="lead related">{lead}</p>{body}</article>', costs) == f"{lead} {text}"
+    assert extraction.main_text(f'<article>{body}<div class="ad">{lead}</div></article>', costs) == text
+
+
+def test_pages_without_article():
+    costs, long = dict(extraction.PRIOR), "A sentence that goes on for some length, with commas, and ends with a stop. " * 3
+    menu = "".join(f"<li><a href=/{k}>Part {k}</a></li>" for k in range(6))
+    page = f"<body><div><ul>{menu}</ul></div><div><h2>Some head line</h2><p>{long}</p><p>{long}</p><p>A short one.</p><p>{long}</p></div><div><a href=/a>About us</a> <a href=/b>Imprint</a></div></body>"
+    want = " ".join(["Some head line", long.strip(), long.strip(), "A short one.", long.strip()])
+    assert extraction.main_text(page, costs) == want
+
+
+@pytest.mark.parametrize("n", [100_000])
+def test_deep_and_long_pages(n):
+    import time
+
+    costs, body = dict(extraction.PRIOR), "<p>A long paragraph of the article, with many words in it, that ends with a stop as such texts do.</p>"
+    text = extraction.main_text(body, costs)
+    began = time.process_time()
+    assert extraction.main_text("<div>" * n + body + "</div>" * n, costs) == text
+    assert extraction.main_text("<b>" * n + "</i>" * n + body, costs) == text
+    assert extraction.main_text("<div>" * n + body, costs) == text
+    assert extraction.main_text(body * (n // 5), costs) == " ".join([text] * (n // 5))
+    assert extraction.main_text(body + "<a " * n, costs) == text and extraction.main_text(body + "<!--" * n, costs) == text
+    assert time.process_time() - began < 60  # cost grows with the page, not with its square
+
+
 def test_scores(spark, docs):
     out = ppm.score(docs, model_rows=10**6, head_rows=3)
     same_columns(out, docs, ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"], ["text"])
@@ -166,6 +201,27 @@ def test_bpe_random():
     assert [x.tolist() for x in m.encode(texts)] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_bpe_forgets():
+    from itertools import accumulate
+
+    import numpy as np
+
+    t, m = Tokenizer.from_file(PATH), bpe.Merger(bpe.load(PATH))
+    m.pieces = bpe.Remembered(300)
+    alphabet = "ab etlsAZ09'  \n\t.,!é日\u3000\x85ſ\U0001f600\0"
+    for _ in range(4):
+        texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(500)] + ["".join(rng.choice("abehtino") for _ in range(n)) for n in (7, 8, 9, 15, 16, 17, 63, 64, 65)]
+        texts += ["", "a<|endoftext|>", "<|endoftext|><|endoftext|> b", "<|endoftext|>", "it's we'd o'll 'sx ''s"]
+        got = [x.tolist() for x in m.encode(texts)]
+        assert got == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+        ends = [0, *accumulate(map(len, got))]
+        shown = bpe.Vocabulary(bpe.load(PATH)["raw"]).texts(np.concatenate(m.encode(texts)), np.array(ends))
+        assert list(shown) == [t.decode(x, skip_special_tokens=False) for x in got]
+    assert len(m.pieces.size) < 3000
+    m.pieces.trim()
+    assert len(m.pieces.size) <= 150
+
+
 def test_audio(spark, docs):
     rows = docs.select("doc_id", "_key", F.col("text").cast("binary").alias("payload"), F.element_at(F.array(F.lit(7), F.lit(6), F.lit(17)), (F.crc32("text") % 3 + 1).cast("int")).alias("codec_in"))
     heard = audio.decode(audio.store(rows, kind="codec_in"))
