@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, unpacked
+from .common import WORD, stored, unpacked
 
 #: Copies are counted in units of one thousand-millionth, so that sums are exact and reruns agree.
 UNIT = 1_000_000_000
@@ -62,7 +62,7 @@ def mix(docs: DataFrame, size: Column | None = None, *, source: str = "source",
     # the position of the highest bit, then the three highest bits: a class grows with the size
     rows = keyed.select("*", (bits * 8 + F.expr("shiftright(_size, greatest(length(bin(_size)) - 3, 0))")).cast("long").alias("_class"), F.substring("_md5", 1, 2).alias("_slice"))
     slot = ["_null", "_source", "_class", "_slice"]
-    slots = materialize(rows.groupBy(*slot).agg(F.count("*").alias("_n"), F.sum("_size").alias("_words")))
+    slots = stored(rows.groupBy(*slot).agg(F.count("*").alias("_n"), F.sum("_size").alias("_words")))
     sources = targets(slots.groupBy("_null", "_source").agg(F.sum("_words").alias("source_size")), weights, cap)
     before = W.partitionBy("_null", "_source").orderBy("_class", "_slice").rowsBetween(W.unboundedPreceding, -1)
     start = F.coalesce(F.sum("_n").over(before), F.lit(0))
