@@ -11,14 +11,14 @@ blocks are pairs of least digests of the shingles, which such texts share in at
 million. Within a block every fingerprint is compared with every other. What is within the radius is only a candidate: the
 sets of shingles of each group of candidates meet again, and pairs are linked whose Jaccard similarity, counted out, suffices.
 
-A block is cut into tiles; pairs of tiles are compared in full with exclusive-or and bit counts, but for parts whose bit
-totals cannot be within the radius. A pair of tiles returns a spanning star for each group it connects, and the stars are
-joined over the corpus.
+A block is cut into tiles by bit total; pairs of tiles are compared in full with exclusive-or and bit counts. Two tiles whose
+bit totals differ by more than the radius are never dealt to a task, and within a pair parts that far apart are skipped. A pair
+of tiles returns a spanning star for each group it connects, and the stars are joined over the corpus.
 
 Scale: blocks have 2^32 keys and more each, so a block stays small while the corpus grows; one that does not (a large group
 of near copies) is spread over its pairs of tiles of at most about ``tile`` fingerprints. No task holds more than two tiles.
 Groups of candidates are cut in the same way, by members and by shingles, and only their members' texts are dealt.
-Links, components and fingerprints stay in DataFrames.
+Links, components and fingerprints stay in DataFrames. A fingerprint that many rows carry meets them in several places.
 
 Edge cases: null and empty texts have fingerprint zero and link like any other; a text with fewer words than a shingle is one
 shingle; repeated rows and repeated ids link through their fingerprint; the component of rows without any id is null; an
@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored, unpacked
+from .common import joined_back, stored, unpacked
 
 SEED = 42
 #: Digests handled at once.
@@ -48,6 +48,8 @@ PART = 65536
 SALTS = 32
 #: Shingles in a tile of candidates, about.
 SHINGLES = 1 << 20
+#: Tiles are numbered from so many times the bit total of their members.
+TILES = 1 << 32
 #: Words of 64 bits in a fingerprint of a set of shingles.
 WORDS = 4
 QUARTERS = (0xFFFF, 0xFFFF << 16, 0xFFFF << 32, 0xFFFF << 48)
@@ -194,25 +196,46 @@ def quarters(fps: DataFrame) -> DataFrame:
     return fps.select("fp", value.alias("_value"), F.posexplode(mask).alias("_block", "_mask")).select("fp", "_block", F.col("_value").bitwiseAND(F.col("_mask")).alias("_key"))
 
 
-def links(blocks: DataFrame, radius: int, tile: int = 1024) -> DataFrame:
-    """blocks: fp, _block, _key, distinct. Edges (a, b): within their blocks, stars over all groups linked by the radius."""
-    # only blocks with two members have pairs; the number of tiles comes from the number of members
-    sizes = blocks.groupBy("_block", "_key").agg(F.count("*").alias("_n")).filter("_n > 1")
-    member = blocks.join(sizes, ["_block", "_key"]).select("fp", "_block", "_key", F.ceil(F.col("_n") / tile).cast("int").alias("_tiles"))
+def bit_total(fp: str, words: int) -> Column:
+    """Set bits among the first words of 64 bits of fp (binary)."""
+    return sum((F.bit_count(F.conv(F.substring(F.hex(fp), 16 * k + 1, 16), 16, -10).cast("long")) for k in range(words)), F.lit(0)).cast("int")
+
+
+def links(blocks: DataFrame, radius: int, tile: int = 1024, words: int = 1) -> DataFrame:
+    """blocks: fp, _block, _key, distinct. Edges (a, b): within their blocks, stars over all groups linked by the radius.
+
+    A block of up to ``tile`` members is one tile. In a larger one each bit total has its own tiles, and only those whose
+    totals are within the radius of each other meet.
+    """
+    # only blocks with two members have pairs; a block has at most one entry in _parts for each bit total
+    counted = blocks.select("*", bit_total("fp", words).alias("_total"))
+    parts = counted.groupBy("_block", "_key", "_total").agg(F.count("*").alias("_n"))
+    part = F.struct("_total", F.ceil(F.col("_n") / tile).cast("int").alias("_tiles"))
+    sizes = parts.groupBy("_block", "_key").agg(F.sum("_n").alias("_n"), F.collect_list(part).alias("_parts")).filter("_n > 1")
+    sizes = sizes.select("_block", "_key", F.when(F.col("_n") > tile, F.col("_parts")).alias("_parts"))
+    place = lambda total, k: total * F.lit(TILES) + k
+    own = F.filter("_parts", lambda p: p["_total"] == F.col("_total"))[0]["_tiles"]
+    near = F.filter("_parts", lambda p: F.abs(p["_total"] - F.col("_total")) <= radius)
+    others = F.flatten(F.transform(near, lambda p: F.transform(F.sequence(F.lit(0), p["_tiles"] - 1), lambda k: place(p["_total"].cast("long"), k))))
+    one = F.lit(0).cast("long")
+    member = counted.join(sizes, ["_block", "_key"]).select(
+        "fp", "_block", "_key", F.coalesce(place(F.col("_total").cast("long"), F.pmod(F.xxhash64("fp"), own)), one).alias("_tile"), F.coalesce(others, F.array(one)).alias("_others"),
+    )
     return tiled(member, ["_block", "_key"], radius)
 
 
 def verified(members: DataFrame, radius: int, similarity: float, size: int) -> DataFrame:
     """members: fp, label, _text, _tiles, distinct. Edges (a, b): stars over all within a label whose shingle sets are at
     least so similar."""
-    schema = members.select("fp", "label", "_tiles", F.lit(b"").alias("_set")).schema
+    placed = members.select("fp", "label", F.pmod(F.xxhash64("fp"), "_tiles").alias("_tile"), F.sequence(F.lit(0).cast("long"), F.col("_tiles").cast("long") - 1).alias("_others"), "_text")
+    schema = placed.select("fp", "label", "_tile", "_others", F.lit(b"").alias("_set")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [np.unique(digests(t.as_py(), size)).tobytes() for t in b.column("_text")]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in schema.names[:-1]], pa.array(sets, pa.binary())], names=schema.names)
 
-    return tiled(members.select("fp", "label", "_tiles", "_text").mapInArrow(run, schema), ["label"], radius, similarity)
+    return tiled(placed.mapInArrow(run, schema), ["label"], radius, similarity)
 
 
 def similar(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
@@ -237,11 +260,10 @@ def similar(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, similarity: fl
 
 
 def tiled(member: DataFrame, block: list[str], radius: int, similarity: float | None = None) -> DataFrame:
-    """member: fp, the columns of its block, _tiles and, for a similarity, _set. Edges (a, b) between members of a block."""
+    """member: fp, the columns of its block, _tile, _others (the tiles that it meets, its own too) and, for a similarity, _set.
+    Edges (a, b) between members of a block."""
     value = F.struct("fp", "_set") if similarity is not None else F.col("fp")
-    placed = member.select(value.alias("_value"), *block, "_tiles", F.pmod(F.xxhash64("fp"), "_tiles").cast("int").alias("_tile"))
-    other = F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)).alias("_other")
-    dealt = placed.select("_value", *block, "_tile", other).select("_value", *block, "_tile", F.least("_tile", "_other").alias("_i"), F.greatest("_tile", "_other").alias("_j"))
+    dealt = member.select(value.alias("_value"), *block, "_tile", F.explode("_others").alias("_other")).select("_value", *block, "_tile", F.least("_tile", "_other").alias("_i"), F.greatest("_tile", "_other").alias("_j"))
     pairs = dealt.groupBy(*block, "_i", "_j").agg(F.collect_list(F.when(F.col("_tile") == F.col("_i"), F.col("_value"))).alias("left"), F.collect_list(F.when(F.col("_tile") != F.col("_i"), F.col("_value"))).alias("right")).select("left", "right")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,13 +340,13 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in columns]).alias("_row"), docs[key].alias("_id"), docs[text].alias("_text"))
     marked = stored(fingerprints(rows, "_text", size, similarity is not None))
     if similarity is None:
-        distinct = stored(marked.groupBy(F.col("_fp").alias("fp")).agg(F.min("_id").alias("_least")))
+        distinct = stored(marked.groupBy(F.col("_fp").alias("fp")).agg(F.min("_id").alias("_least"), F.count("*").alias("_n")))
         edges = links(quarters(distinct.select("fp")), 2, tile)
     else:
-        distinct = stored(marked.groupBy(F.col("_fp").alias("fp")).agg(F.min("_id").alias("_least"), F.min("_at").alias("_at"), F.min("_shingles").alias("_shingles")))
+        distinct = stored(marked.groupBy(F.col("_fp").alias("fp")).agg(F.min("_id").alias("_least"), F.count("*").alias("_n"), F.min("_at").alias("_at"), F.min("_shingles").alias("_shingles")))
         blocks = marked.select(F.col("_fp").alias("fp"), F.posexplode("_keys").alias("_block", "_key")).distinct()
         radius = radius_of(similarity, 64 * WORDS)
-        candidates = components(links(blocks, radius, tile))
+        candidates = components(links(blocks, radius, tile, WORDS))
         groups = candidates.join(distinct, candidates["node"] == distinct["fp"]).select("node", "label", "_at", "_shingles")
         tiles = F.ceil(F.greatest(F.count("*") / tile, F.sum("_shingles") / SHINGLES, F.lit(1))).cast("int")
         members = beside(groups, groups.groupBy("label").agg(tiles.alias("_tiles")))
@@ -335,4 +357,5 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     reach = beside(groups, groups.groupBy("label").agg(F.min("_least").alias("_reach"))).select(F.col("node").alias("fp"), "_reach")
     final = distinct.join(reach, "fp", "left").select(F.col("fp").alias("_fp"), F.coalesce("_reach", "_least").alias("_component"))
     shown = F.substring(F.lower(F.hex("_fp")), 1, 16 * (1 if similarity is None else WORDS))
-    return unpacked(marked.select("_row", "_fp").join(final, "_fp"), columns, {"fingerprint": shown, "component_id": F.col("_component")})
+    back = joined_back(marked.select("_row", "_fp"), final, "_fp", distinct.select(F.col("fp").alias("_fp"), "_n"))
+    return unpacked(back, columns, {"fingerprint": shown, "component_id": F.col("_component")})
