@@ -41,11 +41,13 @@ LOW_SIGNAL = [
 
 
 def low_signal() -> Column:
+    """One pattern for all titles; those of a source alone are tried on its own titles only."""
     title = blank_to("title_original", "")
-    out = ~visible() | (title == F.coalesce("url", F.lit(""))) | title.ilike("http%")
+    every = "|".join(f"(?:{p})" for source, p in LOW_SIGNAL if source is None)
+    out = ~visible() | (title == F.coalesce("url", F.lit(""))) | title.ilike("http%") | title.rlike(f"(?i){every}")
     for source, pattern in LOW_SIGNAL:
-        found = title.rlike(f"(?i){pattern}")
-        out = out | (found if source is None else F.coalesce(F.col("source").rlike(f"(?i){source}"), F.lit(False)) & found)
+        if source is not None:
+            out = out | F.coalesce(F.col("source").ilike(f"%{source}%"), F.lit(False)) & title.rlike(f"(?i){pattern}")
     return out
 
 

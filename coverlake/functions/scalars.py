@@ -91,12 +91,6 @@ def stable_bucket(text: Column, n: int) -> Column:
     return F.pmod(fnv1a(text), F.lit(n))
 
 
-def url_tokens(url: Column, stop: list[str]) -> Column:
-    """Words of the path, with neither digits alone nor stop words."""
-    words = F.split(F.lower(path(url)), r"[^\p{L}\p{N}]+")
-    return F.array_distinct(F.filter(words, lambda x: (F.length(x) >= 3) & ~x.rlike("^[0-9]+$") & ~x.isin(stop)))
-
-
 def page_title(html: Column) -> Column:
     """og:title, else the title element."""
     og = F.regexp_extract(html, r"""(?is)<meta[^>]+property=["']og:title["'][^>]+content=["']([^"']*)["']""", 1)

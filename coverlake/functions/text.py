@@ -7,7 +7,7 @@ import re
 import unicodedata
 from datetime import datetime, timezone
 from email.utils import parsedate_to_datetime
-from urllib.parse import parse_qsl, quote, unquote, urlencode, urlsplit, urlunsplit
+from urllib.parse import SplitResult, parse_qsl, quote, unquote, urlencode, urlsplit, urlunsplit
 from zoneinfo import ZoneInfo
 
 import pandas as pd
@@ -20,24 +20,31 @@ ZONES = {"BST": "+0100", "CET": "+0100", "CEST": "+0200", "EET": "+0200", "EEST"
 PORTS = {"https": 443, "http": 80}
 
 
+def split_url(text: str | None) -> SplitResult | None:
+    """The parts of an address; None if it is none that can be read."""
+    try:
+        u = urlsplit(text or "")
+        u.port  # noqa: B018  a wrong port shows only when asked for
+    except ValueError:
+        return None
+    return u
+
+
 def clean_url(link: str | None) -> str:
     """One form of an address: no fragment, tracking or default port; parameters sorted; search redirects unwrapped twice."""
     text = re.sub("&amp;", "&", (link or "").strip(), flags=re.I)
     for _ in range(2):
-        u = urlsplit(text)
-        if not ((u.hostname or "").endswith("bing.com") and "/news/apiclick.aspx" in u.path):
+        u = split_url(text)
+        if u is None or not ((u.hostname or "").endswith("bing.com") and "/news/apiclick.aspx" in u.path):
             break
         inner = dict(parse_qsl(u.query)).get("url")
         if not inner or inner == text:
             break
         text = inner
-    try:
-        u = urlsplit(text)
-        port = u.port
-    except ValueError:
-        return text.rstrip("/")
-    if not u.scheme or not u.hostname:
+    u = split_url(text)
+    if u is None or not u.scheme or not u.hostname:
         return text.rstrip("/")
+    port = u.port
     kept = sorted((k, v) for k, v in parse_qsl(u.query, keep_blank_values=True) if not k.lower().startswith("utm_") and k.lower() not in TRACKING)
     place = u.hostname + (f":{port}" if port and PORTS.get(u.scheme) != port else "")
     path = u.path.rstrip("/") if u.path not in ("", "/") else "/"
@@ -58,7 +65,8 @@ def feed_id(ids: pd.Series, links: pd.Series) -> pd.Series:
         if not text:
             return ""
         text = clean_url(text) if re.match("https?://", text, re.I) else " ".join(unicodedata.normalize("NFKC", text).split())[:512]
-        host = urlsplit(clean_url(link)).hostname if link else None
+        u = split_url(clean_url(link)) if link else None
+        host = u.hostname if u else None
         return f"feed:{host}:{text}" if host else f"feed:{text}"
 
     return pd.Series([one(v, x) for v, x in zip(ids, links, strict=True)])
@@ -86,21 +94,40 @@ def folded(values: pd.Series) -> pd.Series:
     return values.map(lambda v: "".join(c for c in unicodedata.normalize("NFKD", v or "") if not unicodedata.combining(c)).lower())
 
 
-DULL = re.compile(r"(?:19|20)\d{2}|\d+|a\d{6,}|(?:art|audio)[- ]?\d+|story\d{8}(?:[-_]\d+)?|[a-f0-9]{32}|cision[0-9a-z]+|catalog(?:\.aspx)?|index|news|article|story|video|world|home", re.I)
+#: Path words that name a part of a site, a kind of item, or who numbered it.
+PLACES = {"index", "news", "article", "story", "video", "world", "home", "catalog"}
+NUMBERED = {"art", "audio", "story", "nid", "id"}
+
+
+def slug_words(segment: str) -> list[str]:
+    """The words of a path segment, without its file ending and a number of the item at its end."""
+    name, dot, ending = unquote(segment).rpartition(".")
+    if not (dot and ending.isascii() and ending.isalnum() and 2 <= len(ending) <= 6):
+        name = unquote(segment)
+    words = name.replace("_", "-").split("-")
+    if len(words) > 1 and words[-1].lower().rstrip("0123456789") in ("id", "nid"):
+        words.pop()
+    return [x for w in words for x in w.split()]
+
+
+def tells(words: list[str]) -> bool:
+    """Whether words of a segment are more than numbers, codes and names of parts of a site."""
+    if len(words) == 1:
+        word = words[0].lower()
+        coded = any(c.isdigit() for c in word) or word.startswith("cision")
+        return not coded and word not in PLACES
+    return any(w.isalpha() and w.lower() not in NUMBERED for w in words)
 
 
 @F.pandas_udf(T.StringType())
 def title_from_link(links: pd.Series) -> pd.Series:
-    """Words of the last path segment that says something."""
+    """The words of the last path segment that tells something, as a sentence; empty without one."""
 
     def one(link: str | None) -> str:
-        for part in reversed([x for x in urlsplit(link or "").path.split("/") if x]):
-            words = re.sub(r"\.[a-z0-9]{2,6}$", "", unquote(part), flags=re.I)
-            words = re.sub(r"(?:^|[-_])(?:nid|id)\d+$", "", words, flags=re.I).strip()
-            if words and not DULL.fullmatch(words):
-                words = " ".join(re.sub("[-_]+", " ", words).split())
-                return words[:1].upper() + words[1:]
-        return ""
+        u = split_url(link)
+        told = (w for w in map(slug_words, reversed(u.path.split("/") if u else [])) if w and tells(w))
+        text = " ".join(next(told, []))
+        return text[:1].upper() + text[1:]
 
     return links.map(one)
 
@@ -112,7 +139,10 @@ def loose_moment(value: str | None) -> datetime | None:
         return None
     if re.fullmatch(r"-?\d{9,16}", text):
         n = int(text)
-        return datetime.fromtimestamp(n if abs(n) < 10**11 else n / 1000, timezone.utc)
+        try:
+            return datetime.fromtimestamp(n if abs(n) < 10**11 else n / 1000, timezone.utc)
+        except (ValueError, OverflowError, OSError):
+            return None
     if re.fullmatch(r"\d{4}-\d{2}-\d{2}", text):
         text += "T12:00:00Z"
     if m := re.fullmatch(r"(.*\s)([A-Z]{2,5})", text):
@@ -129,7 +159,10 @@ def loose_moment(value: str | None) -> datetime | None:
             out = out.replace(tzinfo=ZoneInfo(zone)) if zone else out if out.tzinfo else out.replace(tzinfo=timezone.utc)
         except (KeyError, ValueError, OSError):
             return None
-        return out.astimezone(timezone.utc)
+        try:
+            return out.astimezone(timezone.utc)
+        except OverflowError:  # at the ends of what a date can be
+            return None
     return None
 
 
@@ -158,7 +191,7 @@ def keyword_section(high: list = HIGH, medium: list = MEDIUM):
     return classify
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def dedupe_text(values: pd.Series) -> pd.Series:
     """Letters a-z and digits in lower case, without accents, and single spaces for all else."""
     plain = values.fillna("").str.normalize("NFKD").str.replace(r"[\u0300-\u036f]", "", regex=True)

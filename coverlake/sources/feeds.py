@@ -1,7 +1,7 @@
 """Landed feed documents to rows: RSS and Atom items, sitemap entries and page signals, by Column expressions.
 
-A document is one row (doc_id, body); items come out by exploding the blocks that a pattern finds, so each stage is a plain
-projection and Spark spreads it like any other.
+A document is one row (doc_id, body); items come out by splitting it at start tags and exploding the parts, so each stage is a
+plain projection and Spark spreads it like any other.
 """
 
 from __future__ import annotations
@@ -13,17 +13,44 @@ from pyspark.sql import functions as F
 from ..functions.scalars import date_in_url, host
 from ..functions.text import loose_date, plain_text, title_from_link
 
-ITEM = r"(?is)<(?:[\w.-]+:)?item\b[^>]*>(.*?)</(?:[\w.-]+:)?item>"
-ENTRY = r"(?is)<(?:[\w.-]+:)?entry\b[^>]*>(.*?)</(?:[\w.-]+:)?entry>"
-URL = r"(?is)<(?:[\w.-]+:)?url\b[^>]*>(.*?)</(?:[\w.-]+:)?url>"
-BROKEN_URL = r"(?is)<(?:[\w.-]+:)?url\b[^>]*>(.*?)(?=</(?:[\w.-]+:)?url>|<(?:[\w.-]+:)?url\b|$)"
 LD = r"""(?is)<script[^>]+type=["']application/ld\+json["'][^>]*>(.*?)</script>"""
+#: What an item should have; those it lacks are listed.
+WANTED = ["title", "link", "description", "published_at"]
+
+
+def opening(name: str) -> str:
+    """Start tags of this name, with or without a prefix."""
+    return rf"(?i)<(?:[a-z0-9_.-]+:)?{name}(?:\s[^>]*)?>"
+
+
+def closing(name: str) -> str:
+    return rf"(?i)</(?:[a-z0-9_.-]+:)?{name}\s*>"
+
+
+def elements(body: Column, name: str, closed: bool = True) -> Column:
+    """What stands in each element of this name: the text is split at its start tags, and each part ends at the first end tag.
+    Elements that are not closed end where the next begins, or are left out."""
+    parts = F.split(body, opening(name))
+    after = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+    if closed:
+        after = F.filter(after, lambda x: x.rlike(closing(name)))
+    return F.transform(after, lambda x: F.split(x, closing(name), 2)[0])
+
+
+def plain(inner: Column) -> Column:
+    """Without CDATA marks and tags."""
+    bare = F.regexp_replace(inner, r"<!\[CDATA\[|\]\]>", "")
+    return F.trim(F.regexp_replace(bare, r"<[^>]*>", " "))
 
 
 def tag(body: Column, name: str) -> Column:
-    """Text of the first such element, of any namespace, without CDATA marks and inner tags."""
-    raw = F.regexp_extract(body, rf"(?is)<(?:[\w.-]+:)?{name}\b[^>]*>(.*?)</(?:[\w.-]+:)?{name}>", 1)
-    return F.trim(F.regexp_replace(F.regexp_replace(raw, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1"), r"<[^>]*>", " "))
+    """Text of the first such element; empty without one."""
+    return F.coalesce(plain(F.get(elements(body, name), 0)), F.lit(""))
+
+
+def attribute(body: Column, name: str, key: str) -> Column:
+    """The quoted value of an attribute of the first such start tag that has it; empty without one."""
+    return F.regexp_extract(body, rf"""(?i)<{name}\s(?:[^>]*?\s)?{key}\s*=\s*["']([^"']+)["']""", 1)
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
@@ -35,23 +62,27 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
 
 
 def feed_items(documents: DataFrame, limit: int = 10) -> DataFrame:
-    """Items of RSS feeds, or entries of Atom feeds where there are none; the limit comes before the validity flags."""
-    items, entries = F.regexp_extract_all("body", F.lit(ITEM), F.lit(1)), F.regexp_extract_all("body", F.lit(ENTRY), F.lit(1))
-    blocks = documents.select("doc_id", items.alias("items"), entries.alias("entries")).select("doc_id", (F.size("items") > 0).alias("rss"), F.posexplode(F.slice(F.when(F.size("items") > 0, F.col("items")).otherwise(F.col("entries")), 1, limit)).alias("at", "body"))
-    href = F.regexp_extract("body", r"""(?is)<link[^>]+href=["']([^"']+)["']""", 1)
-    link = F.when(F.col("rss"), tag(F.col("body"), "link")).otherwise(href)
+    """Items of RSS feeds, or entries of Atom feeds where there are none; the limit comes before what is wanted of them."""
+    found = documents.select("doc_id", elements(F.col("body"), "item").alias("items"), elements(F.col("body"), "entry").alias("entries"))
+    rss = F.size("items") > 0
+    blocks = found.select("doc_id", rss.alias("rss"), F.posexplode(F.slice(F.when(rss, F.col("items")).otherwise(F.col("entries")), 1, limit)).alias("at", "body"))
     body = F.col("body")
     first = lambda *names: F.coalesce(*[F.nullif(tag(body, n), F.lit("")) for n in names])
-    rows = blocks.select("doc_id", "at", F.when(link.startswith("//"), F.concat(F.lit("https:"), link)).otherwise(link).alias("link"), plain_text(tag(body, "title")).alias("title"), plain_text(F.coalesce(first("description", "summary", "content"), F.lit(""))).alias("description"), first("pubDate", "published", "updated", "date").alias("date"), first("guid", "id").alias("feed_id"), F.regexp_extract_all("body", F.lit(r"(?is)<category\b[^>]*>(.*?)</category>"), F.lit(1)).alias("categories"))
-    published = F.coalesce(loose_date("date"), date_in_url(F.col("link")).cast("timestamp"))
-    rows = rows.withColumn("published_at", published).drop("date")
-    return rows.select("*", (F.col("title") == "").alias("missing_title"), (F.col("link") == "").alias("missing_link"), (F.col("description") == "").alias("missing_summary"), F.col("published_at").isNull().alias("missing_published_at"))
+    link = F.when(F.col("rss"), tag(body, "link")).otherwise(attribute(body, "link", "href"))
+    rows = blocks.select(
+        "doc_id", "at", F.when(link.startswith("//"), F.concat(F.lit("https:"), link)).otherwise(link).alias("link"), plain_text(tag(body, "title")).alias("title"),
+        plain_text(F.coalesce(first("description", "summary", "content"), F.lit(""))).alias("description"),
+        first("pubDate", "published", "updated", "date").alias("_date"), first("guid", "id").alias("feed_id"), F.transform(elements(body, "category"), plain).alias("categories"),
+    )
+    dated = rows.withColumn("published_at", F.coalesce(loose_date("_date"), date_in_url(F.col("link")).cast("timestamp"))).drop("_date")
+    lacks = [F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) == "", F.lit(c)) for c in WANTED]
+    return dated.withColumn("missing", F.array_compact(F.array(*lacks)))
 
 
 def sitemap_entries(documents: DataFrame, limit: int = 12) -> DataFrame:
     """Entries of sitemaps (doc_id, body, base_url), newest first, undated last; other hosts' entries go."""
-    strict, loose = F.regexp_extract_all("body", F.lit(URL), F.lit(1)), F.regexp_extract_all("body", F.lit(BROKEN_URL), F.lit(1))
-    blocks = documents.select("doc_id", "base_url", strict.alias("s"), loose.alias("l")).select("doc_id", "base_url", F.posexplode(F.when(F.size("s") > 0, F.col("s")).otherwise(F.col("l"))).alias("at", "body"))
+    found = documents.select("doc_id", "base_url", elements(F.col("body"), "url").alias("closed"), elements(F.col("body"), "url", closed=False).alias("all"))
+    blocks = found.select("doc_id", "base_url", F.posexplode(F.when(F.size("closed") > 0, F.col("closed")).otherwise(F.col("all"))).alias("at", "body"))
     body = F.col("body")
     rows = blocks.select("doc_id", "base_url", "at", plain_text(tag(body, "loc")).alias("link"), plain_text(tag(body, "title")).alias("_title"), F.coalesce(F.nullif(tag(body, "publication_date"), F.lit("")), F.nullif(tag(body, "lastmod"), F.lit(""))).alias("_date"))
     a, b = host(F.col("link")), host(F.col("base_url"))
@@ -64,7 +95,7 @@ def sitemap_entries(documents: DataFrame, limit: int = 12) -> DataFrame:
 
 def sitemap_children(documents: DataFrame) -> DataFrame:
     """Children of sitemap indexes with a score: news first, utility pages last; what scores above 0, else all."""
-    blocks = documents.select("doc_id", F.posexplode(F.regexp_extract_all("body", F.lit(r"(?is)<(?:[\w.-]+:)?sitemap\b[^>]*>(.*?)</(?:[\w.-]+:)?sitemap>"), F.lit(1))).alias("at", "body"))
+    blocks = documents.select("doc_id", F.posexplode(elements(F.col("body"), "sitemap")).alias("at", "body"))
     rows = blocks.select("doc_id", "at", tag(F.col("body"), "loc").alias("loc"), tag(F.col("body"), "lastmod").alias("lastmod"))
     low = F.lower("loc")
     score = F.when(low.rlike("news"), 600).otherwise(0) + F.when(low.rlike("video"), 520).otherwise(0) + F.when(low.rlike("post|article|content|story"), 180).otherwise(0) - F.when(low.rlike("tag|author|category|page|image"), 420).otherwise(0)

@@ -42,6 +42,19 @@ def test_title_from_link(spark):
     assert values(spark, text.title_from_link, ["https://e.org/news/big-storm_hits.html", "https://e.org/2024/05/12", "https://e.org/a-b-id123"]) == ["Big storm hits", "", "A b"]
 
 
+def test_bad_addresses_and_dates(spark):
+    bad = ["http://[bad/x", "https://e.org:99x99/a-story-here", None, ""]
+    assert values(spark, text.normalize_url, bad) == ["http://[bad/x", "https://e.org:99x99/a-story-here", "", ""]
+    assert values(spark, text.title_from_link, bad) == ["", "", "", ""]
+    assert values(spark, text.feed_id, ["x"] * 2, bad[:2]) == ["feed:x", "feed:x"]
+    assert [text.loose_moment(x) for x in ("9999999999999999", "-9999999999999999", "0001-01-01T00:00:00+14:00")] == [None] * 3
+
+
+def test_telling_segments(spark):
+    links = {"news/index.html": "", "art-12345": "", "story20240101-2": "", "0123456789abcdef0123456789abcdef": "", "cisionabc": "", "catalog.aspx": "", "a1234567": "", "mayor_resigns": "Mayor resigns", "mayor": "Mayor", "storm-nid77": "Storm", "2024-budget": "2024 budget"}
+    assert values(spark, text.title_from_link, [f"https://e.org/{x}" for x in links]) == list(links.values())
+
+
 def test_loose_date():
     at = lambda *x: datetime.datetime(*x, tzinfo=datetime.timezone.utc)
     for raw, want in {

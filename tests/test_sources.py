@@ -16,7 +16,7 @@ def test_feeds(spark):
     rows = feeds.feed_items(spark.createDataFrame([(1, RSS), (2, ATOM), (3, ""), (4, None)], "doc_id long, body string"), 2).orderBy("doc_id", "at").collect()
     assert [(r["doc_id"], r["title"], r["link"]) for r in rows] == [(1, "One & only", "https://e.org/1"), (1, "", "https://e.org/2024/01/05/x"), (2, "A", "https://e.org/a")]
     assert rows[0]["categories"] == ["A", "B"] and rows[0]["feed_id"] == "g1"
-    assert rows[1]["missing_title"] and rows[1]["published_at"] == datetime.datetime(2024, 1, 5)
+    assert rows[0]["missing"] == [] and rows[1]["missing"] == ["title", "description"] and rows[1]["published_at"] == datetime.datetime(2024, 1, 5)
     assert rows[2]["published_at"] == datetime.datetime(2024, 1, 3)
 
 
