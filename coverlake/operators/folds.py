@@ -1,36 +1,58 @@
-"""Order-dependent operators: folds over sorted batches, and grouped pandas functions over keys whose groups are small by
-nature."""
+"""Order-dependent operators: folds over sorted batches and over what grouping leaves of a group."""
 
 from __future__ import annotations
 
+import heapq
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Fixed values of the circuit breaker: failures in a row and days.
 POLICY = {"temporary_after": 2, "temporary_days": 7, "permanent_404_after": 3, "permanent_days": 30}
+DAY = 86_400_000_000
 
 
 def greedy_order(titles: DataFrame) -> DataFrame:
     """(network, source, title): the order in which sources add most titles that no earlier source of the network has.
 
     Of equal additions the source with more titles goes first, then the first by name.
+
+    All that matters of a title is which sources have it. Spark brings titles together, then counts them by that set of
+    sources; the greedy rounds, which depend on each other, run on these counts only.
     """
+    of_title = titles.filter("source is not null").groupBy("network", "title").agg(F.array_sort(F.collect_set("source")).alias("sources"))
+    counts = of_title.groupBy("network", "sources").agg(F.count("*").alias("n"))
 
     def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets = {s: set(g) for s, g in pdf.groupby("source")["title"]}
-        seen: set[str] = set()
-        out = []
-        while sets:
-            best = min(sets, key=lambda s: (-len(sets[s] - seen), -len(sets[s]), s))
-            out.append((pdf["network"].iloc[0], best, len(out) + 1, len(sets[best] - seen), len(sets[best] & seen)))
-            seen |= sets.pop(best)
+        lift, total, held = defaultdict(int), defaultdict(int), defaultdict(list)
+        sets = list(zip(pdf["sources"], pdf["n"].tolist(), strict=True))
+        for k, (own, n) in enumerate(sets):
+            for s in own:
+                lift[s] += n
+                total[s] += n
+                held[s].append(k)
+        heap = [(-n, -n, s) for s, n in lift.items()]
+        heapq.heapify(heap)
+        covered, out = [False] * len(sets), []
+        while heap:
+            gain, n, best = heapq.heappop(heap)
+            if -gain != lift[best]:  # it fell since; lifts only fall
+                heapq.heappush(heap, (-lift[best], n, best))
+                continue
+            out.append((pdf["network"].iloc[0], best, len(out) + 1, -gain, gain - n))
+            for k in held[best]:
+                if not covered[k]:
+                    covered[k] = True
+                    for s in sets[k][0]:
+                        lift[s] -= sets[k][1]
         return pd.DataFrame(out, columns=["network", "source", "rank", "lift", "duplicates"])
 
-    return titles.distinct().groupBy("network").applyInPandas(order, "network string, source string, rank long, lift long, duplicates long")
+    return counts.groupBy("network").applyInPandas(order, "network string, source string, rank long, lift long, duplicates long")
 
 
 def syndication_clusters(items: DataFrame, hours: int = 36) -> DataFrame:
@@ -68,32 +90,55 @@ def syndication_clusters(items: DataFrame, hours: int = 36) -> DataFrame:
     return out.unionByName(items.filter(~clustered).select(*key, "external_id", F.lit(None).cast("long").alias("cluster"), F.lit(1).cast("long").alias("size")))
 
 
-def next_state(state: tuple, ok: bool, kind: str | None, reason: str | None) -> tuple:
-    """One step of the breaker: (status, reason, failures) after an attempt."""
-    status, why, failures = state
+def next_state(state: tuple, at: int, ok: bool, kind: str | None, reason: str | None, duplicate: bool = False) -> tuple:
+    """One step of the breaker: (status, reason, failures, disabled_until, disabled_since) after an attempt; times in
+    microseconds. duplicate: another endpoint of the source works."""
+    status, why, failures, until, since = state
     if ok:
-        return "active", None, 0
+        return "active", None, 0, None, None
     failures += 1
-    if kind == "permanent" or reason == "http_404" and failures >= POLICY["permanent_404_after"]:
-        return "disabled_permanent", reason, failures
+    if kind == "permanent" or reason == "http_404" and (duplicate or failures >= POLICY["permanent_404_after"]):
+        return "disabled_permanent", reason, failures, at + POLICY["permanent_days"] * DAY, since if since is not None else at
     if kind == "temporary" and failures >= POLICY["temporary_after"]:
-        return "disabled_temporary", reason, failures
-    return status, None if status == "active" else why, failures
+        return "disabled_temporary", reason, failures, at + POLICY["temporary_days"] * DAY, since if since is not None else at
+    if status == "active":
+        return status, None, failures, until, since
+    if kind is None and (until is None or until <= at):  # it is checked again and still fails
+        until = at + POLICY["temporary_days" if status == "disabled_temporary" else "permanent_days"] * DAY
+    return status, why, failures, until, since
 
 
 def breaker_states(attempts: DataFrame) -> DataFrame:
-    """(outlet_id, ran_at, id, ok, failure struct): the breaker's state of each outlet after all its attempts in order.
+    """(outlet_id, ran_at, id, ok, failure struct, duplicate): the breaker's state of each outlet after all its attempts.
 
-    Only what follows an outlet's last success matters, so earlier attempts go before the fold.
+    Only the failures after an outlet's last success matter. What decides is known from windows over these: the last failure
+    that disables gives status and reason, the first that does gives disabled_since. Only refreshed dates depend on each other:
+    between failures that disable, those that tell nothing move the date whenever it has passed, in a fold over their times.
     """
+    order = W.partitionBy("outlet_id").orderBy("ran_at", "id")
     last = attempts.filter("ok").groupBy("outlet_id").agg(F.max(F.struct("ran_at", "id")).alias("_last"))
-    tail = attempts.join(last, "outlet_id", "left").filter(F.col("_last").isNull() | (F.struct("ran_at", "id") >= F.col("_last")))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        state = ("active", None, 0)
-        for r in pdf.sort_values(["ran_at", "id"]).itertuples():
-            state = next_state(state, r.ok, r.kind, r.reason)
-        return pd.DataFrame([(pdf["outlet_id"].iloc[0], *state)], columns=["outlet_id", "status", "reason", "failures"])
-
-    rows = tail.select("outlet_id", "ran_at", "id", "ok", F.col("failure.kind").alias("kind"), F.col("failure.reason").alias("reason"))
-    return rows.groupBy("outlet_id").applyInPandas(fold, "outlet_id string, status string, reason string, failures long")
+    now = F.struct("ran_at", "id")
+    failed = attempts.join(last, "outlet_id", "left").filter(~F.col("ok") & (F.col("_last").isNull() | (now > F.col("_last"))))
+    rows = failed.select("outlet_id", "ran_at", "id", F.col("failure.kind").alias("kind"), F.col("failure.reason").alias("reason"), F.coalesce("duplicate", F.lit(False)).alias("duplicate"), F.row_number().over(order).alias("_k"))
+    permanent = (F.col("kind") == "permanent") | (F.col("reason") == "http_404") & (F.col("duplicate") | (F.col("_k") >= POLICY["permanent_404_after"]))
+    status = F.when(permanent, "disabled_permanent").when((F.col("kind") == "temporary") & (F.col("_k") >= POLICY["temporary_after"]), "disabled_temporary")
+    rows = rows.withColumn("_status", status).withColumn("_at", F.unix_micros(F.col("ran_at").cast("timestamp")))
+    disables = F.col("_status").isNotNull()
+    group = rows.withColumn("_from", F.max(F.when(disables, F.col("_k"))).over(order))
+    ends = group.groupBy("outlet_id").agg(F.max("_k").cast("long").alias("failures"), F.max("_from").alias("_from"), F.min(F.when(disables, F.col("ran_at"))).alias("disabled_since"))
+    later = group.join(ends.select("outlet_id", F.col("_from").alias("_end")), "outlet_id").filter(F.col("_from") == F.col("_end"))
+    state = later.groupBy("outlet_id").agg(
+        F.max(F.when(disables, F.col("_status"))).alias("status"), F.max(F.when(disables, F.col("reason"))).alias("reason"), F.max(F.when(disables, F.col("_at"))).alias("_start"),
+        F.array_sort(F.collect_list(F.when(~disables & F.col("kind").isNull(), F.col("_at")))).alias("_checks"),
+    )
+    days = F.when(F.col("status") == "disabled_temporary", POLICY["temporary_days"]).otherwise(POLICY["permanent_days"]) * F.lit(DAY)
+    moved = F.aggregate("_checks", F.col("_start") + F.col("_days"), lambda until, t: F.when(until <= t, t + F.col("_days")).otherwise(until))
+    dated = state.withColumn("_days", days).select("outlet_id", "status", "reason", as_time(moved).alias("disabled_until"))
+    none = F.lit(None)
+    well = last.join(failed.select("outlet_id").distinct(), "outlet_id", "left_anti").select("outlet_id", F.lit("active").alias("status"), none.cast("string").alias("reason"), F.lit(0).cast("long").alias("failures"), none.cast("timestamp_ntz").alias("disabled_until"), none.cast("timestamp_ntz").alias("disabled_since"))
+    bad = ends.join(dated, "outlet_id", "left").select("outlet_id", F.coalesce("status", F.lit("active")).alias("status"), "reason", "failures", "disabled_until", F.col("disabled_since").cast("timestamp_ntz").alias("disabled_since"))
+    return bad.unionByName(well)
+
+
+def as_time(micros: Column) -> Column:
+    return F.timestamp_micros(micros).cast("timestamp_ntz")

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.exprs import blank_to
+from ..functions.scalars import sanitized, truncated
 
 NONE = "array<string>"
 
@@ -109,7 +110,7 @@ def quarantine(existing: DataFrame, candidates: DataFrame) -> DataFrame:
 def prefer_items(items: DataFrame) -> DataFrame:
     """One item per feed id or address: the newer, then the better score; lists united.
 
-    Score: share of title words in the address, its depth, a description's length, a real date and the title's quality.
+    Score, with fixed weights: share of title words in the address, its depth, a description's length, a real date and the title's quality.
     """
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: F.length(x) >= 4))
     place = F.regexp_extract("link", r"^[a-z]+://[^/?#]*([^?#]*)", 1)
@@ -122,6 +123,15 @@ def prefer_items(items: DataFrame) -> DataFrame:
     return rows.groupBy("_key").agg(*[F.max_by(F.struct(F.col(c)), "_rank")[c].alias(c) for c in plain], united(F.flatten(F.collect_set("categories"))).alias("categories")).drop("_key")
 
 
+def persistable(items: DataFrame, as_of: Column, days: int = 7, title: int = 400, snippet: int = 1200) -> DataFrame:
+    """Items that may be stored: with an address, a title and a date, no older than so many days (0: of any age); texts without
+    control characters and cut."""
+    link = F.trim(sanitized(F.regexp_replace("link", "(?i)&amp;", "&")))
+    rows = items.withColumns({"link": link, "title": truncated(F.regexp_replace("title", r"\s+", " "), title), "description": F.nullif(truncated(F.regexp_replace("description", r"\s+", " "), snippet), F.lit(""))})
+    kept = rows.filter((F.col("link") != "") & (F.col("title") != "") & F.col("published_at").isNotNull())
+    return kept.filter(F.col("published_at") >= as_of - F.make_dt_interval(F.lit(days))) if days > 0 else kept
+
+
 def retained(rows: DataFrame, as_of: Column, days: int = 3) -> DataFrame:
     return rows.filter(F.col("created_at") >= as_of - F.make_dt_interval(F.lit(days)))
 

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.exprs import at, before, blank_to, percent, visible
+from ..functions.scalars import host
 from ..operators.relational import latest, top_k
 
 
@@ -47,7 +48,7 @@ class NewsQuery:
             out.append(F.arrays_overlap("sections_normalized", wanted) | bare & blank_to("section", "others").isin(kept))
         if kept := listed(self.topics):
             out.append(F.arrays_overlap("topics", F.array(*[F.lit(x) for x in kept])))
-        if q := self.text.strip()[:120]:
+        if q := self.text.strip()[:120].replace("\\", "\\\\"):  # % and _ are wild cards, a backslash is none
             fields = [F.coalesce("title_original", F.lit("")), F.col("source"), F.array_join("feed_categories", " ")]
             out.append(reduce(lambda a, b: a | b, [c.ilike(f"%{q}%") for c in fields]))
         return out
@@ -67,6 +68,18 @@ def search(articles: DataFrame, query: NewsQuery, as_of: str) -> DataFrame:
     return shown.crossJoin(F.broadcast(total)).withColumn("has_more", F.col("total") > query.offset + size)
 
 
+def search_estimated(articles: DataFrame, query: NewsQuery, as_of: str) -> DataFrame:
+    """One page as of search(), without counting all: one more row than asked for tells whether there is more, and the total is
+    what the page has shown so far, and one if there is more."""
+    size = min(max(query.limit, 1), 200)
+    rows = articles.filter(reduce(and_, query.filters(as_of)))
+    shown = rows.select("external_id", "title_original", "source", "publication_datetime").orderBy(F.desc("publication_datetime"), F.asc("external_id")).offset(query.offset).limit(size + 1)
+    seen = F.count("*")
+    totals = shown.agg((F.least(seen, F.lit(size)) + query.offset + F.when(seen > size, 1).otherwise(0)).alias("total"), (seen > size).alias("has_more"))
+    page = shown.orderBy(F.desc("publication_datetime"), F.asc("external_id")).limit(size)
+    return page.crossJoin(F.broadcast(totals)).withColumn("total_is_estimate", F.lit(True))
+
+
 def after(articles: DataFrame, created_at: str, external_id: str, k: int) -> DataFrame:
     """Keyset paging: the k rows that come after a known last one, newest first."""
     key = F.struct(F.col("created_at"), F.col("external_id"))
@@ -128,31 +141,68 @@ def url_sample(articles: DataFrame, as_of: str, hours: int = 240) -> DataFrame:
 
 
 def title_tokens(c: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: F.length(x) >= 4))
+    """Words of four or more, in order."""
+    return F.array_sort(F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: F.length(x) >= 4)))
 
 
-def url_drift(articles: DataFrame, hours: int = 36, least_overlap: int = 3, containment: float = 0.6, jaccard: float = 0.5) -> DataFrame:
-    """For each article the best other one of its source with a like title within a band of time.
+def url_date(url: Column | str) -> Column:
+    """The date in the path, /yyyy/mm/dd; null without one."""
+    return F.nullif(F.regexp_replace(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+[^?#]*?/(20[0-9]{2}/(?:0[1-9]|1[0-2])/(?:[0-2][0-9]|3[01]))(?=/|[?#]|$)", 1), "/", "-"), F.lit(""))
+
+
+def similar_titles(legacy: DataFrame, canonical: DataFrame, least_overlap: int, containment: float, jaccard: float) -> DataFrame:
+    """(host, tokens) of both sides, distinct: pairs of like token sets of one host, with overlap, containment and jaccard.
 
     Two token sets with a Jaccard similarity of at least t share a token among the first n - ceil(t * n) + 1 of each, rarest
-    first; so articles meet by (source, bucket of the band's width, rare token) instead of in all pairs of a source.
+    first; so sets meet by host and rare token instead of in all pairs of a host.
     """
-    width = hours * 3600
-    rows = articles.select("external_id", "source", "created_at", title_tokens(F.col("title_original")).alias("tokens")).filter(F.size("tokens") >= least_overlap)
-    each = rows.select("external_id", "source", "created_at", "tokens", F.explode("tokens").alias("token"))
-    common = each.groupBy("token").agg(F.count("*").alias("_n"))
-    ordered = each.join(common, "token").groupBy("external_id", "source", "created_at", "tokens").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "token"))), lambda x: x["token"]).alias("_rare"))
+    sets = legacy.withColumn("_old", F.lit(True)).unionByName(canonical.withColumn("_old", F.lit(False)))
+    each = sets.select("host", "tokens", "_old", F.explode("tokens").alias("token"))
+    common = each.groupBy("host", "token").agg(F.count("*").alias("_n"))
+    ordered = each.join(common, ["host", "token"]).groupBy("host", "tokens", "_old").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "token"))), lambda x: x["token"]).alias("_rare"))
     n = F.size("_rare")
-    keyed = ordered.select("external_id", "source", "created_at", "tokens", F.floor(F.unix_seconds(F.col("created_at").cast("timestamp")) / width).alias("bucket"), F.explode(F.slice("_rare", 1, n - F.ceil(n * jaccard).cast("int") + 1)).alias("token"))
-    left = keyed.withColumn("bucket", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)))
-    right = keyed.select("source", "bucket", "token", F.col("external_id").alias("other_id"), F.col("created_at").alias("other_at"), F.col("tokens").alias("other_tokens"))
-    gap = F.abs(F.unix_seconds(F.col("created_at").cast("timestamp")) - F.unix_seconds(F.col("other_at").cast("timestamp")))
-    pairs = left.join(right, ["source", "bucket", "token"]).filter((F.col("external_id") != F.col("other_id")) & (gap <= width)).withColumn("gap", gap)
-    overlap = F.size(F.array_intersect("tokens", "other_tokens"))
-    scored = pairs.withColumn("overlap", overlap).withColumn("containment", F.round(F.col("overlap") / F.least(F.size("tokens"), F.size("other_tokens")), 6)).withColumn("jaccard", F.round(F.col("overlap") / F.size(F.array_union("tokens", "other_tokens")), 6))
-    kept = scored.filter((F.col("overlap") >= least_overlap) & (F.col("containment") >= containment) & (F.col("jaccard") >= jaccard))
-    best = latest(kept, ["external_id"], F.desc("containment"), F.desc("jaccard"), F.asc("gap"), F.asc("other_id"))
-    return best.select("external_id", "other_id", F.col("overlap").cast("long").alias("overlap"), "containment", "jaccard", "gap")
+    keyed = ordered.select("host", F.xxhash64("tokens").alias("_set"), "_old", F.explode(F.slice("_rare", 1, n - F.ceil(n * jaccard).cast("int") + 1)).alias("token"))
+    old = keyed.filter("_old").select("host", "token", F.col("_set").alias("_a"))
+    pairs = old.join(keyed.filter("not _old").select("host", "token", F.col("_set").alias("_b")), ["host", "token"]).select("host", "_a", "_b").distinct()
+    a = legacy.select("host", F.xxhash64("tokens").alias("_a"), "tokens")
+    b = canonical.select("host", F.xxhash64("tokens").alias("_b"), F.col("tokens").alias("other_tokens"))
+    both = pairs.join(a, ["host", "_a"]).join(b, ["host", "_b"])
+    shared = F.size(F.array_intersect("tokens", "other_tokens"))
+    smaller, union = F.least(F.size("tokens"), F.size("other_tokens")), F.size(F.array_union("tokens", "other_tokens"))
+    scored = both.withColumn("overlap", shared).withColumn("containment", F.round(F.col("overlap") / smaller, 6)).withColumn("jaccard", F.round(F.col("overlap") / union, 6))
+    return scored.filter((F.col("overlap") >= least_overlap) & (F.col("containment") >= containment) & (F.col("jaccard") >= jaccard))
+
+
+def url_drift(articles: DataFrame, hours: int = 36, least_overlap: int = 4, containment: float = 0.6, jaccard: float = 0.5, source_prefix: str = "") -> DataFrame:
+    """For each article without a feed id the best one of its host with one: a like title, published within a band of time,
+    and on one date if the addresses of both tell one. Best by containment, then Jaccard similarity, then the gap in time.
+
+    Titles are compared as distinct token sets of a host, never as articles. For each pair of sets an article then finds the
+    nearest publication before and after its own by a window over both sides in order of time, so articles of one repeated title
+    do not meet in pairs. Of equally near ones the first by id counts.
+    """
+    told = articles.filter(F.col("source").startswith(source_prefix)).select(
+        "external_id", F.col("stable_id").isNull().alias("legacy"), F.lower(host(F.col("url"))).alias("host"), url_date("url").alias("day"), title_tokens(F.col("title_original")).alias("tokens"), F.unix_seconds(F.col("publication_datetime").cast("timestamp")).alias("at"),
+    )
+    rows = told.filter((F.size("tokens") >= least_overlap) & (F.col("host") != "") & F.col("at").isNotNull())
+    sets = lambda legacy: rows.filter(F.col("legacy") == legacy).select("host", "tokens").distinct()
+    pairs = similar_titles(sets(True), sets(False), least_overlap, containment, jaccard).select("host", "tokens", "other_tokens", "overlap", "containment", "jaccard")
+    # an address without a date meets all; one with a date meets that date's and those without
+    any_day, no_day = F.lit("any"), F.lit("none")
+    ask = F.when(F.col("day").isNull(), F.array(any_day)).otherwise(F.array("day", no_day))
+    left = rows.filter("legacy").join(pairs, ["host", "tokens"]).select("host", "other_tokens", F.explode(ask).alias("day"), "at", "external_id", "overlap", "containment", "jaccard", F.lit(None).cast("string").alias("found"))
+    offers = rows.filter("not legacy").select("host", F.col("tokens").alias("other_tokens"), F.explode(F.array(any_day, F.coalesce("day", no_day))).alias("day"), "at", "external_id")
+    offered = offers.groupBy("host", "other_tokens", "day", "at").agg(F.min("external_id").alias("found"))
+    none = {c: F.lit(None).cast(t) for c, t in left.dtypes if c in ("external_id", "overlap", "containment", "jaccard")}
+    both = left.unionByName(offered.withColumns(none))
+    order = W.partitionBy("host", "other_tokens", "day").orderBy("at", F.col("found").isNull())
+    reverse = W.partitionBy("host", "other_tokens", "day").orderBy(F.desc("at"), F.col("found").isNull())
+    candidate = F.when(F.col("found").isNotNull(), F.struct("at", "found"))
+    near = both.withColumn("_before", F.last(candidate, True).over(order)).withColumn("_after", F.last(candidate, True).over(reverse)).filter("external_id is not null")
+    each = near.select("external_id", "at", "overlap", "containment", "jaccard", F.explode(F.array("_before", "_after")).alias("c")).filter("c is not null")
+    gaps = each.withColumn("gap", F.abs(F.col("at") - F.col("c.at"))).filter(F.col("gap") <= hours * 3600)
+    best = latest(gaps, ["external_id"], F.desc("containment"), F.desc("jaccard"), F.asc("gap"), F.asc("c.found"))
+    return best.select("external_id", F.col("c.found").alias("other_id"), F.col("overlap").cast("long").alias("overlap"), "containment", "jaccard", "gap")
 
 
 def category_prediction(articles: DataFrame, least_support: int = 3, least_share: float = 0.4) -> DataFrame:

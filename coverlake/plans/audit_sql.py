@@ -55,12 +55,21 @@ SQL = {
     "q49_topic_audit": statement(f"select coalesce(nullif(trim(t, ' '), ''), '(empty)') as topic, count(*) as articles, count(distinct source) as sources from (select source, unnest(case when len(topics) = 0 then [null] else topics end) as t from articles where {seen('30 day')}) group by 1", ARTICLES),
     "q50_url_sample": statement(f"select source, external_id, url from (select *, row_number() over (partition by source order by created_at desc, external_id desc) as rn from articles where {seen('240 hour')}) where rn = 1", ARTICLES),
     "q51_url_drift": statement(
-        f"""select external_id, other_id, overlap, containment, jaccard, gap from (select *, row_number() over (partition by external_id order by containment desc, jaccard desc, gap, other_id) as rn from (
+        """select external_id, other_id, overlap, containment, jaccard, gap from (select *, row_number() over (partition by external_id order by containment desc, jaccard desc, gap, other_id) as rn from (
               select *, round(overlap / least(len(a_tokens), len(b_tokens)), 6) as containment, round(overlap / (len(a_tokens) + len(b_tokens) - overlap), 6) as jaccard from (
-                select a.external_id, b.external_id as other_id, a.tokens as a_tokens, b.tokens as b_tokens, len(list_intersect(a.tokens, b.tokens)) as overlap, cast(abs(floor(epoch(a.created_at)) - floor(epoch(b.created_at))) as bigint) as gap
-                from t a join t b on a.source = b.source and a.external_id <> b.external_id and abs(floor(epoch(a.created_at)) - floor(epoch(b.created_at))) <= 36 * 3600)
-              where overlap >= 3 and containment >= 0.6 and jaccard >= 0.5)) where rn = 1""",
-        ARTICLES, f"t as (select external_id, source, created_at, {TOKENS} as tokens from articles where len({TOKENS}) >= 3)",
+                select a.external_id, b.external_id as other_id, a.tokens as a_tokens, b.tokens as b_tokens, len(list_intersect(a.tokens, b.tokens)) as overlap, cast(abs(a.at - b.at) as bigint) as gap
+                from t a join t b on a.source = b.source and a.stable_id is null and b.stable_id is not null and abs(a.at - b.at) <= 36 * 3600 and (a.day is null or b.day is null or a.day = b.day))
+              where overlap >= 4 and containment >= 0.6 and jaccard >= 0.5)) where rn = 1""",
+        ARTICLES, f"t as (select external_id, stable_id, source, floor(epoch(publication_datetime)) as at, case when event_id % 4 = 0 then event_id % 3 end as day, {TOKENS} as tokens from articles where len({TOKENS}) >= 4)",
+    ),
+    "o04_search_estimate": statement(
+        f"""select external_id, title_original, source, publication_datetime, cast(least((select count(*) from shown), 50) + 20 + (case when (select count(*) from shown) > 50 then 1 else 0 end) as bigint) as total, (select count(*) from shown) > 50 as has_more, true as total_is_estimate
+            from (select * from shown order by publication_datetime desc, external_id limit 50)""",
+        ARTICLES,
+        f"""shown as (select external_id, title_original, source, publication_datetime from articles where {VISIBLE} and created_at <= {AS_OF} and {CLAIMED} > {AS_OF} - interval 720 hour
+                and (list_has_any(sections_normalized, ['world', 'sports']) or (len(sections_normalized) = 0 and {SECTION} in ('world', 'sports')))
+                and (coalesce(title_original, '') ilike '%report 1%' or source ilike '%report 1%' or array_to_string(feed_categories, ' ') ilike '%report 1%')
+              order by publication_datetime desc, external_id limit 51 offset 20)""",
     ),
     "q52_category_prediction": statement(
         """select token, category, support, articles, round(support / articles, 6) as share from (select token, category, count(*) as support from (select token, unnest(feed_categories) as category from (select feed_categories, unnest(tokens) as token from t)) group by 1, 2)

@@ -27,18 +27,34 @@ def source_counts(articles: DataFrame, start: Column, end: Column, hour: Column
     return rows.groupBy(blank_to("source_country").alias("source_country"), "source").agg(*counts)
 
 
-def with_country(counts: DataFrame, catalog: DataFrame) -> DataFrame:
-    """The catalog's country of a source, else the article's publisher country, else unknown."""
-    sums = [c for c in counts.columns if c not in ("source_country", "source")]
-    found = counts.join(catalog.select(F.col("catalog_source").alias("source"), "catalog_country"), "source", "left")
-    return found.groupBy(F.coalesce("catalog_country", "source_country", F.lit(UNKNOWN)).alias("country"), "source").agg(*[F.sum(c).alias(c) for c in sums])
+def spelled(c: Column | str) -> Column:
+    """Lower case, single spaces: under which names meet that are spelled differently."""
+    return F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
 
 
-def by_country(rows: DataFrame) -> DataFrame:
-    """Totals of each country, with the shares of its largest sources by what they published."""
-    sums = [c for c in rows.columns if c not in ("country", "source")]
-    totals = rows.groupBy("country").agg(*[F.sum(c).alias(c) for c in sums], F.count_if((F.col("published") > 0) | (F.col("inserted") > 0)).alias("active_sources"))
-    return totals.join(concentration(rows, ["country"], "source", "published"), "country")
+def resolve_country(rows: DataFrame, catalog: DataFrame) -> DataFrame:
+    """rows (source_country, source) with country: the row's own in the catalog's spelling; without one the catalog's for the
+    source by its exact name, then by its name in any spelling; else unknown. Of several the first in order."""
+    names = catalog.groupBy(spelled("catalog_country").alias("_spelled")).agg(F.min("catalog_country").alias("_canonical"))
+    exact = catalog.groupBy(F.trim("catalog_source").alias("_exact")).agg(F.min("catalog_country").alias("_by_name"))
+    loose = catalog.groupBy(spelled("catalog_source").alias("_loose")).agg(F.min("catalog_country").alias("_by_spelling"))
+    own = rows.join(names, spelled("source_country") == F.col("_spelled"), "left")
+    found = own.join(exact, F.trim("source") == F.col("_exact"), "left").join(loose, spelled("source") == F.col("_loose"), "left")
+    country = F.coalesce("_canonical", blank_to(F.trim("source_country")), "_by_name", "_by_spelling", F.lit(UNKNOWN))
+    return found.withColumn("country", country).drop("_spelled", "_canonical", "_exact", "_by_name", "_loose", "_by_spelling")
+
+
+def with_country(counts: DataFrame, catalog: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Sums by country and source."""
+    sums = [c for c in counts.columns if c not in ("source_country", "source", *keys)]
+    return resolve_country(counts, catalog).groupBy(*keys, "country", "source").agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def by_country(rows: DataFrame, keys: tuple[str, ...] = ("country",)) -> DataFrame:
+    """Totals of each country, with the shares of its largest sources by what they published: one pass over the sources."""
+    sums = [F.sum(c).alias(c) for c in rows.columns if c not in (*keys, "source")]
+    active = F.count_if((F.col("published") > 0) | (F.col("inserted") > 0)).alias("active_sources")
+    return concentration(rows, list(keys), "source", "published", also=(*sums, active))
 
 
 def hourly(articles: DataFrame, catalog: DataFrame, as_of: str, version: str = "v1") -> DataFrame:
@@ -63,10 +79,7 @@ def daily_series(articles: DataFrame, catalog: DataFrame) -> DataFrame:
     each = rows.select("*", F.explode(F.array_distinct(F.array("_seen", "_claimed"))).alias("day_bucket"))
     is_seen, is_claimed = F.col("_seen") == F.col("day_bucket"), F.col("_claimed") == F.col("day_bucket")
     counts = each.groupBy("day_bucket", "source_country", "source").agg(F.count_if(is_seen).alias("inserted"), F.count_if(is_claimed).alias("published"), F.count_if(is_seen & is_claimed).alias("fresh"), F.count_if(is_seen & (F.col("_claimed") < F.col("day_bucket"))).alias("late"))
-    found = counts.join(catalog.select(F.col("catalog_source").alias("source"), "catalog_country"), "source", "left")
-    by = found.groupBy("day_bucket", F.coalesce("catalog_country", "source_country", F.lit(UNKNOWN)).alias("country"), "source").agg(*[F.sum(c).alias(c) for c in ("inserted", "published", "fresh", "late")])
-    totals = by.groupBy("day_bucket", "country").agg(*[F.sum(c).alias(c) for c in ("inserted", "published", "fresh", "late")], F.count_if((F.col("published") > 0) | (F.col("inserted") > 0)).alias("active_sources"))
-    return totals.join(concentration(by, ["day_bucket", "country"], "source", "published"), ["day_bucket", "country"])
+    return by_country(with_country(counts, catalog, ("day_bucket",)), ("day_bucket", "country"))
 
 
 def latest_windows(series: DataFrame) -> DataFrame:

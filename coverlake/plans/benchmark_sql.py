@@ -20,7 +20,7 @@ def window(start: str, end: str, hour: str | None = None) -> str:
         count(*) filter (where created_at >= {start} and created_at < {end} and {eff} >= {start} and {eff} < {end}) as fresh,
         count(*) filter (where created_at >= {start} and created_at < {end} and {eff} < {start}) as late{more}
       from articles where not {LOW_SIGNAL} and ((created_at >= {start} and created_at < {end}) or (publication_datetime >= {start} and publication_datetime < {end})) group by 1, 2),
-    by_source as (select coalesce(catalog_country, source_country, '(unknown)') as country, source, sum(inserted)::bigint as inserted, sum(published)::bigint as published, sum(fresh)::bigint as fresh, sum(late)::bigint as late{", sum(inserted_1h)::bigint as inserted_1h" if hour else ""}
+    by_source as (select coalesce(source_country, catalog_country, '(unknown)') as country, source, sum(inserted)::bigint as inserted, sum(published)::bigint as published, sum(fresh)::bigint as fresh, sum(late)::bigint as late{", sum(inserted_1h)::bigint as inserted_1h" if hour else ""}
       from counts left join catalog on source = catalog_source group by 1, 2)"""
 
 
@@ -30,7 +30,7 @@ DAILY = window(DAY, f"{DAY} + interval 1 day")
 SERIES = f"""each_row as (select nullif(trim(source_country, ' '), '') as source_country, source, cast(created_at as date) as seen, cast(least(publication_datetime, created_at) as date) as claimed from articles where not {LOW_SIGNAL}),
 days as (select *, seen as day_bucket from each_row union all select *, claimed as day_bucket from each_row where claimed <> seen),
 counts as (select day_bucket, source_country, source, count(*) filter (where seen = day_bucket) as inserted, count(*) filter (where claimed = day_bucket) as published, count(*) filter (where seen = day_bucket and claimed = day_bucket) as fresh, count(*) filter (where seen = day_bucket and claimed < day_bucket) as late from days group by 1, 2, 3),
-by_source as (select day_bucket, coalesce(catalog_country, source_country, '(unknown)') as country, source, sum(inserted)::bigint as inserted, sum(published)::bigint as published, sum(fresh)::bigint as fresh, sum(late)::bigint as late from counts left join catalog on source = catalog_source group by 1, 2, 3),
+by_source as (select day_bucket, coalesce(source_country, catalog_country, '(unknown)') as country, source, sum(inserted)::bigint as inserted, sum(published)::bigint as published, sum(fresh)::bigint as fresh, sum(late)::bigint as late from counts left join catalog on source = catalog_source group by 1, 2, 3),
 series as ({by("day_bucket, country", "inserted, published, fresh, late")})"""
 PERIOD = "date_trunc('month', day_bucket)::date as month, cast((day(day_bucket) - 1) // 7 + 1 as integer) as week"
 COUNTS = "inserted, published, fresh, late"
@@ -52,5 +52,14 @@ SQL = {
         f"day_rows as (with {DAILY} {by('country', COUNTS)})",
         f"week_rows as (with {SERIES} select country, sum(published)::bigint as published_week from series where day_bucket between date '2024-01-13' and date '2024-01-19' group by 1)",
     ),
+    "j15_country_lookup": statement(
+        """select external_id, coalesce(canonical, nullif(trim(own, ' '), ''), by_name, by_spelling, '(unknown)') as country from told
+           left join (select lower(catalog_country) as l, min(catalog_country) as canonical from catalog group by 1) on trim(lower(own), ' ') = l
+           left join (select catalog_source as e, min(catalog_country) as by_name from catalog group by 1) on trim(source, ' ') = e
+           left join (select lower(catalog_source) as s, min(catalog_country) as by_spelling from catalog group by 1) on trim(lower(source), ' ') = s""",
+        ARTICLES,
+        CATALOG,
+        "told as (select external_id, case when event_id % 3 = 1 then ' ' || upper(source) || ' ' else source end as source, case event_id % 4 when 0 then lower(source_country) || '  ' when 1 then null when 2 then 'Elsewhere' else source_country end as own from articles)",
+    ),
     "q55_parity": "select cast(null as varchar) as country, cast(null as varchar) as difference where false",
 }

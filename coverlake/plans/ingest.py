@@ -91,6 +91,24 @@ def quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.quarantine(none, rows)
 
 
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feed items as parsed, some without address, title or date."""
+    return fx.articles(spark, sf_dir).select(
+        "external_id", "stable_id", F.expr("if(event_id % 10 = 0, '  ', if(event_id % 10 = 1, concat(url, '?a=1&amp;b=2 '), url))").alias("link"), F.col("title_original").alias("title"),
+        F.expr("concat(language_hint, '  is  ', repeat('so ', cast(event_id % 5 as int)))").alias("description"), F.expr("if(event_id % 14 = 0, null, publication_datetime)").alias("published_at"),
+        F.expr("event_id % 3 = 1").alias("fallback_date"), "title_quality", F.col("feed_categories").alias("categories"), F.col("event_id").alias("seq"),
+    )
+
+
+def persistable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.persistable(items(spark, sf_dir), at(AS_OF)).select("external_id", "link", "title", "description", "published_at")
+
+
+def preferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = merge.prefer_items(items(spark, sf_dir).withColumn("seq", F.col("seq")))
+    return kept.select("external_id", "stable_id", "link", "published_at", F.array_join("categories", "|").alias("categories"))
+
+
 def lift(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = fx.articles(spark, sf_dir)
     return folds.greedy_order(a.select(F.coalesce("country", F.lit("none")).alias("network"), "source", F.lower(blank_to("title_original", "")).alias("title")))
@@ -108,8 +126,10 @@ def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = fx.runs(spark, sf_dir).filter("attempted").withColumn("failure", x.failure_kind(F.col("status_code"), F.col("error")))
-    return folds.breaker_states(r.select("outlet_id", "ran_at", "id", "ok", "failure"))
+    """A source has a working duplicate if it was asked by two methods that day and one of them worked."""
+    r = fx.runs(spark, sf_dir).filter("attempted").withColumn("failure", x.failure_kind(F.col("status_code"), F.col("error"))).withColumn("day", F.to_date("ran_at"))
+    alive = r.groupBy("source", "day").agg(((F.countDistinct("method") > 1) & F.bool_or("ok")).alias("duplicate"))
+    return folds.breaker_states(r.join(alive, ["source", "day"]).select("outlet_id", "ran_at", "id", "ok", "failure", "duplicate"))
 
 
 def tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,5 +157,5 @@ def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "m03_batch_dedupe": batch_dedupe, "m04_upsert": upsert, "m05_upsert_counts": upsert_counts, "j17_resolved_ids": resolved, "m08_watermarks": watermarks, "f16_past_watermark": past_watermark, "m09_rollup_upsert": rollup_upsert, "sk6_retention": retention, "m07_quarantine": quarantined,
-    "a30_greedy_lift": lift, "m02_syndication_clusters": clusters, "st5_breaker": breaker, "st7_tiers": tiers, "x_scalar_values": scalar_values, "x_page_titles": page_titles,
+    "f17_persistable": persistable, "m01_preferred_items": preferred, "a30_greedy_lift": lift, "m02_syndication_clusters": clusters, "st5_breaker": breaker, "st7_tiers": tiers, "x_scalar_values": scalar_values, "x_page_titles": page_titles,
 }

@@ -35,7 +35,64 @@ FNV = "list_reduce(list_transform(string_split(url, ''), lambda c: cast(ascii(c)
 HOST = "regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)', 1)), '^www\\.', '')"
 DEPTH = "cast(len(list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda v: v <> '')) as bigint)"
 
+#: Feed items as ingest.items makes them.
+ITEMS = """items as (select external_id, stable_id, case when event_id % 10 = 0 then '  ' when event_id % 10 = 1 then url || '?a=1&amp;b=2 ' else url end as link, title_original as title, language_hint || '  is  ' || repeat('so ', cast(event_id % 5 as bigint)) as description,
+  case when event_id % 14 = 0 then null else publication_datetime end as published_at, event_id % 3 = 1 as fallback_date, title_quality, feed_categories as categories, event_id as seq from articles)"""
+WORDS = lambda c: f"list_distinct(list_filter(regexp_split_to_array(lower(coalesce({c}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda v: length(v) >= 4))"
+SCORED = f"""scored as (select *, coalesce(nullif(trim(stable_id, ' '), ''), link) as grp, coalesce(epoch_us(published_at), 0) as moment,
+    round(case when len(tw) > 0 and len(pw) > 0 then len(list_intersect(tw, pw)) / len(tw) + least(depth, 6) * 0.01 else 0.0 end + least(length(coalesce(description, '')), 400) / 10000 + case when fallback_date then 0.0 else 0.02 end + case title_quality when 'suspect' then 0 when 'recovered' then 2 else 1 end * 0.05, 9) as score
+  from (select *, {WORDS('title')} as tw, {WORDS('place')} as pw, len(list_filter(string_split(place, '/'), lambda v: v <> '')) as depth from (select *, regexp_extract(link, '^[a-z]+://[^/?#]*([^?#]*)', 1) as place from items)))"""
+#: Failures after an outlet's last success, numbered.
+FAILURES = """tried as (select *, cast(ran_at as date) as day from runs where attempted),
+alive as (select source, day, count(distinct method) > 1 and bool_or(ok) as duplicate from tried group by 1, 2),
+last as (select outlet_id, max((ran_at, id)) as last from tried where ok group by 1),
+f as (select outlet_id, ran_at, duplicate, row_number() over (partition by outlet_id order by ran_at, id) as k,
+    case when status_code = 410 or status_code in (301, 308) then 'permanent' when status_code in (403, 404, 500, 502, 503, 504) or contains(lower(coalesce(error, '')), 'timeout') then 'temporary' end as kind,
+    case when status_code in (410, 404, 403, 500, 502, 503, 504) then 'http_' || status_code when contains(lower(coalesce(error, '')), 'timeout') then 'timeout' end as reason
+  from tried join alive using (source, day) left join last using (outlet_id) where not ok and (last is null or (ran_at, id) > last)),
+states as (
+  select distinct outlet_id, cast(0 as bigint) as k, 'active' as status, cast(null as varchar) as reason, cast(null as timestamp) as until, cast(null as timestamp) as since from tried
+  union all
+  select f.outlet_id, f.k,
+    case when f.kind = 'permanent' or (f.reason = 'http_404' and (duplicate or f.k >= 3)) then 'disabled_permanent' when f.kind = 'temporary' and f.k >= 2 then 'disabled_temporary' else s.status end,
+    case when f.kind = 'permanent' or (f.reason = 'http_404' and (duplicate or f.k >= 3)) or (f.kind = 'temporary' and f.k >= 2) then f.reason else s.reason end,
+    case when f.kind = 'permanent' or (f.reason = 'http_404' and (duplicate or f.k >= 3)) then ran_at + interval 30 day when f.kind = 'temporary' and f.k >= 2 then ran_at + interval 7 day
+      when f.kind is null and s.status <> 'active' and (s.until is null or s.until <= ran_at) then ran_at + case s.status when 'disabled_temporary' then interval 7 day else interval 30 day end else s.until end,
+    case when f.kind = 'permanent' or (f.reason = 'http_404' and (duplicate or f.k >= 3)) or (f.kind = 'temporary' and f.k >= 2) then coalesce(s.since, ran_at) else s.since end
+  from states s join f on f.outlet_id = s.outlet_id and f.k = s.k + 1
+)"""
+PLAIN_TITLE = "trim(regexp_replace(lower(coalesce(title_original, '')), '[^a-z0-9]+', ' ', 'g'), ' ')"
+STORIES = f"""told as (select country as network, external_id, publication_datetime as t, case when length({PLAIN_TITLE}) >= 32 and len(list_filter(string_split({PLAIN_TITLE}, ' '), lambda v: length(v) >= 3)) >= 5 then {PLAIN_TITLE} end as fingerprint from articles),
+heads as (
+  select network, fingerprint, max(t) as head, cast(0 as bigint) as cluster from told where network is not null and fingerprint is not null group by 1, 2
+  union all
+  select h.network, h.fingerprint, max(x.t), h.cluster + 1 from heads h join told x on x.network = h.network and x.fingerprint = h.fingerprint and x.t < h.head - interval 36 hour group by h.network, h.fingerprint, h.cluster
+),
+placed as (select told.*, cluster from told left join heads h on told.network = h.network and told.fingerprint = h.fingerprint and t <= head and t >= head - interval 36 hour)"""
+LIFT = """t as (select distinct coalesce(country, 'none') as network, source, lower(coalesce(nullif(trim(title_original, ' '), ''), '')) as title from articles),
+sets as (select network, source, list(title) as titles, count(*) as total from t group by 1, 2),
+greedy as (
+  select distinct network, cast(0 as bigint) as rank, '' as source, cast(0 as bigint) as lift, cast(0 as bigint) as duplicates, cast([] as varchar[]) as seen, cast([] as varchar[]) as done from t
+  union all
+  select network, rank + 1, source, lift, total - lift, list_distinct(list_concat(seen, titles)), list_append(done, source) from (
+    select *, row_number() over (partition by network order by lift desc, total desc, source) as best from (
+      select g.network, g.rank, g.seen, g.done, s.source, s.titles, s.total, s.total - len(list_intersect(s.titles, g.seen)) as lift from greedy g join sets s on g.network = s.network and not list_contains(g.done, s.source)))
+  where best = 1
+)"""
+
 SQL = {
+    "f17_persistable": statement(
+        f"""select external_id, trim(replace(link, '&amp;', '&'), ' ') as link, trim(left(regexp_replace(title, '\\s+', ' ', 'g'), 400), ' ') as title, trim(left(regexp_replace(description, '\\s+', ' ', 'g'), 1200), ' ') as description, published_at
+            from items where trim(link, ' ') <> '' and trim(title, ' ') <> '' and published_at >= {AS_OF} - interval 7 day""",
+        ARTICLES, ITEMS,
+    ),
+    "m01_preferred_items": statement(
+        f"select w.external_id, w.stable_id, w.link, w.published_at, array_to_string({UNITED('cats')}, '|') as categories from (select *, row_number() over (partition by grp order by moment desc, score desc, seq) as rn from scored) w join (select grp, flatten(list(categories)) as cats from scored group by 1) using (grp) where rn = 1",
+        ARTICLES, ITEMS, SCORED,
+    ),
+    "a30_greedy_lift": "with recursive " + ", ".join((ARTICLES, LIFT)) + " select network, source, rank, lift, duplicates from greedy where rank > 0",
+    "m02_syndication_clusters": "with recursive " + ", ".join((ARTICLES, STORIES)) + " select network, fingerprint, external_id, cluster, case when cluster is null then 1 else count(*) over (partition by network, fingerprint, cluster) end as size from placed",
+    "st5_breaker": "with recursive " + ", ".join((RUNS, FAILURES)) + " select outlet_id, status, reason, k as failures, until as disabled_until, since as disabled_since from (select *, row_number() over (partition by outlet_id order by k desc) as rn from states) where rn = 1",
     "m03_batch_dedupe": statement(f"select {shown}, seq from b", ARTICLES, NEW, f"a as ({deduped('fresh', 'coalesce(stable_id, external_id)')})", f"b as ({deduped('a', 'external_id')})"),
     "m04_upsert": statement(f"select {shown} from (select {merged} from old o full join fresh n on o.external_id = n.external_id)", ARTICLES, OLD, NEW),
     "m05_upsert_counts": statement("select count(*) filter (where external_id not in (select external_id from old)) as inserted, count(*) filter (where external_id in (select external_id from old)) as updated from fresh", ARTICLES, OLD, NEW),

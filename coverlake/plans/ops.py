@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.exprs import at, before, blank_to, percent
-from ..operators.relational import latest, leading_run, mode
+from ..operators.relational import latest, leading_run, mode, with_totals_of
 
 
 def rollup(runs: DataFrame, unit: str = "hour") -> DataFrame:
@@ -56,7 +59,7 @@ def day_summary(runs: DataFrame, articles: DataFrame, as_of: str) -> DataFrame:
     return r.join(a, "country", "full").na.fill(0).select("country", "attempts", "failures", "run_sources", "inserted", "sources", zero.alias("seen_total"), zero.alias("duplicates"))
 
 
-def failing_endpoints(runs: DataFrame, as_of: str, minutes: int = 20160, least: int = 4, percent_failed: float = 30.0) -> DataFrame:
+def failing_endpoints(runs: DataFrame, as_of: str, minutes: int = 60, least: int = 4, percent_failed: float = 90.0) -> DataFrame:
     rows = runs.filter((F.col("ran_at") >= before(as_of, f"{minutes} minutes")) & (F.col("ran_at") <= at(as_of)))
     counts = rows.groupBy("outlet_id", "method").agg(F.count_if("attempted").alias("attempts"), F.count_if(F.col("attempted") & ~F.col("ok")).alias("failures"))
     rate = percent(F.col("failures"), F.greatest("attempts", F.lit(1)))
@@ -70,9 +73,8 @@ def earliest_and_recent(articles: DataFrame, as_of: str, hours: int = 72) -> Dat
 
 def paged(df: DataFrame, sort: str, descending: bool, tie: str, page: int, size: int) -> DataFrame:
     """One page with the total of all; the total comes from an aggregate of its own, not a window over all rows."""
-    total = df.agg(F.count("*").alias("total"))
     order = F.desc_nulls_last(sort) if descending else F.asc_nulls_last(sort)
-    return df.orderBy(order, F.asc(tie)).offset((page - 1) * size).limit(size).crossJoin(F.broadcast(total))
+    return with_totals_of(df.orderBy(order, F.asc(tie)).offset((page - 1) * size).limit(size), df, F.count("*").alias("total"))
 
 
 def outlet_table(runs: DataFrame, as_of: str) -> DataFrame:
@@ -97,26 +99,37 @@ def head_watchlist(articles: DataFrame, runs: DataFrame, as_of: str, hours: int
     return rows.na.fill(0, ["rss_ok", "rss_failed", "capped"]).withColumn("band", band)
 
 
-def failure_watchlist(runs: DataFrame, as_of: str, days: int = 30, least: int = 6) -> DataFrame:
-    """Endpoints by failures: how many in a row lead, the most frequent reason, and what to do."""
+def failure_watchlist(runs: DataFrame, as_of: str, days: int = 30, least: int = 12, failures: int = 20, in_a_row: int = 18, rate_off: float = 0.9, gone: float = 0.8, rate_watch: float = 0.6) -> DataFrame:
+    """Endpoints by failures: how many in a row lead, the most frequent reason, and what to do. An endpoint that never worked goes
+    for a share of lasting failures alone."""
     rows = runs.filter(F.col("attempted") & (F.col("ran_at") >= before(as_of, f"{days} days")) & (F.col("ran_at") <= at(as_of))).withColumn("reason", F.when(~F.col("ok"), reason())).withColumn("class", F.when(~F.col("ok"), failure_class()))
     keys, order = ["outlet_id", "method"], (F.desc("ran_at"), F.desc("id"))
     counts = rows.groupBy(*keys).agg(F.count("*").alias("attempts"), F.count_if(~F.col("ok")).alias("failures"), F.count_if(F.col("class") == "permanent").alias("permanent")).filter(F.col("attempts") >= least)
     lead = leading_run(rows, keys, F.col("ok"), *order)
     top = mode(rows, keys, "reason", *order)
     rate = F.round(F.col("failures") / F.col("attempts"), 4)
-    action = F.when((F.col("failures") >= 5) & (F.col("run") >= 3) & ((F.col("fail_rate") >= 0.9) | (F.col("permanent") >= 0.8 * F.col("failures"))), "DISABLE").when(F.col("fail_rate") >= 0.25, "WATCH").otherwise("OK")
+    never = (F.col("failures") == F.col("attempts")) & (F.col("permanent") >= gone * F.col("failures"))
+    action = F.when((F.col("failures") >= failures) & (F.col("run") >= in_a_row) & ((F.col("fail_rate") >= rate_off) | never), "DISABLE").when(F.col("fail_rate") >= rate_watch, "WATCH").otherwise("OK")
     return counts.join(lead, keys).join(top, keys, "left").withColumn("fail_rate", rate).withColumn("action", action).withColumnRenamed("run", "leading_failures")
 
 
-def stale_watchlist(runs: DataFrame, as_of: str, days: int = 14) -> DataFrame:
-    """Sources whose newest item, over all latest successful attempts, is old; with their methods in order."""
+def stale_watchlist(runs: DataFrame, as_of: str, days: int = 14, archive: str = r"sitemap|archive|googlenews|\.xml\.gz", archive_year: int = 2020, high_value_countries: tuple[str, ...] = (), high_value_sources: str | None = None) -> DataFrame:
+    """Sources whose newest item, over all latest successful attempts, is old; with their methods in order.
+
+    The first that holds: dated in the future; an archive, read by sitemap only, whose name or address says so or whose newest
+    item is from before a year; of high value by country or name; old enough to be disabled at once; a candidate.
+    """
     good = runs.filter(F.col("attempted") & F.col("ok") & F.col("newest_item_published_at").isNotNull() & (F.col("ran_at") <= at(as_of)))
     newest = latest(good, ["source", "method"], F.desc("ran_at"), F.desc("id"))
-    rows = newest.groupBy("source").agg(F.max("newest_item_published_at").alias("newest"), F.array_join(F.array_sort(F.collect_list("method")), "+").alias("methods"))
+    says = F.lower(F.concat_ws(" ", "source", F.coalesce("requested_url", F.lit("")))).rlike(archive)
+    valued = F.coalesce(F.col("country").isin(*high_value_countries), F.lit(False)) if high_value_countries else F.lit(False)
+    valued = valued | F.lower("source").rlike(high_value_sources) if high_value_sources else valued
+    rows = newest.groupBy("source").agg(F.max("newest_item_published_at").alias("newest"), F.array_join(F.array_sort(F.collect_list("method")), "+").alias("methods"), F.bool_or(says).alias("_archive"), F.bool_or(valued).alias("_valued"))
     age = F.datediff(F.to_date(at(as_of)), F.to_date("newest")).cast("long")
-    action = F.when(F.col("age_days") <= -1, "future_hold").when((F.col("methods") == "sitemap") & (F.col("age_days") >= 30), "archive_exempt").when(F.col("age_days") >= 2 * days, "disable").otherwise("candidate")
-    return rows.withColumn("age_days", age).filter((F.col("age_days") >= days) | (F.col("age_days") <= -1)).withColumn("action", action)
+    stored = F.col("_archive") | (F.year("newest") < archive_year)
+    action = F.when(F.col("age_days") <= -1, "future_hold").when((F.col("methods") == "sitemap") & (F.col("age_days") >= 30) & stored, "archive_exempt")
+    action = action.when(F.col("_valued"), "high_value_hold").when(F.col("age_days") >= 2 * days, "disable").otherwise("candidate")
+    return rows.withColumn("age_days", age).filter((F.col("age_days") >= days) | (F.col("age_days") <= -1)).withColumn("action", action).drop("_archive", "_valued")
 
 
 def repair_pairs(runs: DataFrame, as_of: str, days: int = 30) -> DataFrame:
@@ -157,13 +170,54 @@ def report(runs: DataFrame, as_of: str, days: int = 7) -> DataFrame:
     return totals.select(F.coalesce("method", F.lit("(all)")).alias("method"), F.coalesce("country", F.lit("(all)")).alias("country"), "attempted", "failed", "fetched", F.when(F.col("failed") > 0, "degraded").otherwise("ok").alias("status"))
 
 
-def breaker_inputs(runs: DataFrame) -> DataFrame:
-    """Attempts of each outlet in order, for the circuit breaker's fold."""
-    return runs.filter("attempted").select("outlet_id", "ran_at", "id", "ok", "status_code")
+#: Columns that a listing of fetch attempts may be sorted by; names first up, numbers first down.
+SORTS = {"bucket": "hour_bucket", "fetchedCount": "fetched_count", "validCount": "valid_count", "failedRuns": "failed_runs", "attemptedRuns": "attempted_runs", "source": "source", "country": "country"}
+
+
+def sort_column(asked: str | None, direction: str | None, sorts: dict[str, str], default: str) -> tuple[str, bool]:
+    """(column, descending): only a column that is listed, else the default; without a direction names go up, others down."""
+    column = sorts.get(asked or "", sorts[default])
+    return column, direction == "desc" if direction in ("asc", "desc") else column not in ("source", "country")
 
 
-def peak_hours(runs: DataFrame) -> DataFrame:
-    """The busiest local hour of each outlet's fetches, for scheduling."""
-    hours = runs.groupBy("outlet_id", F.hour("ran_at").alias("hour")).agg(F.count("*").alias("runs"))
-    best = hours.withColumn("_rn", F.row_number().over(W.partitionBy("outlet_id").orderBy(F.desc("runs"), F.asc("hour")))).filter("_rn = 1")
-    return best.select("outlet_id", F.col("hour").cast("long").alias("hour"), "runs")
+def mentions_text(q: str, *columns: str) -> Column:
+    """Whether a column holds the text, in any case; its % and _ are no wild cards."""
+    return reduce(or_, [F.lower(F.coalesce(c, F.lit(""))).contains(q.lower()) for c in columns])
+
+
+def of_outlets_or_sources(outlets: list[str], sources: list[str], outlet: str = "outlet_id", source: str = "source") -> Column:
+    """Outlets if any are given, else sources if any are, else all."""
+    return F.col(outlet).isin(outlets) if outlets else F.col(source).isin(sources) if sources else F.lit(True)
+
+
+def run_table(runs: DataFrame, as_of: str, hours: int = 24, q: str = "", outlets: list[str] | None = None, sources: list[str] | None = None, sort: str | None = None, direction: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+    """One page of attempts by hour, searched and sorted, with the total of all pages."""
+    since = before(as_of, f"{min(max(hours, 1), 720)} hours")
+    rows = runs.filter(of_outlets_or_sources(outlets or [], sources or []))
+    if q.strip():
+        rows = rows.filter(mentions_text(q.strip(), "source", "outlet_id", "country"))
+    by_hour = rows.groupBy(F.date_trunc("hour", "ran_at").cast("timestamp_ntz").alias("hour_bucket"), "outlet_id", "source", "country", "method").agg(
+        F.count_if("attempted").alias("attempted_runs"), F.count_if(F.col("attempted") & ~F.col("ok")).alias("failed_runs"), F.sum("fetched_count").alias("fetched_count"), F.sum("parsed_count").alias("valid_count")
+    )
+    kept = by_hour.filter((F.col("hour_bucket") > since) & (F.col("hour_bucket") <= at(as_of)))
+    column, down = sort_column(sort, direction, SORTS, "bucket")
+    order = [F.desc_nulls_last(column) if down else F.asc_nulls_last(column), F.desc("hour_bucket"), F.asc("outlet_id"), F.asc("method")]
+    page = kept.orderBy(*order).offset(max(offset, 0)).limit(min(max(limit, 1), 200))
+    return with_totals_of(page, kept, F.count("*").alias("total"))
+
+
+def write_report(df: DataFrame, path: str, title: str, *order: Column) -> None:
+    """The report as one CSV table under path/csv and as Markdown lines under path/md; reports are short listings."""
+    rows = df.orderBy(*order) if order else df
+    rows.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/csv")
+    markdown(rows, title).coalesce(1).write.mode("overwrite").text(f"{path}/md")
+
+
+def markdown(rows: DataFrame, title: str) -> DataFrame:
+    """Lines of a Markdown table: a heading, the column names and the rows; bars and line ends in values are kept from breaking it."""
+    names = rows.columns
+    head = [f"# {title}", "", "| " + " | ".join(names) + " |", "|" + " --- |" * len(names)]
+    cell = lambda c: F.regexp_replace(F.regexp_replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), r"\|", r"\\|"), r"[\r\n]+", " ")
+    body = rows.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in names]), F.lit(" |")).alias("value"))
+    top = rows.sparkSession.createDataFrame([(x,) for x in head], "value string").coalesce(1)
+    return top.unionByName(body)

@@ -16,7 +16,20 @@ REASON = "coalesce(nullif(concat_ws(' ', case when status_code is not null then
 CLASS = "case when status_code in (401, 403, 429) then 'blocked' when status_code in (404, 410) then 'permanent' when status_code >= 500 then 'temporary' else 'other' end"
 TRIED = f"tried as (select * from runs where attempted and {since('30 day')})"
 
+def run_table(where: str, order: str, limit: int, offset: int = 0) -> str:
+    page = f"by_hour as (select date_trunc('hour', ran_at)::timestamp as hour_bucket, outlet_id, source, country, method, count(*) filter (where attempted) as attempted_runs, count(*) filter (where attempted and not ok) as failed_runs, sum(fetched_count)::bigint as fetched_count, sum(parsed_count)::bigint as valid_count from runs where {where} group by all)"
+    kept = f"kept as (select * from by_hour where hour_bucket > {AS_OF} - interval 480 hour and hour_bucket <= {AS_OF})"
+    return statement(f"select *, (select count(*) from kept) as total from kept order by {order}, hour_bucket desc, outlet_id, method limit {limit} offset {offset}", RUNS, page, kept)
+
+
+REASONS = f"reasons as (select method, {REASON} as reason, count(*) as failures, count(distinct source) as sources from tried where not ok group by 1, 2 order by 3 desc, 1, 2 limit 50)"
+
 SQL = {
+    "f09_run_search": run_table("contains(lower(source), 'src1') or contains(lower(outlet_id), 'src1') or contains(lower(country), 'src1')", "failed_runs desc", 40, 10),
+    "f09_no_wild_cards": run_table("contains(lower(source), 'src_') or contains(lower(outlet_id), 'src_') or contains(lower(country), 'src_')", "hour_bucket desc", 50),
+    "f14_outlet_runs": run_table("outlet_id in ('1', '2')", "source", 200),
+    "f14_source_runs": run_table("source = 'src3'", "hour_bucket", 50),
+    "sk7_report_lines": statement("select unnest(['# Failures', '', '| method | reason | failures | sources |', '| --- | --- | --- | --- |']) as value union all select '| ' || method || ' | ' || reason || ' | ' || failures || ' | ' || sources || ' |' from reasons", RUNS, TRIED, REASONS),
     "q30_ops_hourly": statement(f"select * from ({rolled('hour')}) where runner = 'worker' and bucket >= {AS_OF} - interval 48 hour and bucket <= {AS_OF} order by bucket desc, outlet_id, method limit 200", RUNS),
     "q30_ops_daily": statement(f"select * from ({rolled('day')}) where runner = 'worker' and bucket >= {AS_OF} - interval 480 hour and bucket <= {AS_OF} order by bucket desc, outlet_id, method limit 200", RUNS),
     "q31_failure_reasons": statement(f"select method, {REASON} as reason, count(*) as failures, count(distinct source) as sources from tried where not ok group by 1, 2 order by 3 desc, 1, 2 limit 50", RUNS, TRIED),
@@ -41,7 +54,7 @@ SQL = {
         ARTICLES, RUNS,
     ),
     "q40_failure_watchlist": statement(
-        f"""select *, case when failures >= 5 and leading_failures >= 3 and (fail_rate >= 0.9 or permanent >= 0.8 * failures) then 'DISABLE' when fail_rate >= 0.25 then 'WATCH' else 'OK' end as action from (
+        f"""select *, case when failures >= 5 and leading_failures >= 3 and (fail_rate >= 0.9 or (failures = attempts and permanent >= 0.8 * failures)) then 'DISABLE' when fail_rate >= 0.25 then 'WATCH' else 'OK' end as action from (
               select c.outlet_id, c.method, attempts, failures, permanent, l.run as leading_failures, m.reason, round(failures / attempts, 4) as fail_rate
               from (select outlet_id, method, count(*) as attempts, count(*) filter (where not ok) as failures, count(*) filter (where not ok and {CLASS} = 'permanent') as permanent from ordered group by 1, 2 having count(*) >= 6) c
               join (select outlet_id, method, count(*) filter (where good = 0) as run from (select *, sum(case when ok then 1 else 0 end) over (partition by outlet_id, method order by rn) as good from ordered) group by 1, 2) l using (outlet_id, method)
@@ -49,9 +62,9 @@ SQL = {
         RUNS, TRIED, "ordered as (select *, row_number() over (partition by outlet_id, method order by ran_at desc, id desc) as rn from tried)",
     ),
     "q41_stale_watchlist": statement(
-        f"""select *, case when age_days <= -1 then 'future_hold' when methods = 'sitemap' and age_days >= 30 then 'archive_exempt' when age_days >= 28 then 'disable' else 'candidate' end as action from (
-              select source, max(newest_item_published_at) as newest, string_agg(method, '+' order by method) as methods, date_diff('day', cast(max(newest_item_published_at) as date), cast({AS_OF} as date)) as age_days
-              from (select *, row_number() over (partition by source, method order by ran_at desc, id desc) as rn from runs where attempted and ok and newest_item_published_at is not null and ran_at <= {AS_OF}) where rn = 1 group by 1)
+        f"""select source, newest, methods, age_days, case when age_days <= -1 then 'future_hold' when methods = 'sitemap' and age_days >= 30 and (archive or year(newest) < 2020) then 'archive_exempt' when valued then 'high_value_hold' when age_days >= 28 then 'disable' else 'candidate' end as action from (
+              select bool_or(regexp_matches(lower(concat_ws(' ', source, requested_url)), 'sitemap|archive|googlenews|\\.xml\\.gz')) as archive, bool_or(country = 'NATION_3' or regexp_matches(source, '^src[0-9]*7$')) as valued, source, max(newest_item_published_at) as newest, string_agg(method, '+' order by method) as methods, date_diff('day', cast(max(newest_item_published_at) as date), cast({AS_OF} as date)) as age_days
+              from (select *, row_number() over (partition by source, method order by ran_at desc, id desc) as rn from runs where attempted and ok and newest_item_published_at is not null and ran_at <= {AS_OF}) where rn = 1 group by source)
             where age_days >= 14 or age_days <= -1""",
         RUNS,
     ),

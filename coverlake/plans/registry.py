@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import at
 from ..sources import fixtures as fx
 from ..sources.fixtures import AS_OF
-from . import audit, audit_sql, benchmark, benchmark_sql, coverage, coverage_sql, dashboard, dashboard_sql, dossier, dossier_sql, ingest, ingest_sql, lanes, lanes_sql, ops, ops_sql, repair, repair_sql, tables, tables_sql, taxonomy, taxonomy_sql, urls, urls_sql
+from . import audit, audit_sql, benchmark, benchmark_sql, coverage, coverage_sql, dashboard, dashboard_sql, dossier, dossier_sql, ingest, ingest_sql, landed, landed_sql, lanes, lanes_sql, ops, ops_sql, repair, repair_sql, tables, tables_sql, taxonomy, taxonomy_sql, urls, urls_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 DAY = "2024-01-19"
@@ -54,6 +54,19 @@ def parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark.parity(stored, counted, ["country"], ["published", "inserted", "fresh", "late", "active_sources", "top1_bps"])
 
 
+def dated_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles of which one in four tells its date in the address."""
+    url = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com/2024/01/1"), (F.col("event_id") % 3).cast("string"), F.lit("/"), F.col("external_id"))).otherwise(F.col("url"))
+    return A(spark, sf_dir).withColumn("url", url)
+
+
+def spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles whose source and publisher country are spelled in several ways, or missing."""
+    source = F.expr("if(event_id % 3 = 1, concat(' ', upper(source), ' '), source)")
+    country = F.expr("case event_id % 4 when 0 then concat(lower(source_country), '  ') when 1 then null when 2 then 'Elsewhere' else source_country end")
+    return A(spark, sf_dir).select("external_id", source.alias("source"), country.alias("source_country"))
+
+
 SEARCH = audit.NewsQuery(text="report 1", sections=["world, sports", "world"], hours=720, limit=50, offset=20)
 
 QUERIES: dict[str, Query] = {
@@ -96,7 +109,7 @@ QUERIES: dict[str, Query] = {
     "q31_failure_reasons": over(ops.failure_reasons, R, as_of=AS_OF),
     "q32_latest_diagnostics": over(ops.latest_diagnostics, R, as_of=AS_OF),
     "q33_day_summary": over(ops.day_summary, R, A, as_of=AS_OF),
-    "q34_failing_endpoints": over(ops.failing_endpoints, R, as_of=AS_OF),
+    "q34_failing_endpoints": over(ops.failing_endpoints, R, as_of=AS_OF, minutes=20160, percent_failed=30.0),
     "q35_earliest_recent": over(ops.earliest_and_recent, A, as_of=AS_OF),
     "q36_outlet_page": over(lambda r: ops.paged(ops.outlet_table(r, AS_OF), "runs", True, "outlet_id", 2, 20), R),
     "q37_mention_summary": over(audit.mention_summary, A, M, as_of=AS_OF),
@@ -104,8 +117,8 @@ QUERIES: dict[str, Query] = {
     "q38_latest_snapshots": over(audit.latest_snapshots, of("orders")),
     "q38_roster": over(audit.roster, of("customer"), of("orders")),
     "q39_head_watchlist": over(ops.head_watchlist, A, R, as_of=AS_OF),
-    "q40_failure_watchlist": over(ops.failure_watchlist, R, as_of=AS_OF),
-    "q41_stale_watchlist": over(ops.stale_watchlist, R, as_of=AS_OF),
+    "q40_failure_watchlist": over(ops.failure_watchlist, R, as_of=AS_OF, least=6, failures=5, in_a_row=3, rate_watch=0.25),
+    "q41_stale_watchlist": over(ops.stale_watchlist, R, as_of=AS_OF, high_value_countries=("NATION_3",), high_value_sources=r"^src[0-9]*7$"),
     "q42_repair_pairs": over(ops.repair_pairs, R, as_of=AS_OF),
     "q43_blocked_backlog": over(ops.blocked_backlog, R, C, as_of=AS_OF),
     "q44_stability": over(ops.stability, R, as_of=AS_OF),
@@ -117,12 +130,22 @@ QUERIES: dict[str, Query] = {
     "q48_others_by_source": over(lambda a: audit.others_by_source(a.withColumn("candidates", audit.candidates()), AS_OF), A),
     "q49_topic_audit": over(audit.topic_audit, A, as_of=AS_OF),
     "q50_url_sample": over(audit.url_sample, A, as_of=AS_OF),
-    "q51_url_drift": over(audit.url_drift, A),
+    "q51_url_drift": over(audit.url_drift, dated_urls),
     "q52_category_prediction": over(audit.category_prediction, A),
     "q53_title_lift": over(audit.title_lift, A, as_of=AS_OF),
     "q54_country_stats": over(audit.country_stats, A, as_of=AS_OF),
     "q55_parity": parity,
     **ingest.QUERIES,
+    **landed.QUERIES,
+    "o04_search_estimate": over(audit.search_estimated, A, query=SEARCH, as_of=AS_OF),
+    "f09_run_search": over(ops.run_table, R, as_of=AS_OF, hours=480, q="Src1", sort="failedRuns", limit=40, offset=10),
+    "f09_no_wild_cards": over(ops.run_table, R, as_of=AS_OF, hours=480, q="src_"),
+    "f14_outlet_runs": over(ops.run_table, R, as_of=AS_OF, hours=480, outlets=["1", "2"], sources=["src3"], sort="source", limit=500),
+    "f14_source_runs": over(ops.run_table, R, as_of=AS_OF, hours=480, sources=["src3"], sort="valid_count; drop table", direction="asc"),
+    "f10_source_prefix": over(repair.drift_scope, A, as_of=AS_OF, source_prefix="src1"),
+    "f11_topic_keys": over(repair.topic_keys, A, as_of=AS_OF, hours=480, primary_section="tech", categories=["k1", "k3", "view"], limit=100),
+    "sk7_report_lines": lambda spark, sf_dir: ops.markdown(ops.failure_reasons(R(spark, sf_dir), AS_OF), "Failures"),
+    "j15_country_lookup": over(lambda a, c: benchmark.resolve_country(a, c).select("external_id", "country"), spellings, C),
     "q36_ingest_runs": over(tables.ingest_runs, R, as_of=AS_OF),
     "q36_feed_status": over(tables.feed_status, R, as_of=AS_OF),
     "q36_benchmark_metrics": over(tables.benchmark_metrics, SERIES),
@@ -159,4 +182,4 @@ QUERIES: dict[str, Query] = {
     "a24_endpoint_classes": over(taxonomy.endpoint_classes, R),
     "x46_freshness": lambda spark, sf_dir: taxonomy.freshness(R(spark, sf_dir), at(AS_OF)),
 }
-ORACLE: dict[str, str] = {**dashboard_sql.SQL, **benchmark_sql.SQL, **coverage_sql.SQL, **ops_sql.SQL, **audit_sql.SQL, **ingest_sql.SQL, **taxonomy_sql.SQL, **tables_sql.SQL, **repair_sql.SQL, **urls_sql.SQL, **dossier_sql.SQL, **lanes_sql.SQL}
+ORACLE: dict[str, str] = {**dashboard_sql.SQL, **benchmark_sql.SQL, **coverage_sql.SQL, **ops_sql.SQL, **audit_sql.SQL, **ingest_sql.SQL, **landed_sql.SQL, **taxonomy_sql.SQL, **tables_sql.SQL, **repair_sql.SQL, **urls_sql.SQL, **dossier_sql.SQL, **lanes_sql.SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import blank_to, low_signal
+from ..functions.exprs import before, blank_to, low_signal
 from ..functions.scalars import path
 from ..operators.relational import latest
 
@@ -57,6 +57,24 @@ def seats(articles: DataFrame, places: DataFrame) -> DataFrame:
     return joined.select("source", F.coalesce("_source_seat", "_country_seat").alias("seat"), basis.alias("basis"))
 
 
+def drift_scope(articles: DataFrame, as_of: str, source_prefix: str, hours: int = 168) -> DataFrame:
+    """Recent articles of sources whose name begins so."""
+    recent = (F.col("publication_datetime") >= before(as_of, f"{hours} hours")) & F.col("source").startswith(source_prefix)
+    return articles.filter(recent).select("external_id", "stable_id", "source", "publication_datetime")
+
+
+def topic_keys(articles: DataFrame, as_of: str, hours: int, primary_section: str | None = None, sources: list[str] | None = None, categories: list[str] | None = None, limit: int = 500) -> DataFrame:
+    """Keys of the newest articles whose topics are to be found again; each condition only if it is given."""
+    rows = articles.filter(F.col("created_at") >= before(as_of, f"{hours} hours"))
+    if primary_section:
+        rows = rows.filter(blank_to("primary_section", "others") == primary_section)
+    if sources:
+        rows = rows.filter(F.col("source").isin(sources))
+    if categories:
+        rows = rows.filter(F.exists(F.coalesce("feed_categories", F.array().cast("array<string>")), lambda c: c.isin(categories)))
+    return rows.select("external_id", "created_at").orderBy(F.desc("created_at"), F.desc("external_id")).limit(limit)
+
+
 def seat_table(catalog: DataFrame, nations: DataFrame) -> DataFrame:
     """Seats for the fixtures: catalog sources by publisher name, countries by region."""
     a = catalog.select(F.lit("source").alias("kind"), F.col("catalog_source").alias("name"), F.col("publisher").alias("seat"))

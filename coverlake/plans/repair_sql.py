@@ -1,11 +1,13 @@
 """DuckDB statements beside the repair plans."""
 
-from .oracle import ARTICLES, CATALOG, LOW_SIGNAL, RUNS, TITLE, statement
+from .oracle import ARTICLES, AS_OF, CATALOG, LOW_SIGNAL, RUNS, TITLE, statement
 
 BARE = f"{TITLE} = ''"
 PART = "list_filter(string_split(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)), '/'), lambda x: x <> '' and x not in ('www', 'news', 'story', 'article', 'index') and not regexp_matches(x, '^[0-9]+$') and not regexp_matches(x, '^[0-9a-f]{12,}$'))[1]"
 
 SQL = {
+    "f10_source_prefix": statement(f"select external_id, stable_id, source, publication_datetime from articles where publication_datetime >= {AS_OF} - interval 168 hour and source like 'src1%'", ARTICLES),
+    "f11_topic_keys": statement(f"select external_id, created_at from articles where created_at >= {AS_OF} - interval 480 hour and coalesce(nullif(trim(primary_section, ' '), ''), 'others') = 'tech' and list_has_any(feed_categories, ['k1', 'k3', 'view']) order by created_at desc, external_id desc limit 100", ARTICLES),
     "x09_assess_titles": statement(f"select external_id, case when {BARE} or {LOW_SIGNAL} then 'suspect' when coalesce(nullif(trim(title_quality, ' '), ''), 'ok') = 'recovered' then 'recovered' else 'ok' end as quality, case when {BARE} then 'missing_title' when {LOW_SIGNAL} then 'low_signal_title' else 'feed_title_ok' end as reason, case when {BARE} or {LOW_SIGNAL} then 'pending' else 'not_needed' end as repair from articles", ARTICLES),
     "m11_country_repairs": statement("select external_id, nullif(trim(source_country, ' '), '') as old_country, catalog_country as new_country from articles join catalog on source = catalog_source where nullif(trim(source_country, ' '), '') is distinct from catalog_country", ARTICLES, CATALOG),
     "m06_category_backfill": statement(

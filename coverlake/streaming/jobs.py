@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.scalars import failure_kind
-from ..operators.folds import next_state
+from ..operators.folds import as_time, next_state
 from ..operators.merge import merge_into
 
 
@@ -43,14 +43,18 @@ def endpoint_watermarks(items: DataFrame) -> DataFrame:
 
 def breaker(attempts: DataFrame) -> DataFrame:
     """The breaker's state of each outlet after each micro-batch, from attempts in order."""
-    rows = attempts.filter("attempted").select("outlet_id", "ran_at", "id", "ok", failure_kind(F.col("status_code"), F.col("error")).alias("f")).select("outlet_id", "ran_at", "id", "ok", "f.kind", "f.reason")
+    duplicate = F.col("duplicate") if "duplicate" in attempts.columns else F.lit(False)
+    found = attempts.filter("attempted").select("outlet_id", F.unix_micros("ran_at").alias("at"), "id", "ok", failure_kind(F.col("status_code"), F.col("error")).alias("f"), F.coalesce(duplicate, F.lit(False)).alias("duplicate"))
+    rows = found.select("outlet_id", "at", "id", "ok", "f.kind", "f.reason", "duplicate")
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.get if state.exists else ("active", None, 0)
-        for r in pd.concat(list(batches)).sort_values(["ran_at", "id"]).itertuples():
-            now = next_state(tuple(now), r.ok, r.kind, r.reason)
+        now = tuple(state.get) if state.exists else ("active", None, 0, None, None)
+        for r in pd.concat(list(batches)).sort_values(["at", "id"]).itertuples():
+            now = next_state(now, int(r.at), r.ok, r.kind, r.reason, r.duplicate)
         state.update(now)
-        yield pd.DataFrame([(key[0], *now)], columns=["outlet_id", "status", "reason", "failures"])
+        out = pd.DataFrame([(key[0], *now)], columns=["outlet_id", "status", "reason", "failures", "until", "since"])
+        yield out.astype({"until": "Int64", "since": "Int64"})
 
-    schema = "status string, reason string, failures long"
-    return rows.groupBy("outlet_id").applyInPandasWithState(step, f"outlet_id string, {schema}", schema, "update", GroupStateTimeout.NoTimeout)
+    schema = "status string, reason string, failures long, until long, since long"
+    states = rows.groupBy("outlet_id").applyInPandasWithState(step, f"outlet_id string, {schema}", schema, "update", GroupStateTimeout.NoTimeout)
+    return states.select("outlet_id", "status", "reason", "failures", as_time(F.col("until")).alias("disabled_until"), as_time(F.col("since")).alias("disabled_since"))

@@ -46,7 +46,7 @@ def test_breaker_batch(spark):
     from coverlake.functions.scalars import failure_kind
 
     df = spark.createDataFrame(attempts(), ATTEMPTS).filter("attempted").withColumn("failure", failure_kind(F.col("status_code"), F.col("error")))
-    got = {r["outlet_id"]: (r["status"], r["failures"]) for r in folds.breaker_states(df.select("outlet_id", "ran_at", "id", "ok", "failure")).collect()}
+    got = {r["outlet_id"]: (r["status"], r["failures"]) for r in folds.breaker_states(df.select("outlet_id", "ran_at", "id", "ok", "failure", F.lit(False).alias("duplicate"))).collect()}
     assert got == {"a": ("disabled_temporary", 3), "b": ("disabled_permanent", 1)}
 
 
