@@ -1,4 +1,10 @@
-"""The corpus pipeline: quality rules, near-duplicates, secrets, mixing, tokens. Each stage's Parquet is the next one's input."""
+"""The corpus pipeline: quality rules, near-duplicates, secrets, mixing, tokens. Each stage's Parquet is the next one's input.
+
+Rules for all stages: a null text counts as the empty text and stays null where a stage keeps it; null sources are a source of
+their own, null ids are kept; texts of any length are taken whole; of rows equal in id and text near-dedup keeps one; an empty
+table gives an empty table. Stages return the columns of documents; columns beyond these are dropped at the first stage, so none
+can clash. What a stage stores is deleted when its result is written, and that when the next one's is.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coverlake.llm import bpe, mixing, quality, secrets, simhash
-from coverlake.llm.common import stored, table
+from coverlake.llm.common import forget_previous, scope, stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -57,8 +63,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with scope():
+            docs = stored(stage(spark, docs, sf_dir), -2)
+        if k:
+            forget_previous()
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
