@@ -3,11 +3,12 @@
 Mu-law and A-law expand by tables of 256 values. ADPCM blocks are decoded side by side: one numpy step handles the n-th
 nibble of every block. The decoded PCM is resampled by linear interpolation and stored as little-endian 16-bit samples.
 
-Scale: a map over batches without shuffle; a row is one clip, and ADPCM clips are decoded in parts of blocks, so memory
-is bounded by one clip's PCM.
+Scale: a map over batches without shuffle; a row is one clip. Clips are decoded together up to ``BYTES`` of them, a longer one
+alone, and ADPCM in parts of blocks, so memory is bounded by the PCM of so many bytes or of one clip.
 
 Edge cases: null bytes are an empty clip; a clip that is not of a known format raises no error but decodes to null; any byte
-is a valid sample; ADPCM step indices above 88 count as 88; an empty table gives an empty table.
+is a valid sample; ADPCM step indices above 88 count as 88; repeated rows and null ids are treated row by row; clips of any
+length are whole; an empty table gives an empty table; input columns named like the results give way to them.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,8 @@ CHANGES = np.array([-1, -1, -1, -1, 2, 4, 6, 8] * 2, dtype=np.int32)
 BLOCK = 64
 #: Blocks decoded at once.
 PART = 16384
+#: Bytes of clips decoded together, and rows.
+BYTES, ROWS = 1 << 20, 256
 
 
 def mulaw_table() -> np.ndarray:
@@ -122,8 +126,21 @@ def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
     return ((a * (to - part) + b * part) // to).astype(np.int16)
 
 
-def mapped(df: DataFrame, inputs: list[str], work, added: dict[str, str], rows_at_once: int = 256) -> DataFrame:
-    """All columns, then those that work(lists of input values) makes for a few rows at a time, as a list of rows."""
+def slices(sizes: list[int], most: int = BYTES, rows: int = ROWS) -> Iterator[tuple[int, int]]:
+    """Runs of at most so many rows and bytes, of one row at least: (start, length)."""
+    at, held = 0, 0
+    for k, n in enumerate(sizes):
+        if k > at and (held + n > most or k - at == rows):
+            yield at, k - at
+            at, held = k, 0
+        held += n
+    if at < len(sizes):
+        yield at, len(sizes) - at
+
+
+def mapped(df: DataFrame, inputs: list[str], work, added: dict[str, str]) -> DataFrame:
+    """All columns, then those that work(lists of input values) makes for a few rows at a time, as a list of rows. The first
+    input is binary."""
     columns = df.columns
     rows = df.select(F.struct(*[df[f"`{c}`"] for c in columns]).alias("_row"), *[df[c].alias(f"_in{k}") for k, c in enumerate(inputs)])
     schema = rows.select("_row", *[F.lit(None).cast(t).alias(f"_out{k}") for k, t in enumerate(added.values())]).schema
@@ -131,8 +148,8 @@ def mapped(df: DataFrame, inputs: list[str], work, added: dict[str, str], rows_a
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, rows_at_once):
-                part = b.slice(at, rows_at_once)
+            for at, n in slices(pc.fill_null(pc.binary_length(b.column(1)), 0).to_pylist()):
+                part = b.slice(at, n)
                 made = work(*[part.column(k + 1).to_pylist() for k in range(len(inputs))])
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(v, t) for v, t in zip(zip(*made, strict=True), kinds, strict=True)]], names=schema.names)
 
@@ -142,6 +159,7 @@ def mapped(df: DataFrame, inputs: list[str], work, added: dict[str, str], rows_a
 def store(df: DataFrame, payload: str = "payload", *, kind: str | None = None, output: str = "media") -> DataFrame:
     """All columns, then the payload (bytes) as a WAV file. kind: a column with the format tag; mu-law without one."""
     rows = df.withColumn("_kind", F.lit(MULAW) if kind is None else F.col(kind))
+
     def work(payloads: list, kinds: list) -> list[tuple]:
         return [(wav(bytes(x or b""), int(k or MULAW)),) for x, k in zip(payloads, kinds, strict=True)]
 

@@ -7,14 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import audio, bpe, chat, extraction, mixing, packing, ppm, quality, secrets, simhash
-from .common import materialize, table
+from .common import stored, table
 from .sql import ORACLE
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = materialize(table(spark, sf_dir, "documents").select("doc_id", "source", mixing.words(F.col("text")).alias("size")))
+    sized = stored(table(spark, sf_dir, "documents").select("doc_id", "source", mixing.words(F.col("text")).alias("size")))
     mixed = mixing.mix(sized, F.col("size"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
@@ -50,12 +50,13 @@ def op6_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     padded = docs.select("doc_id", F.col("n").cast("long").alias("n_bytes"), F.concat("raw", F.expr("cast(repeat('\\0', if(n = 0, 64, pmod(-n, 64))) as binary)")).alias("payload"))
     # the codec follows from the payload, so equal texts are stored alike
     kinds = F.element_at(F.array(F.lit(audio.MULAW), F.lit(audio.ALAW), F.lit(audio.ADPCM)), (F.crc32("payload") % 3 + 1).cast("int"))
-    media = audio.store(padded.select("doc_id", "n_bytes", "payload", kinds.alias("kind")), kind="kind").drop("payload", "kind")
-    heard = audio.decode(media, keep_pcm=False)
-    feature = F.format_string("codec=%d;crc=%d;peak=%d;energy=%d;crossings=%d", "codec", "pcm_crc32", "peak", "energy", "crossings")
+    media = stored(audio.store(padded.select("doc_id", "n_bytes", "payload", kinds.alias("kind")), kind="kind").drop("payload", "kind"))
+    heard = audio.decode(media)
+    feature = F.format_string("codec=%d;crc=%d;peak=%d;energy=%d;crossings=%d", "codec", F.crc32("pcm"), "peak", "energy", "crossings")
     return heard.select(
         "doc_id", "n_bytes", F.length("data").cast("long").alias("payload_bytes"), F.sha2("data", 256).alias("payload_sha256"), F.crc32(F.expr("substring(data, length(data) - 63, 64)")).alias("tail_crc32"),
         F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"),
+        F.length("pcm").cast("long").alias("pcm_bytes"),
     )
 
 

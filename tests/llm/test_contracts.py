@@ -7,6 +7,7 @@ import brute
 import duckdb
 import pytest
 
+from coverlake.llm import audio
 from coverlake.llm.queries import QUERIES
 
 
@@ -101,6 +102,54 @@ def test_audio(spark, sf_dir, docs):
         assert seen.setdefault(raw, (r["media_sha256"], r["feature"])) == (r["media_sha256"], r["feature"])
 
 
+def plain_pcm(payload, codec):
+    """Sample by sample from the codes' definitions; then by linear interpolation to twice the rate."""
+    pcm = []
+    if codec == 7:
+        for byte in payload:
+            c = 255 - byte
+            size = ((c % 16) * 8 + 132) * 2 ** (c // 16 % 8) - 132
+            pcm.append(-size if c >= 128 else size)
+    elif codec == 6:
+        for byte in payload:
+            c = byte ^ 0x55
+            part, low = c // 16 % 8, c % 16
+            size = low * 16 + 8 if part == 0 else (low * 16 + 264) * 2 ** (part - 1)
+            pcm.append(size if c >= 128 else -size)
+    else:
+        for at in range(0, len(payload), 64):
+            block = payload[at : at + 64]
+            level, index = int.from_bytes(block[:2], "little", signed=True), min(block[2], 88)
+            pcm.append(level)
+            for code in (c for b in block[4:] for c in (b % 16, b // 16)):
+                step = int(audio.STEPS[index])
+                change = step // 8 + step * (code // 4 % 2) + step // 2 * (code // 2 % 2) + step // 4 * (code % 2)
+                level = max(-32768, min(32767, level - change if code >= 8 else level + change))
+                index = max(0, min(88, index + (-1, -1, -1, -1, 2, 4, 6, 8)[code % 8]))
+                pcm.append(level)
+    return [x for a, b in zip(pcm, [*pcm[1:], pcm[-1]]) for x in (a, (a + b) // 2)]
+
+
+def test_audio_features(spark, sf_dir, docs):
+    seen = set()
+    for r in sorted(rows(spark, sf_dir, "op6_telephony_audio"), key=lambda r: r["doc_id"])[::9]:
+        raw = (docs[r["doc_id"]][1] or "").encode()
+        payload = raw + b"\0" * (-len(raw) % 64 or 64 * (not raw))
+        codec = (7, 6, 17)[zlib.crc32(payload) % 3]
+        pcm = plain_pcm(payload, codec)
+        stored = b"".join(x.to_bytes(2, "little", signed=True) for x in pcm)
+        crossings = sum((a < 0) != (b < 0) for a, b in zip(pcm, pcm[1:]))
+        assert r["feature"] == f"codec={codec};crc={zlib.crc32(stored)};peak={max(map(abs, pcm))};energy={sum(x * x for x in pcm)};crossings={crossings}"
+        form = {7: (8000, 1, 8), 6: (8000, 1, 8), 17: (8000 * 64 // 121, 64, 4)}[codec]
+        head = codec.to_bytes(2, "little") + b"\1\0" + (8000).to_bytes(4, "little") + form[0].to_bytes(4, "little") + form[1].to_bytes(2, "little") + form[2].to_bytes(2, "little")
+        head += b"\2\0\x79\0" if codec == 17 else b"\0\0"
+        wav = b"WAVEfmt " + len(head).to_bytes(4, "little") + head + b"data" + len(payload).to_bytes(4, "little") + payload
+        wav = b"RIFF" + len(wav).to_bytes(4, "little") + wav
+        assert (r["media_bytes"], r["media_sha256"], r["pcm_bytes"]) == (len(wav), brute.sha(wav), len(stored))
+        seen.add(codec)
+    assert seen == {6, 7, 17}
+
+
 def test_quality(spark, sf_dir, docs):
     out = rows(spark, sf_dir, "op7_quality_rules")
     assert len(out) == len(docs)
