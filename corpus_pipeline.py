@@ -2,8 +2,8 @@
 
 Rules for all stages: a null text counts as the empty text and stays null where a stage keeps it; null sources are a source of
 their own, null ids are kept; texts of any length are taken whole; of rows equal in id and text near-dedup keeps one; an empty
-table gives an empty table. Stages return the columns of documents; columns beyond these are dropped at the first stage, so none
-can clash. What a stage stores is deleted when its result is written, and that when the next one's is.
+table gives an empty table. Stages take and return the columns of documents; columns beyond these are dropped first, so none can
+clash. What a stage stores is deleted when its result is written, and that when the next one's is.
 """
 
 from __future__ import annotations
@@ -20,12 +20,14 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the learned list reject go."""
+    docs = docs.select(*COLUMNS)
     rules = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.judge(docs, rules).filter("kept").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: that with the least id, then the least digest; of equal rows one."""
+    docs = docs.select(*COLUMNS)
     key = [F.col("doc_id").isNull().alias("_none"), F.col("doc_id").alias("_id"), F.md5(F.coalesce("text", F.lit(""))).alias("_md5")]
     groups = simhash.near_duplicates(docs.select(F.struct(*key).alias("key"), "text"), key="key", size=5, similarity=0.8)
     keep = stored(groups.filter(F.col("key") == F.col("component_id")).groupBy("key").agg(F.count("*").alias("_n")).select("key.*", "_n"))
