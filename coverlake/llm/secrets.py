@@ -5,9 +5,10 @@ are then counted over the whole corpus by distinct owners and by distinct reposi
 copied example; one that few owners carry looks live. Opaque runs count only where the same value is assigned to a
 secret's name somewhere in the corpus and looks live: these spans no pattern on a single text can find.
 
-Scale: patterns run once per row inside the scan. Only rows with a candidate go on, by the digest of their text; counts go
-through (value, owner, repository), then (value, owner), then value, each combined before its shuffle, so a value that a
-third of all rows carry is no hot group. Verdicts return by the digest of the text.
+Scale: one pattern that every span needs tells which rows can have any; the others pass through without a shuffle. Rows that
+can are stored with their spans. Counts go through (value, owner, repository), then (value, owner), then value, each combined
+before its shuffle, so a value that a third of all rows carry is no hot group. Verdicts return to the stored rows by the digest
+of the text; a text that many rows carry meets them in several places.
 
 Edge cases: null text is empty; null owner and null repository count as one owner or repository each; equal texts have equal
 spans; overlapping spans of different kinds all stay; an empty table gives an empty table; an input column named ``spans``
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, unpacked
+from .common import joined_back, stored, unpacked
 
 ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
@@ -28,6 +29,8 @@ VENDOR = r"gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-
 OPAQUE = r"[A-Za-z0-9+/_-]{20,}"
 #: (kind, pattern, group that is the value, least characters of the value, does the value need a digit)
 KINDS = [("assign", ASSIGN, 2, 12, False), ("access", ACCESS, 0, 18, False), ("hex", HEX, 0, 16, False), ("vendor", VENDOR, 0, 1, False), ("opaque", OPAQUE, 0, 20, True)]
+#: What every match of a kind holds; runs are sought from where they begin.
+ANY = r"[pP][aA][sS][sS][wW]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]|AKIA[A-Z0-9]|(?<![0-9a-f])[0-9a-f]{16}|gh[pousr]_|xox[abprs]-|AIza|[sr]k_live_|eyJ[A-Za-z0-9_-]{8}|-----BEGIN|(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20}"
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
 
 
@@ -57,10 +60,11 @@ def scan(docs: DataFrame, *, text: str = "text", owner: str = "source", reposito
     """
     columns = docs.columns
     keyed = docs.select(F.struct(*[docs[f"`{c}`"] for c in columns]).alias("_row"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("_text"), docs[owner].cast("string").alias("_owner"), docs[repository].cast("string").alias("_repo"))
-    keyed = keyed.withColumn("_key", F.md5("_text"))
-    each = keyed.select("_key", "_owner", "_repo", F.concat(*[found(F.col("_text"), k) for k in range(len(KINDS))]).alias("_spans")).filter(F.size("_spans") > 0)
+    can = F.col("_text").rlike(ANY)
+    each = keyed.filter(can).select("_row", F.md5("_text").alias("_key"), "_owner", "_repo", F.concat(*[found(F.col("_text"), k) for k in range(len(KINDS))]).alias("_spans"))
+    rows = stored(each)
     # what repeats of one text by one owner and repository add is only their number
-    each = materialize(each)
+    each = rows.filter(F.size("_spans") > 0)
     value = F.xxhash64(F.col("_s.value"))
     seen = each.select("_owner", "_repo", F.explode("_spans").alias("_s")).groupBy(value.alias("_v"), "_owner", "_repo").agg(F.max((F.col("_s.kind") == "assign").cast("int")).alias("_named"))
     by_owner = seen.groupBy("_v", "_owner").agg(F.count("*").alias("_r"), F.max("_named").alias("_named"))
@@ -71,10 +75,11 @@ def scan(docs: DataFrame, *, text: str = "text", owner: str = "source", reposito
     live = ~((F.col("_owners") >= example_owners) & (F.col("_repos") >= example_repositories)) & varied
     judged = spans.withColumn("_live", live).filter((F.col("_s.kind") != "opaque") | ((F.col("_named") == 1) & F.col("_live")))
     span = F.struct(F.col("_s.start").alias("start"), F.col("_s.rank").alias("rank"), F.col("_s.end").alias("end"), F.col("_s.kind").alias("kind"), F.col("_s.value").alias("value"), F.col("_owners").alias("owners"), F.col("_repos").alias("repositories"), F.col("_live").alias("live"))
-    verdicts = materialize(judged.groupBy("_key").agg(F.array_sort(F.collect_list(span)).alias("_verdicts")))
+    verdicts = stored(judged.groupBy("_key").agg(F.array_sort(F.collect_list(span)).alias("_verdicts")))
     none = F.array().cast(verdicts.schema["_verdicts"].dataType)
-    joined = keyed.select("_row", "_key").join(verdicts, "_key", "left")
-    return unpacked(joined, columns, {"spans": F.coalesce("_verdicts", none)})
+    back = joined_back(rows.select("_row", "_key"), verdicts, "_key", rows.groupBy("_key").agg(F.count("*").alias("_n")), "left").select("_row", "_verdicts")
+    out = keyed.filter(~can).select("_row", none.alias("_verdicts")).unionByName(back)
+    return unpacked(out, columns, {"spans": F.coalesce("_verdicts", none)})
 
 
 def listed(spans: Column) -> Column:

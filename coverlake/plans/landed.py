@@ -11,6 +11,7 @@ from ..functions.exprs import at
 from ..sources import feeds
 from ..sources import fixtures as fx
 from ..sources.fixtures import AS_OF
+from . import repair, taxonomy
 
 
 def escaped(c: Column | str) -> Column:
@@ -71,4 +72,38 @@ def text_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"sc03_feed_items": feed_items, "sc04_sitemap_entries": sitemap_entries, "x_text_values": text_values}
+def marked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles as pages: a third tells its section in metadata, a third in breadcrumbs, some in keywords, the rest nowhere."""
+    a, k = recent(spark, sf_dir), F.col("event_id")
+    meta = F.concat(F.lit('<meta property="article:section" content="'), F.col("language_hint"), F.lit('">'))
+    crumb = F.concat(F.lit('<script type="application/ld+json">{"breadcrumb":{"itemListElement":[{"name":"Home"},{"item":{"name":"'), F.col("language_hint"), F.lit(' pages"}}]}}</script>'))
+    words = F.concat(F.lit('<meta name="keywords" content="nothing, '), F.col("language_hint"), F.lit(' one">'))
+    head = F.concat(F.when(k % 3 == 0, meta).otherwise(""), F.when(k % 3 == 1, crumb).otherwise(""), F.when(k % 2 == 0, words).otherwise(""))
+    context = F.when(k % 5 == 0, F.concat(F.lit("https://e.org/x/"), F.col("external_id"))).otherwise(F.col("url"))
+    return a.select(F.col("external_id").alias("page_id"), F.concat(F.lit("<html><head>"), head, F.lit("</head></html>")).alias("html"), context.alias("url"))
+
+
+def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = marked_pages(spark, sf_dir)
+    return taxonomy.page_sections(pages, feeds.page_signal_order(pages))
+
+
+def sitemap_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index for each source, of an index of its news months, which holds sitemaps; some name a document that has not landed."""
+    s = recent(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"))
+    at_ = lambda name: F.concat(F.lit("https://"), F.col("source"), F.lit(f".example.com/{name}.xml"))
+    index = lambda *names: F.concat(F.lit("<sitemapindex>"), *[element("sitemap", element("loc", at_(x))) for x in names], F.lit("</sitemapindex>"))
+    top = s.select(F.col("source").alias("doc_id"), index("news-index", "tag-all", "story-lost").alias("body"))
+    months = index("news-1", "news-2", "news-index", "post-3")
+    docs = s.select(F.explode(F.array(*[F.struct(at_(x).alias("url"), (months if x == "news-index" else element("urlset", F.lit(x))).alias("body")) for x in ("news-index", "news-1", "news-2", "post-3", "tag-all")])).alias("d")).select("d.*")
+    return feeds.expanded(top, docs).select("doc_id", "url")
+
+
+def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feed ids from the feeds of recent articles, which give every second one without an id another."""
+    a = recent(spark, sf_dir)
+    items = a.filter("event_id % 2 = 0").select("source", F.col("url").alias("link"), F.concat(F.lit("late-"), F.col("external_id")).alias("feed_id"))
+    return repair.stable_id_backfill(a, items)
+
+
+QUERIES = {"sc06_sitemap_tree": sitemap_tree, "sc07_page_sections": page_sections, "m12_stable_ids": stable_ids, "sc03_feed_items": feed_items, "sc04_sitemap_entries": sitemap_entries, "x_text_values": text_values}

@@ -5,7 +5,17 @@ from .oracle import ARTICLES, AS_OF, statement
 RECENT = "recent as (select * from articles where created_at >= TIMESTAMP '2024-01-18 00:00:00')"
 WHOLE = "date_trunc('second', publication_datetime)"
 
+RULE = "case language_hint when 'view' then 'world' when 'click' then 'sports' when 'purchase' then 'business' when 'signup' then 'tech' when 'error' then 'science' end"
+KIND = "case when event_id % 3 = 0 then 'meta' when event_id % 3 = 1 then 'breadcrumb' when event_id % 2 = 0 then 'keywords' when event_id % 5 <> 0 then 'context' else 'none' end"
+
 SQL = {
+    "sc06_sitemap_tree": statement("select source as doc_id, 'https://' || source || '.example.com/' || name || '.xml' as url from (select distinct source from recent), (values ('news-1'), ('news-2'), ('post-3')) v(name)", ARTICLES, RECENT),
+    "sc07_page_sections": statement(
+        f"""select external_id as page_id, case when kind = 'none' then 'others' else {RULE} end as section, kind, case kind when 'meta' then language_hint when 'breadcrumb' then language_hint || ' pages' when 'keywords' then language_hint || ' one' end as signal
+            from (select *, {KIND} as kind from recent)""",
+        ARTICLES, RECENT,
+    ),
+    "m12_stable_ids": statement("select external_id, 'late-' || external_id as stable_id from recent where stable_id is null and event_id % 2 = 0", ARTICLES, RECENT),
     "sc03_feed_items": statement(
         f"""select source as doc_id, rn - 1 as at, title, url as link, stable_id as feed_id, date as published_at, array_to_string(feed_categories, '|') as categories,
               array_to_string(list_filter([case when title = '' then 'title' end, 'description', case when date is null then 'published_at' end], lambda v: v is not null), '|') as missing

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,6 +68,29 @@ def spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A(spark, sf_dir).select("external_id", source.alias("source"), country.alias("source_country"))
 
 
+def sources_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources with country and publisher; some have a city in their name."""
+    s = fx.load(spark, sf_dir, "supplier")
+    city = F.when(F.col("s_suppkey") % 4 == 1, F.concat(F.lit(" Town"), (F.col("s_suppkey") % 6).cast("string"), F.lit(" Daily"))).otherwise("")
+    return s.select(F.concat(F.lit("src"), F.col("s_suppkey").cast("string"), city).alias("source"), F.concat(F.lit("C"), (F.col("s_suppkey") % 7).cast("string")).alias("country"), F.col("s_name").alias("publisher"), "s_suppkey")
+
+
+def seats_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places on every rung: (rung, name, country, lat, lon)."""
+    s = sources_of(spark, sf_dir)
+    k = F.col("s_suppkey")
+    rung = lambda rows, rung, name, lat: rows.select(F.lit(rung).alias("rung"), name.alias("name"), "country", lat.cast("double").alias("lat"), F.lit(1.5).alias("lon"))
+    lands = s.select("country").distinct()
+    n = F.substring("country", 2, 1).cast("int")
+    towns = lands.select("country", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("t"))
+    parts = [
+        rung(s.filter(k % 5 == 0), "headquarters", F.col("source"), k), rung(s.filter(k % 5 == 1), "publisher-headquarters", F.col("publisher"), k + 1000),
+        rung(towns, "inferred-city", F.concat(F.lit("Town"), F.col("t").cast("string")), F.col("t") + 2000), rung(s.filter(k % 3 == 0), "foreign-operated", F.col("publisher"), k + 3000),
+        rung(lands.filter(n % 2 == 0), "hub", F.lit(""), n + 4000), rung(lands.filter(n < 6), "country-fallback", F.lit(""), n + 5000),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 SEARCH = audit.NewsQuery(text="report 1", sections=["world, sports", "world"], hours=720, limit=50, offset=20)
 
 QUERIES: dict[str, Query] = {
@@ -137,6 +161,8 @@ QUERIES: dict[str, Query] = {
     "q55_parity": parity,
     **ingest.QUERIES,
     **landed.QUERIES,
+    "m12_signature_backfill": over(repair.signature_backfill, dated_urls, least=3, share=0.3),
+    "x36_located": lambda spark, sf_dir: repair.located(sources_of(spark, sf_dir), seats_of(spark, sf_dir)),
     "o04_search_estimate": over(audit.search_estimated, A, query=SEARCH, as_of=AS_OF),
     "f09_run_search": over(ops.run_table, R, as_of=AS_OF, hours=480, q="Src1", sort="failedRuns", limit=40, offset=10),
     "f09_no_wild_cards": over(ops.run_table, R, as_of=AS_OF, hours=480, q="src_"),

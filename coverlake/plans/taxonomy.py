@@ -26,6 +26,18 @@ TOPICS = [("desk one", ["k1", "k10", "k11"]), ("desk two", ["k2", "k20", "report
 PLACES = [("North", ["k1", "k2", "k3"]), ("South", ["k4", "k5"]), ("East", ["k6"])]
 
 
+def page_sections(pages: DataFrame, signals: DataFrame, source: str = "url", table: list | None = None) -> DataFrame:
+    """The section of each page (page_id and the column of its context) by the first signal that a rule of the table knows, in
+    the signals' order (page_id, rank, kind, place, signal); else by the words of its context; else others."""
+    rules = table or HIGH + MEDIUM
+    known = signals.withColumn("section", first_rule(F.lower("signal"), rules)).filter("section is not null")
+    first = known.groupBy("page_id").agg(F.min_by(F.struct("section", "kind", "signal"), F.struct("rank", "place")).alias("_first"))
+    context = first_rule(F.lower(F.coalesce(F.col(source), F.lit(""))), rules)
+    rows = pages.select("page_id", context.alias("_context")).join(first, "page_id", "left")
+    kind = F.when(F.col("_first").isNotNull(), F.col("_first.kind")).when(F.col("_context").isNotNull(), "context").otherwise("none")
+    return rows.select("page_id", F.coalesce("_first.section", "_context", F.lit("others")).alias("section"), kind.alias("kind"), F.col("_first.signal").alias("signal"))
+
+
 def has_word(text: Column, words: list[str]) -> Column:
     return text.rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(words)})(?![\p{{L}}\p{{N}}])")
 

@@ -114,6 +114,44 @@ def page_signals(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", section.alias("section"), tags.alias("categories"), F.coalesce(F.get_json_object(ld, "$.datePublished"), F.nullif(F.regexp_extract(h, r"""(?is)<time[^>]+datetime=["']([^"']*)["']""", 1), F.lit(""))).alias("date"))
 
 
+def expanded(index: DataFrame, documents: DataFrame, depth: int = 3, children: int = 4) -> DataFrame:
+    """(doc_id, url, body): the sitemaps that an index leads to among landed documents (url, body), followed through indexes of
+    indexes for so many levels; of each index the best so many children, and none twice for one doc_id.
+
+    Each level is one join; the levels are few and fixed.
+    """
+    level = index.select("doc_id", "body")
+    seen = index.select("doc_id", F.lit("").alias("url"))
+    out = None
+    best = W.partitionBy("doc_id").orderBy(F.desc("score"), F.desc_nulls_last("lastmod"), "loc")
+    for _ in range(depth):
+        named = sitemap_children(level).groupBy("doc_id", "loc").agg(F.max("score").alias("score"), F.max(F.nullif("lastmod", F.lit(""))).alias("lastmod"))
+        kept = named.withColumn("_rn", F.row_number().over(best)).filter(F.col("_rn") <= children).select("doc_id", F.col("loc").alias("url"))
+        found = kept.join(seen, ["doc_id", "url"], "left_anti").join(documents.select("url", "body"), "url").select("doc_id", "url", "body")
+        seen = seen.unionByName(found.select("doc_id", "url"))
+        is_index = F.size(elements(F.col("body"), "sitemap")) > 0
+        leaves = found.filter(~is_index)
+        out = leaves if out is None else out.unionByName(leaves)
+        level = found.filter(is_index).select("doc_id", "body")
+    return out
+
+
+def page_signal_order(pages: DataFrame) -> DataFrame:
+    """(page_id, kind, place, signal): what a page says of its section, in the order in which it counts: metadata and the
+    article's section, then breadcrumbs, then keywords."""
+    h = F.col("html")
+    ld = F.regexp_extract(h, LD, 1)
+    one = lambda c: F.filter(F.array(c), lambda x: x.isNotNull() & (F.trim(x) != ""))
+    many = lambda p: F.coalesce(F.from_json(F.get_json_object(ld, p), "array<string>"), one(F.get_json_object(ld, p)))
+    meta = one(F.regexp_extract(h, r"""(?is)<meta[^>]+property=["']article:section["'][^>]+content=["']([^"']*)["']""", 1))
+    crumbs = F.from_json(F.get_json_object(ld, "$.breadcrumb.itemListElement"), "array<struct<name:string,item:struct<name:string>>>")
+    words = F.split(F.regexp_extract(h, r"""(?is)<meta[^>]+name=["'](?:news_)?keywords["'][^>]+content=["']([^"']*)["']""", 1), r"\s*,\s*")
+    kinds = [("meta", F.concat(meta, many("$.articleSection"))), ("breadcrumb", F.transform(crumbs, lambda x: F.coalesce(x["name"], x["item"]["name"]))), ("keywords", F.concat(words, many("$.keywords")))]
+    each = F.array(*[F.struct(F.lit(k).alias("rank"), F.lit(kind).alias("kind"), F.coalesce(v, F.array().cast("array<string>")).alias("signals")) for k, (kind, v) in enumerate(kinds)])
+    rows = pages.select("page_id", F.explode(each).alias("k")).select("page_id", "k.rank", "k.kind", F.posexplode("k.signals").alias("place", "signal"))
+    return rows.withColumn("signal", F.trim("signal")).filter("signal <> ''")
+
+
 def collection_items(pages: DataFrame, limit: int = 50) -> DataFrame:
     """List entries of pages' JSON-LD item lists, the first of each address kept."""
     item = "array<struct<position:int,url:string,name:string,item:struct<url:string,name:string,datePublished:string>>>"
