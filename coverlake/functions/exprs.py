@@ -41,14 +41,18 @@ LOW_SIGNAL = [
 
 
 def low_signal() -> Column:
-    """One pattern for all titles; those of a source alone are tried on its own titles only."""
-    title = blank_to("title_original", "")
+    """The title is made once, as the argument of a function, for it may be an expression itself. One pattern serves all titles;
+    those of a source alone are tried on its own titles only."""
     every = "|".join(f"(?:{p})" for source, p in LOW_SIGNAL if source is None)
-    out = ~visible() | (title == F.coalesce("url", F.lit(""))) | title.ilike("http%") | title.rlike(f"(?i){every}")
-    for source, pattern in LOW_SIGNAL:
-        if source is not None:
-            out = out | F.coalesce(F.col("source").ilike(f"%{source}%"), F.lit(False)) & title.rlike(f"(?i){pattern}")
-    return out
+
+    def dull(title: Column) -> Column:
+        out = (title == F.coalesce("url", F.lit(""))) | title.ilike("http%") | title.rlike(f"(?i){every}")
+        for source, pattern in LOW_SIGNAL:
+            if source is not None:
+                out = out | F.coalesce(F.col("source").ilike(f"%{source}%"), F.lit(False)) & title.rlike(f"(?i){pattern}")
+        return out
+
+    return ~visible() | F.exists(F.array(F.coalesce("title_original", F.lit(""))), lambda t: dull(F.trim(t)))
 
 
 def share_bps(part: Column, whole: Column) -> Column:

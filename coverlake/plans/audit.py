@@ -150,26 +150,23 @@ def url_date(url: Column | str) -> Column:
     return F.nullif(F.regexp_replace(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+[^?#]*?/(20[0-9]{2}/(?:0[1-9]|1[0-2])/(?:[0-2][0-9]|3[01]))(?=/|[?#]|$)", 1), "/", "-"), F.lit(""))
 
 
-def similar_titles(legacy: DataFrame, canonical: DataFrame, least_overlap: int, containment: float, jaccard: float) -> DataFrame:
-    """(host, tokens) of both sides, distinct: pairs of like token sets of one host, with overlap, containment and jaccard.
+def similar_titles(rows: DataFrame, least_overlap: int, containment: float, jaccard: float) -> DataFrame:
+    """rows: host, tokens, legacy. (host, tokens, other_tokens) with overlap, containment and jaccard: pairs of like token sets of
+    one host, the first of legacy rows, the other of canonical ones.
 
     Two token sets with a Jaccard similarity of at least t share a token among the first n - ceil(t * n) + 1 of each, rarest
     first; so sets meet by host and rare token instead of in all pairs of a host.
     """
-    sets = legacy.withColumn("_old", F.lit(True)).unionByName(canonical.withColumn("_old", F.lit(False)))
-    each = sets.select("host", "tokens", "_old", F.explode("tokens").alias("token"))
-    common = each.groupBy("host", "token").agg(F.count("*").alias("_n"))
-    ordered = each.join(common, ["host", "token"]).groupBy("host", "tokens", "_old").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "token"))), lambda x: x["token"]).alias("_rare"))
+    each = rows.select("host", "tokens", "legacy").distinct().select("host", "tokens", "legacy", F.explode("tokens").alias("token"))
+    counted = each.withColumn("_n", F.count("*").over(W.partitionBy("host", "token")))
+    ordered = counted.groupBy("host", "tokens", "legacy").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "token"))), lambda x: x["token"]).alias("_rare"))
     n = F.size("_rare")
-    keyed = ordered.select("host", F.xxhash64("tokens").alias("_set"), "_old", F.explode(F.slice("_rare", 1, n - F.ceil(n * jaccard).cast("int") + 1)).alias("token"))
-    old = keyed.filter("_old").select("host", "token", F.col("_set").alias("_a"))
-    pairs = old.join(keyed.filter("not _old").select("host", "token", F.col("_set").alias("_b")), ["host", "token"]).select("host", "_a", "_b").distinct()
-    a = legacy.select("host", F.xxhash64("tokens").alias("_a"), "tokens")
-    b = canonical.select("host", F.xxhash64("tokens").alias("_b"), F.col("tokens").alias("other_tokens"))
-    both = pairs.join(a, ["host", "_a"]).join(b, ["host", "_b"])
+    keyed = ordered.select("host", "tokens", "legacy", F.explode(F.slice("_rare", 1, n - F.ceil(n * jaccard).cast("int") + 1)).alias("token"))
+    old, new = keyed.filter("legacy").drop("legacy"), keyed.filter("not legacy").select("host", "token", F.col("tokens").alias("other_tokens"))
+    pairs = old.join(new, ["host", "token"]).select("host", "tokens", "other_tokens").distinct()
     shared = F.size(F.array_intersect("tokens", "other_tokens"))
-    smaller, union = F.least(F.size("tokens"), F.size("other_tokens")), F.size(F.array_union("tokens", "other_tokens"))
-    scored = both.withColumn("overlap", shared).withColumn("containment", F.round(F.col("overlap") / smaller, 6)).withColumn("jaccard", F.round(F.col("overlap") / union, 6))
+    smaller, union = F.least(F.size("tokens"), F.size("other_tokens")), F.size("tokens") + F.size("other_tokens") - F.col("overlap")
+    scored = pairs.withColumn("overlap", shared).withColumn("containment", F.round(F.col("overlap") / smaller, 6)).withColumn("jaccard", F.round(F.col("overlap") / union, 6))
     return scored.filter((F.col("overlap") >= least_overlap) & (F.col("containment") >= containment) & (F.col("jaccard") >= jaccard))
 
 
@@ -185,8 +182,7 @@ def url_drift(articles: DataFrame, hours: int = 36, least_overlap: int = 4, cont
         "external_id", F.col("stable_id").isNull().alias("legacy"), F.lower(host(F.col("url"))).alias("host"), url_date("url").alias("day"), title_tokens(F.col("title_original")).alias("tokens"), F.unix_seconds(F.col("publication_datetime").cast("timestamp")).alias("at"),
     )
     rows = told.filter((F.size("tokens") >= least_overlap) & (F.col("host") != "") & F.col("at").isNotNull())
-    sets = lambda legacy: rows.filter(F.col("legacy") == legacy).select("host", "tokens").distinct()
-    pairs = similar_titles(sets(True), sets(False), least_overlap, containment, jaccard).select("host", "tokens", "other_tokens", "overlap", "containment", "jaccard")
+    pairs = similar_titles(rows, least_overlap, containment, jaccard)
     # an address without a date meets all; one with a date meets that date's and those without
     any_day, no_day = F.lit("any"), F.lit("none")
     ask = F.when(F.col("day").isNull(), F.array(any_day)).otherwise(F.array("day", no_day))

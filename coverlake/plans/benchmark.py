@@ -19,7 +19,7 @@ def effective() -> Column:
 def source_counts(articles: DataFrame, start: Column, end: Column, hour: Column | None = None) -> DataFrame:
     """Counts of each (country, source) in [start, end). An article counts if either clock is in the window; that filter
     reaches the scan, and holds all rows that any count needs."""
-    rows = articles.filter(~low_signal() & (within("created_at", start, end) | within("publication_datetime", start, end)))
+    rows = articles.filter((within("created_at", start, end) | within("publication_datetime", start, end)) & ~low_signal())
     seen, claimed = within("created_at", start, end), within(effective(), start, end)
     counts = [F.count_if(seen).alias("inserted"), F.count_if(claimed).alias("published"), F.count_if(seen & claimed).alias("fresh"), F.count_if(seen & (effective() < start)).alias("late")]
     if hour is not None:
