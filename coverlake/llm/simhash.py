@@ -11,9 +11,9 @@ blocks are pairs of least digests of the shingles, which such texts share in at
 million. Within a block every fingerprint is compared with every other. What is within the radius is only a candidate: the
 sets of shingles of each group of candidates meet again, and pairs are linked whose Jaccard similarity, counted out, suffices.
 
-A block is cut into tiles by bit total; pairs of tiles are compared in full with exclusive-or and bit counts. Two tiles whose
-bit totals differ by more than the radius are never dealt to a task, and within a pair parts that far apart are skipped. A pair
-of tiles returns a spanning star for each group it connects, and the stars are joined over the corpus.
+A block is cut into tiles in order of bit totals; pairs of tiles are compared in full with exclusive-or and bit counts. Tiles
+whose bit totals differ by more than the radius are never dealt to a task together, and within a pair parts that far apart are
+skipped. A pair of tiles returns a spanning star for each group it connects, and the stars are joined over the corpus.
 
 Scale: blocks have 2^32 keys and more each, so a block stays small while the corpus grows; one that does not (a large group
 of near copies) is spread over its pairs of tiles of at most about ``tile`` fingerprints. No task holds more than two tiles.
@@ -48,8 +48,6 @@ PART = 65536
 SALTS = 32
 #: Shingles in a tile of candidates, about.
 SHINGLES = 1 << 20
-#: Tiles are numbered from so many times the bit total of their members.
-TILES = 1 << 32
 #: Words of 64 bits in a fingerprint of a set of shingles.
 WORDS = 4
 QUARTERS = (0xFFFF, 0xFFFF << 16, 0xFFFF << 32, 0xFFFF << 48)
@@ -204,24 +202,23 @@ def bit_total(fp: str, words: int) -> Column:
 def links(blocks: DataFrame, radius: int, tile: int = 1024, words: int = 1) -> DataFrame:
     """blocks: fp, _block, _key, distinct. Edges (a, b): within their blocks, stars over all groups linked by the radius.
 
-    A block of up to ``tile`` members is one tile. In a larger one each bit total has its own tiles, and only those whose
-    totals are within the radius of each other meet.
+    The members of a block stand in order of their bit totals, and each run of about ``tile`` of them is a tile. A member goes
+    to the tiles that hold a total within the radius of its own.
     """
-    # only blocks with two members have pairs; a block has at most one entry in _parts for each bit total
+    # only blocks with two members have pairs; a block has at most one entry in _totals for each bit total
     counted = blocks.select("*", bit_total("fp", words).alias("_total"))
     parts = counted.groupBy("_block", "_key", "_total").agg(F.count("*").alias("_n"))
-    part = F.struct("_total", F.ceil(F.col("_n") / tile).cast("int").alias("_tiles"))
-    sizes = parts.groupBy("_block", "_key").agg(F.sum("_n").alias("_n"), F.collect_list(part).alias("_parts")).filter("_n > 1")
-    sizes = sizes.select("_block", "_key", F.when(F.col("_n") > tile, F.col("_parts")).alias("_parts"))
-    place = lambda total, k: total * F.lit(TILES) + k
-    own = F.filter("_parts", lambda p: p["_total"] == F.col("_total"))[0]["_tiles"]
-    near = F.filter("_parts", lambda p: F.abs(p["_total"] - F.col("_total")) <= radius)
-    others = F.flatten(F.transform(near, lambda p: F.transform(F.sequence(F.lit(0), p["_tiles"] - 1), lambda k: place(p["_total"].cast("long"), k))))
-    one = F.lit(0).cast("long")
-    member = counted.join(sizes, ["_block", "_key"]).select(
-        "fp", "_block", "_key", F.coalesce(place(F.col("_total").cast("long"), F.pmod(F.xxhash64("fp"), own)), one).alias("_tile"), F.coalesce(others, F.array(one)).alias("_others"),
-    )
-    return tiled(member, ["_block", "_key"], radius)
+    sizes = parts.groupBy("_block", "_key").agg(F.sum("_n").alias("_n"), F.array_sort(F.collect_list(F.struct("_total", "_n"))).alias("_totals")).filter("_n > 1")
+    before = lambda p: F.aggregate(F.filter("_totals", lambda q: q["_total"] < p["_total"]), F.lit(0).cast("long"), lambda s, q: s + q["_n"])
+    runs = F.transform("_totals", lambda p: F.struct(p["_total"].alias("total"), before(p).alias("first"), p["_n"].alias("n")))
+    sizes = sizes.select("_block", "_key", F.when(F.col("_n") > tile, runs).alias("_runs"))
+    own = F.filter("_runs", lambda r: r["total"] == F.col("_total"))[0]
+    near = F.filter("_runs", lambda r: F.abs(r["total"] - F.col("_total")) <= radius)
+    of = lambda place: F.floor(place / tile).cast("long")
+    others = F.sequence(of(near[0]["first"]), of(F.element_at(near, -1)["first"] + F.element_at(near, -1)["n"] - 1))
+    zero = F.lit(0).cast("long")
+    placed = counted.join(sizes, ["_block", "_key"]).select("fp", "_block", "_key", F.coalesce(of(own["first"] + F.pmod(F.xxhash64("fp"), own["n"])), zero).alias("_tile"), F.coalesce(others, F.array(zero)).alias("_others"))
+    return tiled(placed, ["_block", "_key"], radius)
 
 
 def verified(members: DataFrame, radius: int, similarity: float, size: int) -> DataFrame:
