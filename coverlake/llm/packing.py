@@ -9,7 +9,8 @@ Scale: a map without shuffle. A task packs blocks of about ``block`` ids, which
 a row, so the room lost at their ends is small.
 
 Edge cases: null text is empty and packs as its end id alone; null ids of documents stay null in doc_ids; repeated rows are
-packed each; a document of any length is cut without loss; an empty table gives no rows.
+packed each; a document of any length is cut without loss; ids of documents may be of any type; other columns do not go into
+packs, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 
 from .bpe import batches_of, load, merger
 
-SCHEMA = "pack_id long, ids binary, n_tokens int, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, doc_starts array<int>"
+#: Columns of a packed row; doc_ids are of the key's own type.
+SCHEMA = "pack_id long, ids binary, n_tokens int, cu_seqlens array<int>, position_resets array<int>, doc_ids array<{key}>, doc_starts array<int>"
 
 
 class Rooms:
@@ -88,8 +90,10 @@ def stored_ids(column: pa.Array) -> Iterator[np.ndarray]:
 def pack(tokens: DataFrame, *, capacity: int = 2048, end_id: int = 50256, vocabulary: int = 50257, key: str = "doc_id", ids: str = "ids", block: int = 2_000_000, ids_of: Callable[[pa.Array], Iterator[np.ndarray]] = stored_ids) -> DataFrame:
     """Packed rows of SCHEMA; ids are uint16 if the vocabulary allows, else uint32. ids_of reads them from the column."""
     kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
+    keyed = tokens.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{ids}`").alias("_ids"))
+    schema = SCHEMA.format(key=keyed.schema["_key"].dataType.simpleString())
 
-    def packed(docs: list, parts: list[np.ndarray], first: int) -> pa.RecordBatch:
+    def packed(docs: list, parts: list[np.ndarray], first: int, of_key: pa.DataType) -> pa.RecordBatch:
         rows = best_fit([len(x) for x in parts], capacity)
         out = {k: [] for k in ("pack_id", "ids", "n_tokens", "cu_seqlens", "position_resets", "doc_ids", "doc_starts")}
         for k, row in enumerate(rows):
@@ -97,13 +101,14 @@ def pack(tokens: DataFrame, *, capacity: int = 2048, end_id: int = 50256, vocabu
             values = (first + k, np.concatenate([parts[i][a:b] for i, a, b in row]).astype(kind).tobytes(), int(ends[-1]), [0, *ends.tolist()], [0, *ends[:-1].tolist()], [docs[i] for i, _, _ in row], [a for _, a, _ in row])
             for name, v in zip(out, values, strict=True):
                 out[name].append(v)
-        types = [pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+        types = [pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(of_key), pa.list_(pa.int32())]
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = TaskContext.get().partitionId() << 40
-        docs, parts, size = [], [], 0
+        docs, parts, size, of_key = [], [], 0, pa.int64()
         for b in batches:
+            of_key = b.column(0).type
             for doc, own in zip(b.column(0).to_pylist(), ids_of(b.column(1)), strict=True):
                 docs.append(doc)
                 closed = np.empty(len(own) + 1, dtype=kind)
@@ -111,13 +116,13 @@ def pack(tokens: DataFrame, *, capacity: int = 2048, end_id: int = 50256, vocabu
                 parts.append(closed)
                 size += len(parts[-1])
                 if size >= block:
-                    yield (out := packed(docs, parts, made))
+                    yield (out := packed(docs, parts, made, of_key))
                     made += out.num_rows
                     docs, parts, size = [], [], 0
         if parts:
-            yield packed(docs, parts, made)
+            yield packed(docs, parts, made, of_key)
 
-    return tokens.select(F.col(key).cast("long").alias("_key"), F.col(ids).alias("_ids")).mapInArrow(run, SCHEMA)
+    return keyed.mapInArrow(run, schema)
 
 
 def pack_documents(docs: DataFrame, path: str, *, text: str = "text", **how) -> DataFrame:

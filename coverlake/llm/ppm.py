@@ -16,8 +16,8 @@ whole. Of a larger one, the longest strings are, down to such a line, each with
 text has besides is looked up by joins: strings below the line with their probabilities, strings not in the trie, each once,
 with the counts of their ends in the stored levels. Ends of one or two bytes, the keys that many share, are fixed tables.
 
-Edge cases: null text is empty: it scores its end only; null or repeated ids are scored row by row; texts of any length are
-scored whole; without training texts all bytes are equally likely; an empty table gives an empty table.
+Edge cases: null text is empty: it scores its end only; null or repeated ids are scored row by row, and rows with a null id are
+of the training texts; input columns named like the results give way to them; texts of any length are scored whole; without training texts all bytes are equally likely; an empty table gives an empty table.
 """
 
 from __future__ import annotations

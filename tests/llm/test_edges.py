@@ -410,6 +410,20 @@ def test_packing(spark, docs):
     assert packing.pack_documents(docs.limit(0), PATH).collect() == []
 
 
+def test_packing_keys_and_columns(spark):
+    rows = [("a", "one two three", "x"), (None, "four", "y"), ("b", None, "z"), ("a", "one two three", "x")]
+    docs = spark.createDataFrame(rows, "name string, text string, pack_id string")
+    out = packing.pack_documents(docs, PATH, capacity=8, key="name").collect()
+    assert sorted((x or "") for r in out for x in r["doc_ids"]) == ["", "a", "a", "b"]
+    assert all(isinstance(r["pack_id"], int) for r in out)
+
+
+def test_chat_columns(spark):
+    df = spark.createDataFrame([(1, 0, "user", "u", "f", "s"), (1, 1, "assistant", "a", "f", "s")], "conv_id long, turn long, role string, text string, formatted string, _opening string")
+    plain, more = chat.conversations(df.select("conv_id", "turn", "role", "text")), chat.conversations(df)
+    assert plain.columns == more.columns and plain.collect() == more.collect()
+
+
 def test_best_fit():
     for _ in range(100):
         capacity = rng.randrange(1, 40)
