@@ -217,7 +217,8 @@ class Merger:
         self.added = model["added"]
         self.table = Table(self.keys.astype(np.uint64))
         self.scalar = dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True))
-        self.of_bytes = self.rank(np.repeat(self.first, 256), np.tile(self.first, 256)).reshape(256, 256)
+        n = len(self.first)
+        self.of_bytes = self.rank(np.repeat(self.first, n), np.tile(self.first, n)).reshape(n, n)
         self.kind = kinds()
         self.special = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.pieces = Remembered()
