@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, chat, extraction, mixing, packing, ppm, quality, secrets, simhash
+from . import audio, binpack, bpe, chat, extraction, lexical, mixing, packing, phrases, ppm, quality, secrets, simhash
 from .common import stored, table
 from .sql import ORACLE
 
 VOCABULARY = "byte_bpe_50k.json"
+WORD_VOCABULARY = "word_bpe_49k.json"
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,5 +87,22 @@ def op10_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(VOCABULARY))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_lm_score, op3_secret_scan, op4_extract_html, op5_bpe, op6_telephony_audio, op7_quality_rules, op8_chat_format, op9_simhash, op10_pack_tokens)}
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def op12_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = binpack.pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(WORD_VOCABULARY))
+    packed = binpack.pack(stored(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_mix_sources, op2_lm_score, op3_secret_scan, op4_extract_html, op5_bpe, op6_telephony_audio, op7_quality_rules, op8_chat_format, op9_simhash, op10_pack_tokens, op11_lexical_search, op12_bin_packing, op13_collocations)
+}
 __all__ = ["ORACLE", "QUERIES"]

@@ -72,4 +72,47 @@ from checked group by conv_id
 """
 CHAT = CHAT.replace("cast(sum(length(text)) filter (where role = 'assistant') as bigint)", "cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint)")
 
-ORACLE: dict[str, str] = {"op1_mix_sources": MIX, "op3_secret_scan": SECRETS, "op8_chat_format": CHAT}
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SEARCH = f"""
+with docs as (select row_number() over () as place, doc_id, regexp_extract_all(translate(text, '{CAPITALS}', '{SMALL}'), '{TERM}') as terms from documents),
+each as (select place, doc_id, len(terms) as n, unnest(terms) as term from docs),
+total as (select count(*) as docs, sum(len(terms)) as length from docs where len(terms) > 0),
+postings as (select place, doc_id, n, term, count(*) as tf from each group by all),
+asked as (select item_id, unnest(regexp_extract_all(translate(text, '{CAPITALS}', '{SMALL}'), '{TERM}')) as term from benchmark),
+wanted as (select item_id, term, count(*) as times from asked group by all),
+weights as (select term, cast(floor(1000 * ln((2.0::double * any_value(docs) + 2) / (2.0::double * count(*) + 1))) as bigint) as w from postings, total group by term),
+scores as (
+  select item_id, place, doc_id, cast(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * docs) // length))))) as bigint) as score
+  from postings join weights using (term) join wanted using (term), total group by all
+),
+ranked as (select *, cast(row_number() over (partition by item_id order by score desc, doc_id nulls last, place) as int) as rank from scores where score > 0)
+select item_id, rank, doc_id, score from ranked where rank <= 10
+"""
+
+COLLOCATIONS = f"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, row_number() over () as doc, unnest(string_split_regex(translate(coalesce(text, ''), '{CAPITALS}', '{SMALL}'), '[.,;:!?\x0A-\x0D]')) as piece from documents
+),
+numbered as (select lang, row_number() over () as id, regexp_extract_all(piece, '[^\x20\x09]+') as words from pieces),
+total as (select lang, cast(sum(len(words)) as bigint) as n from numbered group by lang),
+sizes as (select unnest([1, 2, 3, 4]) as words),
+found as (select lang, s.words, array_to_string(list_slice(p.words, i, i + s.words - 1), ' ') as phrase from (select lang, words, unnest(range(1, len(words) + 1)) as i from numbered) p, sizes s where i + s.words - 1 <= len(p.words)),
+frequent as (select lang, phrase, words, count(*) as f from found group by all having count(*) >= 30),
+cuts as (select lang, phrase, f as a, string_split(phrase, ' ') as w, unnest(range(1, words)) as k from frequent where words > 1),
+parts as (select lang, phrase, a, k, array_to_string(w[1:k], ' ') as lp, array_to_string(w[k + 1:], ' ') as rp from cuts),
+scored as (
+  select p.lang, p.phrase, p.a, k, x.f as l, y.f as r, cast((2000000 * cast(a as hugeint)) // (x.f + y.f) as bigint) as score
+  from parts p join frequent x on x.lang = p.lang and x.phrase = lp join frequent y on y.lang = p.lang and y.phrase = rp
+),
+weakest as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+longer as (select lang, f, string_split(phrase, ' ') as w, words from frequent where words > 2),
+held as (select lang, array_to_string(w[i:i + s.words - 1], ' ') as phrase, max(f) as most from (select *, unnest(range(1, words + 1)) as i from longer) l, sizes s where s.words between 2 and l.words - 1 and i + s.words - 1 <= l.words group by 1, 2),
+ranked as (
+  select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+  from weakest left join held using (lang, phrase) join total using (lang) where most is null or 100 * cast(most as hugeint) < 80 * cast(a as hugeint)
+)
+select * from ranked where rank <= 2000
+"""
+
+ORACLE: dict[str, str] = {"op1_mix_sources": MIX, "op3_secret_scan": SECRETS, "op8_chat_format": CHAT, "op11_lexical_search": SEARCH, "op13_collocations": COLLOCATIONS}

@@ -9,7 +9,7 @@ from coverlake.llm.queries import ORACLE, QUERIES
 @pytest.mark.parametrize("name", list(ORACLE))
 def test_sql(spark, sf_dir, name):
     c = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "benchmark"):
         c.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     df, out = QUERIES[name](spark, sf_dir), c.sql(ORACLE[name])
     order = sorted(df.columns)
