@@ -93,17 +93,6 @@ def sitemap_entries(documents: DataFrame, limit: int = 12) -> DataFrame:
     return ranked.filter(F.col("rank") <= limit).select("doc_id", "rank", "link", "title", "published_at")
 
 
-def sitemap_children(documents: DataFrame) -> DataFrame:
-    """Children of sitemap indexes with a score: news first, utility pages last; what scores above 0, else all."""
-    blocks = documents.select("doc_id", F.posexplode(elements(F.col("body"), "sitemap")).alias("at", "body"))
-    rows = blocks.select("doc_id", "at", tag(F.col("body"), "loc").alias("loc"), tag(F.col("body"), "lastmod").alias("lastmod"))
-    low = F.lower("loc")
-    score = F.when(low.rlike("news"), 600).otherwise(0) + F.when(low.rlike("video"), 520).otherwise(0) + F.when(low.rlike("post|article|content|story"), 180).otherwise(0) - F.when(low.rlike("tag|author|category|page|image"), 420).otherwise(0)
-    scored = rows.withColumn("score", score)
-    best = W.partitionBy("doc_id")
-    return scored.withColumn("_best", F.max("score").over(best)).filter((F.col("_best") <= 0) | (F.col("score") > 0)).drop("_best")
-
-
 def page_signals(pages: DataFrame) -> DataFrame:
     """Categories and section that pages name, from meta elements and JSON-LD."""
     h = F.col("html")
@@ -114,28 +103,6 @@ def page_signals(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", section.alias("section"), tags.alias("categories"), F.coalesce(F.get_json_object(ld, "$.datePublished"), F.nullif(F.regexp_extract(h, r"""(?is)<time[^>]+datetime=["']([^"']*)["']""", 1), F.lit(""))).alias("date"))
 
 
-def expanded(index: DataFrame, documents: DataFrame, depth: int = 3, children: int = 4) -> DataFrame:
-    """(doc_id, url, body): the sitemaps that an index leads to among landed documents (url, body), followed through indexes of
-    indexes for so many levels; of each index the best so many children, and none twice for one doc_id.
-
-    Each level is one join; the levels are few and fixed.
-    """
-    level = index.select("doc_id", "body")
-    seen = index.select("doc_id", F.lit("").alias("url"))
-    out = None
-    best = W.partitionBy("doc_id").orderBy(F.desc("score"), F.desc_nulls_last("lastmod"), "loc")
-    for _ in range(depth):
-        named = sitemap_children(level).groupBy("doc_id", "loc").agg(F.max("score").alias("score"), F.max(F.nullif("lastmod", F.lit(""))).alias("lastmod"))
-        kept = named.withColumn("_rn", F.row_number().over(best)).filter(F.col("_rn") <= children).select("doc_id", F.col("loc").alias("url"))
-        found = kept.join(seen, ["doc_id", "url"], "left_anti").join(documents.select("url", "body"), "url").select("doc_id", "url", "body")
-        seen = seen.unionByName(found.select("doc_id", "url"))
-        is_index = F.size(elements(F.col("body"), "sitemap")) > 0
-        leaves = found.filter(~is_index)
-        out = leaves if out is None else out.unionByName(leaves)
-        level = found.filter(is_index).select("doc_id", "body")
-    return out
-
-
 def page_signal_order(pages: DataFrame) -> DataFrame:
     """(page_id, kind, place, signal): what a page says of its section, in the order in which it counts: metadata and the
     article's section, then breadcrumbs, then keywords."""

@@ -27,12 +27,6 @@ def test_sitemaps(spark):
     assert rows[0]["title"] == "New story"
 
 
-def test_sitemap_index(spark):
-    body = "<sitemapindex><sitemap><loc>https://e.org/news.xml</loc></sitemap><sitemap><loc>https://e.org/tag.xml</loc></sitemap></sitemapindex>"
-    rows = feeds.sitemap_children(spark.createDataFrame([(1, body)], "doc_id long, body string")).collect()
-    assert [r["loc"] for r in rows] == ["https://e.org/news.xml"]
-
-
 def test_pages(spark):
     ld = json.dumps({"articleSection": "Sport", "datePublished": "2024-01-01", "itemListElement": [{"position": 1, "url": "u1", "name": "n1"}, {"position": 2, "item": {"url": "u2", "name": "n2"}}, {"position": 3, "url": "u1", "name": "again"}]})
     html = f'<head><meta property="article:tag" content="x"><meta property="article:tag" content="y"><script type="application/ld+json">{ld}</script></head>'
