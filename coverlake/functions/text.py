@@ -7,48 +7,48 @@ import re
 import unicodedata
 from datetime import datetime, timezone
 from email.utils import parsedate_to_datetime
-from urllib.parse import SplitResult, parse_qsl, quote, unquote, urlencode, urlsplit, urlunsplit
+from urllib.parse import unquote
 from zoneinfo import ZoneInfo
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import whatwg
+
 #: Parameters that only track, and offsets of zone names.
 TRACKING = {"utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_id", "gclid", "fbclid", "ocid", "cmpid", "ref", "output"}
 ZONES = {"BST": "+0100", "CET": "+0100", "CEST": "+0200", "EET": "+0200", "EEST": "+0300", "MSD": "+0400", "MSK": "+0300", "WEST": "+0100", "WET": "+0000"}
-PORTS = {"https": 443, "http": 80}
 
 
-def split_url(text: str | None) -> SplitResult | None:
-    """The parts of an address; None if it is none that can be read."""
+def parsed(text: str | None) -> whatwg.Url | None:
     try:
-        u = urlsplit(text or "")
-        u.port  # noqa: B018  a wrong port shows only when asked for
+        return whatwg.parse(text or "")
     except ValueError:
         return None
-    return u
 
 
 def clean_url(link: str | None) -> str:
     """One form of an address: no fragment, tracking or default port; parameters sorted; search redirects unwrapped twice."""
     text = re.sub("&amp;", "&", (link or "").strip(), flags=re.I)
+    target = text
     for _ in range(2):
-        u = split_url(text)
-        if u is None or not ((u.hostname or "").endswith("bing.com") and "/news/apiclick.aspx" in u.path):
+        u = parsed(target)
+        if u is None or not ((u.host or "").endswith("bing.com") and "/news/apiclick.aspx" in u.path):
             break
-        inner = dict(parse_qsl(u.query)).get("url")
-        if not inner or inner == text:
+        inner = dict(reversed(whatwg.pairs(u.query))).get("url")
+        if not inner or unquote(inner) == target:
             break
-        text = inner
-    u = split_url(text)
-    if u is None or not u.scheme or not u.hostname:
+        target = re.sub("&amp;", "&", unquote(inner), flags=re.I)
+    u = parsed(target)
+    if u is None:
         return text.rstrip("/")
-    port = u.port
-    kept = sorted((k, v) for k, v in parse_qsl(u.query, keep_blank_values=True) if not k.lower().startswith("utm_") and k.lower() not in TRACKING)
-    place = u.hostname + (f":{port}" if port and PORTS.get(u.scheme) != port else "")
-    path = u.path.rstrip("/") if u.path not in ("", "/") else "/"
-    return urlunsplit((u.scheme, place, quote(path, safe="/%:@!$&'()*+,;=~-._"), urlencode(kept), ""))
+    kept = [(k, v) for k, v in whatwg.pairs(u.query) if not k.lower().startswith("utm_") and k.lower() not in TRACKING]
+    kept.sort(key=lambda kv: (whatwg.order(kv[0]), whatwg.order(kv[1])))
+    u.fragment, u.query = None, whatwg.written(kept) or None
+    if u.path != "/" and u.host is not None:
+        u.path = u.path.rstrip("/") or "/"
+    return str(u)
 
 
 @F.pandas_udf(T.StringType())
@@ -65,8 +65,8 @@ def feed_id(ids: pd.Series, links: pd.Series) -> pd.Series:
         if not text:
             return ""
         text = clean_url(text) if re.match("https?://", text, re.I) else " ".join(unicodedata.normalize("NFKC", text).split())[:512]
-        u = split_url(clean_url(link)) if link else None
-        host = u.hostname if u else None
+        u = parsed(clean_url(link)) if link else None
+        host = u.host if u else None
         return f"feed:{host}:{text}" if host else f"feed:{text}"
 
     return pd.Series([one(v, x) for v, x in zip(ids, links, strict=True)])
@@ -110,12 +110,19 @@ def slug_words(segment: str) -> list[str]:
     return [x for w in words for x in w.split()]
 
 
+def coded(word: str) -> bool:
+    """Whether one word of a segment only numbers an item."""
+    name = word.rstrip("0123456789")
+    digits = len(word) - len(name)
+    numbered = not name or name == "a" and digits >= 6 or name in ("art", "audio") and digits > 0 or name == "story" and digits == 8
+    return numbered or len(word) == 32 and all(c in "0123456789abcdef" for c in word) or word.startswith("cision") and len(word) > 6
+
+
 def tells(words: list[str]) -> bool:
     """Whether words of a segment are more than numbers, codes and names of parts of a site."""
     if len(words) == 1:
         word = words[0].lower()
-        coded = any(c.isdigit() for c in word) or word.startswith("cision")
-        return not coded and word not in PLACES
+        return not coded(word) and word not in PLACES
     return any(w.isalpha() and w.lower() not in NUMBERED for w in words)
 
 
@@ -124,7 +131,7 @@ def title_from_link(links: pd.Series) -> pd.Series:
     """The words of the last path segment that tells something, as a sentence; empty without one."""
 
     def one(link: str | None) -> str:
-        u = split_url(link)
+        u = parsed(link)
         told = (w for w in map(slug_words, reversed(u.path.split("/") if u else [])) if w and tells(w))
         text = " ".join(next(told, []))
         return text[:1].upper() + text[1:]
