@@ -12,47 +12,92 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .stages import stored
+
 #: Fixed values of the circuit breaker: failures in a row and days.
 POLICY = {"temporary_after": 2, "temporary_days": 7, "permanent_404_after": 3, "permanent_days": 30}
 DAY = 86_400_000_000
 
 
-def greedy_order(titles: DataFrame) -> DataFrame:
+def greedy_order(titles: DataFrame, candidates: int = 256) -> DataFrame:
     """(network, source, title): the order in which sources add most titles that no earlier source of the network has.
 
     Of equal additions the source with more titles goes first, then the first by name.
 
-    All that matters of a title is which sources have it. Spark brings titles together, then counts them by that set of
-    sources; the greedy rounds, which depend on each other, run on these counts only.
+    All that matters of a title is which sources have it, so titles are counted by their set of sources. Then each round takes
+    the most promising sources of each network, ``candidates`` of them, and what the sets that are left hold of these only. A
+    network's greedy steps on that are right as long as the best candidate is ahead of the best other source, since what a
+    source adds can only fall; so a round fixes one source at least and mostly many. No task holds more than the sets of
+    candidates that occur together; all sets are dealt out.
     """
     of_title = titles.filter("source is not null").groupBy("network", "title").agg(F.array_sort(F.collect_set("source")).alias("sources"))
-    counts = of_title.groupBy("network", "sources").agg(F.count("*").alias("n"))
-
-    def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        lift, total, held = defaultdict(int), defaultdict(int), defaultdict(list)
-        sets = list(zip(pdf["sources"], pdf["n"].tolist(), strict=True))
-        for k, (own, n) in enumerate(sets):
-            for s in own:
-                lift[s] += n
-                total[s] += n
-                held[s].append(k)
-        heap = [(-n, -n, s) for s, n in lift.items()]
-        heapq.heapify(heap)
-        covered, out = [False] * len(sets), []
-        while heap:
-            gain, n, best = heapq.heappop(heap)
-            if -gain != lift[best]:  # it fell since; lifts only fall
-                heapq.heappush(heap, (-lift[best], n, best))
-                continue
-            out.append((pdf["network"].iloc[0], best, len(out) + 1, -gain, gain - n))
-            for k in held[best]:
-                if not covered[k]:
-                    covered[k] = True
-                    for s in sets[k][0]:
-                        lift[s] -= sets[k][1]
-        return pd.DataFrame(out, columns=["network", "source", "rank", "lift", "duplicates"])
-
-    return counts.groupBy("network").applyInPandas(order, "network string, source string, rank long, lift long, duplicates long")
+    counts = of_title.groupBy("network", "sources").agg(F.count("*").alias("n")).select("*", F.monotonically_increasing_id().alias("_set"))
+    left = stored(counts)
+    each = left.select("network", F.explode("sources").alias("source"), "n")
+    waiting = stored(each.groupBy("network", "source").agg(F.sum("n").alias("total")))
+    done, rank = None, waiting.select("network").distinct().withColumn("_from", F.lit(0).cast("long"))
+    while True:
+        lifts = left.select("network", F.explode("sources").alias("source"), "n").groupBy("network", "source").agg(F.sum("n").alias("lift"))
+        lifts = lifts.select(F.col("network").alias("_network"), F.col("source").alias("_source"), "lift")
+        known = waiting.join(lifts, F.col("network").eqNullSafe(F.col("_network")) & (F.col("source") == F.col("_source")), "left").select("network", "source", "total", F.coalesce("lift", F.lit(0).cast("long")).alias("lift"))
+        order = W.partitionBy("network").orderBy(F.desc("lift"), F.desc("total"), F.asc("source"))
+        top = stored(known.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= candidates + 1))
+        if not top.limit(1).count():
+            break
+        own = top.filter(F.col("_rn") <= candidates).select(F.col("network").alias("_network"), F.col("source").alias("_source"))
+        held = left.select("network", "_set", "n", F.explode("sources").alias("source")).join(own, F.col("network").eqNullSafe(F.col("_network")) & (F.col("source") == F.col("_source")))
+        of_set = held.groupBy("network", "_set", "n").agg(F.array_sort(F.collect_list("source")).alias("sources"))
+        sets = of_set.groupBy("network", "sources").agg(F.sum("n").alias("n")).select("network", "sources", "n", F.lit(0).cast("long").alias("total"), F.lit(False).alias("last"))
+        rows = sets.unionByName(top.select("network", F.array("source").alias("sources"), F.col("lift").alias("n"), "total", (F.col("_rn") > candidates).alias("last")))
+        picked = stored(rows.groupBy("network").applyInPandas(steps, "network string, source string, place long, lift long, total long"))
+        now = picked.join(rank.withColumnRenamed("network", "_network"), F.col("network").eqNullSafe(F.col("_network"))).select("network", "source", (F.col("_from") + F.col("place")).alias("rank"), "lift", (F.col("total") - F.col("lift")).alias("duplicates"))
+        done = now if done is None else done.unionByName(now)
+        rest = waiting.join(picked.select(F.col("network").alias("_network"), F.col("source").alias("_source")), F.col("network").eqNullSafe(F.col("_network")) & (F.col("source") == F.col("_source")), "left_anti")
+        waiting = stored(rest)
+        if not waiting.limit(1).count():
+            break
+        names = picked.groupBy(F.col("network").alias("_network")).agg(F.collect_set("source").alias("_picked"), F.max("place").alias("_more"))
+        beside = F.col("network").eqNullSafe(F.col("_network"))
+        left = stored(left.join(names, beside, "left").filter(~F.coalesce(F.arrays_overlap("sources", "_picked"), F.lit(False))).select("network", "sources", "n", "_set"))
+        rank = stored(rank.join(names, beside, "left").select("network", (F.col("_from") + F.coalesce("_more", F.lit(0).cast("long"))).alias("_from")))
+    empty = waiting.sparkSession.createDataFrame([], "network string, source string, rank long, lift long, duplicates long")
+    return done if done is not None else empty
+
+
+def steps(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A network's greedy steps among candidates. pdf: sets of candidates with their number n (total 0), then a row for each
+    candidate with what it adds (n) and its total, and one (last) for the best source that is no candidate."""
+    network = pdf["network"].iloc[0]
+    sets, total, bound = [], {}, None
+    for own, n, whole, last in zip(pdf["sources"], pdf["n"].tolist(), pdf["total"].tolist(), pdf["last"].tolist(), strict=True):
+        if last:
+            bound = (-n, -whole, own[0])
+        elif whole:
+            total[own[0]] = whole
+        else:
+            sets.append((own, n))
+    lift, held = defaultdict(int), defaultdict(list)
+    for k, (own, n) in enumerate(sets):
+        for s in own:
+            lift[s] += n
+            held[s].append(k)
+    heap = [(-lift[s], -n, s) for s, n in total.items()]
+    heapq.heapify(heap)
+    covered, out = [False] * len(sets), []
+    while heap:
+        gain, n, best = heapq.heappop(heap)
+        if -gain != lift[best]:  # it fell since; lifts only fall
+            heapq.heappush(heap, (-lift[best], n, best))
+            continue
+        if bound is not None and (gain, n, best) > bound:
+            break
+        out.append((network, best, len(out) + 1, -gain, -n))
+        for k in held[best]:
+            if not covered[k]:
+                covered[k] = True
+                for s in sets[k][0]:
+                    lift[s] -= sets[k][1]
+    return pd.DataFrame(out, columns=["network", "source", "place", "lift", "total"])
 
 
 def syndication_clusters(items: DataFrame, hours: int = 36) -> DataFrame:
@@ -116,9 +161,11 @@ def breaker_states(attempts: DataFrame) -> DataFrame:
     between failures that disable, those that tell nothing move the date whenever it has passed, in a fold over their times.
     """
     order = W.partitionBy("outlet_id").orderBy("ran_at", "id")
+    # attempts are read once, and the failures that matter are kept for all that is taken from them
+    attempts = stored(attempts.select("outlet_id", "ran_at", "id", "ok", "failure", "duplicate"))
     last = attempts.filter("ok").groupBy("outlet_id").agg(F.max(F.struct("ran_at", "id")).alias("_last"))
     now = F.struct("ran_at", "id")
-    failed = attempts.join(last, "outlet_id", "left").filter(~F.col("ok") & (F.col("_last").isNull() | (now > F.col("_last"))))
+    failed = stored(attempts.join(last, "outlet_id", "left").filter(~F.col("ok") & (F.col("_last").isNull() | (now > F.col("_last")))).drop("_last"))
     rows = failed.select("outlet_id", "ran_at", "id", F.col("failure.kind").alias("kind"), F.col("failure.reason").alias("reason"), F.coalesce("duplicate", F.lit(False)).alias("duplicate"), F.row_number().over(order).alias("_k"))
     permanent = (F.col("kind") == "permanent") | (F.col("reason") == "http_404") & (F.col("duplicate") | (F.col("_k") >= POLICY["permanent_404_after"]))
     status = F.when(permanent, "disabled_permanent").when((F.col("kind") == "temporary") & (F.col("_k") >= POLICY["temporary_after"]), "disabled_temporary")

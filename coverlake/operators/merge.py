@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import blank_to
 from ..functions.scalars import sanitized, truncated
+from .stages import delete
 
 NONE = "array<string>"
 
@@ -144,7 +145,7 @@ def replace_partitions(rows: DataFrame, path: str, keys: list[str]) -> None:
 def merge_into(incoming: DataFrame, path: str, buckets: int = 64) -> None:
     """Upsert into a table stored by bucket of the article's id: only buckets that occur in the batch are rewritten.
 
-    The result is staged first, so a lost batch can be run again.
+    The result is staged first, so a lost batch can be run again; the staged copy goes when the table is whole.
     """
     spark = incoming.sparkSession
     bucket = F.pmod(F.xxhash64("external_id"), F.lit(buckets)).cast("int")
@@ -161,3 +162,4 @@ def merge_into(incoming: DataFrame, path: str, buckets: int = 64) -> None:
     staged = f"{path}.staged"
     merged.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(staged)
     replace_partitions(spark.read.parquet(staged), path, ["bucket"])
+    delete([staged])

@@ -158,7 +158,8 @@ def similar_titles(rows: DataFrame, least_overlap: int, containment: float, jacc
     first; so sets meet by host and rare token instead of in all pairs of a host.
     """
     each = rows.select("host", "tokens", "legacy").distinct().select("host", "tokens", "legacy", F.explode("tokens").alias("token"))
-    counted = each.withColumn("_n", F.count("*").over(W.partitionBy("host", "token")))
+    # a word of a large host is counted in parts, not sorted in one place
+    counted = each.join(each.groupBy("host", "token").agg(F.count("*").alias("_n")), ["host", "token"])
     ordered = counted.groupBy("host", "tokens", "legacy").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "token"))), lambda x: x["token"]).alias("_rare"))
     n = F.size("_rare")
     keyed = ordered.select("host", "tokens", "legacy", F.explode(F.slice("_rare", 1, n - F.ceil(n * jaccard).cast("int") + 1)).alias("token"))
@@ -175,8 +176,9 @@ def url_drift(articles: DataFrame, hours: int = 36, least_overlap: int = 4, cont
     and on one date if the addresses of both tell one. Best by containment, then Jaccard similarity, then the gap in time.
 
     Titles are compared as distinct token sets of a host, never as articles. For each pair of sets an article then finds the
-    nearest publication before and after its own by a window over both sides in order of time, so articles of one repeated title
-    do not meet in pairs. Of equally near ones the first by id counts.
+    nearest publication before and after its own by windows over both sides in order of time, so articles of one repeated title
+    do not meet in pairs. A window holds a span of time as long as the band: an article looks into its own span and those beside
+    it, so all of one title are never in one place. Of equally near ones the first by id counts.
     """
     told = articles.filter(F.col("source").startswith(source_prefix)).select(
         "external_id", F.col("stable_id").isNull().alias("legacy"), F.lower(host(F.col("url"))).alias("host"), url_date("url").alias("day"), title_tokens(F.col("title_original")).alias("tokens"), F.unix_seconds(F.col("publication_datetime").cast("timestamp")).alias("at"),
@@ -190,9 +192,10 @@ def url_drift(articles: DataFrame, hours: int = 36, least_overlap: int = 4, cont
     offers = rows.filter("not legacy").select("host", F.col("tokens").alias("other_tokens"), F.explode(F.array(any_day, F.coalesce("day", no_day))).alias("day"), "at", "external_id")
     offered = offers.groupBy("host", "other_tokens", "day", "at").agg(F.min("external_id").alias("found"))
     none = {c: F.lit(None).cast(t) for c, t in left.dtypes if c in ("external_id", "overlap", "containment", "jaccard")}
-    both = left.unionByName(offered.withColumns(none))
-    order = W.partitionBy("host", "other_tokens", "day").orderBy("at", F.col("found").isNull())
-    reverse = W.partitionBy("host", "other_tokens", "day").orderBy(F.desc("at"), F.col("found").isNull())
+    span = F.floor(F.col("at") / max(hours * 3600, 1))
+    both = left.withColumn("span", F.explode(F.sequence(span - 1, span + 1))).unionByName(offered.withColumns(none).withColumn("span", span))
+    group = W.partitionBy("host", "other_tokens", "day", "span")
+    order, reverse = group.orderBy("at", F.col("found").isNull()), group.orderBy(F.desc("at"), F.col("found").isNull())
     candidate = F.when(F.col("found").isNotNull(), F.struct("at", "found"))
     near = both.withColumn("_before", F.last(candidate, True).over(order)).withColumn("_after", F.last(candidate, True).over(reverse)).filter("external_id is not null")
     each = near.select("external_id", "at", "overlap", "containment", "jaccard", F.explode(F.array("_before", "_after")).alias("c")).filter("c is not null")

@@ -85,6 +85,29 @@ def test_greedy_order(spark):
     assert [(r["source"], r["lift"], r["duplicates"]) for r in got] == [("a", 4, 0), ("c", 3, 0), ("b", 0, 3)]
 
 
+@pytest.mark.parametrize("candidates", [1, 3, 256])
+def test_greedy_order_against_plain_steps(spark, candidates):
+    import random
+
+    rng = random.Random(4)
+    rows = {(network, f"s{int(rng.triangular(0, 14, 2))}", f"t{rng.randint(0, 60)}") for network in ("n", "m", None) for _ in range(150)} | {("one", "only", "t"), ("n", None, "t0"), ("n", "s1", None)}
+    want = []
+    for network in ("n", "m", None, "one"):
+        own = {}
+        for n, s, t in rows:
+            if n == network and s is not None:
+                own.setdefault(s, set()).add(t)
+        covered, rank = set(), 0
+        while own:
+            best = min(own, key=lambda s: (-len(own[s] - covered), -len(own[s]), s))
+            rank, new = rank + 1, len(own[best] - covered)
+            want.append((network, best, rank, new, len(own[best]) - new))
+            covered |= own.pop(best)
+    df = spark.createDataFrame(sorted(rows, key=repr), "network string, source string, title string")
+    assert sorted(map(tuple, folds.greedy_order(df, candidates).collect()), key=repr) == sorted(want, key=repr)
+    assert folds.greedy_order(df.limit(0), candidates).collect() == []
+
+
 def test_clusters(spark):
     hours = [0, 30, 60, 100]
     rows = [("n", "f", str(h), T + datetime.timedelta(hours=h)) for h in hours]
