@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import at
 from ..sources import fixtures as fx
 from ..sources.fixtures import AS_OF
-from . import audit, audit_sql, benchmark, benchmark_sql, coverage, coverage_sql, dashboard, dashboard_sql, dossier, dossier_sql, ingest, ingest_sql, landed, landed_sql, lanes, lanes_sql, ops, ops_sql, repair, repair_sql, tables, tables_sql, taxonomy, taxonomy_sql, urls, urls_sql
+from . import audit, audit_sql, benchmark, benchmark_sql, coverage, coverage_sql, dashboard, dashboard_sql, dossier, dossier_sql, endpoints, endpoints_sql, ingest, ingest_sql, landed, landed_sql, lanes, lanes_sql, ops, ops_sql, repair, repair_sql, replays, replays_sql, ruled, ruled_sql, tables, tables_sql, taxonomy, taxonomy_sql, urls, urls_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 DAY = "2024-01-19"
@@ -161,6 +161,9 @@ QUERIES: dict[str, Query] = {
     "q55_parity": parity,
     **ingest.QUERIES,
     **landed.QUERIES,
+    **ruled.QUERIES,
+    **endpoints.QUERIES,
+    **replays.QUERIES,
     "m12_signature_backfill": over(repair.signature_backfill, dated_urls, least=3, share=0.3),
     "x36_located": lambda spark, sf_dir: repair.located(sources_of(spark, sf_dir), seats_of(spark, sf_dir)),
     "o04_search_estimate": over(audit.search_estimated, A, query=SEARCH, as_of=AS_OF),
@@ -208,4 +211,4 @@ QUERIES: dict[str, Query] = {
     "a24_endpoint_classes": over(taxonomy.endpoint_classes, R),
     "x46_freshness": lambda spark, sf_dir: taxonomy.freshness(R(spark, sf_dir), at(AS_OF)),
 }
-ORACLE: dict[str, str] = {**dashboard_sql.SQL, **benchmark_sql.SQL, **coverage_sql.SQL, **ops_sql.SQL, **audit_sql.SQL, **ingest_sql.SQL, **landed_sql.SQL, **taxonomy_sql.SQL, **tables_sql.SQL, **repair_sql.SQL, **urls_sql.SQL, **dossier_sql.SQL, **lanes_sql.SQL}
+ORACLE: dict[str, str] = {**dashboard_sql.SQL, **benchmark_sql.SQL, **coverage_sql.SQL, **ops_sql.SQL, **audit_sql.SQL, **ingest_sql.SQL, **landed_sql.SQL, **taxonomy_sql.SQL, **ruled_sql.SQL, **endpoints_sql.SQL, **replays_sql.SQL, **tables_sql.SQL, **repair_sql.SQL, **urls_sql.SQL, **dossier_sql.SQL, **lanes_sql.SQL}
