@@ -2,78 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
-from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.stages import delete, kept, scope, shared_dir, stored
+
 #: A word: a run of characters other than space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Paths of the tables that stored() wrote and that nothing has deleted yet; those of a scope are deleted at its end.
-_scopes: list[list[str]] = [[]]
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``. Where none is set, a temporary one if all runs on this
-    machine, as in tests; on a cluster an error, as executors could not see such a folder."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        named = tempfile.mkdtemp(prefix="coverlake-checkpoint-")
-        sc.setCheckpointDir(named)
-    return named
-
-
-def delete(paths: list[str]) -> None:
-    """Delete tables through Spark's file systems, where a session is still there."""
-    if not (sc := SparkContext._active_spark_context) or not paths:
-        return
-    conf = sc._jsc.hadoopConfiguration()
-    for p in paths:
-        path = sc._jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(conf).delete(path, True)
-    paths.clear()
-
-
-atexit.register(lambda: [delete(x) for x in _scopes])
-
-
-def stored(df: DataFrame, scope: int = -1) -> DataFrame:
-    """Cut the lineage by a Parquet table in the shared folder, which a lost executor does not take away. The table stays
-    until the end of its scope (the innermost by default), else of the program, as results may be read late."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _scopes[scope].append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@contextmanager
-def scope() -> Iterator[None]:
-    """Tables stored within are deleted at the end, but for those stored with ``scope=-2``, in the scope around."""
-    _scopes.append([])
-    try:
-        yield
-    finally:
-        delete(_scopes.pop())
-
-
-def forget_previous() -> None:
-    """Delete the table stored before the last one of this scope."""
-    delete([_scopes[-1].pop(-2)])
-
-
 def packed(df: DataFrame, name: str = "_row") -> DataFrame:
     """The rows of df as one struct column, so that no name of theirs can clash with those an operator adds."""
     return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias(name))
@@ -99,3 +39,6 @@ def joined_back(rows: DataFrame, per_key: DataFrame, key: str, sizes: DataFrame,
     dealt = rows.withColumn("_place", F.when(is_hot, F.monotonically_increasing_id() % places).otherwise(0).cast("int"))
     copied = per_key.select("*", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(places - 1))).otherwise(F.array(F.lit(0)))).alias("_place"))
     return dealt.join(copied, [key, "_place"], how).drop("_place")
+
+
+__all__ = ["WORD", "delete", "joined_back", "kept", "packed", "scope", "shared_dir", "stored", "table", "unpacked"]
