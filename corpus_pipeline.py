@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coverlake.llm import bpe, mixing, quality, secrets, simhash
-from coverlake.llm.common import forget_previous, scope, stored, table
+from coverlake.llm.common import delete, kept, scope, stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -65,11 +65,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES[:-1]):
-        with scope():
-            docs = stored(stage(spark, docs, sf_dir), -2)
-        if k:
-            forget_previous()
+    with kept() as own:
+        for k, (_, stage) in enumerate(STAGES[:-1]):
+            with scope():
+                docs = stored(stage(spark, docs, sf_dir), -2)
+            if k:
+                delete([own.pop(-2)])
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
