@@ -6,15 +6,17 @@ by smoothness edges. The maximum flow's cut separates content from boilerplate a
 
 The costs are log odds of shape features (length, share of link text, punctuation, tag), learned by counting over pages whose
 markup names its parts (article and main against nav, footer, aside and the like), plus fixed evidence from such names where
-a page has them. A name in class, id or role weighs less than a tag, so that the shape can overrule it; it ends where an
-article or main begins, and words that only tell a layout (has-sidebar), or header within an article, are no names.
+a page has them. Shape counts up to a bound below the evidence of a name, whatever the pages learned from look like: it decides
+where nothing is named, and where a page has an article of some length, what stands outside is taken for boilerplate first. A
+name in class, id or role ends where an article or main begins; words that only tell a layout (has-sidebar), or header within
+an article, are no names, nor is the name of a layout on an element that holds all of a page.
 
 Scale: a map over batches without shuffle. Learning reads at most ``fit_pages`` pages and returns one count per feature, of
 which there are a fixed number.
 
 Edge cases: null or empty html gives the empty text; broken markup is read as far as it goes, an unfinished tag at the end is
 dropped; text of any length is kept whole; repeated rows and null ids are treated row by row; an empty table gives an empty
-table; input columns named ``text`` or ``n_chars`` give way to the results.
+table; input columns named ``text`` or ``n_chars`` give way to the results. A block whose labels cost the same is boilerplate.
 """
 
 from __future__ import annotations
@@ -40,39 +42,46 @@ NAMED = re.compile(r"(?:^|[^a-z])(?:ads?|adverts?|advertisements?|advertising|ba
 #: Words that tell what a part has or has not, not what it is, and those that are content's own within an article.
 LAYOUT = re.compile(r"(?:(?<!\S)|(?<=[-_]))(?:has|have|with|without|no|not|hide|hides|show|shows)[-_]\S*|\S*[-_](?:open|opened|closed|enabled|disabled|on|off|active|inactive)(?!\S)")
 OWN = re.compile(r"(?<![a-z])headers?(?![a-z])")
+#: What a paragraph or heading of an article may be called and yet be its own, and what may name a whole page for its layout.
+MILD = re.compile(r"(?:^|[^a-z])(?:headers?|banners?|notices?|alerts?|related|recommend(?:ed|ations)?|navs?|navigation|footers?|masthead|topbar|widgets?|modals?|overlay|search|skip|shar(?:e|ing)|social|repl(?:y|ies)|respond)(?=$|[^a-z])")
+FRAME = re.compile(r"(?:^|[^a-z])(?:headers?|banners?|sidebars?|navs?|navbars?|navigation|menus?|footers?|topbar|toolbar|widgets?|overlay|modals?|social|search|skip)(?=$|[^a-z])")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 SPACE = re.compile(r"\s+")
 UNFINISHED = re.compile(r"</?[A-Za-z!]")
 
-#: OWN_CLASSED is for a paragraph or heading of an article that itself has such a class.
-IN_NAMED, IN_CLASSED, OWN_CLASSED, IN_ARTICLE, HEADING = 14.0, 8.0, 2.0, 6.0, 3.0
+#: OWN_CLASSED is for a paragraph or heading of an article that itself has a mild name. OUTSIDE is for what stands outside where
+#: an article has over ARTICLE_WORDS words. SHAPE is the most that shape counts: with the edges it stays below IN_CLASSED.
+IN_NAMED, IN_CLASSED, OWN_CLASSED, IN_ARTICLE, HEADING, OUTSIDE, SHAPE, ARTICLE_WORDS = 14.0, 8.0, 2.0, 6.0, 3.0, 6.0, 4.0, 40
 ADJACENT, SIBLING = 0.8, 0.4
 #: Log odds of content for each shape feature before any page has been counted.
 PRIOR = {"length:0": -0.8, "length:1": -0.2, "length:2": 0.6, "length:3": 1.2, "links:0": 0.6, "links:1": -0.6, "links:2": -2.0, "stops:0": -0.5, "stops:1": 0.4, "tag:p": 0.8, "tag:h": 0.8, "tag:li": -0.5, "tag:div": -0.3, "tag:other": -0.1}
 
 
 class Reader(HTMLParser):
-    """Blocks of (text, evidence, tag, parent, characters in links)."""
+    """Blocks of (text, evidence, tag, parent, characters in links, element whose class names it or 0, is it in an article).
+    The names of the elements in ``unnamed`` do not count."""
 
-    def __init__(self) -> None:
+    def __init__(self, unnamed: frozenset[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
         # tag, is it left out, how far it is named boilerplate (0 or a cost), is it in an article, its number, then of the
-        # innermost block around (itself, if it is one): its place in the stack, and the number of what that is in
-        self.stack: list[tuple[str, bool, float, bool, int, int, int]] = [("", False, 0.0, False, 0, 0, 0)]
+        # innermost block around (itself, if it is one): its place in the stack, and the number of what that is in; then the
+        # element whose class names it
+        self.stack: list[tuple[str, bool, float, bool, int, int, int, int]] = [("", False, 0.0, False, 0, 0, 0, 0)]
+        self.unnamed, self.frames = unnamed, set()
         self.open: dict[str, list[int]] = {}  # places in the stack by tag
-        self.blocks: list[tuple[str, float, str, int, int]] = []
+        self.blocks: list[tuple[str, float, str, int, int, int, bool]] = []
         self.parts: list[str] = []
         self.linked = self.made = 0
 
     def flush(self) -> None:
         text = SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            _, _, named, article, _, block, parent = self.stack[-1]
+            _, _, named, article, _, block, parent, root = self.stack[-1]
             tag = self.stack[block][0]
             evidence = -named if named else IN_ARTICLE if article else 0.0
             if len(tag) == 2 and tag[0] == "h" and article and not named:
                 evidence += HEADING
-            self.blocks.append((text, evidence, tag, parent, self.linked))
+            self.blocks.append((text, evidence, tag, parent, self.linked, root, article))
         self.parts, self.linked = [], 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -84,23 +93,27 @@ class Reader(HTMLParser):
             self.parts.append(" ")
         if tag in VOID:
             return
-        _, out, named, article, inside, block, parent = self.stack[-1]
+        _, out, named, article, inside, block, parent, root = self.stack[-1]
         words = " ".join(v.lower() for k, v in attrs if v and k in ("class", "id", "role"))
         hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and HIDDEN.search(v.lower()) for k, v in attrs)
         begins = tag in ("article", "main")
+        self.made += 1
         if begins and named < IN_NAMED:
-            named = 0.0
+            named, root = 0.0, 0
         if tag in BOILERPLATE or tag == "header" and not article:
-            named = IN_NAMED
-        elif words and not named and tag not in ("body", "html", "article", "main"):
+            named, root = IN_NAMED, 0
+        elif words and not named and tag not in ("body", "html", "article", "main") and self.made not in self.unnamed:
             words = LAYOUT.sub("", words)
-            if NAMED.search(OWN.sub("", words) if article else words):
-                named = OWN_CLASSED if article and (tag == "p" or len(tag) == 2 and tag[0] == "h") else IN_CLASSED
-        self.made += 1
+            words = OWN.sub("", words) if article else words
+            if NAMED.search(words):
+                own = article and (tag == "p" or len(tag) == 2 and tag[0] == "h") and not NAMED.search(MILD.sub(" ", words))
+                named, root = OWN_CLASSED if own else IN_CLASSED, self.made
+                if not NAMED.search(FRAME.sub(" ", words)):
+                    self.frames.add(root)
         if tag in BLOCKS:
             block, parent = len(self.stack), inside
         self.open.setdefault(tag, []).append(len(self.stack))
-        self.stack.append((tag, out or hidden or tag in SKIPPED, named, article or begins, self.made, block, parent))
+        self.stack.append((tag, out or hidden or tag in SKIPPED, named, article or begins, self.made, block, parent, root))
 
     def close_open(self, tag: str) -> None:
         """End an open element of this kind, unless a larger one was begun in it."""
@@ -128,8 +141,7 @@ class Reader(HTMLParser):
                 self.linked += len(data)
 
 
-def read(html: str | None) -> list[tuple[str, float, str, int, int]]:
-    r = Reader()
+def read(html: str | None) -> list[tuple[str, float, str, int, int, int, bool]]:
     text = html or ""
     # an unfinished tag or comment at the end goes with all after it
     last = text.rfind(">") + 1
@@ -137,14 +149,20 @@ def read(html: str | None) -> list[tuple[str, float, str, int, int]]:
         text = text[: m.start()]
     if (at := text.rfind("<!--")) >= 0 and "-->" not in text[at:] and "--!>" not in text[at:]:
         text = text[: text.index("<!--", max(text.rfind("-->", 0, at), text.rfind("--!>", 0, at), 0))]
-    r.feed(text)
-    r.close()
-    r.flush()
-    return r.blocks
-
-
-def shape(block: tuple[str, float, str, int, int]) -> tuple[str, str, str, str]:
-    text, _, tag, _, linked = block
+    unnamed: frozenset[int] = frozenset()
+    while True:
+        r = Reader(unnamed)
+        r.feed(text)
+        r.close()
+        r.flush()
+        roots = {b[5] for b in r.blocks}
+        if len(roots) != 1 or not roots <= r.frames or len(unnamed) > 8:
+            return r.blocks
+        unnamed |= roots  # all of the page lies in one element with the name of a layout
+
+
+def shape(block: tuple) -> tuple[str, str, str, str]:
+    text, _, tag, _, linked, _, _ = block
     words = text.count(" ") + 1
     share = linked / max(len(text), 1)
     kind = tag if tag in ("p", "li", "div") else "h" if len(tag) == 2 and tag[0] == "h" else "other"
@@ -217,7 +235,9 @@ def min_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool
 
 
 def label(blocks: list[tuple], costs: dict[str, float]) -> list[bool]:
-    gain = [b[1] + sum(costs.get(f, 0.0) for f in shape(b)) for b in blocks]
+    inside = sum(b[0].count(" ") + 1 for b in blocks if b[6] and b[1] > 0)
+    outside = OUTSIDE if inside > ARTICLE_WORDS else 0.0
+    gain = [b[1] - (0.0 if b[6] or b[1] else outside) + max(-SHAPE, min(SHAPE, sum(costs.get(f, 0.0) for f in shape(b)))) for b in blocks]
     edges, last = [], {}
     for i, b in enumerate(blocks):
         if i:
@@ -259,7 +279,7 @@ def fit(pages: DataFrame, html: str = "html", fit_pages: int = 2_000, prior_weig
         bad, good = n.get((f, False), 0), n.get((f, True), 0)
         seen = log((good + 0.5) / (good_all + 1)) - log((bad + 0.5) / (bad_all + 1))
         weight = (good + bad) / (good + bad + prior_weight)
-        out[f] = max(-3.0, min(3.0, weight * seen + (1 - weight) * prior))
+        out[f] = max(-2.0, min(2.0, weight * seen + (1 - weight) * prior))
     return out
 
 
