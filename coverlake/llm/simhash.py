@@ -8,8 +8,9 @@ quarters, so six blocks each, one for each pair of quarters, hold every link. Wi
 shingles, say), fingerprints are those of the set of shingles, have 256 bits and are followed by a digest of that set, and the
 radius is a number of bits that texts of that similarity practically never exceed; as no choice of bits is then sure to agree,
 blocks are pairs of least digests of the shingles, which such texts share in at least one of sixteen with all but one in ten
-million. Within a block every fingerprint is compared with every other. What is within the radius is only a candidate: the
-sets of shingles of each group of candidates meet again, and pairs are linked whose Jaccard similarity, counted out, suffices.
+million. Within a block every fingerprint is compared with every other. What is within the radius is only a candidate pair, kept
+in the first block that both share: the sets of shingles of such pairs meet once more, and pairs are linked whose Jaccard
+similarity, counted out, suffices. Texts that are candidates of none are not read again.
 
 A block is cut into tiles in order of bit totals; pairs of tiles are compared in full with exclusive-or and bit counts. Tiles
 whose bit totals differ by more than the radius are never dealt to a task together, and within a pair parts that far apart are
@@ -17,12 +18,14 @@ skipped. A pair of tiles returns a spanning star for each group it connects, and
 
 Scale: blocks have 2^32 keys and more each, so a block stays small while the corpus grows; one that does not (a large group
 of near copies) is spread over its pairs of tiles of at most about ``tile`` fingerprints. No task holds more than two tiles.
-Groups of candidates are cut in the same way, by members and by shingles, and only their members' texts are dealt.
+Candidate pairs are dealt by runs of members of at most ``SHINGLES`` shingles, so that work and copies of texts follow the
+pairs, not the groups that they would chain into.
 Links, components and fingerprints stay in DataFrames. A fingerprint that many rows carry meets them in several places.
 
 Edge cases: null and empty texts have fingerprint zero and link like any other; a text with fewer words than a shingle is one
 shingle; repeated rows and repeated ids link through their fingerprint; the component of rows without any id is null; an
-empty table gives an empty table; input columns named ``fingerprint`` or ``component_id`` give way to the results.
+empty table gives an empty table; input columns named ``fingerprint`` or ``component_id`` give way to the results. A bit that is
+set in just half of the digests is 0; texts of any length are cut into shingles whole.
 """
 
 from __future__ import annotations
@@ -199,8 +202,8 @@ def bit_total(fp: str, words: int) -> Column:
     return sum((F.bit_count(F.conv(F.substring(F.hex(fp), 16 * k + 1, 16), 16, -10).cast("long")) for k in range(words)), F.lit(0)).cast("int")
 
 
-def links(blocks: DataFrame, radius: int, tile: int = 1024, words: int = 1) -> DataFrame:
-    """blocks: fp, _block, _key, distinct. Edges (a, b): within their blocks, stars over all groups linked by the radius.
+def in_tiles(blocks: DataFrame, radius: int, tile: int = 1024, words: int = 1) -> DataFrame:
+    """blocks: fp, _block, _key, distinct, and any other columns. Members of blocks with two or more, with _tile and _others.
 
     The members of a block stand in order of their bit totals, and each run of about ``tile`` of them is a tile. A member goes
     to the tiles that hold a total within the radius of its own.
@@ -217,80 +220,155 @@ def links(blocks: DataFrame, radius: int, tile: int = 1024, words: int = 1) -> D
     of = lambda place: F.floor(place / tile).cast("long")
     others = F.sequence(of(near[0]["first"]), of(F.element_at(near, -1)["first"] + F.element_at(near, -1)["n"] - 1))
     zero = F.lit(0).cast("long")
-    placed = counted.join(sizes, ["_block", "_key"]).select("fp", "_block", "_key", F.coalesce(of(own["first"] + F.pmod(F.xxhash64("fp"), own["n"])), zero).alias("_tile"), F.coalesce(others, F.array(zero)).alias("_others"))
-    return tiled(placed, ["_block", "_key"], radius)
+    return counted.join(sizes, ["_block", "_key"]).select(*blocks.columns, F.coalesce(of(own["first"] + F.pmod(F.xxhash64("fp"), own["n"])), zero).alias("_tile"), F.coalesce(others, F.array(zero)).alias("_others"))
 
 
-def verified(members: DataFrame, radius: int, similarity: float, size: int) -> DataFrame:
-    """members: fp, label, _text, _tiles, distinct. Edges (a, b): stars over all within a label whose shingle sets are at
-    least so similar."""
-    placed = members.select("fp", "label", F.pmod(F.xxhash64("fp"), "_tiles").alias("_tile"), F.sequence(F.lit(0).cast("long"), F.col("_tiles").cast("long") - 1).alias("_others"), "_text")
-    schema = placed.select("fp", "label", "_tile", "_others", F.lit(b"").alias("_set")).schema
+def links(blocks: DataFrame, radius: int, tile: int = 1024) -> DataFrame:
+    """blocks: fp, _block, _key, distinct. Edges (a, b): within their blocks, stars over all groups linked by the radius."""
+    return tiled(in_tiles(blocks, radius, tile), radius)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def runs_of(sizes: np.ndarray, most: int) -> np.ndarray:
+    """A number for each member: runs whose sizes add up to so much, or single members."""
+    upto = np.cumsum(sizes)
+    out, k, start = np.empty(len(sizes), dtype=np.int64), 0, 0
+    while start < len(sizes):
+        end = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + most, side="right")))
+        out[start:end] = k
+        start, k = end, k + 1
+    return out
+
+
+def verified(placed: DataFrame, sets: DataFrame, radius: int, similarity: float, size: int) -> DataFrame:
+    """placed: fp, _block, _key, _tile, _others, _at, _keys, _shingles. sets: _at, _text. Edges (a, b): stars over all that a
+    candidate pair links, in whose first common block they meet.
+    """
+    value = F.struct("fp", "_at", "_keys", "_shingles")
+    pairs = met(placed, value, ["_block", "_key"])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = TaskContext.get().partitionId() << 40
+        for b in batches:
+            for block, lc, rc in zip(b.column("_block").to_pylist(), b.column("left"), b.column("right"), strict=True):
+                lv, rv = lc.as_py(), rc.as_py()
+                values = lv + rv
+                fps = words_of([x["fp"] for x in values])
+                i, j = compare(fps[: len(lv)], fps[len(lv) :] if rv else fps, radius)
+                j = j + (len(lv) if rv else 0)
+                i, j = i[i < j], j[i < j]
+                keys = np.array([x["_keys"] for x in values])
+                for earlier in keys.T[:block]:
+                    apart = earlier[i] != earlier[j]
+                    i, j = i[apart], j[apart]
+                if not len(i):
+                    continue
+                run = runs_of(np.array([x["_shingles"] for x in values]), SHINGLES)
+                both = np.sort(np.stack([run[i], run[j]], axis=1), axis=1)
+                for k in np.unique(both, axis=0):
+                    own = (both == k).all(axis=1)
+                    members = np.unique(np.concatenate([i[own], j[own]]))
+                    yield pa.RecordBatch.from_arrays([pa.array([made] * len(members), pa.int64()), pa.array([values[x]["fp"] for x in members], pa.binary()), pa.array([values[x]["_at"] for x in members], pa.int64())], names=["_group", "fp", "_at"])
+                    made += 1
+
+    groups = stored(pairs.mapInArrow(find, "_group long, fp binary, _at long"))
+    texts = groups.join(sets, "_at").select("_group", "fp", "_text")
+    schema = texts.select("_group", "fp", F.lit(b"").alias("_set")).schema
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [np.unique(digests(t.as_py(), size)).tobytes() for t in b.column("_text")]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in schema.names[:-1]], pa.array(sets, pa.binary())], names=schema.names)
+            own = [np.unique(digests(t.as_py(), size)).tobytes() for t in b.column("_text")]
+            yield pa.RecordBatch.from_arrays([b.column("_group"), b.column("fp"), pa.array(own, pa.binary())], names=schema.names)
 
-    return tiled(placed.mapInArrow(run, schema), ["label"], radius, similarity)
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for own in b.column("members"):
+                values = sorted((x["fp"], x["_set"]) for x in own.as_py())
+                names = [x for x, _ in values]
+                fps = words_of(names)
+                i, j = compare(fps, fps, radius)
+                i, j = i[i < j], j[i < j]
+                yield star_edges(names, *similar([np.frombuffer(x, dtype=np.uint64) for _, x in values], i, j, similarity))
 
+    members = texts.mapInArrow(digest, schema).groupBy("_group").agg(F.collect_list(F.struct("fp", "_set")).alias("members")).select("members")
+    return one_each(members.mapInArrow(link, "a binary, b binary").distinct())
 
-def similar(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
-    """Of the pairs i-j of sets of distinct digests, those with at least this Jaccard similarity."""
+
+def similar(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs i-j of sets of distinct digests, some with at least this Jaccard similarity that connect all that such pairs
+    connect: pairs of sets that are connected already are not counted."""
     sizes = np.array([len(x) for x in sets])
     most = np.maximum(sizes[i], sizes[j])
     at = np.flatnonzero((np.minimum(sizes[i], sizes[j]) >= similarity * most * (1 - 1e-9)) & (most > 0))
     at = at[np.argsort(i[at], kind="stable")]
     if not len(at):
-        return np.zeros(len(i), dtype=bool)
+        return i[:0], j[:0]
     ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
     first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    seen, out = np.zeros(len(ids), dtype=bool), np.zeros(len(i), dtype=bool)
+    seen = np.zeros(len(ids), dtype=bool)
+    above = list(range(len(sets)))
+
+    def head(k: int) -> int:
+        while above[k] != k:
+            above[k] = k = above[above[k]]
+        return k
+
+    left, right = [], []
     for some in np.split(at, np.flatnonzero(np.diff(i[at])) + 1):
-        one, others = i[some[0]], j[some]
+        one = int(i[some[0]])
         own = ids[first[one] : first[one] + sizes[one]]
         seen[own] = True
-        common = np.array([np.count_nonzero(seen[ids[first[o] : first[o] + sizes[o]]]) for o in others])
+        for o in j[some].tolist():
+            a, b = head(one), head(o)
+            if a == b:
+                continue
+            common = np.count_nonzero(seen[ids[first[o] : first[o] + sizes[o]]])
+            if common / (sizes[one] + sizes[o] - common) >= similarity:
+                above[max(a, b)] = min(a, b)
+                left.append(one)
+                right.append(o)
         seen[own] = False
-        out[some] = common / (sizes[one] + sizes[others] - common) >= similarity
-    return out
+    return np.array(left, dtype=int), np.array(right, dtype=int)
+
 
+def words_of(fps: list[bytes]) -> np.ndarray:
+    """Fingerprints as numbers: (n, words)."""
+    return np.frombuffer(b"".join(fps), dtype=">u8").astype(np.uint64).reshape(len(fps), -1)[:, :WORDS]
 
-def tiled(member: DataFrame, block: list[str], radius: int, similarity: float | None = None) -> DataFrame:
-    """member: fp, the columns of its block, _tile, _others (the tiles that it meets, its own too) and, for a similarity, _set.
-    Edges (a, b) between members of a block."""
-    value = F.struct("fp", "_set") if similarity is not None else F.col("fp")
+
+def star_edges(names: list[bytes], i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    """Edges from each member (names in ascending order) to the least that the links i-j connect it to, so that the stars of one
+    group mostly agree on their centre."""
+    label = stars(len(names), i, j)
+    own = np.flatnonzero(label != np.arange(len(names)))
+    return pa.RecordBatch.from_arrays([pa.array([names[k] for k in own], pa.binary()), pa.array([names[label[k]] for k in own], pa.binary())], names=["a", "b"])
+
+
+def met(member: DataFrame, value: Column, block: list[str]) -> DataFrame:
+    """member: the columns of its block, _tile and _others (the tiles that it meets, its own too). For each pair of tiles that
+    meet: the block, left and right (arrays of values; no right for a tile and itself)."""
     dealt = member.select(value.alias("_value"), *block, "_tile", F.explode("_others").alias("_other")).select("_value", *block, "_tile", F.least("_tile", "_other").alias("_i"), F.greatest("_tile", "_other").alias("_j"))
-    pairs = dealt.groupBy(*block, "_i", "_j").agg(F.collect_list(F.when(F.col("_tile") == F.col("_i"), F.col("_value"))).alias("left"), F.collect_list(F.when(F.col("_tile") != F.col("_i"), F.col("_value"))).alias("right")).select("left", "right")
+    left = F.collect_list(F.when(F.col("_tile") == F.col("_i"), F.col("_value"))).alias("left")
+    right = F.collect_list(F.when(F.col("_tile") != F.col("_i"), F.col("_value"))).alias("right")
+    return dealt.groupBy(*block, "_i", "_j").agg(left, right).select(*block, "left", "right")
+
+
+def tiled(member: DataFrame, radius: int) -> DataFrame:
+    """member: fp, _block, _key, _tile, _others. Edges (a, b) between members of a block."""
+    pairs = met(member, F.col("fp"), ["_block", "_key"]).select("left", "right")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            a_out, b_out = [], []
             for lc, rc in zip(b.column("left"), b.column("right"), strict=True):
                 lv, rv = lc.as_py(), rc.as_py()
                 values = lv + rv
-                if similarity is not None:
-                    sets = [np.frombuffer(x["_set"], dtype=np.uint64) for x in values]
-                    values = [x["fp"] for x in values]
-                fps = np.frombuffer(b"".join(values), dtype=">u8").astype(np.uint64).reshape(len(values), -1)[:, :WORDS]
-                left, right = fps[: len(lv)], fps[len(lv) :]
+                fps = words_of(values)
                 # within one tile against itself; of two tiles only across, as each is compared with itself elsewhere
-                i, j = compare(left, right if len(right) else left, radius)
-                j = j + (len(left) if len(right) else 0)
-                if similarity is not None:
-                    i, j = i[i < j], j[i < j]
-                    linked = similar(sets, i, j, similarity)
-                    i, j = i[linked], j[linked]
-                # the least fingerprint is the centre, so that the stars of one group mostly agree on it
+                i, j = compare(fps[: len(lv)], fps[len(lv) :] if rv else fps, radius)
+                j = j + (len(lv) if rv else 0)
                 by = sorted(range(len(values)), key=values.__getitem__)
                 rank = np.empty(len(values), dtype=int)
                 rank[by] = np.arange(len(values))
-                label = stars(len(values), rank[i], rank[j])
-                for k in np.nonzero(label != np.arange(len(values)))[0]:
-                    a_out.append(values[by[k]])
-                    b_out.append(values[by[label[k]]])
-            if a_out:
-                yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.binary()), pa.array(b_out, pa.binary())], names=["a", "b"])
+                yield star_edges([values[k] for k in by], rank[i], rank[j])
 
     return one_each(pairs.mapInArrow(run, "a binary, b binary").distinct())
 
@@ -305,15 +383,18 @@ def one_each(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for all nodes of the edges (a, b): equal labels where connected.
 
-    Each round gives a node the least label beside it, then that label's own label; path lengths about halve each time.
+    Each round gives a node the least label beside it, then that label's own label; path lengths about halve each time. Most
+    nodes of a large component carry its star's centre; such hot nodes meet their rows in several places.
     """
     both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
+    degree = stored(both.groupBy("b").agg(F.count("*").alias("_n")))
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")))
     while True:
-        beside = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("_near"))
-        low = labels.join(beside, labels["node"] == beside["a"]).select("node", F.col("label").alias("_was"), F.least("label", "_near").alias("_low"))
+        near = joined_back(both, labels.withColumnRenamed("node", "b"), "b", degree).groupBy("a").agg(F.min("label").alias("_near"))
+        low = stored(labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("_was"), F.least("label", "_near").alias("_low")))
         jump = labels.select(F.col("node").alias("_low"), F.col("label").alias("_next"))
-        after = stored(low.join(jump, "_low", "left").select("node", "_was", F.least("_low", F.coalesce("_next", "_low")).alias("label")))
+        after = joined_back(low, jump, "_low", low.groupBy("_low").agg(F.count("*").alias("_n")))
+        after = stored(after.select("node", "_was", F.least("_low", "_next").alias("label")))
         moved = after.filter("_was <> label").limit(1).count()
         labels = after.select("node", "label")
         if not moved:
@@ -340,15 +421,10 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         distinct = stored(marked.groupBy(F.col("_fp").alias("fp")).agg(F.min("_id").alias("_least"), F.count("*").alias("_n")))
         edges = links(quarters(distinct.select("fp")), 2, tile)
     else:
-        distinct = stored(marked.groupBy(F.col("_fp").alias("fp")).agg(F.min("_id").alias("_least"), F.count("*").alias("_n"), F.min("_at").alias("_at"), F.min("_shingles").alias("_shingles")))
-        blocks = marked.select(F.col("_fp").alias("fp"), F.posexplode("_keys").alias("_block", "_key")).distinct()
+        distinct = stored(marked.groupBy(F.col("_fp").alias("fp")).agg(F.min("_id").alias("_least"), F.count("*").alias("_n"), F.min(F.struct("_at", "_keys", "_shingles")).alias("_one")))
         radius = radius_of(similarity, 64 * WORDS)
-        candidates = components(links(blocks, radius, tile, WORDS))
-        groups = candidates.join(distinct, candidates["node"] == distinct["fp"]).select("node", "label", "_at", "_shingles")
-        tiles = F.ceil(F.greatest(F.count("*") / tile, F.sum("_shingles") / SHINGLES, F.lit(1))).cast("int")
-        members = beside(groups, groups.groupBy("label").agg(tiles.alias("_tiles")))
-        texts = members.join(marked.select("_at", "_text"), "_at").select(F.col("node").alias("fp"), "label", "_tiles", "_text")
-        edges = verified(texts, radius, similarity, size)
+        blocks = distinct.select("fp", "_one.*", F.posexplode("_one._keys").alias("_block", "_key"))
+        edges = verified(in_tiles(blocks, radius, tile, WORDS), marked.select("_at", "_text"), radius, similarity, size)
     labels = components(edges)
     groups = labels.join(distinct, labels["node"] == distinct["fp"]).select("node", "label", "_least")
     reach = beside(groups, groups.groupBy("label").agg(F.min("_least").alias("_reach"))).select(F.col("node").alias("fp"), "_reach")
