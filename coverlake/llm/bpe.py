@@ -10,6 +10,7 @@ half stays, so its memory is bounded while common pieces are merged once. What i
 
 Edge cases: null text is empty and has no ids; special tokens in a text get their own id; texts of any length are encoded
 whole; null ids decode to the empty text; an empty table gives an empty table; input columns named like the results give way.
+Repeated rows are encoded each, alike; of equal ranks the leftmost pair merges first.
 """
 
 from __future__ import annotations

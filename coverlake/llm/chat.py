@@ -11,7 +11,8 @@ of all rows is one row only in its final form, which the output calls for.
 Edge cases: null text is empty; a null or unknown role is written between the marks of ``other`` with its name, and the
 machine rejects the conversation; null turns come first; rows with equal turns are ordered by role, then text; rows with
 null conv_id are one conversation; empty conversations do not occur; repeated rows are turns of their own; other columns than
-conv_id, turn, role and text are dropped, whatever their names; an empty table gives an empty table.
+conv_id, turn, role and text are dropped, whatever their names; an empty table gives an empty table; texts of any length are
+written whole.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ of each size class, and the only window over rows is within a slice.
 
 Edge cases: null source is a source of its own, last in order; null size counts as 0; a source whose sizes sum to 0 has
 target 0 and emits nothing; rows that are equal in all ordering columns are interchangeable; null ids sort as the empty id;
-an empty table gives an empty table; input columns named like the added ones give way to them.
+an empty table gives an empty table; input columns named like the added ones give way to them. Repeated rows are taken one by
+one; a text of any length counts with all its words.
 """
 
 from __future__ import annotations

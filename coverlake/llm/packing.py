@@ -10,7 +10,7 @@ a row, so the room lost at their ends is small.
 
 Edge cases: null text is empty and packs as its end id alone; null ids of documents stay null in doc_ids; repeated rows are
 packed each; a document of any length is cut without loss; ids of documents may be of any type; other columns do not go into
-packs, whatever their names; an empty table gives no rows.
+packs, whatever their names; an empty table gives no rows. Rests of equal length go in the order of their documents.
 """
 
 from __future__ import annotations

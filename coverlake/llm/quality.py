@@ -10,7 +10,9 @@ documents (those with the smallest digests of their ids), which bounds what come
 
 Edge cases: null text has no words and fails the base rules; null labels and labels without a document are left out; with no
 usable labels the list is empty and keeps all that passes the base rules; a document labelled twice counts twice; an empty
-table gives an empty table; input columns named like the statistics give way to them.
+table gives an empty table; input columns named like the statistics give way to them. Repeated rows are judged each, alike; texts
+of any length are counted whole. Of conditions with equal gain the first grows the rule, in order of statistics, then of
+thresholds from below, then "at least" before "under".
 """
 
 from __future__ import annotations

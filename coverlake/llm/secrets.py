@@ -12,7 +12,8 @@ of the text; a text that many rows carry meets them in several places.
 
 Edge cases: null text is empty; null owner and null repository count as one owner or repository each; equal texts have equal
 spans; overlapping spans of different kinds all stay; an empty table gives an empty table; an input column named ``spans``
-gives way to the result.
+gives way to the result. Repeated rows each have their spans and count as one document of their id; texts of any length are
+searched whole.
 """
 
 from __future__ import annotations
