@@ -6,7 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The thirteen sections, in the order that decides ties.
-SECTIONS = ["world", "politics", "conflicts", "business", "tech", "sports", "health", "entertainment", "lifestyle", "arts", "science", "climate", "others"]
+SECTIONS = [
+    "world", "politics", "conflicts", "business", "tech", "sports", "health", "entertainment", "lifestyle", "arts", "science", "climate",
+    "others"
+]
 
 
 def blank_to(c: Column | str, default: str | None = None) -> Column:

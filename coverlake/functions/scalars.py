@@ -41,7 +41,13 @@ def path_depth(url: Column) -> Column:
 def date_in_url(url: Column) -> Column:
     """The date in /yyyy/mm/dd, else yyyy-mm-dd, else yyyy_mm_dd."""
     low = F.lower(F.coalesce(url, F.lit("")))
-    found = [F.nullif(F.regexp_replace(F.regexp_extract(low, rf"(20[0-9]{{2}}{s}(?:0[1-9]|1[0-2]){s}(?:[0-2][0-9]|3[01]))", 1), "[/_]", "-"), F.lit("")) for s in ("/", "-", "_")]
+    found = [
+        F.nullif(
+            F.regexp_replace(F.regexp_extract(low, rf"(20[0-9]{{2}}{s}(?:0[1-9]|1[0-2]){s}(?:[0-2][0-9]|3[01]))", 1), "[/_]", "-"),
+            F.lit("")
+        )
+        for s in ("/", "-", "_")
+    ]
     return F.coalesce(*found).try_cast("date")
 
 
@@ -71,14 +77,23 @@ def display_source(source: Column) -> Column:
 
 def categories(values: Column) -> Column:
     """White space collapsed, blanks dropped, the first of those equal but for case kept."""
-    clean = F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
-    return F.aggregate(clean, F.array().cast("array<string>"), lambda acc, x: F.when(F.exists(acc, lambda y: F.lower(y) == F.lower(x)), acc).otherwise(F.concat(acc, F.array(x))))
+    clean = F.filter(
+        F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))),
+        lambda x: x != ""
+    )
+    return F.aggregate(
+        clean, F.array().cast("array<string>"),
+        lambda acc, x: F.when(F.exists(acc, lambda y: F.lower(y) == F.lower(x)), acc).otherwise(F.concat(acc, F.array(x)))
+    )
 
 
 def fnv1a(text: Column) -> Column:
     """FNV-1a over the UTF-16 units of the text, as a long from 0 to 2^32 - 1."""
     units = F.encode(F.coalesce(text, F.lit("")), "UTF-16BE")
-    codes = F.transform(F.sequence(F.lit(0), F.greatest(F.length(units) / 2 - 1, F.lit(0)).cast("int")), lambda i: F.conv(F.hex(F.substring(units, i * 2 + 1, F.lit(2))), 16, 10).cast("long"))
+    codes = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.length(units) / 2 - 1, F.lit(0)).cast("int")),
+        lambda i: F.conv(F.hex(F.substring(units, i * 2 + 1, F.lit(2))), 16, 10).cast("long")
+    )
     folded = F.aggregate(codes, F.lit(FNV_START).cast("long"), lambda h, u: (h.bitwiseXOR(u) * FNV_PRIME).bitwiseAND(0xFFFFFFFF))
     return F.when(F.length(units) > 0, folded).otherwise(F.lit(FNV_START).cast("long"))
 
@@ -94,7 +109,10 @@ def stable_bucket(text: Column, n: int) -> Column:
 def page_title(html: Column) -> Column:
     """og:title, else the title element."""
     og = F.regexp_extract(html, r"""(?is)<meta[^>]+property=["']og:title["'][^>]+content=["']([^"']*)["']""", 1)
-    return F.coalesce(F.nullif(F.trim(og), F.lit("")), F.nullif(F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " ")), F.lit("")))
+    return F.coalesce(
+        F.nullif(F.trim(og), F.lit("")),
+        F.nullif(F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " ")), F.lit(""))
+    )
 
 
 def handle(value: Column) -> Column:
@@ -110,6 +128,10 @@ def failure_kind(status: Column, error: Column) -> Column:
     text = F.lower(F.coalesce(error, F.lit("")))
     moved = status.isin(301, 308) | text.contains("permanent_moved") | text.contains("moved permanently")
     reason = F.when(status == 410, "http_410").when(moved, "permanent_moved").when((status == 404) | (text == "http_404"), "http_404")
-    reason = reason.when(status.isin(403, 500, 502, 503, 504), F.concat(F.lit("http_"), status.cast("string"))).when(text.contains("timeout") | text.contains("timed out"), "timeout").when(text.contains("network_error") | text.contains("abort"), "network_error")
+    reason = reason.when(
+        status.isin(403, 500, 502, 503, 504), F.concat(F.lit("http_"), status.cast("string"))
+    ).when(text.contains("timeout") | text.contains("timed out"), "timeout").when(
+        text.contains("network_error") | text.contains("abort"), "network_error"
+    )
     kind = F.when((status == 410) | moved, "permanent").when(reason.isNotNull(), "temporary")
     return F.struct(kind.alias("kind"), reason.alias("reason"))

@@ -17,8 +17,13 @@ from pyspark.sql import types as T
 from . import whatwg
 
 #: Parameters that only track, and offsets of zone names.
-TRACKING = {"utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_id", "gclid", "fbclid", "ocid", "cmpid", "ref", "output"}
-ZONES = {"BST": "+0100", "CET": "+0100", "CEST": "+0200", "EET": "+0200", "EEST": "+0300", "MSD": "+0400", "MSK": "+0300", "WEST": "+0100", "WET": "+0000"}
+TRACKING = {
+    "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_id", "gclid", "fbclid", "ocid", "cmpid", "ref", "output"
+}
+ZONES = {
+    "BST": "+0100", "CET": "+0100", "CEST": "+0200", "EET": "+0200", "EEST": "+0300", "MSD": "+0400", "MSK": "+0300", "WEST": "+0100",
+    "WET": "+0000"
+}
 
 
 def parsed(text: str | None) -> whatwg.Url | None:
@@ -179,15 +184,29 @@ def loose_date(values: pd.Series) -> pd.Series:
 
 
 #: Ordered rules (section, words); our own small table, a parameter of keyword_section.
-HIGH = [("conflicts", "war ceasefire airstrike missile"), ("politics", "election parliament senate minister"), ("business", "shares inflation bank merger"), ("sports", "match league coach tournament"), ("health", "hospital vaccine virus"), ("tech", "software startup robot"), ("climate", "emissions drought wildfire"), ("science", "telescope physicist genome")]
-MEDIUM = [("business", "market economy"), ("politics", "government vote"), ("entertainment", "film album"), ("arts", "museum painting"), ("lifestyle", "recipe travel"), ("world", "summit border")]
+HIGH = [
+    ("conflicts", "war ceasefire airstrike missile"), ("politics", "election parliament senate minister"),
+    ("business", "shares inflation bank merger"), ("sports", "match league coach tournament"), ("health", "hospital vaccine virus"),
+    ("tech", "software startup robot"), ("climate", "emissions drought wildfire"), ("science", "telescope physicist genome")
+]
+MEDIUM = [
+    ("business", "market economy"), ("politics", "government vote"), ("entertainment", "film album"), ("arts", "museum painting"),
+    ("lifestyle", "recipe travel"), ("world", "summit border")
+]
 
 
 def keyword_section(high: list = HIGH, medium: list = MEDIUM):
     """A function title -> (section, confidence, reason): the first high rule, else the first medium one, else others."""
-    rules = [(s, re.compile(rf"(?<!\w)(?:{'|'.join(w.split())})(?!\w)"), c, why) for table, c, why in ((high, 0.84, "high"), (medium, 0.72, "medium")) for s, w in table]
-
-    @F.pandas_udf(T.StructType([T.StructField("section", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("reason", T.StringType())]))
+    rules = [
+        (s, re.compile(rf"(?<!\w)(?:{'|'.join(w.split())})(?!\w)"), c, why)
+        for table, c, why in ((high, 0.84, "high"), (medium, 0.72, "medium")) for s, w in table
+    ]
+
+    @F.pandas_udf(
+        T.StructType(
+            [T.StructField("section", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("reason", T.StringType())]
+        )
+    )
     def classify(titles: pd.Series) -> pd.DataFrame:
         def one(title: str | None) -> tuple[str, float, str]:
             low = "".join(c for c in unicodedata.normalize("NFKD", title or "") if not unicodedata.combining(c)).lower()

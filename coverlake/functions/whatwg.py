@@ -43,7 +43,9 @@ class Url:
         if self.host is not None:
             login = self.user + (f":{self.password}" if self.password else "") + "@" if self.user or self.password else ""
             out += "//" + login + self.host + (f":{self.port}" if self.port is not None else "")
-        return out + self.path + (f"?{self.query}" if self.query is not None else "") + (f"#{self.fragment}" if self.fragment is not None else "")
+        return out + self.path + (f"?{self.query}" if self.query is not None else "") + (
+            f"#{self.fragment}" if self.fragment is not None else ""
+        )
 
 
 def encoded(text: str, chosen: str) -> str:
@@ -91,7 +93,9 @@ def domain(text: str) -> str:
     mapped = "".join("" if c in "­​⁠﻿" or unicodedata.category(c) == "Cf" and c not in "‌‍" else c for c in text)
     # small letters as names have them: case folding but for those that the rules for names keep apart
     small = "".join(c if c in "ßς‌‍" else c.casefold() for c in mapped.replace("ẞ", "ss"))
-    small = unicodedata.normalize("NFC", "".join(c if c in "ßς" else unicodedata.normalize("NFKC", c).casefold() for c in unicodedata.normalize("NFC", small)))
+    small = unicodedata.normalize(
+        "NFC", "".join(c if c in "ßς" else unicodedata.normalize("NFKC", c).casefold() for c in unicodedata.normalize("NFC", small))
+    )
     parts = re.split("[.。．｡]", small)
     return ".".join(map(label, parts))
 
@@ -212,4 +216,6 @@ MARKS = " _-,;:!?.'\"()[]{}@*/\\&#%`^+<=>|~$"
 def order(text: str) -> tuple:
     """Names sort by letters first, then by accents, then small letters before capitals."""
     bare = "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
-    return [(0, MARKS.index(c)) if c in MARKS else (1, ord(c)) if c.isdigit() else (2, ord(c)) for c in bare.casefold()], unicodedata.normalize("NFD", text).casefold(), text.swapcase()
+    return [
+        (0, MARKS.index(c)) if c in MARKS else (1, ord(c)) if c.isdigit() else (2, ord(c)) for c in bare.casefold()
+    ], unicodedata.normalize("NFD", text).casefold(), text.swapcase()

@@ -39,27 +39,51 @@ def greedy_order(titles: DataFrame, candidates: int = 256) -> DataFrame:
     while True:
         lifts = left.select("network", F.explode("sources").alias("source"), "n").groupBy("network", "source").agg(F.sum("n").alias("lift"))
         lifts = lifts.select(F.col("network").alias("_network"), F.col("source").alias("_source"), "lift")
-        known = waiting.join(lifts, F.col("network").eqNullSafe(F.col("_network")) & (F.col("source") == F.col("_source")), "left").select("network", "source", "total", F.coalesce("lift", F.lit(0).cast("long")).alias("lift"))
+        known = waiting.join(
+            lifts, F.col("network").eqNullSafe(F.col("_network")) & (F.col("source") == F.col("_source")), "left"
+        ).select("network", "source", "total", F.coalesce("lift", F.lit(0).cast("long")).alias("lift"))
         order = W.partitionBy("network").orderBy(F.desc("lift"), F.desc("total"), F.asc("source"))
         top = stored(known.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= candidates + 1))
         if not top.limit(1).count():
             break
         own = top.filter(F.col("_rn") <= candidates).select(F.col("network").alias("_network"), F.col("source").alias("_source"))
-        held = left.select("network", "_set", "n", F.explode("sources").alias("source")).join(own, F.col("network").eqNullSafe(F.col("_network")) & (F.col("source") == F.col("_source")))
+        held = left.select("network", "_set", "n", F.explode("sources").alias("source")).join(
+            own, F.col("network").eqNullSafe(F.col("_network")) & (F.col("source") == F.col("_source"))
+        )
         of_set = held.groupBy("network", "_set", "n").agg(F.array_sort(F.collect_list("source")).alias("sources"))
-        sets = of_set.groupBy("network", "sources").agg(F.sum("n").alias("n")).select("network", "sources", "n", F.lit(0).cast("long").alias("total"), F.lit(False).alias("last"))
-        rows = sets.unionByName(top.select("network", F.array("source").alias("sources"), F.col("lift").alias("n"), "total", (F.col("_rn") > candidates).alias("last")))
+        sets = of_set.groupBy("network", "sources").agg(F.sum("n").alias("n")).select(
+            "network", "sources", "n", F.lit(0).cast("long").alias("total"), F.lit(False).alias("last")
+        )
+        rows = sets.unionByName(
+            top.select(
+                "network", F.array("source").alias("sources"), F.col("lift").alias("n"), "total", (F.col("_rn") > candidates).alias("last")
+            )
+        )
         picked = stored(rows.groupBy("network").applyInPandas(steps, "network string, source string, place long, lift long, total long"))
-        now = picked.join(rank.withColumnRenamed("network", "_network"), F.col("network").eqNullSafe(F.col("_network"))).select("network", "source", (F.col("_from") + F.col("place")).alias("rank"), "lift", (F.col("total") - F.col("lift")).alias("duplicates"))
+        now = picked.join(rank.withColumnRenamed("network", "_network"), F.col("network").eqNullSafe(F.col("_network"))).select(
+            "network", "source", (F.col("_from") + F.col("place")).alias("rank"), "lift",
+            (F.col("total") - F.col("lift")).alias("duplicates")
+        )
         done = now if done is None else done.unionByName(now)
-        rest = waiting.join(picked.select(F.col("network").alias("_network"), F.col("source").alias("_source")), F.col("network").eqNullSafe(F.col("_network")) & (F.col("source") == F.col("_source")), "left_anti")
+        rest = waiting.join(
+            picked.select(F.col("network").alias("_network"), F.col("source").alias("_source")),
+            F.col("network").eqNullSafe(F.col("_network")) & (F.col("source") == F.col("_source")), "left_anti"
+        )
         waiting = stored(rest)
         if not waiting.limit(1).count():
             break
-        names = picked.groupBy(F.col("network").alias("_network")).agg(F.collect_set("source").alias("_picked"), F.max("place").alias("_more"))
+        names = picked.groupBy(F.col("network").alias("_network")).agg(
+            F.collect_set("source").alias("_picked"), F.max("place").alias("_more")
+        )
         beside = F.col("network").eqNullSafe(F.col("_network"))
-        left = stored(left.join(names, beside, "left").filter(~F.coalesce(F.arrays_overlap("sources", "_picked"), F.lit(False))).select("network", "sources", "n", "_set"))
-        rank = stored(rank.join(names, beside, "left").select("network", (F.col("_from") + F.coalesce("_more", F.lit(0).cast("long"))).alias("_from")))
+        left = stored(
+            left.join(names, beside, "left").filter(
+                ~F.coalesce(F.arrays_overlap("sources", "_picked"), F.lit(False))
+            ).select("network", "sources", "n", "_set")
+        )
+        rank = stored(
+            rank.join(names, beside, "left").select("network", (F.col("_from") + F.coalesce("_more", F.lit(0).cast("long"))).alias("_from"))
+        )
     empty = waiting.sparkSession.createDataFrame([], "network string, source string, rank long, lift long, duplicates long")
     return done if done is not None else empty
 
@@ -111,14 +135,18 @@ def syndication_clusters(items: DataFrame, hours: int = 36) -> DataFrame:
     clustered = F.col("network").isNotNull() & F.col("fingerprint").isNotNull() & F.col("published_at").isNotNull()
     key = ["network", "fingerprint"]
     times = items.filter(clustered).groupBy(*key, "published_at").agg(F.count("*").alias("_n"))
-    ordered = times.withColumn("_at", F.unix_micros(F.col("published_at").cast("timestamp"))).repartition(*key).sortWithinPartitions(*key, F.desc("_at"))
+    ordered = times.withColumn(
+        "_at", F.unix_micros(F.col("published_at").cast("timestamp"))
+    ).repartition(*key).sortWithinPartitions(*key, F.desc("_at"))
     band = hours * 3_600_000_000
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         title, head, k = None, 0, 0
         for b in batches:
             own = []
-            for n, f, t in zip(b.column("network").to_pylist(), b.column("fingerprint").to_pylist(), b.column("_at").to_pylist(), strict=True):
+            for n, f, t in zip(
+                b.column("network").to_pylist(), b.column("fingerprint").to_pylist(), b.column("_at").to_pylist(), strict=True
+            ):
                 if (n, f) != title:
                     title, head, k = (n, f), t, 0
                 elif head - t > band:
@@ -132,7 +160,9 @@ def syndication_clusters(items: DataFrame, hours: int = 36) -> DataFrame:
     sizes = numbered.groupBy(*key, "cluster").agg(F.sum("_n").alias("size"))
     placed = numbered.drop("_n").join(sizes, [*key, "cluster"])
     out = items.filter(clustered).join(placed, [*key, "published_at"]).select(*key, "external_id", "cluster", "size")
-    return out.unionByName(items.filter(~clustered).select(*key, "external_id", F.lit(None).cast("long").alias("cluster"), F.lit(1).cast("long").alias("size")))
+    return out.unionByName(
+        items.filter(~clustered).select(*key, "external_id", F.lit(None).cast("long").alias("cluster"), F.lit(1).cast("long").alias("size"))
+    )
 
 
 def next_state(state: tuple, at: int, ok: bool, kind: str | None, reason: str | None, duplicate: bool = False) -> tuple:
@@ -165,25 +195,45 @@ def breaker_states(attempts: DataFrame) -> DataFrame:
     attempts = stored(attempts.select("outlet_id", "ran_at", "id", "ok", "failure", "duplicate"))
     last = attempts.filter("ok").groupBy("outlet_id").agg(F.max(F.struct("ran_at", "id")).alias("_last"))
     now = F.struct("ran_at", "id")
-    failed = stored(attempts.join(last, "outlet_id", "left").filter(~F.col("ok") & (F.col("_last").isNull() | (now > F.col("_last")))).drop("_last"))
-    rows = failed.select("outlet_id", "ran_at", "id", F.col("failure.kind").alias("kind"), F.col("failure.reason").alias("reason"), F.coalesce("duplicate", F.lit(False)).alias("duplicate"), F.row_number().over(order).alias("_k"))
-    permanent = (F.col("kind") == "permanent") | (F.col("reason") == "http_404") & (F.col("duplicate") | (F.col("_k") >= POLICY["permanent_404_after"]))
-    status = F.when(permanent, "disabled_permanent").when((F.col("kind") == "temporary") & (F.col("_k") >= POLICY["temporary_after"]), "disabled_temporary")
+    failed = stored(
+        attempts.join(last, "outlet_id", "left").filter(~F.col("ok") & (F.col("_last").isNull() | (now > F.col("_last")))).drop("_last")
+    )
+    rows = failed.select(
+        "outlet_id", "ran_at", "id", F.col("failure.kind").alias("kind"), F.col("failure.reason").alias("reason"),
+        F.coalesce("duplicate", F.lit(False)).alias("duplicate"), F.row_number().over(order).alias("_k")
+    )
+    permanent = (F.col("kind") == "permanent") | (F.col("reason") == "http_404") & (
+        F.col("duplicate") | (F.col("_k") >= POLICY["permanent_404_after"])
+    )
+    status = F.when(permanent, "disabled_permanent").when(
+        (F.col("kind") == "temporary") & (F.col("_k") >= POLICY["temporary_after"]), "disabled_temporary"
+    )
     rows = rows.withColumn("_status", status).withColumn("_at", F.unix_micros(F.col("ran_at").cast("timestamp")))
     disables = F.col("_status").isNotNull()
     group = rows.withColumn("_from", F.max(F.when(disables, F.col("_k"))).over(order))
-    ends = group.groupBy("outlet_id").agg(F.max("_k").cast("long").alias("failures"), F.max("_from").alias("_from"), F.min(F.when(disables, F.col("ran_at"))).alias("disabled_since"))
+    ends = group.groupBy("outlet_id").agg(
+        F.max("_k").cast("long").alias("failures"), F.max("_from").alias("_from"),
+        F.min(F.when(disables, F.col("ran_at"))).alias("disabled_since")
+    )
     later = group.join(ends.select("outlet_id", F.col("_from").alias("_end")), "outlet_id").filter(F.col("_from") == F.col("_end"))
     state = later.groupBy("outlet_id").agg(
         F.max(F.when(disables, F.col("_status"))).alias("status"), F.max(F.when(disables, F.col("reason"))).alias("reason"), F.max(F.when(disables, F.col("_at"))).alias("_start"),
         F.array_sort(F.collect_list(F.when(~disables & F.col("kind").isNull(), F.col("_at")))).alias("_checks"),
     )
     days = F.when(F.col("status") == "disabled_temporary", POLICY["temporary_days"]).otherwise(POLICY["permanent_days"]) * F.lit(DAY)
-    moved = F.aggregate("_checks", F.col("_start") + F.col("_days"), lambda until, t: F.when(until <= t, t + F.col("_days")).otherwise(until))
+    moved = F.aggregate(
+        "_checks", F.col("_start") + F.col("_days"), lambda until, t: F.when(until <= t, t + F.col("_days")).otherwise(until)
+    )
     dated = state.withColumn("_days", days).select("outlet_id", "status", "reason", as_time(moved).alias("disabled_until"))
     none = F.lit(None)
-    well = last.join(failed.select("outlet_id").distinct(), "outlet_id", "left_anti").select("outlet_id", F.lit("active").alias("status"), none.cast("string").alias("reason"), F.lit(0).cast("long").alias("failures"), none.cast("timestamp_ntz").alias("disabled_until"), none.cast("timestamp_ntz").alias("disabled_since"))
-    bad = ends.join(dated, "outlet_id", "left").select("outlet_id", F.coalesce("status", F.lit("active")).alias("status"), "reason", "failures", "disabled_until", F.col("disabled_since").cast("timestamp_ntz").alias("disabled_since"))
+    well = last.join(failed.select("outlet_id").distinct(), "outlet_id", "left_anti").select(
+        "outlet_id", F.lit("active").alias("status"), none.cast("string").alias("reason"), F.lit(0).cast("long").alias("failures"),
+        none.cast("timestamp_ntz").alias("disabled_until"), none.cast("timestamp_ntz").alias("disabled_since")
+    )
+    bad = ends.join(dated, "outlet_id", "left").select(
+        "outlet_id", F.coalesce("status", F.lit("active")).alias("status"), "reason", "failures", "disabled_until",
+        F.col("disabled_since").cast("timestamp_ntz").alias("disabled_since")
+    )
     return bad.unionByName(well)
 
 

@@ -27,7 +27,10 @@ def united(*arrays: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(whole, lambda x: x.isNotNull() & (F.trim(x) != ""))))
 
 
-def dedupe(rows: DataFrame, key: Column, *, arrays: tuple[str, ...] = ("feed_categories", "topics", "sections_normalized"), first: tuple[str, ...] = ("stable_id", "source_country")) -> DataFrame:
+def dedupe(
+    rows: DataFrame, key: Column, *, arrays: tuple[str, ...] = ("feed_categories", "topics", "sections_normalized"),
+    first: tuple[str, ...] = ("stable_id", "source_country")
+) -> DataFrame:
     """One row per key: better title quality, then newer, then earlier in seq; lists united, gaps filled from the others."""
     order = [F.desc(quality_rank(F.col("title_quality"))), F.desc("publication_datetime"), F.asc("seq")]
     ranked = rows.withColumn("_key", key).withColumn("_rn", F.row_number().over(W.partitionBy("_key").orderBy(*order)))
@@ -45,7 +48,9 @@ def dedupe_batch(rows: DataFrame) -> DataFrame:
 def resolve_ids(rows: DataFrame, existing: DataFrame) -> DataFrame:
     """Rows with the id under which they are stored: a match by feed id goes before one by the article's id."""
     known = existing.filter("stable_id is not null").groupBy("stable_id").agg(F.min("external_id").alias("_known"))
-    return rows.join(known, "stable_id", "left").withColumn("external_id", F.coalesce("_known", "external_id")).drop("_known").select(*rows.columns)
+    return rows.join(known, "stable_id", "left").withColumn(
+        "external_id", F.coalesce("_known", "external_id")
+    ).drop("_known").select(*rows.columns)
 
 
 def upsert(existing: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -58,7 +63,9 @@ def upsert(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     good = lambda c: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit("ok"))
     keep_quality = good(old("title_quality")).isin("ok", "recovered") & (good(new("title_quality")) == "suspect")
     address = lambda r: (r("title_original") == r("url")) | r("title_original").like("http%")
-    keep_title = keep_quality | F.coalesce(address(new) & old("title_original").isNotNull() & (old("title_original") != "") & ~address(old), F.lit(False))
+    keep_title = keep_quality | F.coalesce(
+        address(new) & old("title_original").isNotNull() & (old("title_original") != "") & ~address(old), F.lit(False)
+    )
     rules = {
         "created_at": old("created_at"),
         "publication_datetime": F.least(new("publication_datetime"), old("created_at")),
@@ -74,7 +81,9 @@ def upsert(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     }
     if "snippet_original" in incoming.columns:
         rules["snippet_original"] = F.coalesce(F.nullif(new("snippet_original"), F.lit("")), old("snippet_original"))
-    return both.select(*[F.when(only_old, old(c)).when(only_new, new(c)).otherwise(rules.get(c, new(c))).alias(c) for c in incoming.columns])
+    return both.select(
+        *[F.when(only_old, old(c)).when(only_new, new(c)).otherwise(rules.get(c, new(c))).alias(c) for c in incoming.columns]
+    )
 
 
 def upsert_counts(existing: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -87,13 +96,17 @@ def upsert_counts(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 def upsert_watermarks(existing: DataFrame, items: DataFrame) -> DataFrame:
     """The greatest publication per (outlet, method); null never wins."""
     new = items.groupBy("outlet_id", "method").agg(F.max("published_at").alias("last_publication_at"))
-    return existing.select("outlet_id", "method", "last_publication_at").unionByName(new).groupBy("outlet_id", "method").agg(F.max("last_publication_at").alias("last_publication_at"))
+    return existing.select("outlet_id", "method", "last_publication_at").unionByName(new).groupBy("outlet_id", "method").agg(
+        F.max("last_publication_at").alias("last_publication_at")
+    )
 
 
 def past_watermark(items: DataFrame, watermarks: DataFrame, oldest: Column) -> DataFrame:
     """Undated items, and those dated after both their endpoint's watermark and the oldest date allowed."""
     joined = items.join(watermarks, ["outlet_id", "method"], "left")
-    return joined.filter(F.col("published_at").isNull() | (F.col("published_at") > F.greatest(F.coalesce("last_publication_at", oldest), oldest))).drop("last_publication_at")
+    return joined.filter(
+        F.col("published_at").isNull() | (F.col("published_at") > F.greatest(F.coalesce("last_publication_at", oldest), oldest))
+    ).drop("last_publication_at")
 
 
 def add_rollup(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -105,7 +118,10 @@ def add_rollup(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFram
 def quarantine(existing: DataFrame, candidates: DataFrame) -> DataFrame:
     """Dateless candidates by id: how often seen, the longest snippet (of equally long ones the first in order)."""
     rows = existing.unionByName(candidates.withColumn("seen_count", F.lit(1).cast("long")).select(*existing.columns))
-    return rows.groupBy("candidate_id").agg(F.sum("seen_count").alias("seen_count"), F.max_by("snippet", F.struct(F.length(F.coalesce("snippet", F.lit(""))), F.col("snippet"))).alias("snippet"))
+    return rows.groupBy("candidate_id").agg(
+        F.sum("seen_count").alias("seen_count"),
+        F.max_by("snippet", F.struct(F.length(F.coalesce("snippet", F.lit(""))), F.col("snippet"))).alias("snippet")
+    )
 
 
 def prefer_items(items: DataFrame) -> DataFrame:
@@ -116,19 +132,34 @@ def prefer_items(items: DataFrame) -> DataFrame:
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: F.length(x) >= 4))
     place = F.regexp_extract("link", r"^[a-z]+://[^/?#]*([^?#]*)", 1)
     title = words(F.col("title"))
-    overlap = F.when((F.size(title) > 0) & (F.size(words(place)) > 0), F.size(F.array_intersect(title, words(place))) / F.size(title) + F.least(F.size(F.filter(F.split(place, "/"), lambda x: x != "")), F.lit(6)) * 0.01).otherwise(0.0)
-    score = overlap + F.least(F.length(F.coalesce("description", F.lit(""))), F.lit(400)) / 10000 + F.when(F.col("fallback_date"), 0.0).otherwise(0.02) + quality_rank(F.col("title_quality")) * 0.05
+    overlap = F.when(
+        (F.size(title) > 0) & (F.size(words(place)) > 0),
+        F.size(F.array_intersect(title, words(place))) / F.size(title) + F.least(
+            F.size(F.filter(F.split(place, "/"), lambda x: x != "")), F.lit(6)
+        ) * 0.01
+    ).otherwise(0.0)
+    score = overlap + F.least(
+        F.length(F.coalesce("description", F.lit(""))), F.lit(400)
+    ) / 10000 + F.when(F.col("fallback_date"), 0.0).otherwise(0.02) + quality_rank(F.col("title_quality")) * 0.05
     rank = F.struct(F.coalesce(F.unix_micros(F.col("published_at").cast("timestamp")), F.lit(0)), F.round(score, 9), -F.col("seq"))
     rows = items.withColumn("_key", F.coalesce(blank_to("stable_id"), "link")).withColumn("_rank", rank)
     plain = [c for c in items.columns if c != "categories"]
-    return rows.groupBy("_key").agg(*[F.max_by(F.struct(F.col(c)), "_rank")[c].alias(c) for c in plain], united(F.flatten(F.collect_set("categories"))).alias("categories")).drop("_key")
+    return rows.groupBy("_key").agg(
+        *[F.max_by(F.struct(F.col(c)), "_rank")[c].alias(c) for c in plain],
+        united(F.flatten(F.collect_set("categories"))).alias("categories")
+    ).drop("_key")
 
 
 def persistable(items: DataFrame, as_of: Column, days: int = 7, title: int = 400, snippet: int = 1200) -> DataFrame:
     """Items that may be stored: with an address, a title and a date, no older than so many days (0: of any age); texts without
     control characters and cut."""
     link = F.trim(sanitized(F.regexp_replace("link", "(?i)&amp;", "&")))
-    rows = items.withColumns({"link": link, "title": truncated(F.regexp_replace("title", r"\s+", " "), title), "description": F.nullif(truncated(F.regexp_replace("description", r"\s+", " "), snippet), F.lit(""))})
+    rows = items.withColumns(
+        {
+            "link": link, "title": truncated(F.regexp_replace("title", r"\s+", " "), title),
+            "description": F.nullif(truncated(F.regexp_replace("description", r"\s+", " "), snippet), F.lit(""))
+        }
+    )
     kept = rows.filter((F.col("link") != "") & (F.col("title") != "") & F.col("published_at").isNotNull())
     return kept.filter(F.col("published_at") >= as_of - F.make_dt_interval(F.lit(days))) if days > 0 else kept
 

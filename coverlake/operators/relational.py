@@ -19,12 +19,16 @@ def top_k(df: DataFrame, keys: list[str], k: int, *order: Column, rank: str = "r
     return df.withColumn(rank, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col(rank) <= k)
 
 
-def concentration(df: DataFrame, keys: list[str], member: str, count: str, ks: tuple[int, ...] = (1, 5, 10), also: tuple[Column, ...] = ()) -> DataFrame:
+def concentration(
+    df: DataFrame, keys: list[str], member: str, count: str, ks: tuple[int, ...] = (1, 5, 10), also: tuple[Column, ...] = ()
+) -> DataFrame:
     """Share of the k largest members of each group, in basis points: top1_bps and so on. Other aggregates of the group can
     be taken in the same pass."""
     ranked = df.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(count), F.asc_nulls_last(member))))
     total = F.sum(count)
-    return ranked.groupBy(*keys).agg(*also, *[share_bps(F.sum(F.when(F.col("_rn") <= k, F.col(count)).otherwise(0)), total).alias(f"top{k}_bps") for k in ks])
+    return ranked.groupBy(*keys).agg(
+        *also, *[share_bps(F.sum(F.when(F.col("_rn") <= k, F.col(count)).otherwise(0)), total).alias(f"top{k}_bps") for k in ks]
+    )
 
 
 def mode(df: DataFrame, keys: list[str], value: str, *order: Column) -> DataFrame:

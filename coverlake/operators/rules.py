@@ -46,7 +46,10 @@ def conditions(rules: DataFrame) -> DataFrame:
 
 def listed(rows: DataFrame, rule: Column, clauses: list[tuple[str, str, Column]]) -> DataFrame:
     """Conditions from rows: for each (field, kind, array of values) a clause; one whose array is null does not bind."""
-    each = [F.struct(F.lit(k).alias("clause"), F.lit(field).alias("field"), F.lit(kind).alias("kind"), values.alias("values")) for k, (field, kind, values) in enumerate(clauses)]
+    each = [
+        F.struct(F.lit(k).alias("clause"), F.lit(field).alias("field"), F.lit(kind).alias("kind"), values.alias("values"))
+        for k, (field, kind, values) in enumerate(clauses)
+    ]
     made = rows.select(rule.cast("long").alias("rule"), F.explode(F.array(*each)).alias("c"))
     return made.select("rule", "c.clause", "c.field", "c.kind", F.explode("c.values").alias("value"))
 
@@ -166,18 +169,31 @@ def by_joins(rows: DataFrame, table: DataFrame, fields: dict[str, Column], first
     # anchors of all lengths up to ANCHOR, at all places
     size = F.length("text")
     at = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
-    cuts = F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(ANCHOR), size - i + 1)), lambda n: F.col("text").substr(i, n))))
+    cuts = F.flatten(
+        F.transform(
+            at, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(ANCHOR), size - i + 1)), lambda n: F.col("text").substr(i, n))
+        )
+    )
     grams = each.select("field", "text", F.explode(F.array_distinct(F.array_append(cuts, F.lit("")))).alias("anchor"))
     text, value = F.col("text"), F.col("value")
     edges = F.expr(r"value <> '' and text rlike concat('(?<![\\p{L}\\p{N}])\\Q', value, '\\E(?![\\p{L}\\p{N}])')")
-    holds = F.when(F.col("kind") == "exact", text == value).when(F.col("kind") == "prefix", text.startswith(value)).when(F.col("kind") == "suffix", text.endswith(value)).when(F.col("kind") == "part", text.contains(value)).otherwise(edges)
+    holds = F.when(F.col("kind") == "exact", text == value).when(
+        F.col("kind") == "prefix", text.startswith(value)
+    ).when(F.col("kind") == "suffix", text.endswith(value)).when(F.col("kind") == "part", text.contains(value)).otherwise(edges)
     met = grams.join(anchored, ["field", "anchor"]).filter(holds).select("field", "text", "rule", "clause", "kind", "value")
-    pairs = keyed.select("_texts").distinct().select("_texts", F.explode("_texts").alias("t")).select("_texts", "t.field", "t.text").join(met, ["field", "text"])
+    pairs = keyed.select("_texts").distinct().select(
+        "_texts", F.explode("_texts").alias("t")
+    ).select("_texts", "t.field", "t.text").join(met, ["field", "text"])
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int") - 1
     zero = F.col("clause") == 0
-    counted = pairs.groupBy("_texts", "rule").agg(F.count_distinct("clause").alias("_met"), F.min(F.when(zero, rank)).alias("kind"), F.count_distinct(F.when(zero, F.col("value"))).cast("int").alias("n"))
+    counted = pairs.groupBy("_texts", "rule").agg(
+        F.count_distinct("clause").alias("_met"), F.min(F.when(zero, rank)).alias("kind"),
+        F.count_distinct(F.when(zero, F.col("value"))).cast("int").alias("n")
+    )
     need = table.groupBy("rule").agg(F.count_distinct("clause").alias("_need"))
-    good = counted.join(need, "rule").filter("_met = _need").select("_texts", F.struct("rule", F.coalesce("kind", F.lit(0)).alias("kind"), "n").alias("h"))
+    good = counted.join(need, "rule").filter("_met = _need").select(
+        "_texts", F.struct("rule", F.coalesce("kind", F.lit(0)).alias("kind"), "n").alias("h")
+    )
     best = good.groupBy("_texts").agg((F.array(F.min("h")) if first else F.array_sort(F.collect_list("h"))).alias("_held"))
     none = F.array().cast("array<struct<rule: bigint, kind: int, n: int>>")
     return keyed.join(best, "_texts", "left").withColumn("_held", F.coalesce("_held", none)).select(*rows.columns, "_held")
@@ -196,13 +212,18 @@ def first_rule(rows: DataFrame, table: DataFrame, fields: dict[str, Column], **h
     """rows, then rule (null if none holds) and matched_by (the strongest kind of match in its clause 0)."""
     found = held(rows, table, fields, first=True, **how)
     one = F.get("_held", F.lit(0))
-    return found.select(*rows.columns, one["rule"].alias("rule"), F.get(F.array(*[F.lit(k) for k in KINDS]), one["kind"]).alias("matched_by"))
+    return found.select(
+        *rows.columns, one["rule"].alias("rule"), F.get(F.array(*[F.lit(k) for k in KINDS]), one["kind"]).alias("matched_by")
+    )
 
 
 def all_rules(rows: DataFrame, table: DataFrame, fields: dict[str, Column], **how) -> DataFrame:
     """A row for each row and rule that holds: its columns, then rule, matched_by and n (distinct values of clause 0 found)."""
     found = held(rows, table, fields, **how).withColumn("_h", F.explode("_held"))
-    return found.select(*rows.columns, F.col("_h.rule").alias("rule"), F.get(F.array(*[F.lit(k) for k in KINDS]), F.col("_h.kind")).alias("matched_by"), F.col("_h.n").alias("n"))
+    return found.select(
+        *rows.columns, F.col("_h.rule").alias("rule"), F.get(F.array(*[F.lit(k) for k in KINDS]), F.col("_h.kind")).alias("matched_by"),
+        F.col("_h.n").alias("n")
+    )
 
 
 __all__ = ["KINDS", "SCHEMA", "all_rules", "conditions", "first_rule", "held", "listed", "read_rules"]

@@ -64,7 +64,10 @@ def search(articles: DataFrame, query: NewsQuery, as_of: str) -> DataFrame:
     rows = articles.filter(reduce(and_, query.filters(as_of)))
     total = rows.agg(F.count("*").alias("total"))
     page = rows.orderBy(F.desc("publication_datetime"), F.asc("external_id")).offset(query.offset).limit(size)
-    shown = page.select("external_id", "title_original", "source", blank_to("source_country").alias("source_country"), blank_to("section", "others").alias("section"), "publication_datetime", F.array_join("topics", ",").alias("topics"))
+    shown = page.select(
+        "external_id", "title_original", "source", blank_to("source_country").alias("source_country"),
+        blank_to("section", "others").alias("section"), "publication_datetime", F.array_join("topics", ",").alias("topics")
+    )
     return shown.crossJoin(F.broadcast(total)).withColumn("has_more", F.col("total") > query.offset + size)
 
 
@@ -73,9 +76,13 @@ def search_estimated(articles: DataFrame, query: NewsQuery, as_of: str) -> DataF
     what the page has shown so far, and one if there is more."""
     size = min(max(query.limit, 1), 200)
     rows = articles.filter(reduce(and_, query.filters(as_of)))
-    shown = rows.select("external_id", "title_original", "source", "publication_datetime").orderBy(F.desc("publication_datetime"), F.asc("external_id")).offset(query.offset).limit(size + 1)
+    shown = rows.select(
+        "external_id", "title_original", "source", "publication_datetime"
+    ).orderBy(F.desc("publication_datetime"), F.asc("external_id")).offset(query.offset).limit(size + 1)
     seen = F.count("*")
-    totals = shown.agg((F.least(seen, F.lit(size)) + query.offset + F.when(seen > size, 1).otherwise(0)).alias("total"), (seen > size).alias("has_more"))
+    totals = shown.agg(
+        (F.least(seen, F.lit(size)) + query.offset + F.when(seen > size, 1).otherwise(0)).alias("total"), (seen > size).alias("has_more")
+    )
     page = shown.orderBy(F.desc("publication_datetime"), F.asc("external_id")).limit(size)
     return page.crossJoin(F.broadcast(totals)).withColumn("total_is_estimate", F.lit(True))
 
@@ -89,7 +96,12 @@ def after(articles: DataFrame, created_at: str, external_id: str, k: int) -> Dat
 
 def filter_values(articles: DataFrame) -> DataFrame:
     """Distinct values of each filter: one pass over (kind, value) pairs."""
-    pairs = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in (("country", blank_to("source_country")), ("source", blank_to("source")), ("section", blank_to("section")))])
+    pairs = F.array(
+        *[
+            F.struct(F.lit(k).alias("kind"), v.alias("value"))
+            for k, v in (("country", blank_to("source_country")), ("source", blank_to("source")), ("section", blank_to("section")))
+        ]
+    )
     return articles.filter(visible()).select(F.explode(pairs).alias("p")).select("p.*").filter("value is not null").distinct()
 
 
@@ -97,26 +109,46 @@ def taxonomy_by_source(articles: DataFrame, as_of: str, hours: int = 720, least:
     """How much of each source is unclassified."""
     rows = articles.filter((F.col("created_at") >= before(as_of, f"{hours} hours")) & (F.col("created_at") <= at(as_of)))
     others = F.count_if(blank_to("section", "others") == "others")
-    return rows.groupBy("source").agg(F.count("*").alias("articles"), others.alias("others"), F.count_if(F.size("feed_categories") == 0).alias("without_categories"), F.count_if(blank_to("primary_topic").isNull()).alias("without_topic")).filter(F.col("articles") >= least).withColumn("others_percent", percent(F.col("others"), F.col("articles")))
+    return rows.groupBy("source").agg(
+        F.count("*").alias("articles"), others.alias("others"), F.count_if(F.size("feed_categories") == 0).alias("without_categories"),
+        F.count_if(blank_to("primary_topic").isNull()).alias("without_topic")
+    ).filter(F.col("articles") >= least).withColumn("others_percent", percent(F.col("others"), F.col("articles")))
 
 
 def taxonomy_totals(articles: DataFrame, as_of: str, hours: int = 720) -> DataFrame:
     rows = articles.filter((F.col("created_at") >= before(as_of, f"{hours} hours")) & (F.col("created_at") <= at(as_of)))
     n = F.count("*")
-    return rows.agg(n.alias("articles"), percent(F.count_if(blank_to("section", "others") == "others"), n).alias("others_percent"), percent(F.count_if(F.size("feed_categories") > 0), n).alias("categories_percent"), percent(F.count_if(blank_to("primary_topic").isNotNull()), n).alias("topic_percent"))
+    return rows.agg(
+        n.alias("articles"), percent(F.count_if(blank_to("section", "others") == "others"), n).alias("others_percent"),
+        percent(F.count_if(F.size("feed_categories") > 0), n).alias("categories_percent"),
+        percent(F.count_if(blank_to("primary_topic").isNotNull()), n).alias("topic_percent")
+    )
 
 
 def category_sections(articles: DataFrame, as_of: str, hours: int = 720, k: int = 3) -> DataFrame:
     """For each feed category the sections it meets, most frequent first, as one text."""
-    each = articles.filter((F.col("created_at") >= before(as_of, f"{hours} hours")) & (F.col("created_at") <= at(as_of))).select(blank_to("section", "others").alias("section"), F.explode("feed_categories").alias("category"))
+    each = articles.filter((F.col("created_at") >= before(as_of, f"{hours} hours")) & (F.col("created_at") <= at(as_of))).select(
+        blank_to("section", "others").alias("section"), F.explode("feed_categories").alias("category")
+    )
     ranked = top_k(each.groupBy("category", "section").agg(F.count("*").alias("n")), ["category"], k, F.desc("n"), F.asc("section"))
-    return ranked.groupBy("category").agg(F.sum("n").alias("articles"), F.expr("listagg(concat(section, ':', cast(n as string)), ', ') within group (order by rn)").alias("sections"))
+    return ranked.groupBy("category").agg(
+        F.sum("n").alias("articles"),
+        F.expr("listagg(concat(section, ':', cast(n as string)), ', ') within group (order by rn)").alias("sections")
+    )
 
 
 def others_by_source(articles: DataFrame, as_of: str, days: int = 30, k: int = 3) -> DataFrame:
     """Sources of unclassified articles with sample titles and the likeliest section by score, from JSON candidates."""
-    rows = articles.filter((blank_to("section", "others") == "others") & (F.col("created_at") >= before(as_of, f"{days} days")) & (F.col("created_at") <= at(as_of)))
-    best = rows.select("source", F.expr("array_sort(from_json(candidates, 'array<struct<label:string,score:double>>'), (a, b) -> case when a.score > b.score then -1 when a.score < b.score then 1 when a.label < b.label then -1 when a.label > b.label then 1 else 0 end)[0].label").alias("label"))
+    rows = articles.filter(
+        (blank_to("section", "others") == "others") & (F.col("created_at") >= before(as_of, f"{days} days"))
+        & (F.col("created_at") <= at(as_of))
+    )
+    best = rows.select(
+        "source",
+        F.expr(
+            "array_sort(from_json(candidates, 'array<struct<label:string,score:double>>'), (a, b) -> case when a.score > b.score then -1 when a.score < b.score then 1 when a.label < b.label then -1 when a.label > b.label then 1 else 0 end)[0].label"
+        ).alias("label")
+    )
     counts = best.groupBy("source", F.coalesce("label", F.lit("(none)")).alias("label")).agg(F.count("*").alias("n"))
     return top_k(counts, ["source"], k, F.desc("n"), F.asc("label")).withColumn("rn", F.col("rn").cast("long"))
 
@@ -131,7 +163,9 @@ def candidates() -> Column:
 def topic_audit(articles: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     """Articles by topic; those with none stay, as (empty)."""
     rows = articles.filter((F.col("created_at") >= before(as_of, f"{days} days")) & (F.col("created_at") <= at(as_of)))
-    return rows.select("source", F.explode_outer("topics").alias("t")).groupBy(F.coalesce(blank_to("t"), F.lit("(empty)")).alias("topic")).agg(F.count("*").alias("articles"), F.countDistinct("source").alias("sources"))
+    return rows.select("source", F.explode_outer("topics").alias("t")).groupBy(F.coalesce(blank_to("t"), F.lit("(empty)")).alias("topic")).agg(
+        F.count("*").alias("articles"), F.countDistinct("source").alias("sources")
+    )
 
 
 def url_sample(articles: DataFrame, as_of: str, hours: int = 240) -> DataFrame:
@@ -142,12 +176,22 @@ def url_sample(articles: DataFrame, as_of: str, hours: int = 240) -> DataFrame:
 
 def title_tokens(c: Column) -> Column:
     """Words of four or more, in order."""
-    return F.array_sort(F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: F.length(x) >= 4)))
+    return F.array_sort(
+        F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: F.length(x) >= 4))
+    )
 
 
 def url_date(url: Column | str) -> Column:
     """The date in the path, /yyyy/mm/dd; null without one."""
-    return F.nullif(F.regexp_replace(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+[^?#]*?/(20[0-9]{2}/(?:0[1-9]|1[0-2])/(?:[0-2][0-9]|3[01]))(?=/|[?#]|$)", 1), "/", "-"), F.lit(""))
+    return F.nullif(
+        F.regexp_replace(
+            F.regexp_extract(
+                url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+[^?#]*?/(20[0-9]{2}/(?:0[1-9]|1[0-2])/(?:[0-2][0-9]|3[01]))(?=/|[?#]|$)", 1
+            ),
+            "/", "-"
+        ),
+        F.lit("")
+    )
 
 
 def similar_titles(rows: DataFrame, least_overlap: int, containment: float, jaccard: float) -> DataFrame:
@@ -160,18 +204,28 @@ def similar_titles(rows: DataFrame, least_overlap: int, containment: float, jacc
     each = rows.select("host", "tokens", "legacy").distinct().select("host", "tokens", "legacy", F.explode("tokens").alias("token"))
     # a word of a large host is counted in parts, not sorted in one place
     counted = each.join(each.groupBy("host", "token").agg(F.count("*").alias("_n")), ["host", "token"])
-    ordered = counted.groupBy("host", "tokens", "legacy").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "token"))), lambda x: x["token"]).alias("_rare"))
+    ordered = counted.groupBy("host", "tokens", "legacy").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_n", "token"))), lambda x: x["token"]).alias("_rare")
+    )
     n = F.size("_rare")
-    keyed = ordered.select("host", "tokens", "legacy", F.explode(F.slice("_rare", 1, n - F.ceil(n * jaccard).cast("int") + 1)).alias("token"))
-    old, new = keyed.filter("legacy").drop("legacy"), keyed.filter("not legacy").select("host", "token", F.col("tokens").alias("other_tokens"))
+    keyed = ordered.select(
+        "host", "tokens", "legacy", F.explode(F.slice("_rare", 1, n - F.ceil(n * jaccard).cast("int") + 1)).alias("token")
+    )
+    old, new = keyed.filter("legacy").drop("legacy"), keyed.filter("not legacy").select(
+        "host", "token", F.col("tokens").alias("other_tokens")
+    )
     pairs = old.join(new, ["host", "token"]).select("host", "tokens", "other_tokens").distinct()
     shared = F.size(F.array_intersect("tokens", "other_tokens"))
     smaller, union = F.least(F.size("tokens"), F.size("other_tokens")), F.size("tokens") + F.size("other_tokens") - F.col("overlap")
-    scored = pairs.withColumn("overlap", shared).withColumn("containment", F.round(F.col("overlap") / smaller, 6)).withColumn("jaccard", F.round(F.col("overlap") / union, 6))
+    scored = pairs.withColumn("overlap", shared).withColumn(
+        "containment", F.round(F.col("overlap") / smaller, 6)
+    ).withColumn("jaccard", F.round(F.col("overlap") / union, 6))
     return scored.filter((F.col("overlap") >= least_overlap) & (F.col("containment") >= containment) & (F.col("jaccard") >= jaccard))
 
 
-def url_drift(articles: DataFrame, hours: int = 36, least_overlap: int = 4, containment: float = 0.6, jaccard: float = 0.5, source_prefix: str = "") -> DataFrame:
+def url_drift(
+    articles: DataFrame, hours: int = 36, least_overlap: int = 4, containment: float = 0.6, jaccard: float = 0.5, source_prefix: str = ""
+) -> DataFrame:
     """For each article without a feed id the best one of its host with one: a like title, published within a band of time,
     and on one date if the addresses of both tell one. Best by containment, then Jaccard similarity, then the gap in time.
 
@@ -188,44 +242,72 @@ def url_drift(articles: DataFrame, hours: int = 36, least_overlap: int = 4, cont
     # an address without a date meets all; one with a date meets that date's and those without
     any_day, no_day = F.lit("any"), F.lit("none")
     ask = F.when(F.col("day").isNull(), F.array(any_day)).otherwise(F.array("day", no_day))
-    left = rows.filter("legacy").join(pairs, ["host", "tokens"]).select("host", "other_tokens", F.explode(ask).alias("day"), "at", "external_id", "overlap", "containment", "jaccard", F.lit(None).cast("string").alias("found"))
-    offers = rows.filter("not legacy").select("host", F.col("tokens").alias("other_tokens"), F.explode(F.array(any_day, F.coalesce("day", no_day))).alias("day"), "at", "external_id")
+    left = rows.filter("legacy").join(pairs, ["host", "tokens"]).select(
+        "host", "other_tokens", F.explode(ask).alias("day"), "at", "external_id", "overlap", "containment", "jaccard",
+        F.lit(None).cast("string").alias("found")
+    )
+    offers = rows.filter("not legacy").select(
+        "host", F.col("tokens").alias("other_tokens"), F.explode(F.array(any_day, F.coalesce("day", no_day))).alias("day"), "at",
+        "external_id"
+    )
     offered = offers.groupBy("host", "other_tokens", "day", "at").agg(F.min("external_id").alias("found"))
     none = {c: F.lit(None).cast(t) for c, t in left.dtypes if c in ("external_id", "overlap", "containment", "jaccard")}
     span = F.floor(F.col("at") / max(hours * 3600, 1))
-    both = left.withColumn("span", F.explode(F.sequence(span - 1, span + 1))).unionByName(offered.withColumns(none).withColumn("span", span))
+    both = left.withColumn("span", F.explode(F.sequence(span - 1, span + 1))).unionByName(
+        offered.withColumns(none).withColumn("span", span)
+    )
     group = W.partitionBy("host", "other_tokens", "day", "span")
     order, reverse = group.orderBy("at", F.col("found").isNull()), group.orderBy(F.desc("at"), F.col("found").isNull())
     candidate = F.when(F.col("found").isNotNull(), F.struct("at", "found"))
-    near = both.withColumn("_before", F.last(candidate, True).over(order)).withColumn("_after", F.last(candidate, True).over(reverse)).filter("external_id is not null")
-    each = near.select("external_id", "at", "overlap", "containment", "jaccard", F.explode(F.array("_before", "_after")).alias("c")).filter("c is not null")
+    near = both.withColumn("_before", F.last(candidate, True).over(order)).withColumn(
+        "_after", F.last(candidate, True).over(reverse)
+    ).filter("external_id is not null")
+    each = near.select(
+        "external_id", "at", "overlap", "containment", "jaccard", F.explode(F.array("_before", "_after")).alias("c")
+    ).filter("c is not null")
     gaps = each.withColumn("gap", F.abs(F.col("at") - F.col("c.at"))).filter(F.col("gap") <= hours * 3600)
     best = latest(gaps, ["external_id"], F.desc("containment"), F.desc("jaccard"), F.asc("gap"), F.asc("c.found"))
-    return best.select("external_id", F.col("c.found").alias("other_id"), F.col("overlap").cast("long").alias("overlap"), "containment", "jaccard", "gap")
+    return best.select(
+        "external_id", F.col("c.found").alias("other_id"), F.col("overlap").cast("long").alias("overlap"), "containment", "jaccard", "gap"
+    )
 
 
 def category_prediction(articles: DataFrame, least_support: int = 3, least_share: float = 0.4) -> DataFrame:
     """Categories that a path segment predicts: share of the segment's articles with the category."""
-    tokens = F.array_distinct(F.filter(F.split(F.regexp_extract("url", r"^https?://[^/]+/(.*)$", 1), "/"), lambda x: (F.length(x) >= 3) & ~x.rlike("^[0-9]+$")))
+    tokens = F.array_distinct(
+        F.filter(F.split(F.regexp_extract("url", r"^https?://[^/]+/(.*)$", 1), "/"), lambda x: (F.length(x) >= 3) & ~x.rlike("^[0-9]+$"))
+    )
     rows = articles.select("external_id", tokens.alias("tokens"), "feed_categories")
     by_token = rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("articles"))
-    both = rows.select(F.explode("tokens").alias("token"), "feed_categories").select("token", F.explode("feed_categories").alias("category")).groupBy("token", "category").agg(F.count("*").alias("support"))
+    both = rows.select(F.explode("tokens").alias("token"), "feed_categories").select(
+        "token", F.explode("feed_categories").alias("category")
+    ).groupBy("token", "category").agg(F.count("*").alias("support"))
     share = F.round(F.col("support") / F.col("articles"), 6)
-    return both.join(by_token, "token").withColumn("share", share).filter((F.col("support") >= least_support) & (F.col("share") >= least_share))
+    return both.join(by_token, "token").withColumn("share", share).filter(
+        (F.col("support") >= least_support) & (F.col("share") >= least_share)
+    )
 
 
 def country_stats(articles: DataFrame, as_of: str) -> DataFrame:
     day = before(as_of, "24 hours")
-    return articles.groupBy(blank_to("country", "Global").alias("country")).agg(F.count("*").alias("total"), F.count_if((F.col("created_at") >= day) & (F.col("created_at") <= at(as_of))).alias("last_24h"), F.max("publication_datetime").alias("newest"))
+    return articles.groupBy(blank_to("country", "Global").alias("country")).agg(
+        F.count("*").alias("total"), F.count_if((F.col("created_at") >= day) & (F.col("created_at") <= at(as_of))).alias("last_24h"),
+        F.max("publication_datetime").alias("newest")
+    )
 
 
 def country_report(articles: DataFrame, catalog: DataFrame, as_of: str) -> DataFrame:
     """Publisher country against article country, with the catalog's countries zero-filled."""
     day = before(as_of, "24 hours")
     recent = (F.col("created_at") >= day) & (F.col("created_at") <= at(as_of))
-    rows = articles.join(catalog.select("catalog_source", "catalog_country", "distribution_class"), F.col("source") == F.col("catalog_source"), "left")
+    rows = articles.join(
+        catalog.select("catalog_source", "catalog_country", "distribution_class"), F.col("source") == F.col("catalog_source"), "left"
+    )
     core = F.coalesce("distribution_class", F.lit("publisher")) != "portal"
-    by_publisher = rows.groupBy(F.coalesce("catalog_country", blank_to("source_country"), F.lit("Global")).alias("country")).agg(F.count_if(recent & core).alias("core_inserted"), F.count_if(recent & ~core).alias("portal_inserted"), F.count_if(recent & (F.col("publication_datetime") < day)).alias("late"))
+    by_publisher = rows.groupBy(F.coalesce("catalog_country", blank_to("source_country"), F.lit("Global")).alias("country")).agg(
+        F.count_if(recent & core).alias("core_inserted"), F.count_if(recent & ~core).alias("portal_inserted"),
+        F.count_if(recent & (F.col("publication_datetime") < day)).alias("late")
+    )
     by_place = rows.groupBy(blank_to("country", "Global").alias("country")).agg(F.count_if(recent).alias("covered"))
     places = catalog.select(F.col("catalog_country").alias("country")).distinct()
     joined = by_publisher.join(by_place, "country", "full").join(places, "country", "full").na.fill(0)
@@ -235,10 +317,17 @@ def country_report(articles: DataFrame, catalog: DataFrame, as_of: str) -> DataF
 
 def mention_summary(articles: DataFrame, mentions: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     """Articles that any mention names, by entity type, with their sources in order."""
-    rows = articles.filter(visible() & (F.col("created_at") >= before(as_of, f"{days} days")) & (F.col("created_at") <= at(as_of))).select("external_id", "source", "section")
+    rows = articles.filter(
+        visible() & (F.col("created_at") >= before(as_of, f"{days} days")) & (F.col("created_at") <= at(as_of))
+    ).select("external_id", "source", "section")
     edges = mentions.select("article_external_id", "entity_type").distinct()
     joined = rows.join(edges, rows["external_id"] == edges["article_external_id"])
-    return joined.groupBy("entity_type").agg(F.count("*").alias("articles"), F.countDistinct("source").alias("sources"), F.countDistinct(F.when(blank_to("section", "others") == "world", F.col("source"))).alias("world_sources"), F.bool_or(F.col("section") == "sports").alias("any_sports"), F.array_join(F.slice(F.array_sort(F.collect_set("source")), 1, 5), ",").alias("first_sources"))
+    return joined.groupBy("entity_type").agg(
+        F.count("*").alias("articles"), F.countDistinct("source").alias("sources"),
+        F.countDistinct(F.when(blank_to("section", "others") == "world", F.col("source"))).alias("world_sources"),
+        F.bool_or(F.col("section") == "sports").alias("any_sports"),
+        F.array_join(F.slice(F.array_sort(F.collect_set("source")), 1, 5), ",").alias("first_sources")
+    )
 
 
 def mention_lane(articles: DataFrame, mentions: DataFrame, as_of: str, days: int = 30) -> DataFrame:
@@ -257,14 +346,18 @@ def latest_snapshots(orders: DataFrame) -> DataFrame:
 def roster(customers: DataFrame, orders: DataFrame, k: int = 2) -> DataFrame:
     """Every account with its first k snapshots by price; accounts without any stay."""
     ranked = top_k(orders, ["o_custkey"], k, F.desc("o_totalprice"), F.asc("o_orderkey"))
-    return customers.join(ranked, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "c_mktsegment", F.col("rn").cast("long").alias("rn"), "o_orderkey", "o_totalprice")
+    return customers.join(ranked, F.col("c_custkey") == F.col("o_custkey"), "left").select(
+        "c_custkey", "c_mktsegment", F.col("rn").cast("long").alias("rn"), "o_orderkey", "o_totalprice"
+    )
 
 
 def title_lift(articles: DataFrame, as_of: str, days: int = 5) -> DataFrame:
     """Titles of each source that no source had before, against all of its titles."""
     title = F.lower(blank_to("title_original"))
     split = before(as_of, f"{days} days")
-    rows = articles.filter(F.col("created_at") <= at(as_of)).select("source", title.alias("title"), (F.col("created_at") >= split).alias("new")).filter("title is not null")
+    rows = articles.filter(F.col("created_at") <= at(as_of)).select(
+        "source", title.alias("title"), (F.col("created_at") >= split).alias("new")
+    ).filter("title is not null")
     new, old = rows.filter("new").select("source", "title").distinct(), rows.filter("not new").select("title").distinct()
     fresh = new.join(old, "title", "left_anti").groupBy("source").agg(F.count("*").alias("new_titles"))
     return new.groupBy("source").agg(F.count("*").alias("titles")).join(fresh, "source", "left").na.fill(0, ["new_titles"])
@@ -272,5 +365,7 @@ def title_lift(articles: DataFrame, as_of: str, days: int = 5) -> DataFrame:
 
 def per_hour(articles: DataFrame) -> DataFrame:
     """Articles by hour with a running total within the day."""
-    hours = articles.groupBy(F.to_date("created_at").alias("day"), F.hour("created_at").cast("long").alias("hour")).agg(F.count("*").alias("articles"))
+    hours = articles.groupBy(
+        F.to_date("created_at").alias("day"), F.hour("created_at").cast("long").alias("hour")
+    ).agg(F.count("*").alias("articles"))
     return hours.withColumn("running", F.sum("articles").over(W.partitionBy("day").orderBy("hour").rowsBetween(W.unboundedPreceding, 0)))

@@ -21,7 +21,10 @@ def source_counts(articles: DataFrame, start: Column, end: Column, hour: Column
     reaches the scan, and holds all rows that any count needs."""
     rows = articles.filter((within("created_at", start, end) | within("publication_datetime", start, end)) & ~low_signal())
     seen, claimed = within("created_at", start, end), within(effective(), start, end)
-    counts = [F.count_if(seen).alias("inserted"), F.count_if(claimed).alias("published"), F.count_if(seen & claimed).alias("fresh"), F.count_if(seen & (effective() < start)).alias("late")]
+    counts = [
+        F.count_if(seen).alias("inserted"), F.count_if(claimed).alias("published"), F.count_if(seen & claimed).alias("fresh"),
+        F.count_if(seen & (effective() < start)).alias("late")
+    ]
     if hour is not None:
         counts.append(F.count_if(within("created_at", hour, end)).alias("inserted_1h"))
     return rows.groupBy(blank_to("source_country").alias("source_country"), "source").agg(*counts)
@@ -60,7 +63,9 @@ def by_country(rows: DataFrame, keys: tuple[str, ...] = ("country",)) -> DataFra
 def hourly(articles: DataFrame, catalog: DataFrame, as_of: str, version: str = "v1") -> DataFrame:
     """The last 24 hours up to as_of itself; only the bucket's name is the whole hour."""
     rows = with_country(source_counts(articles, before(as_of, "24 hours"), at(as_of), before(as_of, "1 hour")), catalog)
-    return by_country(rows).select(F.date_trunc("hour", at(as_of)).cast("timestamp_ntz").alias("hour_bucket"), F.lit(version).alias("metric_version"), "*")
+    return by_country(rows).select(
+        F.date_trunc("hour", at(as_of)).cast("timestamp_ntz").alias("hour_bucket"), F.lit(version).alias("metric_version"), "*"
+    )
 
 
 def daily_sources(articles: DataFrame, catalog: DataFrame, day: str, days: int = 1) -> DataFrame:
@@ -69,25 +74,37 @@ def daily_sources(articles: DataFrame, catalog: DataFrame, day: str, days: int =
 
 
 def daily(articles: DataFrame, catalog: DataFrame, day: str, version: str = "v1", days: int = 1) -> DataFrame:
-    return by_country(daily_sources(articles, catalog, day, days)).select(F.lit(day).cast("date").alias("day_bucket"), F.lit(version).alias("metric_version"), "*")
+    return by_country(daily_sources(articles, catalog, day, days)).select(
+        F.lit(day).cast("date").alias("day_bucket"), F.lit(version).alias("metric_version"), "*"
+    )
 
 
 def daily_series(articles: DataFrame, catalog: DataFrame) -> DataFrame:
     """Snapshots of all days at once: each article goes to the day it was seen and the day it was published, if another."""
     seen, claimed = F.to_date("created_at"), F.to_date(effective())
-    rows = articles.filter(~low_signal()).select(blank_to("source_country").alias("source_country"), "source", seen.alias("_seen"), claimed.alias("_claimed"))
+    rows = articles.filter(~low_signal()).select(
+        blank_to("source_country").alias("source_country"), "source", seen.alias("_seen"), claimed.alias("_claimed")
+    )
     each = rows.select("*", F.explode(F.array_distinct(F.array("_seen", "_claimed"))).alias("day_bucket"))
     is_seen, is_claimed = F.col("_seen") == F.col("day_bucket"), F.col("_claimed") == F.col("day_bucket")
-    counts = each.groupBy("day_bucket", "source_country", "source").agg(F.count_if(is_seen).alias("inserted"), F.count_if(is_claimed).alias("published"), F.count_if(is_seen & is_claimed).alias("fresh"), F.count_if(is_seen & (F.col("_claimed") < F.col("day_bucket"))).alias("late"))
+    counts = each.groupBy("day_bucket", "source_country", "source").agg(
+        F.count_if(is_seen).alias("inserted"), F.count_if(is_claimed).alias("published"), F.count_if(is_seen & is_claimed).alias("fresh"),
+        F.count_if(is_seen & (F.col("_claimed") < F.col("day_bucket"))).alias("late")
+    )
     return by_country(with_country(counts, catalog, ("day_bucket",)), ("day_bucket", "country"))
 
 
 def latest_windows(series: DataFrame) -> DataFrame:
-    return series.agg(F.min("day_bucket").alias("first_day"), F.max("day_bucket").alias("last_day"), F.countDistinct("day_bucket").alias("days"), F.countDistinct("country").alias("countries"))
+    return series.agg(
+        F.min("day_bucket").alias("first_day"), F.max("day_bucket").alias("last_day"), F.countDistinct("day_bucket").alias("days"),
+        F.countDistinct("country").alias("countries")
+    )
 
 
 def day_rows(series: DataFrame, first: str, last: str) -> DataFrame:
-    return series.filter(F.col("day_bucket").between(F.lit(first).cast("date"), F.lit(last).cast("date"))).select("day_bucket", "country", "published", "inserted", "fresh", "late", "active_sources", "top1_bps")
+    return series.filter(F.col("day_bucket").between(F.lit(first).cast("date"), F.lit(last).cast("date"))).select(
+        "day_bucket", "country", "published", "inserted", "fresh", "late", "active_sources", "top1_bps"
+    )
 
 
 def month_week(day: Column) -> Column:
@@ -103,7 +120,9 @@ def period_totals(series: DataFrame) -> DataFrame:
 
 def period_countries(series: DataFrame) -> DataFrame:
     """Per country: sums, the mean of active sources and the share of the largest source weighted by what was published."""
-    weighted = F.sum(F.col("top1_bps") * F.col("published")).cast("decimal(38,0)") / F.nullif(F.sum("published"), F.lit(0)).cast("decimal(20,0)")
+    weighted = F.sum(
+        F.col("top1_bps") * F.col("published")
+    ).cast("decimal(38,0)") / F.nullif(F.sum("published"), F.lit(0)).cast("decimal(20,0)")
     return series.groupBy(F.trunc("day_bucket", "month").alias("month"), month_week(F.col("day_bucket")).alias("week"), "country").agg(
         F.sum("published").alias("published"), F.sum("late").alias("late"), F.round(F.sum("active_sources").cast("decimal(20,0)") / F.count("*").cast("decimal(20,0)")).cast("long").alias("mean_active_sources"), F.round(weighted).cast("long").alias("top1_bps")
     )
@@ -122,7 +141,9 @@ def parity(stored: DataFrame, counted: DataFrame, keys: list[str], metrics: list
     a = stored.select(*keys, *[F.col(m).alias(f"a_{m}") for m in metrics], F.lit(True).alias("_a"))
     b = counted.select(*keys, *[F.col(m).alias(f"b_{m}") for m in metrics], F.lit(True).alias("_b"))
     differ = [F.when(~F.col(f"a_{m}").eqNullSafe(F.col(f"b_{m}")), F.lit(m)) for m in metrics]
-    status = F.when(F.col("_a").isNull(), "missing_stored").when(F.col("_b").isNull(), "missing_counted").otherwise(F.array_join(F.array_compact(F.array(*differ)), ","))
+    status = F.when(F.col("_a").isNull(), "missing_stored").when(F.col("_b").isNull(), "missing_counted").otherwise(
+        F.array_join(F.array_compact(F.array(*differ)), ",")
+    )
     return a.join(b, keys, "full").select(*keys, status.alias("difference")).filter("difference <> ''")
 
 

@@ -19,17 +19,25 @@ from .audit import listed
 # What an address tells of the kind of a sitemap, and the profiles of sources.
 INDEX = r"(?:^|[/?._-])sitemap(?:_|-)?index(?:\.xml|$|[?#])|/sitemaps/index|sitemapindex"
 NEWS = r"news-sitemap|sitemap-news|sitemap_news|google-news|google_news|googlenews|map_news|(?:^|[/?._-])news\.xml(?:$|[?#])|48hrs|48-hours"
-PROFILES = ("rss_only", "news_sitemap_only", "sitemap_index_only", "other_sitemap_only", "rss_plus_news_sitemap", "rss_plus_sitemap_index", "rss_plus_other_sitemap")
+PROFILES = (
+    "rss_only", "news_sitemap_only", "sitemap_index_only", "other_sitemap_only", "rss_plus_news_sitemap", "rss_plus_sitemap_index",
+    "rss_plus_other_sitemap"
+)
 #: Least and greatest offset in degrees by how a place is known.
 JITTER = {"country": (0.2, 1.05), "city": (0.01, 0.075), "headquarters": (0.0015, 0.012)}
 #: Words of addresses that tell nothing.
-STOP = ("www", "com", "html", "amp", "news", "article", "articles", "story", "stories", "video", "latest", "index", "sitemap", "google", "newsxml")
+STOP = (
+    "www", "com", "html", "amp", "news", "article", "articles", "story", "stories", "video", "latest", "index", "sitemap", "google",
+    "newsxml"
+)
 FUTURE_MINUTES = 15
 
 
 def sitemap_kind(url: Column) -> Column:
     low = F.lower(F.trim(F.coalesce(url, F.lit(""))))
-    return F.when(low == "", "none").when(low.rlike(INDEX), "sitemap_index").when(low.rlike(NEWS), "news_sitemap").otherwise("other_sitemap")
+    return F.when(low == "", "none").when(
+        low.rlike(INDEX), "sitemap_index"
+    ).when(low.rlike(NEWS), "news_sitemap").otherwise("other_sitemap")
 
 
 def endpoint_profile(rss: Column, sitemap: Column) -> Column:
@@ -57,16 +65,27 @@ def url_words(url: Column) -> Column:
     """Distinct words of an address's host and path, in order; none that only number or name a part of a site."""
     # a plus is no space in a path
     place = F.replace(path(url), F.lit("+"), F.lit("%2B"))
-    low = F.lower(F.concat(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1), F.lit("")), F.lit(" "), F.coalesce(F.try_url_decode(place), place)))
+    low = F.lower(
+        F.concat(
+            F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1), F.lit("")), F.lit(" "),
+            F.coalesce(F.try_url_decode(place), place)
+        )
+    )
     words = F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}]{2,}"), F.lit(0))
     return F.filter(F.array_distinct(words), lambda w: ~w.isin(*STOP) & ~w.rlike("^[0-9]+$"))
 
 
 def word_predictions(articles: DataFrame, least_support: int = 3, least_share: float = 0.4) -> DataFrame:
     """Categories that a word of a source's addresses predicts: share of the word's articles that have the category."""
-    told = articles.filter(F.size("feed_categories") > 0).select(F.trim("source").alias("source"), url_words(F.col("url")).alias("words"), F.array_distinct("feed_categories").alias("categories"))
-    samples = told.select("source", F.explode("words").alias("word")).groupBy("source", "word").agg(F.count("*").alias("samples")).filter(F.col("samples") >= least_support)
-    pairs = told.select("source", F.explode("words").alias("word"), "categories").select("source", "word", F.explode("categories").alias("category"))
+    told = articles.filter(F.size("feed_categories") > 0).select(
+        F.trim("source").alias("source"), url_words(F.col("url")).alias("words"), F.array_distinct("feed_categories").alias("categories")
+    )
+    samples = told.select(
+        "source", F.explode("words").alias("word")
+    ).groupBy("source", "word").agg(F.count("*").alias("samples")).filter(F.col("samples") >= least_support)
+    pairs = told.select("source", F.explode("words").alias("word"), "categories").select(
+        "source", "word", F.explode("categories").alias("category")
+    )
     counted = pairs.groupBy("source", "word", "category").agg(F.count("*").alias("support"))
     share = F.round(F.col("support") / F.col("samples"), 6)
     return counted.join(samples, ["source", "word"]).withColumn("share", share).filter(F.col("share") >= least_share)
@@ -97,9 +116,14 @@ class NewsRead:
                 out.append(F.col(column).isin(kept))
         if kept := listed(self.sections):
             of = F.coalesce("sections_normalized", F.array().cast("array<string>"))
-            out.append(F.arrays_overlap(of, F.array(*[F.lit(x) for x in kept])) | (F.size(of) == 0) & blank_to("section", "others").isin(kept))
+            out.append(
+                F.arrays_overlap(of, F.array(*[F.lit(x) for x in kept])) | (F.size(of) == 0) & blank_to("section", "others").isin(kept)
+            )
         if q := self.text.strip()[:120].replace("\\", "\\\\"):  # % and _ are wild cards, a backslash is none
-            told = [F.coalesce("title_original", F.lit("")), F.col("source"), F.coalesce("country", F.lit("")), F.coalesce(F.array_join("feed_categories", " "), F.lit(""))]
+            told = [
+                F.coalesce("title_original", F.lit("")), F.col("source"), F.coalesce("country", F.lit("")),
+                F.coalesce(F.array_join("feed_categories", " "), F.lit(""))
+            ]
             out.append(reduce(or_, [c.ilike(f"%{q}%") for c in told]))
         bounds = [(claimed, self.published), (F.col("created_at"), self.created), (F.col("updated_at"), self.updated)]
         for column, (first, last) in bounds:
@@ -125,7 +149,12 @@ def news_page(articles: DataFrame, query: NewsRead, as_of: str) -> DataFrame:
 
 def filter_lists(articles: DataFrame) -> DataFrame:
     """Distinct values of visible articles by kind, in order of their small letters: (kind, place from 1, value)."""
-    pairs = F.array(*[F.struct(F.lit(kind).alias("kind"), F.trim(c).alias("value")) for kind, c in (("country", "country"), ("language", "language"), ("source", "source"))])
+    pairs = F.array(
+        *[
+            F.struct(F.lit(kind).alias("kind"), F.trim(c).alias("value"))
+            for kind, c in (("country", "country"), ("language", "language"), ("source", "source"))
+        ]
+    )
     values = articles.filter(visible()).select(F.explode(pairs).alias("p")).select("p.*").filter(F.col("value") != "").distinct()
     # what is shown as a list of filters is as long as there are sources
     order = W.partitionBy("kind").orderBy(F.lower("value"), "value")
@@ -135,30 +164,44 @@ def filter_lists(articles: DataFrame) -> DataFrame:
 def with_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles with a language, some blank, and the time of their last change."""
     a = fx.articles(spark, sf_dir)
-    language = F.expr("case when event_id % 9 = 0 then ' ' when event_id % 10 = 0 then null else element_at(array('en', 'De', 'fr ', 'es'), cast(event_id % 4 as int) + 1) end")
-    return a.withColumn("language", language).withColumn("updated_at", F.expr("created_at + make_dt_interval(0, cast(event_id % 50 as int))"))
+    language = F.expr(
+        "case when event_id % 9 = 0 then ' ' when event_id % 10 = 0 then null else element_at(array('en', 'De', 'fr ', 'es'), cast(event_id % 4 as int) + 1) end"
+    )
+    return a.withColumn("language", language).withColumn(
+        "updated_at", F.expr("created_at + make_dt_interval(0, cast(event_id % 50 as int))")
+    )
 
 
 def endpoints_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A source for each supplier, with addresses of several kinds."""
     s = fx.load(spark, sf_dir, "supplier")
     k = F.col("s_suppkey")
-    names = ["", "/sitemap-index.xml", "/news-sitemap.xml", "/sitemap.xml", "/maps/NEWS.xml?x=1", "/sitemaps/index-2.xml", "/map_news/1", None]
+    names = [
+        "", "/sitemap-index.xml", "/news-sitemap.xml", "/sitemap.xml", "/maps/NEWS.xml?x=1", "/sitemaps/index-2.xml", "/map_news/1", None
+    ]
     site = F.concat(F.lit("https://src"), k.cast("string"), F.lit(".example.com"))
     name = F.get(F.array(*[F.lit(n) for n in names]), (k % 8).cast("int"))
-    return s.select(F.concat(F.lit("src"), k.cast("string")).alias("source"), F.concat(F.lit("C"), (k % 7).cast("string")).alias("country"), F.when(k % 3 != 0, F.concat(site, F.lit("/rss"))).alias("rss"), F.when(name != "", F.concat(site, name)).otherwise(name).alias("sitemap"), k.alias("n"))
+    return s.select(
+        F.concat(F.lit("src"), k.cast("string")).alias("source"), F.concat(F.lit("C"), (k % 7).cast("string")).alias("country"),
+        F.when(k % 3 != 0, F.concat(site, F.lit("/rss"))).alias("rss"),
+        F.when(name != "", F.concat(site, name)).otherwise(name).alias("sitemap"), k.alias("n")
+    )
 
 
 def sitemap_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = endpoints_of(spark, sf_dir)
-    return e.select("source", sitemap_kind(F.col("sitemap")).alias("kind"), endpoint_profile(F.col("rss"), F.col("sitemap")).alias("profile"))
+    return e.select(
+        "source", sitemap_kind(F.col("sitemap")).alias("kind"), endpoint_profile(F.col("rss"), F.col("sitemap")).alias("profile")
+    )
 
 
 def moved_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = fx.load(spark, sf_dir, "supplier")
     k = F.col("s_suppkey")
     profile = F.element_at(F.array(F.lit("country"), F.lit("city"), F.lit("headquarters")), (k % 3 + 1).cast("int"))
-    lat, lon = jittered((k % 170 - 85).cast("double"), (k % 360 - 180).cast("double"), F.concat_ws("|", "s_name", k.cast("string")), profile)
+    lat, lon = jittered(
+        (k % 170 - 85).cast("double"), (k % 360 - 180).cast("double"), F.concat_ws("|", "s_name", k.cast("string")), profile
+    )
     return s.select("s_suppkey", lat.alias("lat"), lon.alias("lon"))
 
 
@@ -172,7 +215,11 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_predictions(fx.articles(spark, sf_dir))
 
 
-READ = NewsRead(text="k1", sources=["src1, src2", "src3"], languages=["en", "De"], sections=["world", "sports, business"], published=("2024-01-03 00:00:00", "2024-01-19 12:00:00"), created=("2024-01-02 00:00:00", None), updated=(None, "2024-01-20 00:00:00"), limit=40, offset=0)
+READ = NewsRead(
+    text="k1", sources=["src1, src2", "src3"], languages=["en", "De"], sections=["world", "sports, business"],
+    published=("2024-01-03 00:00:00", "2024-01-19 12:00:00"), created=("2024-01-02 00:00:00", None), updated=(None, "2024-01-20 00:00:00"),
+    limit=40, offset=0
+)
 
 
 def read_page(spark: SparkSession, sf_dir: str, query: NewsRead = READ) -> DataFrame:
@@ -187,4 +234,8 @@ def all_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_lists(with_language(spark, sf_dir))
 
 
-QUERIES = {"a24_endpoint_profiles": lambda spark, sf_dir: endpoint_breakdown(endpoints_of(spark, sf_dir)), "x40_sitemap_kinds": sitemap_kinds, "x35_moved_places": moved_places, "x49_url_words": words_of_addresses, "q52_word_predictions": predictions, "q10_news_read": read_page, "q10_news_recent": read_recent, "q11_filter_lists": all_filters}
+QUERIES = {
+    "a24_endpoint_profiles": lambda spark, sf_dir: endpoint_breakdown(endpoints_of(spark, sf_dir)), "x40_sitemap_kinds": sitemap_kinds,
+    "x35_moved_places": moved_places, "x49_url_words": words_of_addresses, "q52_word_predictions": predictions, "q10_news_read": read_page,
+    "q10_news_recent": read_recent, "q11_filter_lists": all_filters
+}

@@ -13,7 +13,10 @@ from ..sources import fixtures as fx
 from ..sources.fixtures import AS_OF
 from . import ops
 
-COLUMNS = ["external_id", "stable_id", "publication_datetime", "created_at", "source", "source_country", "title_original", "title_quality", "url", "primary_section", "primary_topic", "feed_categories", "topics", "sections_normalized"]
+COLUMNS = [
+    "external_id", "stable_id", "publication_datetime", "created_at", "source", "source_country", "title_original", "title_quality", "url",
+    "primary_section", "primary_topic", "feed_categories", "topics", "sections_normalized"
+]
 SPLIT, AGAIN = "2024-01-16 00:00:00", "2024-01-10 00:00:00"
 
 
@@ -76,7 +79,9 @@ def past_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rollup_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = fx.runs(spark, sf_dir)
     keys = ["bucket", "runner", "outlet_id", "method"]
-    return merge.add_rollup(ops.rollup(r.filter(F.col("ran_at") < at(SPLIT)), "day"), ops.rollup(r.filter(F.col("ran_at") >= at(SPLIT)), "day"), keys)
+    return merge.add_rollup(
+        ops.rollup(r.filter(F.col("ran_at") < at(SPLIT)), "day"), ops.rollup(r.filter(F.col("ran_at") >= at(SPLIT)), "day"), keys
+    )
 
 
 def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +91,9 @@ def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fx.runs(spark, sf_dir).filter("newest_item_published_at is null").select(F.col("requested_url").alias("candidate_id"), F.coalesce("error", F.lit("")).alias("snippet"))
+    rows = fx.runs(spark, sf_dir).filter("newest_item_published_at is null").select(
+        F.col("requested_url").alias("candidate_id"), F.coalesce("error", F.lit("")).alias("snippet")
+    )
     none = rows.limit(0).withColumn("seen_count", F.lit(0).cast("long")).select("candidate_id", "seen_count", "snippet")
     return merge.quarantine(none, rows)
 
@@ -111,7 +118,9 @@ def preferred(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lift(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = fx.articles(spark, sf_dir)
-    return folds.greedy_order(a.select(F.coalesce("country", F.lit("none")).alias("network"), "source", F.lower(blank_to("title_original", "")).alias("title")))
+    return folds.greedy_order(
+        a.select(F.coalesce("country", F.lit("none")).alias("network"), "source", F.lower(blank_to("title_original", "")).alias("title"))
+    )
 
 
 def title_fingerprint(title: Column) -> Column:
@@ -122,19 +131,28 @@ def title_fingerprint(title: Column) -> Column:
 
 def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = fx.articles(spark, sf_dir)
-    return folds.syndication_clusters(a.select(F.col("country").alias("network"), title_fingerprint(F.col("title_original")).alias("fingerprint"), "external_id", F.col("publication_datetime").alias("published_at")))
+    return folds.syndication_clusters(
+        a.select(
+            F.col("country").alias("network"), title_fingerprint(F.col("title_original")).alias("fingerprint"), "external_id",
+            F.col("publication_datetime").alias("published_at")
+        )
+    )
 
 
 def breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A source has a working duplicate if it was asked by two methods that day and one of them worked."""
-    r = fx.runs(spark, sf_dir).filter("attempted").withColumn("failure", x.failure_kind(F.col("status_code"), F.col("error"))).withColumn("day", F.to_date("ran_at"))
+    r = fx.runs(spark, sf_dir).filter("attempted").withColumn(
+        "failure", x.failure_kind(F.col("status_code"), F.col("error"))
+    ).withColumn("day", F.to_date("ran_at"))
     alive = r.groupBy("source", "day").agg(((F.countDistinct("method") > 1) & F.bool_or("ok")).alias("duplicate"))
     return folds.breaker_states(r.join(alive, ["source", "day"]).select("outlet_id", "ran_at", "id", "ok", "failure", "duplicate"))
 
 
 def tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources by what they brought in a day: head, warm or cold; cold ones wait in one of twelve stable buckets."""
-    counts = fx.articles(spark, sf_dir).filter((F.col("created_at") >= before(AS_OF, "24 hours")) & (F.col("created_at") <= at(AS_OF))).groupBy("source").agg(F.count("*").alias("n"))
+    counts = fx.articles(spark, sf_dir).filter(
+        (F.col("created_at") >= before(AS_OF, "24 hours")) & (F.col("created_at") <= at(AS_OF))
+    ).groupBy("source").agg(F.count("*").alias("n"))
     every = fx.articles(spark, sf_dir).select("source").distinct()
     rows = every.join(counts, "source", "left").na.fill(0, ["n"])
     tier = F.when(F.col("n") >= 50, "head").when(F.col("n") <= 9, "cold").otherwise("warm")
@@ -152,7 +170,9 @@ def scalar_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = fx.load(spark, sf_dir, "pages")
-    return p.select("page_id", x.host(F.col("url")).alias("host"), x.path_depth(F.col("url")).alias("depth"), x.page_title(F.col("html")).alias("title"))
+    return p.select(
+        "page_id", x.host(F.col("url")).alias("host"), x.path_depth(F.col("url")).alias("depth"), x.page_title(F.col("html")).alias("title")
+    )
 
 
 QUERIES = {

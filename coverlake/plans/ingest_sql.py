@@ -14,7 +14,9 @@ RANK = "case title_quality when 'suspect' then 0 when 'recovered' then 2 else 1
 def deduped(source: str, key: str) -> str:
     keep = "external_id, publication_datetime, created_at, source, title_original, title_quality, url, primary_section, primary_topic, seq"
     firsts = ", ".join(f"first({c} order by rn) as {c}" for c in keep.split(", "))
-    filled = ", ".join(f"first({c} order by rn) filter (where nullif(trim({c}, ' '), '') is not null) as {c}" for c in ("stable_id", "source_country"))
+    filled = ", ".join(
+        f"first({c} order by rn) filter (where nullif(trim({c}, ' '), '') is not null) as {c}" for c in ("stable_id", "source_country")
+    )
     lists = ", ".join(UNITED(f"flatten(list({c}))") + f" as {c}" for c in ("feed_categories", "topics", "sections_normalized"))
     return f"select {firsts}, {filled}, {lists} from (select *, {key} as grp, row_number() over (partition by {key} order by {RANK} desc, publication_datetime desc, seq) as rn from {source}) group by grp"
 
@@ -26,9 +28,15 @@ RULES = {
     "source_country": "coalesce(n.source_country, o.source_country)", "title_original": f"case when {KEEP_TITLE} then o.title_original else n.title_original end", "title_quality": f"case when {KEEP_QUALITY} then o.title_quality else n.title_quality end",
     "sections_normalized": UNITED("list_concat(o.sections_normalized, n.sections_normalized)"), "topics": UNITED("list_concat(o.topics, n.topics)"), "feed_categories": "list_sort(list_distinct(list_concat(o.feed_categories, n.feed_categories)))",
 }
-PLAIN = ["external_id", "stable_id", "publication_datetime", "created_at", "source", "source_country", "title_original", "title_quality", "url", "primary_section", "primary_topic"]
+PLAIN = [
+    "external_id", "stable_id", "publication_datetime", "created_at", "source", "source_country", "title_original", "title_quality", "url",
+    "primary_section", "primary_topic"
+]
 LISTS = ["feed_categories", "topics", "sections_normalized"]
-merged = ", ".join(f"case when n.external_id is null then o.{c} when o.external_id is null then n.{c} else {RULES.get(c, 'n.' + c)} end as {c}" for c in PLAIN + LISTS)
+merged = ", ".join(
+    f"case when n.external_id is null then o.{c} when o.external_id is null then n.{c} else {RULES.get(c, 'n.' + c)} end as {c}"
+    for c in PLAIN + LISTS
+)
 shown = ", ".join(PLAIN + [f"array_to_string({c}, '|') as {c}" for c in LISTS])
 MARKS = "marks as (select outlet_id, method, max(newest_item_published_at) as last from runs where ran_at < TIMESTAMP '2024-01-10 00:00:00' group by 1, 2)"
 FNV = "list_reduce(list_transform(string_split(url, ''), lambda c: cast(ascii(c) as hugeint)), lambda h, u: (xor(h, u) * 16777619) % 4294967296, cast(2166136261 as hugeint))"

@@ -31,28 +31,47 @@ def joined(rows: DataFrame, body: Column) -> DataFrame:
 
 def rss(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feeds of all articles: every third has no date, every fifth an Atom-like prefix on its item."""
-    date = F.when(F.col("event_id") % 3 != 0, element("pubDate", F.date_format("publication_datetime", "yyyy-MM-dd'T'HH:mm:ss'Z'"))).otherwise("")
-    inner = F.concat(element("title", F.concat(F.lit("<![CDATA["), F.coalesce("title_original", F.lit("")), F.lit("]]>"))), element("link", escaped("url")), date, element("guid", escaped("stable_id")), F.array_join(F.transform("feed_categories", lambda c: element("category", c)), ""))
-    item = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("<rss:item about='x'>"), inner, F.lit("</rss:item>"))).otherwise(element("item", inner))
+    date = F.when(
+        F.col("event_id") % 3 != 0, element("pubDate", F.date_format("publication_datetime", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    ).otherwise("")
+    inner = F.concat(
+        element("title", F.concat(F.lit("<![CDATA["), F.coalesce("title_original", F.lit("")), F.lit("]]>"))),
+        element("link", escaped("url")), date, element("guid", escaped("stable_id")),
+        F.array_join(F.transform("feed_categories", lambda c: element("category", c)), "")
+    )
+    item = F.when(
+        F.col("event_id") % 5 == 0, F.concat(F.lit("<rss:item about='x'>"), inner, F.lit("</rss:item>"))
+    ).otherwise(element("item", inner))
     return joined(fx.articles(spark, sf_dir), item).select("doc_id", element("rss", element("channel", F.col("inside"))).alias("body"))
 
 
 def feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = feeds.feed_items(rss(spark, sf_dir), 10)
-    return rows.select("doc_id", F.col("at").cast("long").alias("at"), "title", "link", "feed_id", F.col("published_at").cast("timestamp_ntz").alias("published_at"), F.array_join("categories", "|").alias("categories"), F.array_join("missing", "|").alias("missing"))
+    return rows.select(
+        "doc_id", F.col("at").cast("long").alias("at"), "title", "link", "feed_id",
+        F.col("published_at").cast("timestamp_ntz").alias("published_at"), F.array_join("categories", "|").alias("categories"),
+        F.array_join("missing", "|").alias("missing")
+    )
 
 
 def sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sitemaps of all articles; every fourth entry has no date, every seventh is of another host."""
     loc = F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("https://other.example.org/"), F.col("external_id"))).otherwise(F.col("url"))
-    date = F.when(F.col("event_id") % 4 != 0, element("lastmod", F.date_format("publication_datetime", "yyyy-MM-dd'T'HH:mm:ss'Z'"))).otherwise("")
+    date = F.when(
+        F.col("event_id") % 4 != 0, element("lastmod", F.date_format("publication_datetime", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    ).otherwise("")
     body = element("url", F.concat(element("loc", escaped(loc)), date))
-    return joined(fx.articles(spark, sf_dir), body).select("doc_id", element("urlset", F.col("inside")).alias("body"), F.concat(F.lit("https://www."), F.col("doc_id"), F.lit(".example.com/")).alias("base_url"))
+    return joined(fx.articles(spark, sf_dir), body).select(
+        "doc_id", element("urlset", F.col("inside")).alias("body"),
+        F.concat(F.lit("https://www."), F.col("doc_id"), F.lit(".example.com/")).alias("base_url")
+    )
 
 
 def sitemap_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = feeds.sitemap_entries(sitemaps(spark, sf_dir), 12)
-    return rows.select("doc_id", F.col("rank").cast("long").alias("rank"), "link", F.col("published_at").cast("timestamp_ntz").alias("published_at"))
+    return rows.select(
+        "doc_id", F.col("rank").cast("long").alias("rank"), "link", F.col("published_at").cast("timestamp_ntz").alias("published_at")
+    )
 
 
 def text_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,11 +91,19 @@ def marked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles as pages: a third tells its section in metadata, a third in breadcrumbs, some in keywords, the rest nowhere."""
     a, k = fx.articles(spark, sf_dir), F.col("event_id")
     meta = F.concat(F.lit('<meta property="article:section" content="'), F.col("language_hint"), F.lit('">'))
-    crumb = F.concat(F.lit('<script type="application/ld+json">{"breadcrumb":{"itemListElement":[{"name":"Home"},{"item":{"name":"'), F.col("language_hint"), F.lit(' pages"}}]}}</script>'))
+    crumb = F.concat(
+        F.lit('<script type="application/ld+json">{"breadcrumb":{"itemListElement":[{"name":"Home"},{"item":{"name":"'),
+        F.col("language_hint"), F.lit(' pages"}}]}}</script>')
+    )
     words = F.concat(F.lit('<meta name="keywords" content="nothing, '), F.col("language_hint"), F.lit(' one">'))
-    head = F.concat(F.when(k % 3 == 0, meta).otherwise(""), F.when(k % 3 == 1, crumb).otherwise(""), F.when(k % 2 == 0, words).otherwise(""))
+    head = F.concat(
+        F.when(k % 3 == 0, meta).otherwise(""), F.when(k % 3 == 1, crumb).otherwise(""), F.when(k % 2 == 0, words).otherwise("")
+    )
     context = F.when(k % 5 == 0, F.concat(F.lit("https://e.org/x/"), F.col("external_id"))).otherwise(F.col("url"))
-    return a.select(F.col("external_id").alias("page_id"), F.concat(F.lit("<html><head>"), head, F.lit("</head></html>")).alias("html"), context.alias("url"))
+    return a.select(
+        F.col("external_id").alias("page_id"), F.concat(F.lit("<html><head>"), head, F.lit("</head></html>")).alias("html"),
+        context.alias("url")
+    )
 
 
 def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,12 +115,23 @@ def indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sitemap index for each source that names a file for each article: names and dates of several kinds, some relative."""
     k = F.col("event_id")
     site, i = F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com")), k.cast("string")
-    names = ["/sitemap/news/%.xml", "/a%/video-sitemap.xml", "/a%/news-sitemap.xml.gz", "/tag-%.xml", "/2024/01/x%.xml", "/2023-11/z%.xml", "/posts/%.xml", "/plain-%.xml"]
+    names = [
+        "/sitemap/news/%.xml", "/a%/video-sitemap.xml", "/a%/news-sitemap.xml.gz", "/tag-%.xml", "/2024/01/x%.xml", "/2023-11/z%.xml",
+        "/posts/%.xml", "/plain-%.xml"
+    ]
     loc = F.replace(F.element_at(F.array(*[F.lit(n) for n in names]), (k % 8 + 1).cast("int")), F.lit("%"), i)
-    date = F.when(k % 5 == 0, F.lit("2023-10-01T00:00:00Z")).when(k % 3 != 0, F.date_format("publication_datetime", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-    body = element("sitemap", F.concat(element("loc", F.when(k % 7 == 0, loc).otherwise(F.concat(site, loc))), F.coalesce(element("lastmod", date), F.lit(""))))
+    date = F.when(k % 5 == 0, F.lit("2023-10-01T00:00:00Z")).when(
+        k % 3 != 0, F.date_format("publication_datetime", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    )
+    body = element(
+        "sitemap",
+        F.concat(element("loc", F.when(k % 7 == 0, loc).otherwise(F.concat(site, loc))), F.coalesce(element("lastmod", date), F.lit("")))
+    )
     whole = joined(fx.articles(spark, sf_dir), body)
-    return whole.select(F.col("doc_id").alias("source"), F.concat(F.lit("https://"), F.col("doc_id"), F.lit(".example.com/index.xml")).alias("url"), element("sitemapindex", F.col("inside")).alias("body"))
+    return whole.select(
+        F.col("doc_id").alias("source"), F.concat(F.lit("https://"), F.col("doc_id"), F.lit(".example.com/index.xml")).alias("url"),
+        element("sitemapindex", F.col("inside")).alias("body")
+    )
 
 
 def sitemap_children(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,11 +143,16 @@ def sitemap_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From each source's first index through indexes that name the next one, the one before, a sitemap, one of tags and one that
     has not landed."""
     sources = fx.articles(spark, sf_dir).select("source").distinct()
-    url = lambda k, name: F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com/sitemap/news/"), F.lit(name), k.cast("string"), F.lit(".xml"))
+    url = lambda k, name: F.concat(
+        F.lit("https://"), F.col("source"), F.lit(".example.com/sitemap/news/"), F.lit(name), k.cast("string"), F.lit(".xml")
+    )
     n = F.col("n")
     child = lambda c: element("sitemap", element("loc", c))
     each = sources.select("source", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("n"))
-    named = F.concat(child(url(n + 1, "index-")), child(url(n - 1, "index-")), child(F.concat(F.lit("leaf-"), n.cast("string"), F.lit(".xml"))), child(url(n, "tag-")), child(url(n, "lost-")))
+    named = F.concat(
+        child(url(n + 1, "index-")), child(url(n - 1, "index-")), child(F.concat(F.lit("leaf-"), n.cast("string"), F.lit(".xml"))),
+        child(url(n, "tag-")), child(url(n, "lost-"))
+    )
     index = each.select(url(n, "index-").alias("url"), element("sitemapindex", named).alias("body"))
     leaves = each.select(F.explode(F.array(url(n, "leaf-"), url(n, "tag-"))).alias("url"), F.lit("<urlset></urlset>").alias("body"))
     roots = sources.select(F.col("source").alias("root"), url(F.lit(0), "index-").alias("url"))
@@ -119,8 +162,13 @@ def sitemap_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feed ids from the feeds of all articles, which give every second one without an id another."""
     a = fx.articles(spark, sf_dir)
-    items = a.filter("event_id % 2 = 0").select("source", F.col("url").alias("link"), F.concat(F.lit("late-"), F.col("external_id")).alias("feed_id"))
+    items = a.filter("event_id % 2 = 0").select(
+        "source", F.col("url").alias("link"), F.concat(F.lit("late-"), F.col("external_id")).alias("feed_id")
+    )
     return repair.stable_id_backfill(a, items)
 
 
-QUERIES = {"sc06_sitemap_tree": sitemap_tree, "sc06_sitemap_children": sitemap_children, "sc07_page_sections": page_sections, "m12_stable_ids": stable_ids, "sc03_feed_items": feed_items, "sc04_sitemap_entries": sitemap_entries, "x_text_values": text_values}
+QUERIES = {
+    "sc06_sitemap_tree": sitemap_tree, "sc06_sitemap_children": sitemap_children, "sc07_page_sections": page_sections,
+    "m12_stable_ids": stable_ids, "sc03_feed_items": feed_items, "sc04_sitemap_entries": sitemap_entries, "x_text_values": text_values
+}

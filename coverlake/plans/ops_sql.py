@@ -19,7 +19,10 @@ TRIED = f"tried as (select * from runs where attempted and {since('30 day')})"
 def run_table(where: str, order: str, limit: int, offset: int = 0) -> str:
     page = f"by_hour as (select date_trunc('hour', ran_at)::timestamp as hour_bucket, outlet_id, source, country, method, count(*) filter (where attempted) as attempted_runs, count(*) filter (where attempted and not ok) as failed_runs, sum(fetched_count)::bigint as fetched_count, sum(parsed_count)::bigint as valid_count from runs where {where} group by all)"
     kept = f"kept as (select * from by_hour where hour_bucket > {AS_OF} - interval 480 hour and hour_bucket <= {AS_OF})"
-    return statement(f"select *, (select count(*) from kept) as total from kept order by {order}, hour_bucket desc, outlet_id, method limit {limit} offset {offset}", RUNS, page, kept)
+    return statement(
+        f"select *, (select count(*) from kept) as total from kept order by {order}, hour_bucket desc, outlet_id, method limit {limit} offset {offset}",
+        RUNS, page, kept
+    )
 
 
 REASONS = f"reasons as (select method, {REASON} as reason, count(*) as failures, count(distinct source) as sources from tried where not ok group by 1, 2 order by 3 desc, 1, 2 limit 50)"

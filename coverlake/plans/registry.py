@@ -57,29 +57,44 @@ def parity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dated_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles of which one in four tells its date in the address."""
-    url = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com/2024/01/1"), (F.col("event_id") % 3).cast("string"), F.lit("/"), F.col("external_id"))).otherwise(F.col("url"))
+    url = F.when(
+        F.col("event_id") % 4 == 0,
+        F.concat(
+            F.lit("https://"), F.col("source"), F.lit(".example.com/2024/01/1"), (F.col("event_id") % 3).cast("string"), F.lit("/"),
+            F.col("external_id")
+        )
+    ).otherwise(F.col("url"))
     return A(spark, sf_dir).withColumn("url", url)
 
 
 def spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles whose source and publisher country are spelled in several ways, or missing."""
     source = F.expr("if(event_id % 3 = 1, concat(' ', upper(source), ' '), source)")
-    country = F.expr("case event_id % 4 when 0 then concat(lower(source_country), '  ') when 1 then null when 2 then 'Elsewhere' else source_country end")
+    country = F.expr(
+        "case event_id % 4 when 0 then concat(lower(source_country), '  ') when 1 then null when 2 then 'Elsewhere' else source_country end"
+    )
     return A(spark, sf_dir).select("external_id", source.alias("source"), country.alias("source_country"))
 
 
 def sources_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources with country and publisher; some have a city in their name."""
     s = fx.load(spark, sf_dir, "supplier")
-    city = F.when(F.col("s_suppkey") % 4 == 1, F.concat(F.lit(" Town"), (F.col("s_suppkey") % 6).cast("string"), F.lit(" Daily"))).otherwise("")
-    return s.select(F.concat(F.lit("src"), F.col("s_suppkey").cast("string"), city).alias("source"), F.concat(F.lit("C"), (F.col("s_suppkey") % 7).cast("string")).alias("country"), F.col("s_name").alias("publisher"), "s_suppkey")
+    city = F.when(
+        F.col("s_suppkey") % 4 == 1, F.concat(F.lit(" Town"), (F.col("s_suppkey") % 6).cast("string"), F.lit(" Daily"))
+    ).otherwise("")
+    return s.select(
+        F.concat(F.lit("src"), F.col("s_suppkey").cast("string"), city).alias("source"),
+        F.concat(F.lit("C"), (F.col("s_suppkey") % 7).cast("string")).alias("country"), F.col("s_name").alias("publisher"), "s_suppkey"
+    )
 
 
 def seats_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places on every rung: (rung, name, country, lat, lon)."""
     s = sources_of(spark, sf_dir)
     k = F.col("s_suppkey")
-    rung = lambda rows, rung, name, lat: rows.select(F.lit(rung).alias("rung"), name.alias("name"), "country", lat.cast("double").alias("lat"), F.lit(1.5).alias("lon"))
+    rung = lambda rows, rung, name, lat: rows.select(
+        F.lit(rung).alias("rung"), name.alias("name"), "country", lat.cast("double").alias("lat"), F.lit(1.5).alias("lon")
+    )
     lands = s.select("country").distinct()
     n = F.substring("country", 2, 1).cast("int")
     towns = lands.select("country", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("t"))
@@ -211,4 +226,8 @@ QUERIES: dict[str, Query] = {
     "a24_endpoint_classes": over(taxonomy.endpoint_classes, R),
     "x46_freshness": lambda spark, sf_dir: taxonomy.freshness(R(spark, sf_dir), at(AS_OF)),
 }
-ORACLE: dict[str, str] = {**dashboard_sql.SQL, **benchmark_sql.SQL, **coverage_sql.SQL, **ops_sql.SQL, **audit_sql.SQL, **ingest_sql.SQL, **landed_sql.SQL, **taxonomy_sql.SQL, **ruled_sql.SQL, **endpoints_sql.SQL, **replays_sql.SQL, **tables_sql.SQL, **repair_sql.SQL, **urls_sql.SQL, **dossier_sql.SQL, **lanes_sql.SQL}
+ORACLE: dict[str, str] = {
+    **dashboard_sql.SQL, **benchmark_sql.SQL, **coverage_sql.SQL, **ops_sql.SQL, **audit_sql.SQL, **ingest_sql.SQL, **landed_sql.SQL,
+    **taxonomy_sql.SQL, **ruled_sql.SQL, **endpoints_sql.SQL, **replays_sql.SQL, **tables_sql.SQL, **repair_sql.SQL, **urls_sql.SQL,
+    **dossier_sql.SQL, **lanes_sql.SQL
+}

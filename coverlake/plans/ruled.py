@@ -28,25 +28,40 @@ def publishers(articles: DataFrame, labels: DataFrame, conditions: DataFrame, **
     publisher, else its own name with low confidence."""
     pairs = articles.select("source", "source_country").distinct()
     found = rules.first_rule(pairs, conditions, {"source": F.lower(F.trim("source")), "country": F.col("source_country")}, **how)
-    rows = found.join(labels.select("rule", F.col("publisher").alias("_publisher"), F.col("confidence").alias("_confidence")), "rule", "left")
+    rows = found.join(
+        labels.select("rule", F.col("publisher").alias("_publisher"), F.col("confidence").alias("_confidence")), "rule", "left"
+    )
     confidence = F.coalesce("_confidence", by(PUBLISHER, F.col("matched_by")), F.lit("low"))
-    return rows.select("source", "source_country", F.coalesce("_publisher", F.trim("source")).alias("publisher"), confidence.alias("confidence"), F.coalesce("matched_by", F.lit("fallback")).alias("matched_by"))
+    return rows.select(
+        "source", "source_country", F.coalesce("_publisher", F.trim("source")).alias("publisher"), confidence.alias("confidence"),
+        F.coalesce("matched_by", F.lit("fallback")).alias("matched_by")
+    )
 
 
 def keyword_sections(texts: DataFrame, table: DataFrame, *, key: str, text: str, lang: str, **how) -> DataFrame:
     """The section of the first keyword rule (what read_rules() returns) of a text's language, with its confidence."""
-    rows = texts.select(F.col(key), folded(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")).alias("_t"), F.col(lang).alias("_lang"))
+    rows = texts.select(
+        F.col(key), folded(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")).alias("_t"), F.col(lang).alias("_lang")
+    )
     found = rules.first_rule(rows, rules.conditions(table), {"title": F.col("_t"), "lang": F.col("_lang")}, **how)
     labels = table.select("rule", "label", F.col("attributes")["weight"].alias("weight"))
     out = found.join(labels, "rule", "left")
-    return out.select(key, F.coalesce("label", F.lit("others")).alias("section"), F.coalesce(by(KEYWORD, F.col("weight")), F.lit(UNKNOWN)).alias("confidence"), "rule")
+    return out.select(
+        key, F.coalesce("label", F.lit("others")).alias("section"),
+        F.coalesce(by(KEYWORD, F.col("weight")), F.lit(UNKNOWN)).alias("confidence"), "rule"
+    )
 
 
 def context_sections(articles: DataFrame, labels: DataFrame, conditions: DataFrame, **how) -> DataFrame:
     """The section of the first rule whose clauses on source, host, path and title all hold; labels: rule, section."""
-    fields = {"source": F.lower("source"), "host": host(F.col("url")), "path": path(F.col("url")), "title": F.lower(F.coalesce("title_original", F.lit("")))}
+    fields = {
+        "source": F.lower("source"), "host": host(F.col("url")), "path": path(F.col("url")),
+        "title": F.lower(F.coalesce("title_original", F.lit("")))
+    }
     found = rules.first_rule(articles.select("external_id", "source", "url", "title_original"), conditions, fields, **how)
-    return found.join(labels.select("rule", F.col("section").alias("_section")), "rule", "left").select("external_id", "rule", F.coalesce("_section", F.lit("others")).alias("section"))
+    return found.join(labels.select("rule", F.col("section").alias("_section")), "rule", "left").select(
+        "external_id", "rule", F.coalesce("_section", F.lit("others")).alias("section")
+    )
 
 
 def not_articles(articles: DataFrame, conditions: DataFrame, **how) -> DataFrame:
@@ -65,8 +80,12 @@ def topics(articles: DataFrame, labels: DataFrame, conditions: DataFrame, **how)
 
 def places(articles: DataFrame, labels: DataFrame, conditions: DataFrame, **how) -> DataFrame:
     """The place that a title names first in the table, else the publisher's country. labels: rule, place."""
-    rows = articles.select("external_id", F.lower(F.coalesce("title_original", F.lit(""))).alias("_t"), blank_to("source_country").alias("_own"))
-    found = rules.first_rule(rows, conditions, {"title": F.col("_t")}, **how).join(labels.select("rule", F.col("place").alias("_place")), "rule", "left")
+    rows = articles.select(
+        "external_id", F.lower(F.coalesce("title_original", F.lit(""))).alias("_t"), blank_to("source_country").alias("_own")
+    )
+    found = rules.first_rule(rows, conditions, {"title": F.col("_t")}, **how).join(
+        labels.select("rule", F.col("place").alias("_place")), "rule", "left"
+    )
     basis = F.when(F.col("_place").isNotNull(), "title").when(F.col("_own").isNotNull(), "publisher").otherwise("none")
     return found.select("external_id", F.coalesce("_place", "_own", F.lit("Global")).alias("place"), basis.alias("basis"))
 
@@ -77,8 +96,14 @@ def places(articles: DataFrame, labels: DataFrame, conditions: DataFrame, **how)
 def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each part and customer, thousands of them, as the stuff of rules: n, name, nation."""
     p, c = fx.load(spark, sf_dir, "part"), fx.load(spark, sf_dir, "customer")
-    parts = p.select((2 * F.col("p_partkey")).alias("n"), F.col("p_name").alias("name"), (F.col("p_partkey") % 25).cast("string").alias("nation"))
-    return parts.unionByName(c.select((2 * F.col("c_custkey") + 1).alias("n"), F.col("c_name").alias("name"), F.col("c_nationkey").cast("string").alias("nation")))
+    parts = p.select(
+        (2 * F.col("p_partkey")).alias("n"), F.col("p_name").alias("name"), (F.col("p_partkey") % 25).cast("string").alias("nation")
+    )
+    return parts.unionByName(
+        c.select(
+            (2 * F.col("c_custkey") + 1).alias("n"), F.col("c_name").alias("name"), F.col("c_nationkey").cast("string").alias("nation")
+        )
+    )
 
 
 def publisher_rules(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -89,8 +114,16 @@ def publisher_rules(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     whole = F.array(F.concat(F.lit("src"), k))
     land = F.array(F.concat(F.lit("NATION_"), (n % 5).cast("string")))
     # the kinds of a source's match are one clause: any of them will do
-    table = rules.listed(base, n, [("source", "exact", F.when(n % 4 < 2, whole)), ("source", "prefix", F.when(n % 4 == 2, whole)), ("source", "part", F.when(n % 4 == 3, F.array(k))), ("country", "exact", F.when(n % 3 != 0, land))])
-    labels = base.select(n.alias("rule"), F.concat("name", F.lit(" "), k).alias("publisher"), F.when(n % 50 == 0, "checked").alias("confidence"))
+    table = rules.listed(
+        base, n,
+        [
+            ("source", "exact", F.when(n % 4 < 2, whole)), ("source", "prefix", F.when(n % 4 == 2, whole)),
+            ("source", "part", F.when(n % 4 == 3, F.array(k))), ("country", "exact", F.when(n % 3 != 0, land))
+        ]
+    )
+    labels = base.select(
+        n.alias("rule"), F.concat("name", F.lit(" "), k).alias("publisher"), F.when(n % 50 == 0, "checked").alias("confidence")
+    )
     return labels, table.withColumn("clause", F.when(F.col("field") == "source", 0).otherwise(1))
 
 
@@ -104,7 +137,9 @@ KEYWORD_FILE = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__fi
 def keyword_rules(spark: SparkSession, rule_file: str = KEYWORD_FILE) -> DataFrame:
     """Rules of a file of this package, which only the driver can be sure to see."""
     with open(rule_file, encoding="utf-8") as f:
-        return spark.createDataFrame([(f.read(),)], "value string").select(F.posexplode(F.from_json("value", rules.FILE)).alias("rule", "r")).select(F.col("rule").cast("long").alias("rule"), "r.*")
+        return spark.createDataFrame([(f.read(),)], "value string").select(
+            F.posexplode(F.from_json("value", rules.FILE)).alias("rule", "r")
+        ).select(F.col("rule").cast("long").alias("rule"), "r.*")
 
 
 def document_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +159,9 @@ def context_rules(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
         ("source", "exact", F.when(n % 7 == 0, F.array(*[F.concat(F.lit("src"), (n % 150 + j).cast("string")) for j in range(20)]))),
         ("title", "part", F.when((n % 6 == 1) | (n % 30 == 5), F.array(F.concat(F.lit("desk k"), (n % 10).cast("string")), F.concat(F.col("kind"), F.lit(" report "))))),
     ]
-    section = F.element_at(F.array(*[F.lit(x) for x in ("world", "sports", "tech", "arts", "health", "science", "climate")]), (n % 7 + 1).cast("int"))
+    section = F.element_at(
+        F.array(*[F.lit(x) for x in ("world", "sports", "tech", "arts", "health", "science", "climate")]), (n % 7 + 1).cast("int")
+    )
     return table.select(n.alias("rule"), section.alias("section")), rules.listed(table, n, clauses)
 
 
@@ -151,7 +188,9 @@ def topic_rules(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     report = F.concat(F.lit("report "), (n % 500).cast("string"))
     words = F.when(n % 25 == 0, F.array(report, F.concat(F.lit("k"), (n % 100).cast("string")))).otherwise(F.array(report))
     table = numbered(spark, sf_dir)
-    return table.select(n.alias("rule"), F.concat(F.lit("topic "), n.cast("string")).alias("topic")), rules.listed(table, n, [("title", "word", words)])
+    return table.select(
+        n.alias("rule"), F.concat(F.lit("topic "), n.cast("string")).alias("topic")
+    ), rules.listed(table, n, [("title", "word", words)])
 
 
 def topic_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,11 +202,16 @@ def topic_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def place_rules(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     n = F.col("n")
     table = numbered(spark, sf_dir).filter("n % 3 = 1")
-    return table.select(n.alias("rule"), F.concat(F.lit("Town "), n.cast("string")).alias("place")), rules.listed(table, n, [("title", "word", F.array(F.concat(F.lit("report "), n.cast("string"))))])
+    return table.select(n.alias("rule"), F.concat(F.lit("Town "), n.cast("string")).alias("place")), rules.listed(
+        table, n, [("title", "word", F.array(F.concat(F.lit("report "), n.cast("string"))))]
+    )
 
 
 def place_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places(fx.articles(spark, sf_dir), *place_rules(spark, sf_dir))
 
 
-QUERIES = {"x37_publisher_rules": publisher_table, "x26_keyword_lists": document_keywords, "x31_context_rules": context_table, "f15_address_rules": address_table, "x29_topic_rules": topic_table, "x34_place_rules": place_table}
+QUERIES = {
+    "x37_publisher_rules": publisher_table, "x26_keyword_lists": document_keywords, "x31_context_rules": context_table,
+    "f15_address_rules": address_table, "x29_topic_rules": topic_table, "x34_place_rules": place_table
+}

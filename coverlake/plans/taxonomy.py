@@ -16,7 +16,10 @@ KEYWORD = (0.84, 0.72, 0.51)
 CATEGORY = (0.9, 0.86, 0.75, 0.55)
 #: Weights of the sources of section candidates, and scores from which an unclassified article is recovered (others: .70).
 WEIGHTS = {"page": 0.95, "stored": 0.85, "category": 0.55, "path": 0.35, "keyword": 0.2}
-RECOVERY = {"politics": 0.7, "tech": 0.7, "business": 0.65, "conflicts": 0.65, "sports": 0.65, "health": 0.65, "entertainment": 0.65, "arts": 0.6, "lifestyle": 0.55}
+RECOVERY = {
+    "politics": 0.7, "tech": 0.7, "business": 0.65, "conflicts": 0.65, "sports": 0.65, "health": 0.65, "entertainment": 0.65, "arts": 0.6,
+    "lifestyle": 0.55
+}
 
 #: Small tables of our own, whose words occur in the fixtures.
 HIGH = [("world", ["view"]), ("sports", ["click"]), ("business", ["purchase"])]
@@ -35,7 +38,10 @@ def page_sections(pages: DataFrame, signals: DataFrame, source: str = "url", tab
     context = first_rule(F.lower(F.coalesce(F.col(source), F.lit(""))), rules)
     rows = pages.select("page_id", context.alias("_context")).join(first, "page_id", "left")
     kind = F.when(F.col("_first").isNotNull(), F.col("_first.kind")).when(F.col("_context").isNotNull(), "context").otherwise("none")
-    return rows.select("page_id", F.coalesce("_first.section", "_context", F.lit("others")).alias("section"), kind.alias("kind"), F.col("_first.signal").alias("signal"))
+    return rows.select(
+        "page_id", F.coalesce("_first.section", "_context", F.lit("others")).alias("section"), kind.alias("kind"),
+        F.col("_first.signal").alias("signal")
+    )
 
 
 def has_word(text: Column, words: list[str]) -> Column:
@@ -51,7 +57,10 @@ def first_rule(text: Column, table: list[tuple[str, list[str]]]) -> Column:
 
 def keyword_section(text: Column, high: list = HIGH, medium: list = MEDIUM) -> Column:
     a, b = first_rule(text, high), first_rule(text, medium)
-    return F.struct(F.coalesce(a, b, F.lit("others")).alias("section"), F.when(a.isNotNull(), KEYWORD[0]).when(b.isNotNull(), KEYWORD[1]).otherwise(KEYWORD[2]).alias("confidence"))
+    return F.struct(
+        F.coalesce(a, b, F.lit("others")).alias("section"),
+        F.when(a.isNotNull(), KEYWORD[0]).when(b.isNotNull(), KEYWORD[1]).otherwise(KEYWORD[2]).alias("confidence")
+    )
 
 
 def category_section(categories: Column, direct: dict = DIRECT, high: list = HIGH, medium: list = MEDIUM) -> Column:
@@ -75,18 +84,32 @@ def classify(articles: DataFrame) -> DataFrame:
     """Keyword and category evidence and the more confident of both; on a tie the keyword stays."""
     rows = articles.select("external_id", keyword_section(title_text()).alias("k"), category_section(F.col("feed_categories")).alias("c"))
     wins = F.col("c.confidence") > F.col("k.confidence")
-    return rows.select("external_id", F.col("k.section").alias("keyword_section"), F.col("c.section").alias("category_section"), F.when(wins, F.col("c.section")).otherwise(F.col("k.section")).alias("section"), F.greatest("k.confidence", "c.confidence").alias("confidence"))
+    return rows.select(
+        "external_id", F.col("k.section").alias("keyword_section"), F.col("c.section").alias("category_section"),
+        F.when(wins, F.col("c.section")).otherwise(F.col("k.section")).alias("section"),
+        F.greatest("k.confidence", "c.confidence").alias("confidence")
+    )
 
 
 def candidates(articles: DataFrame) -> DataFrame:
     """Section candidates of each article: weights of all evidence summed and capped at 1, best first, then in section order."""
     found = classify(articles).select("external_id", "keyword_section", "category_section")
-    rows = articles.select("external_id", blank_to("primary_section").alias("stored"), F.lower(F.regexp_extract(path(F.col("url")), "^/([^/]+)", 1)).alias("part")).join(found, "external_id")
+    rows = articles.select(
+        "external_id", blank_to("primary_section").alias("stored"),
+        F.lower(F.regexp_extract(path(F.col("url")), "^/([^/]+)", 1)).alias("part")
+    ).join(found, "external_id")
     by_path = F.lit(None).cast("string")
     for name, section in DIRECT.items():
         by_path = F.when(F.col("part") == name, section).otherwise(by_path)
-    evidence = [("stored", F.col("stored")), ("category", F.col("category_section")), ("path", by_path), ("keyword", F.col("keyword_section"))]
-    each = rows.select("external_id", F.explode(F.array(*[F.struct(label.alias("label"), F.lit(int(100 * WEIGHTS[name])).alias("w")) for name, label in evidence])).alias("e")).filter(F.col("e.label").isNotNull() & (F.col("e.label") != "others"))
+    evidence = [
+        ("stored", F.col("stored")), ("category", F.col("category_section")), ("path", by_path), ("keyword", F.col("keyword_section"))
+    ]
+    each = rows.select(
+        "external_id",
+        F.explode(
+            F.array(*[F.struct(label.alias("label"), F.lit(int(100 * WEIGHTS[name])).alias("w")) for name, label in evidence])
+        ).alias("e")
+    ).filter(F.col("e.label").isNotNull() & (F.col("e.label") != "others"))
     return each.groupBy("external_id", F.col("e.label").alias("label")).agg((F.least(F.sum("e.w"), F.lit(100)) / 100).alias("score"))
 
 
@@ -96,22 +119,35 @@ def primary_section(articles: DataFrame) -> DataFrame:
     for section, score in RECOVERY.items():
         need = F.when(F.col("label") == section, score).otherwise(need)
     place = F.array_position(F.array(*[F.lit(s) for s in SECTIONS]), F.col("label"))
-    good = candidates(articles).filter(F.col("score") >= need).groupBy("external_id").agg(F.min_by("label", F.struct(-F.col("score"), place)).alias("recovered"))
+    good = candidates(articles).filter(F.col("score") >= need).groupBy("external_id").agg(
+        F.min_by("label", F.struct(-F.col("score"), place)).alias("recovered")
+    )
     stored = F.coalesce(blank_to("primary_section"), blank_to("section"), F.lit("others"))
-    return articles.select("external_id", stored.alias("stored")).join(good, "external_id", "left").select("external_id", F.when(F.col("stored") == "others", F.coalesce("recovered", F.lit("others"))).otherwise(F.col("stored")).alias("section"))
+    return articles.select("external_id", stored.alias("stored")).join(good, "external_id", "left").select(
+        "external_id",
+        F.when(F.col("stored") == "others", F.coalesce("recovered", F.lit("others"))).otherwise(F.col("stored")).alias("section")
+    )
 
 
 def topic_scores(articles: DataFrame, table: list = TOPICS) -> DataFrame:
     """Topics of each title: 0.6 for one word of the topic and 0.15 for each more, at most 1."""
-    matches = [F.struct(F.lit(topic).alias("topic"), sum((has_word(title_text(), [w]).cast("int") for w in words), F.lit(0)).alias("n")) for topic, words in table]
+    matches = [
+        F.struct(F.lit(topic).alias("topic"), sum((has_word(title_text(), [w]).cast("int") for w in words), F.lit(0)).alias("n"))
+        for topic, words in table
+    ]
     rows = articles.select("external_id", F.explode(F.array(*matches)).alias("m")).filter("m.n > 0")
-    return rows.select("external_id", "m.topic", F.least(F.lit(100), F.lit(60) + 15 * (F.col("m.n") - 1)).cast("long").alias("score_percent"))
+    return rows.select(
+        "external_id", "m.topic", F.least(F.lit(100), F.lit(60) + 15 * (F.col("m.n") - 1)).cast("long").alias("score_percent")
+    )
 
 
 def places(articles: DataFrame, table: list = PLACES) -> DataFrame:
     """The place a title names, else the publisher's country."""
     named = first_rule(title_text(), table)
-    return articles.select("external_id", F.coalesce(named, blank_to("source_country"), F.lit("Global")).alias("place"), F.when(named.isNotNull(), "title").when(blank_to("source_country").isNotNull(), "publisher").otherwise("none").alias("basis"))
+    return articles.select(
+        "external_id", F.coalesce(named, blank_to("source_country"), F.lit("Global")).alias("place"),
+        F.when(named.isNotNull(), "title").when(blank_to("source_country").isNotNull(), "publisher").otherwise("none").alias("basis")
+    )
 
 
 def publisher_match(articles: DataFrame, rules: list[tuple[str, list[str], list[str], list[str]]]) -> DataFrame:
@@ -133,7 +169,9 @@ PUBLISHERS = [("First Group", ["src1"], ["src2"], []), ("Second Group", ["src3",
 
 def endpoint_classes(runs: DataFrame) -> DataFrame:
     """Endpoints of each country by class: feeds, news and other sitemaps, by their addresses."""
-    kind = F.when(F.col("method") == "rss", "rss").when(F.col("requested_url").rlike("/0$"), "news_sitemap").when(F.col("requested_url").rlike("/1$"), "index").otherwise("sitemap")
+    kind = F.when(F.col("method") == "rss", "rss").when(
+        F.col("requested_url").rlike("/0$"), "news_sitemap"
+    ).when(F.col("requested_url").rlike("/1$"), "index").otherwise("sitemap")
     ends = runs.select("country", "requested_url", kind.alias("kind")).distinct()
     return ends.groupBy("country").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("rss", "news_sitemap", "index", "sitemap")])
 

@@ -27,7 +27,10 @@ candidates as (select external_id, label, least(sum(w), 100) / 100 as score from
 NEED = "case label when 'politics' then 0.7 when 'tech' then 0.7 when 'business' then 0.65 when 'conflicts' then 0.65 when 'sports' then 0.65 when 'health' then 0.65 when 'entertainment' then 0.65 when 'arts' then 0.6 when 'lifestyle' then 0.55 else 0.7 end"
 ORDER = "list_position(['world','politics','conflicts','business','tech','sports','health','entertainment','lifestyle','arts','science','climate','others'], label)"
 TOPICS = [("desk one", ["k1", "k10", "k11"]), ("desk two", ["k2", "k20", "report"]), ("views", ["view", "report"])]
-COUNTED = " union all ".join(f"select external_id, '{t}' as topic, " + " + ".join(f"cast({word(TITLE, w)} as integer)" for w in words) + " as n from articles" for t, words in TOPICS)
+COUNTED = " union all ".join(
+    f"select external_id, '{t}' as topic, " + " + ".join(f"cast({word(TITLE, w)} as integer)" for w in words) + " as n from articles"
+    for t, words in TOPICS
+)
 PLACE = rules(TITLE, [("North", "k1|k2|k3"), ("South", "k4|k5"), ("East", "k6")], "null")
 COUNTRY = "nullif(trim(source_country, ' '), '')"
 

@@ -30,4 +30,6 @@ def title_overlap(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", title_tokens(page_title(F.col("html"))).alias("t"), title_tokens(heading).alias("h"))
     n = F.size("h")
     matches = F.size(F.array_intersect("t", "h"))
-    return rows.select("page_id", matches.cast("long").alias("matches"), F.round(matches / F.greatest(F.lit(3), F.least(n, F.lit(8))), 6).alias("overlap"))
+    return rows.select(
+        "page_id", matches.cast("long").alias("matches"), F.round(matches / F.greatest(F.lit(3), F.least(n, F.lit(8))), 6).alias("overlap")
+    )

@@ -10,5 +10,8 @@ def session(name: str = "coverlake", master: str | None = None, **conf: str) ->
     builder = SparkSession.builder.appName(name)
     if master:
         builder = builder.master(master)
-    settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.sources.partitionOverwriteMode": "dynamic", **conf}
+    settings = {
+        "spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.sources.partitionOverwriteMode": "dynamic", **conf
+    }
     return builder.config(map=settings).getOrCreate()

@@ -55,17 +55,27 @@ def attribute(body: Column, name: str, key: str) -> Column:
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     """One row per source of a nested catalog: the first address of each kind in file order; a publisher class wins."""
-    feeds = spark.read.json(path, multiLine=True).select(F.explode("countries").alias("c")).select(F.col("c.name").alias("country"), F.posexplode("c.feeds").alias("at", "f"))
-    rows = feeds.select("country", F.col("f.name").alias("source"), "at", F.col("f.url").alias("url"), F.col("f.sitemapUrl").alias("sitemap"), F.coalesce("f.distributionClass", F.lit("publisher")).alias("class"))
+    feeds = spark.read.json(path, multiLine=True).select(F.explode("countries").alias("c")).select(
+        F.col("c.name").alias("country"), F.posexplode("c.feeds").alias("at", "f")
+    )
+    rows = feeds.select(
+        "country", F.col("f.name").alias("source"), "at", F.col("f.url").alias("url"), F.col("f.sitemapUrl").alias("sitemap"),
+        F.coalesce("f.distributionClass", F.lit("publisher")).alias("class")
+    )
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("at")))
-    return rows.groupBy("country", "source").agg(first("url").alias("url"), first("sitemap").alias("sitemap"), F.max("class").alias("distribution_class"))
+    return rows.groupBy("country", "source").agg(
+        first("url").alias("url"), first("sitemap").alias("sitemap"), F.max("class").alias("distribution_class")
+    )
 
 
 def feed_items(documents: DataFrame, limit: int = 10) -> DataFrame:
     """Items of RSS feeds, or entries of Atom feeds where there are none; the limit comes before what is wanted of them."""
     found = documents.select("doc_id", elements(F.col("body"), "item").alias("items"), elements(F.col("body"), "entry").alias("entries"))
     rss = F.size("items") > 0
-    blocks = found.select("doc_id", rss.alias("rss"), F.posexplode(F.slice(F.when(rss, F.col("items")).otherwise(F.col("entries")), 1, limit)).alias("at", "body"))
+    blocks = found.select(
+        "doc_id", rss.alias("rss"),
+        F.posexplode(F.slice(F.when(rss, F.col("items")).otherwise(F.col("entries")), 1, limit)).alias("at", "body")
+    )
     body = F.col("body")
     first = lambda *names: F.coalesce(*[F.nullif(tag(body, n), F.lit("")) for n in names])
     link = F.when(F.col("rss"), tag(body, "link")).otherwise(attribute(body, "link", "href"))
@@ -81,14 +91,23 @@ def feed_items(documents: DataFrame, limit: int = 10) -> DataFrame:
 
 def sitemap_entries(documents: DataFrame, limit: int = 12) -> DataFrame:
     """Entries of sitemaps (doc_id, body, base_url), newest first, undated last; other hosts' entries go."""
-    found = documents.select("doc_id", "base_url", elements(F.col("body"), "url").alias("closed"), elements(F.col("body"), "url", closed=False).alias("all"))
-    blocks = found.select("doc_id", "base_url", F.posexplode(F.when(F.size("closed") > 0, F.col("closed")).otherwise(F.col("all"))).alias("at", "body"))
+    found = documents.select(
+        "doc_id", "base_url", elements(F.col("body"), "url").alias("closed"), elements(F.col("body"), "url", closed=False).alias("all")
+    )
+    blocks = found.select(
+        "doc_id", "base_url", F.posexplode(F.when(F.size("closed") > 0, F.col("closed")).otherwise(F.col("all"))).alias("at", "body")
+    )
     body = F.col("body")
-    rows = blocks.select("doc_id", "base_url", "at", plain_text(tag(body, "loc")).alias("link"), plain_text(tag(body, "title")).alias("_title"), F.coalesce(F.nullif(tag(body, "publication_date"), F.lit("")), F.nullif(tag(body, "lastmod"), F.lit(""))).alias("_date"))
+    rows = blocks.select(
+        "doc_id", "base_url", "at", plain_text(tag(body, "loc")).alias("link"), plain_text(tag(body, "title")).alias("_title"),
+        F.coalesce(F.nullif(tag(body, "publication_date"), F.lit("")), F.nullif(tag(body, "lastmod"), F.lit(""))).alias("_date")
+    )
     a, b = host(F.col("link")), host(F.col("base_url"))
     same = (a == "") | F.coalesce(b == "", F.lit(True)) | (a == b) | a.endswith(F.concat(F.lit("."), b)) | b.endswith(F.concat(F.lit("."), a))
     kept = rows.filter(same).withColumn("published_at", F.coalesce(loose_date("_date"), date_in_url(F.col("link")).cast("timestamp")))
-    titled = kept.withColumn("title", F.coalesce(F.nullif("_title", F.lit("")), F.nullif(title_from_link("link"), F.lit("")), F.col("link")))
+    titled = kept.withColumn(
+        "title", F.coalesce(F.nullif("_title", F.lit("")), F.nullif(title_from_link("link"), F.lit("")), F.col("link"))
+    )
     ranked = titled.withColumn("rank", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc_nulls_last("published_at"), "at")))
     return ranked.filter(F.col("rank") <= limit).select("doc_id", "rank", "link", "title", "published_at")
 
@@ -100,7 +119,13 @@ def page_signals(pages: DataFrame) -> DataFrame:
     tags = F.regexp_extract_all(h, F.lit(r"""(?is)<meta[^>]+property=["']article:tag["'][^>]+content=["']([^"']*)["']"""), F.lit(1))
     ld = F.regexp_extract(h, LD, 1)
     section = F.coalesce(F.nullif(meta, F.lit("")), F.get_json_object(ld, "$.articleSection"), F.get_json_object(ld, "$.articleSection[0]"))
-    return pages.select("page_id", section.alias("section"), tags.alias("categories"), F.coalesce(F.get_json_object(ld, "$.datePublished"), F.nullif(F.regexp_extract(h, r"""(?is)<time[^>]+datetime=["']([^"']*)["']""", 1), F.lit(""))).alias("date"))
+    return pages.select(
+        "page_id", section.alias("section"), tags.alias("categories"),
+        F.coalesce(
+            F.get_json_object(ld, "$.datePublished"),
+            F.nullif(F.regexp_extract(h, r"""(?is)<time[^>]+datetime=["']([^"']*)["']""", 1), F.lit(""))
+        ).alias("date")
+    )
 
 
 def page_signal_order(pages: DataFrame) -> DataFrame:
@@ -113,9 +138,20 @@ def page_signal_order(pages: DataFrame) -> DataFrame:
     meta = one(F.regexp_extract(h, r"""(?is)<meta[^>]+property=["']article:section["'][^>]+content=["']([^"']*)["']""", 1))
     crumbs = F.from_json(F.get_json_object(ld, "$.breadcrumb.itemListElement"), "array<struct<name:string,item:struct<name:string>>>")
     words = F.split(F.regexp_extract(h, r"""(?is)<meta[^>]+name=["'](?:news_)?keywords["'][^>]+content=["']([^"']*)["']""", 1), r"\s*,\s*")
-    kinds = [("meta", F.concat(meta, many("$.articleSection"))), ("breadcrumb", F.transform(crumbs, lambda x: F.coalesce(x["name"], x["item"]["name"]))), ("keywords", F.concat(words, many("$.keywords")))]
-    each = F.array(*[F.struct(F.lit(k).alias("rank"), F.lit(kind).alias("kind"), F.coalesce(v, F.array().cast("array<string>")).alias("signals")) for k, (kind, v) in enumerate(kinds)])
-    rows = pages.select("page_id", F.explode(each).alias("k")).select("page_id", "k.rank", "k.kind", F.posexplode("k.signals").alias("place", "signal"))
+    kinds = [
+        ("meta", F.concat(meta, many("$.articleSection"))),
+        ("breadcrumb", F.transform(crumbs, lambda x: F.coalesce(x["name"], x["item"]["name"]))),
+        ("keywords", F.concat(words, many("$.keywords")))
+    ]
+    each = F.array(
+        *[
+            F.struct(F.lit(k).alias("rank"), F.lit(kind).alias("kind"), F.coalesce(v, F.array().cast("array<string>")).alias("signals"))
+            for k, (kind, v) in enumerate(kinds)
+        ]
+    )
+    rows = pages.select("page_id", F.explode(each).alias("k")).select(
+        "page_id", "k.rank", "k.kind", F.posexplode("k.signals").alias("place", "signal")
+    )
     return rows.withColumn("signal", F.trim("signal")).filter("signal <> ''")
 
 
@@ -124,6 +160,11 @@ def collection_items(pages: DataFrame, limit: int = 50) -> DataFrame:
     item = "array<struct<position:int,url:string,name:string,item:struct<url:string,name:string,datePublished:string>>>"
     lists = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(LD), F.lit(1))).alias("ld"))
     each = lists.select("page_id", F.posexplode(F.from_json(F.get_json_object("ld", "$.itemListElement"), item)).alias("at", "x"))
-    rows = each.select("page_id", "at", F.coalesce("x.url", "x.item.url").alias("link"), F.coalesce("x.name", "x.item.name").alias("title"), F.col("x.item.datePublished").alias("date")).filter("link is not null")
+    rows = each.select(
+        "page_id", "at", F.coalesce("x.url", "x.item.url").alias("link"), F.coalesce("x.name", "x.item.name").alias("title"),
+        F.col("x.item.datePublished").alias("date")
+    ).filter("link is not null")
     first = rows.withColumn("_rn", F.row_number().over(W.partitionBy("page_id", "link").orderBy("at"))).filter("_rn = 1")
-    return first.withColumn("rank", F.row_number().over(W.partitionBy("page_id").orderBy("at"))).filter(F.col("rank") <= limit).select("page_id", "rank", "link", "title", "date")
+    return first.withColumn(
+        "rank", F.row_number().over(W.partitionBy("page_id").orderBy("at"))
+    ).filter(F.col("rank") <= limit).select("page_id", "rank", "link", "title", "date")

@@ -17,9 +17,13 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """news articles: one for each event."""
     e = load(spark, sf_dir, "events")
     n = load(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    publisher, place = n.select(F.col("n_nationkey").alias("_p"), F.col("n_name").alias("_publisher")), n.select(F.col("n_nationkey").alias("_g"), F.col("n_name").alias("_place"))
+    publisher, place = n.select(
+        F.col("n_nationkey").alias("_p"), F.col("n_name").alias("_publisher")
+    ), n.select(F.col("n_nationkey").alias("_g"), F.col("n_name").alias("_place"))
     # 25 nations: a fixed table
-    rows = e.join(F.broadcast(publisher), F.pmod("user_id", F.lit(5)) == F.col("_p")).join(F.broadcast(place), F.pmod("event_id", F.lit(25)) == F.col("_g"))
+    rows = e.join(
+        F.broadcast(publisher), F.pmod("user_id", F.lit(5)) == F.col("_p")
+    ).join(F.broadcast(place), F.pmod("event_id", F.lit(25)) == F.col("_g"))
     rows = rows.withColumn("_k", F.get_json_object("props", "$.k").cast("int"))
     return rows.selectExpr(
         "cast(event_id as string) external_id",
@@ -65,11 +69,17 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source catalog: one source for each supplier."""
     s = load(spark, sf_dir, "supplier")
     n = load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("_p"), F.col("n_name").alias("catalog_country"))
-    return s.join(F.broadcast(n), F.pmod("s_suppkey", F.lit(5)) == F.col("_p")).selectExpr("concat('src', cast(s_suppkey as string)) catalog_source", "catalog_country", "if(s_suppkey % 7 = 0, 'portal', 'publisher') distribution_class", "s_name publisher", "s_acctbal")
+    return s.join(F.broadcast(n), F.pmod("s_suppkey", F.lit(5)) == F.col("_p")).selectExpr(
+        "concat('src', cast(s_suppkey as string)) catalog_source", "catalog_country",
+        "if(s_suppkey % 7 = 0, 'portal', 'publisher') distribution_class", "s_name publisher", "s_acctbal"
+    )
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """article mentions: one for each order line."""
     line, part = load(spark, sf_dir, "lineitem"), load(spark, sf_dir, "part")
     n = load(spark, sf_dir, "events").agg(F.count("*").alias("_n"))  # one row
-    return line.join(part, line["l_partkey"] == part["p_partkey"]).crossJoin(F.broadcast(n)).selectExpr("cast(l_orderkey % _n as string) article_external_id", "p_type entity_type", "cast(l_suppkey as string) entity_id", "l_shipdate mentioned_at")
+    return line.join(part, line["l_partkey"] == part["p_partkey"]).crossJoin(F.broadcast(n)).selectExpr(
+        "cast(l_orderkey % _n as string) article_external_id", "p_type entity_type", "cast(l_suppkey as string) entity_id",
+        "l_shipdate mentioned_at"
+    )

@@ -120,7 +120,10 @@ class Selector:
             have = n.attrs.get(name)
             if have is None:
                 return False
-            ok = {"has": True, "": have == want, "~": want in have.split(), "^": have.startswith(want), "$": have.endswith(want), "*": want in have}[how]
+            ok = {
+                "has": True, "": have == want, "~": want in have.split(), "^": have.startswith(want), "$": have.endswith(want),
+                "*": want in have
+            }[how]
             if not ok:
                 return False
         return True
@@ -204,7 +207,9 @@ def from_script(tree: Node, spec: dict) -> Iterator[Item]:
             except ValueError:
                 continue
             for entry in at_path(found, spec.get("items", "")) or []:
-                yield spec.get("prefix", "") + worded(at_path(entry, spec["link"])), worded(at_path(entry, spec["title"])), worded(at_path(entry, spec.get("date", "")) if spec.get("date") else "")
+                yield spec.get("prefix", "") + worded(at_path(entry, spec["link"])), worded(at_path(entry, spec["title"])), worded(
+                    at_path(entry, spec.get("date", "")) if spec.get("date") else ""
+                )
 
 
 SHAPES = {"blocks": from_blocks, "links": from_links, "script": from_script}
@@ -296,7 +301,9 @@ def list_items(pages: DataFrame, extractors: list[dict], limit: int = 12) -> Dat
                 yield row[0], k + 1, *row[1:]
 
     rest = [c for c in pages.columns if c != "html"]
-    rows = pages.lateralJoin(Listed(F.col("html").outer(), F.col("url").outer())).select(*rest, "extractor", "rank", "link", "title", "_date")
+    rows = pages.lateralJoin(Listed(F.col("html").outer(), F.col("url").outer())).select(
+        *rest, "extractor", "rank", "link", "title", "_date"
+    )
     date = F.coalesce(loose_date(F.nullif("_date", F.lit(""))), date_in_url(F.col("link")).cast("timestamp"))
     title = F.coalesce(F.nullif("title", F.lit("")), F.nullif(title_from_link("link"), F.lit("")), F.col("link"))
     return rows.select(*rest, "extractor", "rank", F.nullif("link", F.lit("")).alias("link"), title.alias("title"), date.alias("date"))

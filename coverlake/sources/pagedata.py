@@ -24,29 +24,40 @@ def unescaped(c: Column) -> Column:
 def objects(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """(key, script, place, object): all objects that the scripts of a page hold at the top, in lists, or in ``@graph``."""
     scripts = pages.select(F.col(key), F.posexplode(F.regexp_extract_all(html, F.lit(LD), F.lit(1))).alias("script", "_t"))
-    whole = scripts.select(key, "script", F.coalesce(F.try_parse_json("_t"), F.try_parse_json(unescaped(F.col("_t")))).alias("_v")).filter("_v is not null")
+    whole = scripts.select(
+        key, "script", F.coalesce(F.try_parse_json("_t"), F.try_parse_json(unescaped(F.col("_t")))).alias("_v")
+    ).filter("_v is not null")
     level = whole.select(key, "script", F.array(F.lit(0)).alias("place"), F.col("_v").alias("object"), F.lit(False).alias("_open"))
     many = lambda path: F.try_variant_get("object", path, "array<variant>")
     one = lambda x, done: F.struct(x.alias("object"), F.lit(done).alias("_open"))
     inside = lambda path: F.transform(many(path), lambda x: one(x, False))
     itself = F.array(one(F.col("object"), True))
     for _ in range(DEPTH):
-        told = F.when(F.col("_open"), itself).when(many("$").isNotNull(), inside("$")).when(many("$['@graph']").isNotNull(), F.concat(itself, inside("$['@graph']"))).otherwise(itself)
-        level = level.select(key, "script", "place", F.posexplode(told).alias("_k", "_o")).select(key, "script", F.array_append("place", F.col("_k")).alias("place"), "_o.object", "_o._open")
+        told = F.when(F.col("_open"), itself).when(many("$").isNotNull(), inside("$")).when(
+            many("$['@graph']").isNotNull(), F.concat(itself, inside("$['@graph']"))
+        ).otherwise(itself)
+        level = level.select(key, "script", "place", F.posexplode(told).alias("_k", "_o")).select(
+            key, "script", F.array_append("place", F.col("_k")).alias("place"), "_o.object", "_o._open"
+        )
     return level.filter(many("$").isNull()).select(key, "script", "place", "object")
 
 
 def listed(v: Column) -> Column:
     """Texts of a value that is one text or a list of them."""
     none = F.array().cast("array<string>")
-    many = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.coalesce(F.try_variant_get(x, "$", TEXT), F.try_variant_get(x, "$.name", TEXT)))
+    many = F.transform(
+        F.try_variant_get(v, "$", "array<variant>"),
+        lambda x: F.coalesce(F.try_variant_get(x, "$", TEXT), F.try_variant_get(x, "$.name", TEXT))
+    )
     return F.coalesce(many, F.filter(F.array(F.try_variant_get(v, "$", TEXT)), lambda x: x.isNotNull()), none)
 
 
 def crumbs(v: Column) -> Column:
     """Names of a breadcrumb's entries."""
     entries = F.coalesce(F.try_variant_get(v, "$.itemListElement", "array<variant>"), F.array().cast("array<variant>"))
-    name = lambda e: F.coalesce(F.try_variant_get(e, "$.name", TEXT), F.try_variant_get(e, "$.item.name", TEXT), F.try_variant_get(e, "$.item", TEXT))
+    name = lambda e: F.coalesce(
+        F.try_variant_get(e, "$.name", TEXT), F.try_variant_get(e, "$.item.name", TEXT), F.try_variant_get(e, "$.item", TEXT)
+    )
     return F.filter(F.transform(entries, name), lambda x: x.isNotNull())
 
 
@@ -80,4 +91,6 @@ def signals(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataF
     )).alias("k")).select(key, "k.rank", "k.kind", F.array(F.lit(-1)).alias("place"), "k.values")
     each = metas.unionByName(told).select(key, "rank", "kind", "place", F.posexplode("values").alias("_k", "signal"))
     clean = F.trim(F.regexp_replace("signal", r"\s+", " "))
-    return each.select(key, "rank", "kind", F.array_append("place", F.col("_k")).alias("place"), clean.alias("signal")).filter("signal <> ''")
+    return each.select(
+        key, "rank", "kind", F.array_append("place", F.col("_k")).alias("place"), clean.alias("signal")
+    ).filter("signal <> ''")

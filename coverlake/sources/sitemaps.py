@@ -35,13 +35,17 @@ def address_date(loc: Column) -> Column:
     for mark in ("/", "-"):
         pattern = rf"(20[0-9]{{2}}){mark}(0[1-9]|1[0-2]|[1-9])(?:{mark}(0[1-9]|[12][0-9]|3[01]|[1-9]))?(?=[^0-9]|$)"
         found.append([F.regexp_extract(loc, pattern, k) for k in (1, 2, 3)])
-    value = lambda *names: F.coalesce(*[F.nullif(F.regexp_extract(loc, rf"[?&]{n}=([0-9]{{1,4}})", 1), F.lit("")) for n in names], F.lit(""))
+    value = lambda *names: F.coalesce(
+        *[F.nullif(F.regexp_extract(loc, rf"[?&]{n}=([0-9]{{1,4}})", 1), F.lit("")) for n in names], F.lit("")
+    )
     found.append([value("yyyy", "year"), value("mm", "month"), value("dd", "day")])
     dates = []
     for year, month, day in found:
         first = F.try_to_date(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lit("01")), "yyyy-MM-dd")
         # a day beyond the month's end runs on into the next
-        dates.append(F.when((year != "") & (month != ""), F.date_add(first, F.coalesce(F.nullif(day, F.lit("")).cast("int"), F.lit(1)) - 1)))
+        dates.append(
+            F.when((year != "") & (month != ""), F.date_add(first, F.coalesce(F.nullif(day, F.lit("")).cast("int"), F.lit(1)) - 1))
+        )
     return F.coalesce(*dates)
 
 
@@ -57,7 +61,9 @@ def resolved(loc: Column, base: Column) -> Column:
     origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     folder = F.regexp_extract(path(base), r"^(.*/)[^/]*$", 1)
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
-    beside = F.when(loc.startswith("//"), F.concat(scheme, loc)).when(loc.startswith("/"), F.concat(origin, loc)).otherwise(F.concat(origin, F.when(folder == "", "/").otherwise(folder), loc))
+    beside = F.when(loc.startswith("//"), F.concat(scheme, loc)).when(loc.startswith("/"), F.concat(origin, loc)).otherwise(
+        F.concat(origin, F.when(folder == "", "/").otherwise(folder), loc)
+    )
     return F.when(loc.rlike("^[A-Za-z][A-Za-z0-9+.-]*://") | F.coalesce(origin == "", F.lit(True)), loc).otherwise(beside)
 
 
@@ -68,7 +74,10 @@ def index_entries(documents: DataFrame) -> DataFrame:
     body = F.col("body")
     inner = F.when(F.size(elements(body, "sitemap")) > 0, elements(body, "sitemap")).otherwise(elements(body, "sitemap", closed=False))
     blocks = documents.filter(body.rlike(r"(?i)<(?:[a-z0-9_.-]+:)?sitemapindex[\s>]")).select(*rest, F.posexplode(inner).alias("at", "_b"))
-    rows = blocks.select(*rest, "at", resolved(plain_text(tag(F.col("_b"), "loc")), F.coalesce("url", F.lit(""))).alias("loc"), loose_date(F.nullif(tag(F.col("_b"), "lastmod"), F.lit(""))).alias("changed"))
+    rows = blocks.select(
+        *rest, "at", resolved(plain_text(tag(F.col("_b"), "loc")), F.coalesce("url", F.lit(""))).alias("loc"),
+        loose_date(F.nullif(tag(F.col("_b"), "lastmod"), F.lit(""))).alias("changed")
+    )
     return rows.filter("loc <> ''").select("*", address_date(F.col("loc")).alias("dated"), number_at_end(F.col("loc")).alias("tail"))
 
 
@@ -102,16 +111,28 @@ def children(documents: DataFrame, now: Column, *, of: list[str], limit: int = C
         own = rows.withColumn("_host", host(F.col("url"))).join(rule, "_host", "left")
         rows = own.withColumn("_most", F.when(F.regexp("loc", F.col("pattern")), F.col("_most"))).drop("_host", "pattern")
     # of an address named twice in an index the best mention counts
-    once = rows.withColumn("_rn", F.row_number().over(W.partitionBy(*of, "loc").orderBy(F.desc("score"), *newest))).filter("_rn = 1").drop("_rn")
+    once = rows.withColumn(
+        "_rn", F.row_number().over(W.partitionBy(*of, "loc").orderBy(F.desc("score"), *newest))
+    ).filter("_rn = 1").drop("_rn")
     group = W.partitionBy(*of)
     told = once.select("*", F.max("_most").over(group).alias("_rule"), F.max("score").over(group).alias("_best"))
-    kept = told.filter(F.when(F.col("_rule").isNotNull(), F.col("_most").isNotNull()).when(F.col("_best") > 0, F.col("score") > 0).otherwise(True))
-    order = [F.when(F.col("_rule").isNull() & (F.col("_best") > 0), F.col("score")).desc_nulls_last(), F.desc_nulls_last("changed"), F.desc_nulls_last("dated"), F.when(F.col("_rule").isNull() & (F.col("_best") > 0), F.lit(None)).otherwise(F.col("tail")).desc_nulls_last(), F.desc("at")]
+    kept = told.filter(
+        F.when(F.col("_rule").isNotNull(), F.col("_most").isNotNull()).when(F.col("_best") > 0, F.col("score") > 0).otherwise(True)
+    )
+    order = [
+        F.when(F.col("_rule").isNull() & (F.col("_best") > 0), F.col("score")).desc_nulls_last(), F.desc_nulls_last("changed"),
+        F.desc_nulls_last("dated"),
+        F.when(F.col("_rule").isNull() & (F.col("_best") > 0), F.lit(None)).otherwise(F.col("tail")).desc_nulls_last(), F.desc("at")
+    ]
     ranked = kept.withColumn("rank", F.row_number().over(W.partitionBy(*of).orderBy(*order)))
-    return ranked.filter(F.col("rank") <= F.least(F.lit(limit), F.coalesce("_rule", F.lit(limit)))).select(*of, "loc", "score", "changed", "rank")
+    return ranked.filter(
+        F.col("rank") <= F.least(F.lit(limit), F.coalesce("_rule", F.lit(limit)))
+    ).select(*of, "loc", "score", "changed", "rank")
 
 
-def expanded(roots: DataFrame, documents: DataFrame, now: Column, *, depth: int = DEPTH, limit: int = CHILDREN, hosts: DataFrame | None = None) -> DataFrame:
+def expanded(
+    roots: DataFrame, documents: DataFrame, now: Column, *, depth: int = DEPTH, limit: int = CHILDREN, hosts: DataFrame | None = None
+) -> DataFrame:
     """roots: root, url. documents: url, body, one for each address. (root, url, depth) of the sitemaps and feeds that each root
     leads to through indexes, itself included if it is one; none twice for one root. depth: how many indexes deep."""
     is_index = F.col("body").rlike(r"(?i)<(?:[a-z0-9_.-]+:)?sitemapindex[\s>]")

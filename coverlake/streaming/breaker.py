@@ -34,7 +34,9 @@ class Breaker(StatefulProcessor):
         pass
 
     def told(self, key: tuple, event: str, state: tuple, last: int) -> pd.DataFrame:
-        out = pd.DataFrame([(key[0], event, *state, last)], columns=["outlet_id", "event", "status", "reason", "failures", "until", "since", "last"])
+        out = pd.DataFrame(
+            [(key[0], event, *state, last)], columns=["outlet_id", "event", "status", "reason", "failures", "until", "since", "last"]
+        )
         return out.astype({"until": "Int64", "since": "Int64", "last": "Int64", "failures": "Int64"})
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -87,7 +89,10 @@ def breaker(attempts: DataFrame, delay: str = "0 seconds", forget_days: int = 90
         "outlet_id", "ran_at", F.unix_micros("ran_at").alias("at"), "id", "ok", failure["kind"].alias("kind"), failure["reason"].alias("reason"), F.coalesce(duplicate, F.lit(False)).alias("duplicate")
     )
     out = rows.groupBy("outlet_id").transformWithStateInPandas(Breaker(forget_days), OUT, "Update", "EventTime")
-    return out.select("outlet_id", "event", "status", "reason", "failures", as_time(F.col("until")).alias("disabled_until"), as_time(F.col("since")).alias("disabled_since"), as_time(F.col("last")).alias("last_attempted_at"))
+    return out.select(
+        "outlet_id", "event", "status", "reason", "failures", as_time(F.col("until")).alias("disabled_until"),
+        as_time(F.col("since")).alias("disabled_since"), as_time(F.col("last")).alias("last_attempted_at")
+    )
 
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

@@ -23,7 +23,9 @@ def hourly_counters(attempts: DataFrame, late: str = "7 days", width: str = "1 h
 
 def sliding_counts(articles: DataFrame, width: str = "24 hours", step: str = "1 hour", late: str = "7 days") -> DataFrame:
     """Articles of each publisher country in windows that slide by the hour."""
-    return articles.withWatermark("created_at", late).groupBy(F.window("created_at", width, step).alias("w"), F.coalesce("source_country", F.lit("(unknown)")).alias("country")).agg(F.count("*").alias("articles")).select(F.col("w.end").alias("window_end"), "country", "articles")
+    return articles.withWatermark("created_at", late).groupBy(
+        F.window("created_at", width, step).alias("w"), F.coalesce("source_country", F.lit("(unknown)")).alias("country")
+    ).agg(F.count("*").alias("articles")).select(F.col("w.end").alias("window_end"), "country", "articles")
 
 
 def merge_articles(path: str, buckets: int = 64):
@@ -44,7 +46,10 @@ def endpoint_watermarks(items: DataFrame) -> DataFrame:
 def breaker(attempts: DataFrame) -> DataFrame:
     """The breaker's state of each outlet after each micro-batch, from attempts in order."""
     duplicate = F.col("duplicate") if "duplicate" in attempts.columns else F.lit(False)
-    found = attempts.filter("attempted").select("outlet_id", F.unix_micros("ran_at").alias("at"), "id", "ok", failure_kind(F.col("status_code"), F.col("error")).alias("f"), F.coalesce(duplicate, F.lit(False)).alias("duplicate"))
+    found = attempts.filter("attempted").select(
+        "outlet_id", F.unix_micros("ran_at").alias("at"), "id", "ok", failure_kind(F.col("status_code"), F.col("error")).alias("f"),
+        F.coalesce(duplicate, F.lit(False)).alias("duplicate")
+    )
     rows = found.select("outlet_id", "at", "id", "ok", "f.kind", "f.reason", "duplicate")
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -56,5 +61,10 @@ def breaker(attempts: DataFrame) -> DataFrame:
         yield out.astype({"until": "Int64", "since": "Int64"})
 
     schema = "status string, reason string, failures long, until long, since long"
-    states = rows.groupBy("outlet_id").applyInPandasWithState(step, f"outlet_id string, {schema}", schema, "update", GroupStateTimeout.NoTimeout)
-    return states.select("outlet_id", "status", "reason", "failures", as_time(F.col("until")).alias("disabled_until"), as_time(F.col("since")).alias("disabled_since"))
+    states = rows.groupBy("outlet_id").applyInPandasWithState(
+        step, f"outlet_id string, {schema}", schema, "update", GroupStateTimeout.NoTimeout
+    )
+    return states.select(
+        "outlet_id", "status", "reason", "failures", as_time(F.col("until")).alias("disabled_until"),
+        as_time(F.col("since")).alias("disabled_since")
+    )

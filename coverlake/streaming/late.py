@@ -13,7 +13,9 @@ LATE_HOURS, OLD_DAYS = 24, 7
 
 def lateness(published: Column, ingested: Column, late_hours: int = LATE_HOURS, old_days: int = OLD_DAYS) -> Column:
     """fresh, late, old, or undated."""
-    return F.when(published.isNull(), "undated").when(published < ingested - F.make_dt_interval(F.lit(old_days)), "old").when(published < ingested - F.make_dt_interval(hours=F.lit(late_hours)), "late").otherwise("fresh")
+    return F.when(published.isNull(), "undated").when(published < ingested - F.make_dt_interval(F.lit(old_days)), "old").when(
+        published < ingested - F.make_dt_interval(hours=F.lit(late_hours)), "late"
+    ).otherwise("fresh")
 
 
 def split(items: DataFrame, published: str = "publication_datetime", ingested: str = "created_at", **limits: int) -> DataFrame:
@@ -23,13 +25,17 @@ def split(items: DataFrame, published: str = "publication_datetime", ingested: s
 def by_day(items: DataFrame, published: str = "publication_datetime", ingested: str = "created_at") -> DataFrame:
     """Items of each day of ingest by lateness."""
     marked = split(items, published, ingested)
-    return marked.groupBy(F.to_date(ingested).alias("day")).agg(*[F.count_if(F.col("lateness") == x).alias(x) for x in ("fresh", "late", "old", "undated")])
+    return marked.groupBy(F.to_date(ingested).alias("day")).agg(
+        *[F.count_if(F.col("lateness") == x).alias(x) for x in ("fresh", "late", "old", "undated")]
+    )
 
 
 def by_hour(items: DataFrame, published: str = "publication_datetime", ingested: str = "created_at") -> DataFrame:
     """The same by hour, of a stream: the watermark is on the time of ingest, which an item's age does not touch."""
     marked = split(items, published, ingested).withWatermark(ingested, f"{OLD_DAYS} days")
-    sums = marked.groupBy(F.window(ingested, "1 hour").alias("w")).agg(*[F.count_if(F.col("lateness") == x).alias(x) for x in ("fresh", "late", "old", "undated")])
+    sums = marked.groupBy(F.window(ingested, "1 hour").alias("w")).agg(
+        *[F.count_if(F.col("lateness") == x).alias(x) for x in ("fresh", "late", "old", "undated")]
+    )
     return sums.select(F.col("w.start").alias("hour"), "fresh", "late", "old", "undated")
 
 

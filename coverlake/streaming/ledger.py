@@ -36,7 +36,9 @@ def append(rows: DataFrame, path: str, batch: int, keys: list[str], counters: li
     rows.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
     landed = spark.read.schema(rows.schema).parquet(f"{path}/rows/batch={batch}")  # what is counted is what was written
     landed.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in counters]).write.mode("overwrite").parquet(f"{path}/sums/batch={batch}")
-    spark.range(1).select(F.lit(batch).alias("batch"), F.current_timestamp().alias("written_at")).coalesce(1).write.mode("overwrite").parquet(f"{path}/ledger/batch={batch}")
+    spark.range(1).select(
+        F.lit(batch).alias("batch"), F.current_timestamp().alias("written_at")
+    ).coalesce(1).write.mode("overwrite").parquet(f"{path}/ledger/batch={batch}")
     return True
 
 

@@ -39,7 +39,9 @@ def test_plain_text(spark):
 
 
 def test_title_from_link(spark):
-    assert values(spark, text.title_from_link, ["https://e.org/news/big-storm_hits.html", "https://e.org/2024/05/12", "https://e.org/a-b-id123"]) == ["Big storm hits", "", "A b"]
+    assert values(
+        spark, text.title_from_link, ["https://e.org/news/big-storm_hits.html", "https://e.org/2024/05/12", "https://e.org/a-b-id123"]
+    ) == ["Big storm hits", "", "A b"]
 
 
 def test_bad_addresses_and_dates(spark):
@@ -51,7 +53,11 @@ def test_bad_addresses_and_dates(spark):
 
 
 def test_telling_segments(spark):
-    links = {"news/index.html": "", "art-12345": "", "story20240101-2": "", "0123456789abcdef0123456789abcdef": "", "cisionabc": "", "catalog.aspx": "", "a1234567": "", "mayor_resigns": "Mayor resigns", "mayor": "Mayor", "storm-nid77": "Storm", "2024-budget": "2024 budget"}
+    links = {
+        "news/index.html": "", "art-12345": "", "story20240101-2": "", "0123456789abcdef0123456789abcdef": "", "cisionabc": "",
+        "catalog.aspx": "", "a1234567": "", "mayor_resigns": "Mayor resigns", "mayor": "Mayor", "storm-nid77": "Storm",
+        "2024-budget": "2024 budget"
+    }
     assert values(spark, text.title_from_link, [f"https://e.org/{x}" for x in links]) == list(links.values())
 
 
@@ -71,8 +77,13 @@ def test_loose_date():
 
 
 def test_keyword_section(spark):
-    got = values(spark, text.keyword_section(), ["Parliament votes on match rules", "The market falls", "Élection day", "Nothing here", "Prewar house"])
-    assert [(r["section"], r["confidence"]) for r in got] == [("politics", 0.84), ("business", 0.72), ("politics", 0.84), ("others", 0.51), ("others", 0.51)]
+    got = values(
+        spark, text.keyword_section(),
+        ["Parliament votes on match rules", "The market falls", "Élection day", "Nothing here", "Prewar house"]
+    )
+    assert [(r["section"], r["confidence"]) for r in got] == [
+        ("politics", 0.84), ("business", 0.72), ("politics", 0.84), ("others", 0.51), ("others", 0.51)
+    ]
 
 
 def test_dates_in_urls(spark):
@@ -116,16 +127,28 @@ def test_month_week(spark):
 
 
 def test_low_signal(spark):
-    rows = [("ok", "news", "u", "s"), ("ok", "123456", "u", "s"), ("ok", "http://x", "u", "s"), ("suspect", "Good title here", "u", "s"), ("ok", "Good title here", "u", "s"), (" ", None, "u", "s"), ("ok", "full", "u", "Oricon x"), ("ok", "full", "u", "s"), ("ok", None, None, "s")]
+    rows = [
+        ("ok", "news", "u", "s"), ("ok", "123456", "u", "s"), ("ok", "http://x", "u", "s"), ("suspect", "Good title here", "u", "s"),
+        ("ok", "Good title here", "u", "s"), (" ", None, "u", "s"), ("ok", "full", "u", "Oricon x"), ("ok", "full", "u", "s"),
+        ("ok", None, None, "s")
+    ]
     df = spark.createDataFrame(rows, "title_quality string, title_original string, url string, source string")
     assert [r[0] for r in df.select(exprs.low_signal()).collect()] == [True, True, True, True, False, False, True, False, True]
 
 
 def test_handles(spark):
-    assert values(spark, scalars.handle, ["https://twitter.com/@Foo_1", "@Bar", "instagram.com/baz/", "not a handle"]) == ["foo_1", "bar", "baz", None]
-
-
-@pytest.mark.parametrize(("status", "error", "want"), [(410, None, ("permanent", "http_410")), (404, None, ("temporary", "http_404")), (503, None, ("temporary", "http_503")), (None, "Timed out", ("temporary", "timeout")), (200, "odd", (None, None))])
+    assert values(
+        spark, scalars.handle, ["https://twitter.com/@Foo_1", "@Bar", "instagram.com/baz/", "not a handle"]
+    ) == ["foo_1", "bar", "baz", None]
+
+
+@pytest.mark.parametrize(
+    ("status", "error", "want"),
+    [
+        (410, None, ("permanent", "http_410")), (404, None, ("temporary", "http_404")), (503, None, ("temporary", "http_503")),
+        (None, "Timed out", ("temporary", "timeout")), (200, "odd", (None, None))
+    ]
+)
 def test_failure_kind(spark, status, error, want):
     df = spark.createDataFrame([(status, error)], "s int, e string")
     assert tuple(df.select(scalars.failure_kind(F.col("s"), F.col("e")).alias("f")).first()["f"]) == want

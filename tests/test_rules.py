@@ -47,7 +47,10 @@ def made(rng, n):
             field = rng.choice(FIELDS)
             for _ in range(rng.randint(1, 3)):
                 table.append((rule, clause, field, rng.choice(rules.KINDS), word()))
-    table += [(n, 0, "title", "part", ""), (n + 1, 0, "title", "exact", ""), (n + 2, 1, "title", "word", ""), (n + 3, 0, "nowhere", "part", "a"), (n + 4, 0, "title", "part", None), (n + 5, 0, "title", "part", "a.*b\\E")]
+    table += [
+        (n, 0, "title", "part", ""), (n + 1, 0, "title", "exact", ""), (n + 2, 1, "title", "word", ""), (n + 3, 0, "nowhere", "part", "a"),
+        (n + 4, 0, "title", "part", None), (n + 5, 0, "title", "part", "a.*b\\E")
+    ]
     rng.shuffle(table)
     texts = [tuple(None if rng.random() < 0.1 else "".join(word() for _ in range(rng.randint(0, 6))) for _ in FIELDS) for _ in range(60)]
     return table, [*texts, ("", "", ""), (None, None, None), ("a", "b", "xa.*b\\Ey"), texts[0]]
@@ -57,14 +60,18 @@ def made(rng, n):
 @pytest.mark.parametrize("n", [300, 5000])
 def test_against_a_scan(spark, n, most_bytes):
     table, texts = made(random.Random(n), n)
-    rows = spark.createDataFrame([(k, *t, "x") for k, t in enumerate(texts)], "id long, source string, country string, title string, rule_name string")
+    rows = spark.createDataFrame(
+        [(k, *t, "x") for k, t in enumerate(texts)], "id long, source string, country string, title string, rule_name string"
+    )
     conditions = spark.createDataFrame(table, rules.SCHEMA)
     fields = {f: F.col(f) for f in FIELDS}
     want = {k: scan(dict(zip(FIELDS, t)), table) for k, t in enumerate(texts)}
     assert sum(map(bool, want.values())) > 10
     first = {r["id"]: (r["rule"], r["matched_by"]) for r in rules.first_rule(rows, conditions, fields, most_bytes=most_bytes).collect()}
     assert first == {k: (own[0][0], rules.KINDS[own[0][1]]) if own else (None, None) for k, own in want.items()}
-    every = sorted((r["id"], r["rule"], r["matched_by"], r["n"]) for r in rules.all_rules(rows, conditions, fields, most_bytes=most_bytes).collect())
+    every = sorted(
+        (r["id"], r["rule"], r["matched_by"], r["n"]) for r in rules.all_rules(rows, conditions, fields, most_bytes=most_bytes).collect()
+    )
     assert every == sorted((k, rule, rules.KINDS[kind], count) for k, own in want.items() for rule, kind, count in own)
 
 
@@ -78,23 +85,46 @@ def test_empty_tables(spark):
 
 def test_rule_file(spark, tmp_path):
     file = tmp_path / "rules.json"
-    file.write_text(json.dumps([{"label": "b", "attributes": {"w": "1"}, "clauses": [{"field": "title", "word": ["über uns", "x"]}, {"field": "lang", "exact": ["de"]}]}, {"label": "a", "clauses": [{"field": "title", "part": ["ss"], "prefix": ["q"]}]}]))
+    file.write_text(
+        json.dumps(
+            [
+                {
+                    "label": "b", "attributes": {"w": "1"},
+                    "clauses": [{"field": "title", "word": ["über uns", "x"]}, {"field": "lang", "exact": ["de"]}]
+                },
+                {"label": "a", "clauses": [{"field": "title", "part": ["ss"], "prefix": ["q"]}]}
+            ]
+        )
+    )
     table = rules.read_rules(spark, str(file))
     assert [(r["rule"], r["label"], r["attributes"]) for r in table.orderBy("rule").collect()] == [(0, "b", {"w": "1"}), (1, "a", None)]
-    assert sorted(map(tuple, rules.conditions(table).collect())) == [(0, 0, "title", "word", "x"), (0, 0, "title", "word", "über uns"), (0, 1, "lang", "exact", "de"), (1, 0, "title", "part", "ss"), (1, 0, "title", "prefix", "q")]
+    assert sorted(map(tuple, rules.conditions(table).collect())) == [
+        (0, 0, "title", "word", "x"), (0, 0, "title", "word", "über uns"), (0, 1, "lang", "exact", "de"), (1, 0, "title", "part", "ss"),
+        (1, 0, "title", "prefix", "q")
+    ]
 
 
 def test_keywords_fold_and_mind_edges(spark):
     table = ruled.keyword_rules(spark)
-    texts = [(1, "Nacíón, CIÓN!", "es"), (2, "naciónes", "es"), (3, "cion", "fr"), (4, "Über\n\tihn", "de"), (5, "uberall", "de"), (6, "the  HEED", "en"), (7, None, "en"), (8, "50 %%% of", None), (9, "über", None)]
+    texts = [
+        (1, "Nacíón, CIÓN!", "es"), (2, "naciónes", "es"), (3, "cion", "fr"), (4, "Über\n\tihn", "de"), (5, "uberall", "de"),
+        (6, "the  HEED", "en"), (7, None, "en"), (8, "50 %%% of", None), (9, "über", None)
+    ]
     rows = spark.createDataFrame(texts, "id long, text string, lang string")
-    out = {r["id"]: (r["section"], r["confidence"]) for r in ruled.keyword_sections(rows, table, key="id", text="text", lang="lang").collect()}
+    out = {
+        r["id"]: (r["section"], r["confidence"]) for r in ruled.keyword_sections(rows, table, key="id", text="text", lang="lang").collect()
+    }
     other = ("others", 0.51)
-    assert out == {1: ("sports", 0.84), 2: other, 3: other, 4: ("business", 0.84), 5: other, 6: ("world", 0.84), 7: other, 8: ("entertainment", 0.72), 9: other}
+    assert out == {
+        1: ("sports", 0.84), 2: other, 3: other, 4: ("business", 0.84), 5: other, 6: ("world", 0.84), 7: other, 8: ("entertainment", 0.72),
+        9: other
+    }
 
 
 def test_both_ways_on_queries(spark, sf_dir):
-    for plan, table in ((ruled.context_sections, ruled.context_rules), (ruled.publishers, ruled.publisher_rules), (ruled.topics, ruled.topic_rules)):
+    for plan, table in (
+        (ruled.context_sections, ruled.context_rules), (ruled.publishers, ruled.publisher_rules), (ruled.topics, ruled.topic_rules)
+    ):
         a, t = ruled.fx.articles(spark, sf_dir).limit(300), table(spark, sf_dir)
         rows = lambda **how: sorted(map(tuple, plan(a, *t, **how).collect()), key=repr)  # noqa: B023, E731
         assert rows() == rows(most_bytes=0)

@@ -13,8 +13,12 @@ BROKEN = "<urlset><url><loc>https://e.org/a</loc><url><loc>https://e.org/b</loc>
 
 
 def test_feeds(spark):
-    rows = feeds.feed_items(spark.createDataFrame([(1, RSS), (2, ATOM), (3, ""), (4, None)], "doc_id long, body string"), 2).orderBy("doc_id", "at").collect()
-    assert [(r["doc_id"], r["title"], r["link"]) for r in rows] == [(1, "One & only", "https://e.org/1"), (1, "", "https://e.org/2024/01/05/x"), (2, "A", "https://e.org/a")]
+    rows = feeds.feed_items(
+        spark.createDataFrame([(1, RSS), (2, ATOM), (3, ""), (4, None)], "doc_id long, body string"), 2
+    ).orderBy("doc_id", "at").collect()
+    assert [(r["doc_id"], r["title"], r["link"]) for r in rows] == [
+        (1, "One & only", "https://e.org/1"), (1, "", "https://e.org/2024/01/05/x"), (2, "A", "https://e.org/a")
+    ]
     assert rows[0]["categories"] == ["A", "B"] and rows[0]["feed_id"] == "g1"
     assert rows[0]["missing"] == [] and rows[1]["missing"] == ["title", "description"] and rows[1]["published_at"] == datetime.datetime(2024, 1, 5)
     assert rows[2]["published_at"] == datetime.datetime(2024, 1, 3)
@@ -23,12 +27,23 @@ def test_feeds(spark):
 def test_sitemaps(spark):
     df = spark.createDataFrame([(1, MAP, "https://www.e.org"), (2, BROKEN, "https://e.org")], "doc_id long, body string, base_url string")
     rows = feeds.sitemap_entries(df).orderBy("doc_id", "rank").collect()
-    assert [(r["doc_id"], r["link"]) for r in rows] == [(1, "https://news.e.org/new-story"), (1, "https://e.org/old"), (1, "https://e.org/undated"), (2, "https://e.org/a"), (2, "https://e.org/b")]
+    assert [(r["doc_id"], r["link"]) for r in rows] == [
+        (1, "https://news.e.org/new-story"), (1, "https://e.org/old"), (1, "https://e.org/undated"), (2, "https://e.org/a"),
+        (2, "https://e.org/b")
+    ]
     assert rows[0]["title"] == "New story"
 
 
 def test_pages(spark):
-    ld = json.dumps({"articleSection": "Sport", "datePublished": "2024-01-01", "itemListElement": [{"position": 1, "url": "u1", "name": "n1"}, {"position": 2, "item": {"url": "u2", "name": "n2"}}, {"position": 3, "url": "u1", "name": "again"}]})
+    ld = json.dumps(
+        {
+            "articleSection": "Sport", "datePublished": "2024-01-01",
+            "itemListElement": [
+                {"position": 1, "url": "u1", "name": "n1"}, {"position": 2, "item": {"url": "u2", "name": "n2"}},
+                {"position": 3, "url": "u1", "name": "again"}
+            ]
+        }
+    )
     html = f'<head><meta property="article:tag" content="x"><meta property="article:tag" content="y"><script type="application/ld+json">{ld}</script></head>'
     df = spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")
     first = feeds.page_signals(df).orderBy("page_id").first()
@@ -38,7 +53,21 @@ def test_pages(spark):
 
 def test_catalog(spark, tmp_path):
     f = tmp_path / "catalog.json"
-    f.write_text(json.dumps({"countries": [{"name": "A", "code": "AA", "feeds": [{"name": "s", "url": None, "sitemapUrl": "m", "distributionClass": "portal"}, {"name": "s", "url": "u", "sitemapUrl": "m2", "distributionClass": "publisher"}]}]}))
+    f.write_text(
+        json.dumps(
+            {
+                "countries": [
+                    {
+                        "name": "A", "code": "AA",
+                        "feeds": [
+                            {"name": "s", "url": None, "sitemapUrl": "m", "distributionClass": "portal"},
+                            {"name": "s", "url": "u", "sitemapUrl": "m2", "distributionClass": "publisher"}
+                        ]
+                    }
+                ]
+            }
+        )
+    )
     row = feeds.read_catalog(spark, str(f)).first()
     assert (row["country"], row["source"], row["url"], row["sitemap"], row["distribution_class"]) == ("A", "s", "u", "m", "publisher")
 

@@ -14,7 +14,9 @@ ATTEMPTS = "outlet_id string, method string, ran_at timestamp, id long, attempte
 
 def attempts():
     hour = datetime.timedelta(hours=1)
-    return [("a", "rss", T + k * hour, k, True, k == 0, 200 if k == 0 else 503, None, k) for k in range(4)] + [("b", "rss", T, 9, True, False, 410, None, 0), ("c", "rss", T, 10, False, True, None, None, 5)]
+    return [
+        ("a", "rss", T + k * hour, k, True, k == 0, 200 if k == 0 else 503, None, k) for k in range(4)
+    ] + [("b", "rss", T, 9, True, False, 410, None, 0), ("c", "rss", T, 10, False, True, None, None, 5)]
 
 
 def run(spark, df, sink, path, mode="update"):
@@ -45,8 +47,13 @@ def test_breaker(spark, landed, tmp_path):
 def test_breaker_batch(spark):
     from coverlake.functions.scalars import failure_kind
 
-    df = spark.createDataFrame(attempts(), ATTEMPTS).filter("attempted").withColumn("failure", failure_kind(F.col("status_code"), F.col("error")))
-    got = {r["outlet_id"]: (r["status"], r["failures"]) for r in folds.breaker_states(df.select("outlet_id", "ran_at", "id", "ok", "failure", F.lit(False).alias("duplicate"))).collect()}
+    df = spark.createDataFrame(attempts(), ATTEMPTS).filter("attempted").withColumn(
+        "failure", failure_kind(F.col("status_code"), F.col("error"))
+    )
+    got = {
+        r["outlet_id"]: (r["status"], r["failures"])
+        for r in folds.breaker_states(df.select("outlet_id", "ran_at", "id", "ok", "failure", F.lit(False).alias("duplicate"))).collect()
+    }
     assert got == {"a": ("disabled_temporary", 3), "b": ("disabled_permanent", 1)}
 
 
@@ -59,14 +66,18 @@ def article(i, title, quality, seq, created=T, topics=("t",)):
 
 def test_merge(spark, tmp_path):
     path = str(tmp_path / "articles")
-    one = spark.createDataFrame([article("1", "Good", "ok", 1), article("1", "Better", "recovered", 2), article("2", "Two", "ok", 3)], ARTICLE)
+    one = spark.createDataFrame(
+        [article("1", "Good", "ok", 1), article("1", "Better", "recovered", 2), article("2", "Two", "ok", 3)], ARTICLE
+    )
     merge.merge_into(one, path, 4)
     later = T + datetime.timedelta(days=1)
     two = spark.createDataFrame([article("1", "123456", "suspect", 4, later, ["u"]), article("3", "Three", "ok", 5)], ARTICLE)
     for _ in range(2):  # running a batch again changes nothing
         merge.merge_into(two, path, 4)
         got = {r["external_id"]: r for r in spark.read.parquet(path).collect()}
-        assert {k: (r["title_original"], r["title_quality"]) for k, r in got.items()} == {"1": ("Better", "recovered"), "2": ("Two", "ok"), "3": ("Three", "ok")}
+        assert {k: (r["title_original"], r["title_quality"]) for k, r in got.items()} == {
+            "1": ("Better", "recovered"), "2": ("Two", "ok"), "3": ("Three", "ok")
+        }
         assert got["1"]["topics"] == ["t", "u"] and got["1"]["created_at"] == T
 
 
@@ -90,7 +101,9 @@ def test_greedy_order_against_plain_steps(spark, candidates):
     import random
 
     rng = random.Random(4)
-    rows = {(network, f"s{int(rng.triangular(0, 14, 2))}", f"t{rng.randint(0, 60)}") for network in ("n", "m", None) for _ in range(150)} | {("one", "only", "t"), ("n", None, "t0"), ("n", "s1", None)}
+    rows = {
+        (network, f"s{int(rng.triangular(0, 14, 2))}", f"t{rng.randint(0, 60)}") for network in ("n", "m", None) for _ in range(150)
+    } | {("one", "only", "t"), ("n", None, "t0"), ("n", "s1", None)}
     want = []
     for network in ("n", "m", None, "one"):
         own = {}
@@ -111,7 +124,12 @@ def test_greedy_order_against_plain_steps(spark, candidates):
 def test_clusters(spark):
     hours = [0, 30, 60, 100]
     rows = [("n", "f", str(h), T + datetime.timedelta(hours=h)) for h in hours]
-    got = {r["external_id"]: (r["cluster"], r["size"]) for r in folds.syndication_clusters(spark.createDataFrame(rows, "network string, fingerprint string, external_id string, published_at timestamp")).collect()}
+    got = {
+        r["external_id"]: (r["cluster"], r["size"])
+        for r in folds.syndication_clusters(
+            spark.createDataFrame(rows, "network string, fingerprint string, external_id string, published_at timestamp")
+        ).collect()
+    }
     assert got == {"100": (0, 1), "60": (1, 2), "30": (1, 2), "0": (2, 1)}
 
 
@@ -119,8 +137,13 @@ def test_clusters_need_a_telling_title(spark):
     from coverlake.plans.ingest import title_fingerprint
 
     long = "Élection: the «new» Council votes on Budget"
-    titles = [long, "ELECTION - the new council votes on budget!", "", None, "Too short a title for this", "aa bb cc dd ee ff gg hh ii jj kk ll", "a council of four long wordsinarow xx"]
-    rows = [("n", t, str(2 * k + j), T + datetime.timedelta(hours=j)) for k, t in enumerate(titles) for j in range(2)] + [(None, long, "x", T)]
+    titles = [
+        long, "ELECTION - the new council votes on budget!", "", None, "Too short a title for this", "aa bb cc dd ee ff gg hh ii jj kk ll",
+        "a council of four long wordsinarow xx"
+    ]
+    rows = [
+        ("n", t, str(2 * k + j), T + datetime.timedelta(hours=j)) for k, t in enumerate(titles) for j in range(2)
+    ] + [(None, long, "x", T)]
     items = spark.createDataFrame(rows, "network string, title string, external_id string, published_at timestamp")
     out = folds.syndication_clusters(items.withColumn("fingerprint", title_fingerprint(items["title"])).drop("title"))
     got = {r["external_id"]: (r["fingerprint"], r["cluster"], r["size"]) for r in out.collect()}

@@ -46,18 +46,34 @@ def test_breaker_with_timers(spark, rocksdb, tmp_path):
     for k, rows in enumerate(batches):
         spark.createDataFrame(rows, ATTEMPTS).coalesce(1).write.mode("append").parquet(str(landed))
         stream = spark.readStream.schema(ATTEMPTS).option("maxFilesPerTrigger", 1).parquet(str(landed))
-        run(breaker.breaker(stream).withColumn("batch", F.lit(k)), tmp_path / "state", sink=lambda b, n: b.write.mode("append").parquet(str(tmp_path / "out")))
+        run(
+            breaker.breaker(stream).withColumn("batch", F.lit(k)), tmp_path / "state",
+            sink=lambda b, n: b.write.mode("append").parquet(str(tmp_path / "out"))
+        )
         if k == 4:
-            attempts = spark.read.parquet(str(landed)).filter("attempted").withColumn("failure", failure_kind(F.col("status_code"), F.col("error"))).withColumn("duplicate", F.lit(False))
-            whole = {r["outlet_id"]: (r["status"], r["reason"], r["failures"], r["disabled_until"], r["disabled_since"]) for r in folds.breaker_states(attempts.select("outlet_id", "ran_at", "id", "ok", "failure", "duplicate")).collect()}
+            attempts = spark.read.parquet(str(landed)).filter("attempted").withColumn(
+                "failure", failure_kind(F.col("status_code"), F.col("error"))
+            ).withColumn("duplicate", F.lit(False))
+            whole = {
+                r["outlet_id"]: (r["status"], r["reason"], r["failures"], r["disabled_until"], r["disabled_since"])
+                for r in folds.breaker_states(attempts.select("outlet_id", "ran_at", "id", "ok", "failure", "duplicate")).collect()
+            }
             out = spark.read.parquet(str(tmp_path / "out"))
-            last = out.filter("event = 'attempt'").groupBy("outlet_id").agg(F.max_by(F.struct("status", "reason", "failures", "disabled_until", "disabled_since"), F.struct("last_attempted_at", "batch")).alias("s")).collect()
+            last = out.filter("event = 'attempt'").groupBy("outlet_id").agg(
+                F.max_by(
+                    F.struct("status", "reason", "failures", "disabled_until", "disabled_since"), F.struct("last_attempted_at", "batch")
+                ).alias("s")
+            ).collect()
             assert {r["outlet_id"]: tuple(r["s"]) for r in last} == whole
-            assert {k: v[0] for k, v in whole.items()} == {"a": "disabled_temporary", "b": "active", "c": "disabled_permanent", "d": "active", "x": "disabled_permanent", "y": "active"}
+            assert {k: v[0] for k, v in whole.items()} == {
+                "a": "disabled_temporary", "b": "active", "c": "disabled_permanent", "d": "active", "x": "disabled_permanent", "y": "active"
+            }
     out = spark.read.parquet(str(tmp_path / "out"))
     events = sorted((r["outlet_id"], r["event"], r["batch"]) for r in out.filter("event <> 'attempt'").collect())
     due = [e[:2] for e in events if e[1] == "due"]
-    assert due.count(("a", "due")) >= 2 and ("c", "due") in due and ("x", "due") in due and not any(e[0] in ("b", "d", "y") for e in events if e[1] == "due")
+    assert due.count(("a", "due")) >= 2 and ("c", "due") in due and ("x", "due") in due and not any(
+        e[0] in ("b", "d", "y") for e in events if e[1] == "due"
+    )
     assert {e[0] for e in events if e[1] == "forgotten"} == {"a", "b", "c", "d", "x"}
 
 
@@ -103,15 +119,23 @@ def test_ledger_stream(spark, tmp_path):
 def test_late_rows_stay(spark, tmp_path):
     schema = "id long, publication_datetime timestamp, created_at timestamp"
     now = T + 30 * DAY
-    rows = [(1, now - 1 * DAY, now), (2, now - 2 * DAY, now), (3, now - 7 * DAY, now), (4, now - 7.1 * DAY, now), (5, None, now), (6, now + DAY, now)]
+    rows = [
+        (1, now - 1 * DAY, now), (2, now - 2 * DAY, now), (3, now - 7 * DAY, now), (4, now - 7.1 * DAY, now), (5, None, now),
+        (6, now + DAY, now)
+    ]
     older = [(7, T, T + DAY)]  # a batch from weeks ago comes after it
     for k, some in enumerate((rows, older)):
         spark.createDataFrame(some, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         run(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), tmp_path / "c", sink=late.land(str(tmp_path / "out")))
     kept = {r["id"]: r["lateness"] for r in spark.read.parquet(str(tmp_path / "out/items")).collect()}
     assert kept == {1: "fresh", 2: "late", 3: "late", 5: "undated", 6: "fresh", 7: "fresh"}
-    assert {r["lateness"]: r["n"] for r in spark.read.parquet(str(tmp_path / "out/counts")).groupBy("lateness").agg(F.sum("n").alias("n")).collect()} == {"fresh": 3, "late": 2, "old": 1, "undated": 1}
+    assert {
+        r["lateness"]: r["n"]
+        for r in spark.read.parquet(str(tmp_path / "out/counts")).groupBy("lateness").agg(F.sum("n").alias("n")).collect()
+    } == {"fresh": 3, "late": 2, "old": 1, "undated": 1}
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    q = late.by_hour(stream).writeStream.outputMode("complete").format("memory").queryName("by_hour").option("checkpointLocation", str(tmp_path / "c3")).trigger(availableNow=True).start()
+    q = late.by_hour(stream).writeStream.outputMode("complete").format("memory").queryName("by_hour").option(
+        "checkpointLocation", str(tmp_path / "c3")
+    ).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted((r["fresh"], r["late"], r["old"], r["undated"]) for r in spark.table("by_hour").collect()) == [(1, 0, 0, 0), (2, 2, 1, 1)]

@@ -19,7 +19,13 @@ def test_parse(given, want):
     assert str(whatwg.parse(want)) == want  # what is written is read alike
 
 
-@pytest.mark.parametrize("given", ["", "e.org", "//e.org", "https://", "https://a b/", "https://e.org:99999/", "https://1.2.3.256", "https://1.2.3.4.5", "https://[::1", "https://a<b", "http://a%00b", "https://user@/x", "http://0xg.1.1.0x"])
+@pytest.mark.parametrize(
+    "given",
+    [
+        "", "e.org", "//e.org", "https://", "https://a b/", "https://e.org:99999/", "https://1.2.3.256", "https://1.2.3.4.5",
+        "https://[::1", "https://a<b", "http://a%00b", "https://user@/x", "http://0xg.1.1.0x"
+    ]
+)
 def test_no_address(given):
     if given == "http://0xg.1.1.0x":  # the last part is a number, the first none
         with pytest.raises(ValueError):
