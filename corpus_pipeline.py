@@ -31,7 +31,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     key = [F.col("doc_id").isNull().alias("_none"), F.col("doc_id").alias("_id"), F.md5(F.coalesce("text", F.lit(""))).alias("_md5")]
     groups = simhash.near_duplicates(docs.select(F.struct(*key).alias("key"), "text"), key="key", size=5, similarity=0.8)
     keep = stored(groups.filter(F.col("key") == F.col("component_id")).groupBy("key").agg(F.count("*").alias("_n")).select("key.*", "_n"))
-    rows = docs.withColumn("_digest", F.md5(F.coalesce("text", F.lit("")))).join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_md5")))
+    rows = docs.withColumn("_digest", F.md5(F.coalesce("text", F.lit("")))).join(
+        keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_md5"))
+    )
     once = rows.filter("_n = 1").select(*COLUMNS)
     if not keep.filter("_n > 1").limit(1).count():
         return once
@@ -43,7 +45,10 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     clean = secrets.redacted(F.coalesce("text", F.lit("")), F.col("spans"))
     scanned = secrets.scan(docs.select(*COLUMNS)).withColumn("_clean", clean)
     changed = F.exists("spans", lambda s: s["live"])
-    return scanned.select("doc_id", F.when(changed, F.col("_clean")).otherwise(F.col("text")).alias("text"), "lang", "source", F.when(changed, F.length("_clean").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+    return scanned.select(
+        "doc_id", F.when(changed, F.col("_clean")).otherwise(F.col("text")).alias("text"), "lang", "source",
+        F.when(changed, F.length("_clean").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
+    )
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +62,10 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return tokens.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
-STAGES = [("quality rules", filter_quality), ("simhash near-dedup", drop_near_duplicates), ("secret scans", mask_secrets), ("mixing sources", mix_sources), ("bpe encoding", tokenize)]
+STAGES = [
+    ("quality rules", filter_quality), ("simhash near-dedup", drop_near_duplicates), ("secret scans", mask_secrets),
+    ("mixing sources", mix_sources), ("bpe encoding", tokenize)
+]
 
 #: The learned rules and the encoding are not SQL; tests hold the stages against brute-force versions.
 ORACLE_SQL = None
