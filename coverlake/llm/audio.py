@@ -144,14 +144,19 @@ def mapped(df: DataFrame, inputs: list[str], work, added: dict[str, str]) -> Dat
     columns = df.columns
     rows = df.select(F.struct(*[df[f"`{c}`"] for c in columns]).alias("_row"), *[df[c].alias(f"_in{k}") for k, c in enumerate(inputs)])
     schema = rows.select("_row", *[F.lit(None).cast(t).alias(f"_out{k}") for k, t in enumerate(added.values())]).schema
-    kinds = [{"binary": pa.binary(), "int": pa.int32(), "long": pa.int64(), "string": pa.string(), "double": pa.float64()}[t] for t in added.values()]
+    kinds = [
+        {"binary": pa.binary(), "int": pa.int32(), "long": pa.int64(), "string": pa.string(), "double": pa.float64()}[t]
+        for t in added.values()
+    ]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, n in slices(pc.fill_null(pc.binary_length(b.column(1)), 0).to_pylist()):
                 part = b.slice(at, n)
                 made = work(*[part.column(k + 1).to_pylist() for k in range(len(inputs))])
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(v, t) for v, t in zip(zip(*made, strict=True), kinds, strict=True)]], names=schema.names)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), *[pa.array(v, t) for v, t in zip(zip(*made, strict=True), kinds, strict=True)]], names=schema.names
+                )
 
     return unpacked(rows.mapInArrow(run, schema), columns, {c: F.col(f"_out{k}") for k, c in enumerate(added)})
 
@@ -178,10 +183,15 @@ def decode(df: DataFrame, media: str = "media", *, rate: int = 16000, keep_pcm:
         peak = int(np.abs(wide).max()) if len(out) else 0
         raw = out.tobytes()
         energy = int(np.dot(wide.astype(np.float64), wide)) if len(out) < 1 << 22 else int((wide.astype(np.int64) ** 2).sum())
-        return found[2], found[0], raw if keep_pcm else None, zlib.crc32(raw), peak, energy, int(np.count_nonzero((out[1:] < 0) != (out[:-1] < 0)))
+        return found[2], found[0], raw if keep_pcm else None, zlib.crc32(raw), peak, energy, int(
+            np.count_nonzero((out[1:] < 0) != (out[:-1] < 0))
+        )
 
     def work(clips: list) -> list[tuple]:
         found = [read_wav(bytes(c or b"")) for c in clips]
         return [heard(f, pcm) for f, pcm in zip(found, expand([f and (f[0], f[2]) for f in found]), strict=True)]
 
-    return mapped(df, [media], work, {"data": "binary", "codec": "int", "pcm": "binary", "pcm_crc32": "long", "peak": "int", "energy": "long", "crossings": "int"})
+    return mapped(
+        df, [media], work,
+        {"data": "binary", "codec": "int", "pcm": "binary", "pcm_crc32": "long", "peak": "int", "energy": "long", "crossings": "int"}
+    )

@@ -40,16 +40,23 @@ def pieces(docs: DataFrame, path: str, *, text: str = "text", capacity: int = 20
     """The columns of docs but for the text, then for each piece: piece (from 0), start (ids of its document before it), length,
     ids (binary: little-endian unsigned numbers of 32 bits) and piece_at, a number of its own. Stored."""
     columns = [c for c in docs.columns if c != text]
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in columns]).alias("_row"), F.coalesce(docs[f"`{text}`"].cast("binary"), F.lit(b"")).alias("_text"))
+    rows = docs.select(
+        F.struct(*[docs[f"`{c}`"] for c in columns]).alias("_row"), F.coalesce(docs[f"`{text}`"].cast("binary"), F.lit(b"")).alias("_text")
+    )
     shared = docs.sparkSession.sparkContext.broadcast(load_words(path))
     zero = F.lit(0).cast("long")
-    schema = rows.select("_row", F.lit(0).alias("_piece"), zero.alias("_start"), zero.alias("_length"), F.lit(b"").alias("_ids"), zero.alias("_at")).schema
+    schema = rows.select(
+        "_row", F.lit(0).alias("_piece"), zero.alias("_start"), zero.alias("_length"), F.lit(b"").alias("_ids"), zero.alias("_at")
+    ).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(path, shared.value)
         made = TaskContext.get().partitionId() << 40
         for b in batches:
-            sizes = np.diff(b.column(1).offsets.to_numpy() if hasattr(b.column(1), "offsets") else np.concatenate([[0], np.cumsum([len(x.as_py()) for x in b.column(1)])]))
+            sizes = np.diff(
+                b.column(1).offsets.to_numpy() if hasattr(b.column(1), "offsets")
+                else np.concatenate([[0], np.cumsum([len(x.as_py()) for x in b.column(1)])])
+            )
             group = np.cumsum(sizes) // BATCH
             for own in np.split(np.arange(b.num_rows), np.flatnonzero(np.diff(group)) + 1):
                 part = b.slice(int(own[0]), len(own))
@@ -68,7 +75,10 @@ def pieces(docs: DataFrame, path: str, *, text: str = "text", capacity: int = 20
                 first = (ends - size)[of] + start
                 whole = closed.tobytes()
                 ids = [whole[4 * a : 4 * (a + n)] for a, n in zip(first.tolist(), length.tolist(), strict=True)]
-                columns = [part.column(0).take(pa.array(of)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary()), pa.array(made + np.arange(len(of)), pa.int64())]
+                columns = [
+                    part.column(0).take(pa.array(of)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
+                    pa.array(length, pa.int64()), pa.array(ids, pa.binary()), pa.array(made + np.arange(len(of)), pa.int64())
+                ]
                 made += len(of)
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
@@ -232,8 +242,12 @@ def pack(parts: DataFrame, *, capacity: int = 2048, block: int = 1 << 14) -> Dat
             break
         rests = last
     columns = [c for c in parts.columns if c != "piece_at"]
-    rows = parts.select(F.struct(*[parts[f"`{c}`"] for c in columns]).alias("_row"), F.col("piece_at").alias("_at"), F.col("length").alias("_length"))
-    whole = rows.filter(F.col("_length") == capacity).select("_row", (-1 - F.col("_at")).alias("_sequence"), F.lit(0).cast("long").alias("_offset"))
+    rows = parts.select(
+        F.struct(*[parts[f"`{c}`"] for c in columns]).alias("_row"), F.col("piece_at").alias("_at"), F.col("length").alias("_length")
+    )
+    whole = rows.filter(F.col("_length") == capacity).select(
+        "_row", (-1 - F.col("_at")).alias("_sequence"), F.lit(0).cast("long").alias("_offset")
+    )
     shared = rows.filter(F.col("_length") < capacity).join(done, "_at").select("_row", "_sequence", "_offset")
     return unpacked(whole.unionByName(shared), columns, {"sequence_id": F.col("_sequence"), "offset": F.col("_offset")})
 
@@ -242,7 +256,10 @@ def sequences(packed: DataFrame) -> DataFrame:
     """One row a sequence: its ids in a row (binary) and the cumulative lengths of its pieces."""
     own = packed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "length", "ids"))).alias("own"))
     ids = F.expr("aggregate(own, cast('' as binary), (a, p) -> concat(a, p.ids))")
-    return own.select("sequence_id", ids.alias("ids"), F.concat(F.array(F.lit(0).cast("long")), F.transform("own", lambda p: p["offset"] + p["length"])).alias("cu_seqlens"))
+    return own.select(
+        "sequence_id", ids.alias("ids"),
+        F.concat(F.array(F.lit(0).cast("long")), F.transform("own", lambda p: p["offset"] + p["length"])).alias("cu_seqlens")
+    )
 
 
 def pack_documents(docs: DataFrame, path: str, *, text: str = "text", capacity: int = 2048, block: int = 1 << 14) -> DataFrame:

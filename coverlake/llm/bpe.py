@@ -122,7 +122,10 @@ def load(path: str) -> dict:
     pairs = np.array([[vocab[a], vocab[b], vocab[a + b]] for a, b in merges], dtype=np.int64).reshape(-1, 3)
     keys = pairs[:, 0] << 32 | pairs[:, 1]
     order = np.argsort(keys, kind="stable")
-    return {"raw": raw, "first": first, "keys": keys[order], "ranks": order.astype(np.int32), "made": pairs[:, 2].astype(np.int32), "added": added}
+    return {
+        "raw": raw, "first": first, "keys": keys[order], "ranks": order.astype(np.int32), "made": pairs[:, 2].astype(np.int32),
+        "added": added
+    }
 
 
 class Remembered:
@@ -221,7 +224,9 @@ class Merger:
         n = len(self.first)
         self.of_bytes = self.rank(np.repeat(self.first, n), np.tile(self.first, n)).reshape(n, n)
         self.kind = kinds()
-        self.special = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
+        self.special = regex.compile(
+            "(" + "|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")"
+        ) if self.added else None
         self.pieces = Remembered()
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -258,7 +263,9 @@ class Merger:
             before[rows[has], beyond[has]] = left[has]
             # three leaves change: the pairs that now begin at left and before it, and the one at right, which is gone
             prior = np.flatnonzero(earlier < width)
-            ranks = self.rank(np.concatenate([merged, sym[rows[prior], earlier[prior]]]), np.concatenate([sym[rows, beyond], merged[prior]]))
+            ranks = self.rank(
+                np.concatenate([merged, sym[rows[prior], earlier[prior]]]), np.concatenate([sym[rows, beyond], merged[prior]])
+            )
             leaf = np.concatenate([left, earlier[prior]])
             base = np.concatenate([rows, rows[prior], rows]) * (2 * width)
             node = np.concatenate([leaf, right]) + width
@@ -457,7 +464,10 @@ class Vocabulary:
 def decode(tokens: DataFrame, path: str, *, ids: str = "ids", output: str = "decoded") -> DataFrame:
     """All columns, then the decoded text; bytes that are not UTF-8 become the replacement character."""
     columns = tokens.columns
-    rows = tokens.select(F.struct(*[tokens[f"`{c}`"] for c in columns]).alias("_row"), F.coalesce(tokens[ids].cast("array<int>"), F.array().cast("array<int>")).alias("_ids"))
+    rows = tokens.select(
+        F.struct(*[tokens[f"`{c}`"] for c in columns]).alias("_row"),
+        F.coalesce(tokens[ids].cast("array<int>"), F.array().cast("array<int>")).alias("_ids")
+    )
     shared = tokens.sparkSession.sparkContext.broadcast(load(path)["raw"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,9 @@ def unpacked(df: DataFrame, columns: list[str], added: dict[str, Column], name:
     return df.select(*kept, *[v.alias(k) for k, v in added.items()])
 
 
-def joined_back(rows: DataFrame, per_key: DataFrame, key: str, sizes: DataFrame, how: str = "inner", *, share: int = 256, places: int = 32) -> DataFrame:
+def joined_back(
+    rows: DataFrame, per_key: DataFrame, key: str, sizes: DataFrame, how: str = "inner", *, share: int = 256, places: int = 32
+) -> DataFrame:
     """rows with the columns of per_key, which has one row for each key at most. sizes: the key and _n, how many rows carry it.
 
     Keys with over one in ``share`` of all rows, of which there are fewer than ``share``, are named in the plan; their rows are
@@ -37,7 +39,9 @@ def joined_back(rows: DataFrame, per_key: DataFrame, key: str, sizes: DataFrame,
         return rows.join(per_key, key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
     dealt = rows.withColumn("_place", F.when(is_hot, F.monotonically_increasing_id() % places).otherwise(0).cast("int"))
-    copied = per_key.select("*", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(places - 1))).otherwise(F.array(F.lit(0)))).alias("_place"))
+    copied = per_key.select(
+        "*", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(places - 1))).otherwise(F.array(F.lit(0)))).alias("_place")
+    )
     return dealt.join(copied, [key, "_place"], how).drop("_place")
 
 

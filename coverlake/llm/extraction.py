@@ -35,16 +35,28 @@ from .common import unpacked
 
 SKIPPED = {"script", "style", "head", "noscript", "template", "svg", "iframe", "object", "select", "button", "textarea", "canvas", "math"}
 BOILERPLATE = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset"}
-BLOCKS = {"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "section", "article", "header", "main", "blockquote", "pre", "figure", "figcaption", "address", "hr", "body", "html", "details", "summary", "center", "legend", "option", "title"} | BOILERPLATE
+BLOCKS = {
+    "p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "td",
+    "th", "caption", "section", "article", "header", "main", "blockquote", "pre", "figure", "figcaption", "address", "hr", "body", "html",
+    "details", "summary", "center", "legend", "option", "title"
+} | BOILERPLATE
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Words in class, id or role that name boilerplate.
-NAMED = re.compile(r"(?:^|[^a-z])(?:ads?|adverts?|advertisements?|advertising|banners?|sponsor(?:ed)?|promos?|promotions?|cookies?|consent|gdpr|notices?|alerts?|sidebars?|navs?|navbars?|navigation|menus?|breadcrumbs?|footers?|headers?|masthead|topbar|comments?|commentlist|disqus|repl(?:y|ies)|respond|related|recommend(?:ed|ations)?|shar(?:e|ing)|social|newsletters?|subscribe|signup|login|popups?|modals?|overlay|widgets?|pagination|pager|toolbar|skip|search|complementary|contentinfo)(?:$|[^a-z])")
+NAMED = re.compile(
+    r"(?:^|[^a-z])(?:ads?|adverts?|advertisements?|advertising|banners?|sponsor(?:ed)?|promos?|promotions?|cookies?|consent|gdpr|notices?|alerts?|sidebars?|navs?|navbars?|navigation|menus?|breadcrumbs?|footers?|headers?|masthead|topbar|comments?|commentlist|disqus|repl(?:y|ies)|respond|related|recommend(?:ed|ations)?|shar(?:e|ing)|social|newsletters?|subscribe|signup|login|popups?|modals?|overlay|widgets?|pagination|pager|toolbar|skip|search|complementary|contentinfo)(?:$|[^a-z])"
+)
 #: Words that tell what a part has or has not, not what it is, and those that are content's own within an article.
-LAYOUT = re.compile(r"(?:(?<!\S)|(?<=[-_]))(?:has|have|with|without|no|not|hide|hides|show|shows)[-_]\S*|\S*[-_](?:open|opened|closed|enabled|disabled|on|off|active|inactive)(?!\S)")
+LAYOUT = re.compile(
+    r"(?:(?<!\S)|(?<=[-_]))(?:has|have|with|without|no|not|hide|hides|show|shows)[-_]\S*|\S*[-_](?:open|opened|closed|enabled|disabled|on|off|active|inactive)(?!\S)"
+)
 OWN = re.compile(r"(?<![a-z])headers?(?![a-z])")
 #: What a paragraph or heading of an article may be called and yet be its own, and what may name a whole page for its layout.
-MILD = re.compile(r"(?:^|[^a-z])(?:headers?|banners?|notices?|alerts?|related|recommend(?:ed|ations)?|navs?|navigation|footers?|masthead|topbar|widgets?|modals?|overlay|search|skip|shar(?:e|ing)|social|repl(?:y|ies)|respond)(?=$|[^a-z])")
-FRAME = re.compile(r"(?:^|[^a-z])(?:headers?|banners?|sidebars?|navs?|navbars?|navigation|menus?|footers?|topbar|toolbar|widgets?|overlay|modals?|social|search|skip)(?=$|[^a-z])")
+MILD = re.compile(
+    r"(?:^|[^a-z])(?:headers?|banners?|notices?|alerts?|related|recommend(?:ed|ations)?|navs?|navigation|footers?|masthead|topbar|widgets?|modals?|overlay|search|skip|shar(?:e|ing)|social|repl(?:y|ies)|respond)(?=$|[^a-z])"
+)
+FRAME = re.compile(
+    r"(?:^|[^a-z])(?:headers?|banners?|sidebars?|navs?|navbars?|navigation|menus?|footers?|topbar|toolbar|widgets?|overlay|modals?|social|search|skip)(?=$|[^a-z])"
+)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 SPACE = re.compile(r"\s+")
 UNFINISHED = re.compile(r"</?[A-Za-z!]")
@@ -54,7 +66,10 @@ UNFINISHED = re.compile(r"</?[A-Za-z!]")
 IN_NAMED, IN_CLASSED, OWN_CLASSED, IN_ARTICLE, HEADING, OUTSIDE, SHAPE, ARTICLE_WORDS = 14.0, 8.0, 2.0, 6.0, 3.0, 6.0, 4.0, 40
 ADJACENT, SIBLING = 0.8, 0.4
 #: Log odds of content for each shape feature before any page has been counted.
-PRIOR = {"length:0": -0.8, "length:1": -0.2, "length:2": 0.6, "length:3": 1.2, "links:0": 0.6, "links:1": -0.6, "links:2": -2.0, "stops:0": -0.5, "stops:1": 0.4, "tag:p": 0.8, "tag:h": 0.8, "tag:li": -0.5, "tag:div": -0.3, "tag:other": -0.1}
+PRIOR = {
+    "length:0": -0.8, "length:1": -0.2, "length:2": 0.6, "length:3": 1.2, "links:0": 0.6, "links:1": -0.6, "links:2": -2.0, "stops:0": -0.5,
+    "stops:1": 0.4, "tag:p": 0.8, "tag:h": 0.8, "tag:li": -0.5, "tag:div": -0.3, "tag:other": -0.1
+}
 
 
 class Reader(HTMLParser):
@@ -95,7 +110,9 @@ class Reader(HTMLParser):
             return
         _, out, named, article, inside, block, parent, root = self.stack[-1]
         words = " ".join(v.lower() for k, v in attrs if v and k in ("class", "id", "role"))
-        hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and HIDDEN.search(v.lower()) for k, v in attrs)
+        hidden = any(
+            k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and HIDDEN.search(v.lower()) for k, v in attrs
+        )
         begins = tag in ("article", "main")
         self.made += 1
         if begins and named < IN_NAMED:
@@ -264,15 +281,24 @@ def fit(pages: DataFrame, html: str = "html", fit_pages: int = 2_000, prior_weig
                     if abs(block[1]) >= IN_ARTICLE:
                         for f in shape(block):
                             seen[f, block[1] > 0] = seen.get((f, block[1] > 0), 0) + 1
-        yield pa.RecordBatch.from_pydict({"feature": pa.array([f for f, _ in seen], pa.string()), "content": pa.array([c for _, c in seen], pa.bool_()), "n": pa.array(list(seen.values()), pa.int64())})
+        yield pa.RecordBatch.from_pydict(
+            {
+                "feature": pa.array([f for f, _ in seen], pa.string()), "content": pa.array([c for _, c in seen], pa.bool_()),
+                "n": pa.array(list(seen.values()), pa.int64())
+            }
+        )
 
     # digests alone find the bound, so that no page moves; rows that are equal throughout share theirs
     digest = F.xxhash64(*[F.col(f"`{c}`") for c in pages.columns])
     bound = pages.select(digest.alias("d")).orderBy("d").limit(fit_pages).agg(F.max("d")).first()[0]
     some = pages.filter(digest <= bound).select(F.col(html).alias("_html")) if bound is not None else pages.limit(0).select(F.col(html).alias("_html"))
-    counts = some.mapInArrow(run, "feature string, content boolean, n long").groupBy("feature", "content").agg(F.sum("n").alias("n")).collect()  # at most two rows a feature
+    counts = some.mapInArrow(  # at most two rows a feature
+        run, "feature string, content boolean, n long"
+    ).groupBy("feature", "content").agg(F.sum("n").alias("n")).collect()
     n = {(r["feature"], r["content"]): r["n"] for r in counts}
-    groups = {g: [sum(n.get((f, c), 0) for f in PRIOR if f.startswith(g)) for c in (False, True)] for g in ("length:", "links:", "stops:", "tag:")}
+    groups = {
+        g: [sum(n.get((f, c), 0) for f in PRIOR if f.startswith(g)) for c in (False, True)] for g in ("length:", "links:", "stops:", "tag:")
+    }
     out = {}
     for f, prior in PRIOR.items():
         bad_all, good_all = groups[f.split(":")[0] + ":"]
@@ -293,6 +319,8 @@ def extract(pages: DataFrame, costs: dict[str, float], html: str = "html") -> Da
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([main_text(h.as_py(), costs) for h in part.column(1)], pa.string())], names=["_row", "_text"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([main_text(h.as_py(), costs) for h in part.column(1)], pa.string())], names=["_row", "_text"]
+                )
 
     return unpacked(rows.mapInArrow(run, schema), columns, {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")})

@@ -44,9 +44,16 @@ def targets(sums: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3)
     every = W.partitionBy()
     by_ratio = W.orderBy("_ratio", "_rank")
     ranked = sums.select("*", F.row_number().over(order).alias("_rank"))
-    weighed = ranked.select("*", F.element_at(F.array(*[F.lit(int(w)) for w in weights]), ((F.col("_rank") - 1) % len(weights) + 1).cast("int")).alias("_weight"))
+    weighed = ranked.select(
+        "*",
+        F.element_at(F.array(*[F.lit(int(w)) for w in weights]), ((F.col("_rank") - 1) % len(weights) + 1).cast("int")).alias("_weight")
+    )
     rated = weighed.select("*", (F.lit(cap) * F.col("source_size") / F.col("_weight")).alias("_ratio"))
-    level = (F.sum("source_size").over(every) - F.coalesce(F.sum(F.lit(cap) * F.col("source_size")).over(by_ratio.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))) / F.sum("_weight").over(by_ratio.rowsBetween(0, W.unboundedFollowing))
+    level = (
+        F.sum("source_size").over(every) - F.coalesce(
+            F.sum(F.lit(cap) * F.col("source_size")).over(by_ratio.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
+        )
+    ) / F.sum("_weight").over(by_ratio.rowsBetween(0, W.unboundedFollowing))
     levels = rated.select("*", level.alias("_level"))
     goal = F.least((F.lit(cap) * F.col("source_size")).cast("double"), F.col("_weight") * F.max("_level").over(every))
     return levels.select("_null", "_source", "source_size", goal.cast("double").alias("target")).withColumn(
@@ -54,31 +61,56 @@ def targets(sums: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3)
     )
 
 
-def mix(docs: DataFrame, size: Column | None = None, *, source: str = "source", key: str = "doc_id", weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, seed: str = "mix") -> DataFrame:
+def mix(
+    docs: DataFrame, size: Column | None = None, *, source: str = "source", key: str = "doc_id", weights: tuple[int, ...] = (5, 2, 1),
+    cap: int = 3, seed: str = "mix"
+) -> DataFrame:
     """All columns of docs, then size, source_size, target and copies (how many times the mix takes the document)."""
     columns = docs.columns
     size = F.coalesce((words(docs["text"]) if size is None else size).cast("long"), F.lit(0))
-    keyed = docs.select(F.struct(*[docs[f"`{c}`"] for c in columns]).alias("_row"), size.alias("_size"), docs[source].isNull().alias("_null"), F.coalesce(docs[source].cast("string"), F.lit("")).alias("_source"), F.md5(F.coalesce(docs[key].cast("string"), F.lit(""))).alias("_md5"))
+    keyed = docs.select(
+        F.struct(*[docs[f"`{c}`"] for c in columns]).alias("_row"), size.alias("_size"), docs[source].isNull().alias("_null"),
+        F.coalesce(docs[source].cast("string"), F.lit("")).alias("_source"),
+        F.md5(F.coalesce(docs[key].cast("string"), F.lit(""))).alias("_md5")
+    )
     bits = F.length(F.bin("_size"))
     # the position of the highest bit, then the three highest bits: a class grows with the size
-    rows = keyed.select("*", (bits * 8 + F.expr("shiftright(_size, greatest(length(bin(_size)) - 3, 0))")).cast("long").alias("_class"), F.substring("_md5", 1, 2).alias("_slice"))
+    rows = keyed.select(
+        "*", (bits * 8 + F.expr("shiftright(_size, greatest(length(bin(_size)) - 3, 0))")).cast("long").alias("_class"),
+        F.substring("_md5", 1, 2).alias("_slice")
+    )
     slot = ["_null", "_source", "_class", "_slice"]
     slots = stored(rows.groupBy(*slot).agg(F.count("*").alias("_n"), F.sum("_size").alias("_words")))
     sources = targets(slots.groupBy("_null", "_source").agg(F.sum("_words").alias("source_size")), weights, cap)
     before = W.partitionBy("_null", "_source").orderBy("_class", "_slice").rowsBetween(W.unboundedPreceding, -1)
     start = F.coalesce(F.sum("_n").over(before), F.lit(0))
-    offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("_null").cast("string"), F.lit(":"), F.col("_source"))), 1, 12), 16, 10).cast("long") % UNIT
-    placed = slots.select(*slot, start.alias("_start")).join(sources, ["_null", "_source"]).select(*slot, "_start", "source_size", "target", "_copies", offset.alias("_offset"))
+    offset = F.conv(
+        F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("_null").cast("string"), F.lit(":"), F.col("_source"))), 1, 12), 16, 10
+    ).cast("long") % UNIT
+    placed = slots.select(*slot, start.alias("_start")).join(sources, ["_null", "_source"]).select(
+        *slot, "_start", "source_size", "target", "_copies", offset.alias("_offset")
+    )
     inside = W.partitionBy(*slot).orderBy("_size", "_md5")
     joined = rows.join(placed, slot).select("*", (F.col("_start") + F.row_number().over(inside)).alias("_place"))
     step, move = F.col("_copies").cast("decimal(20,0)"), F.col("_offset").cast("decimal(20,0)")
-    due = joined.select("*", (F.col("_place").cast("decimal(18,0)") * step + move).alias("_to"), ((F.col("_place") - 1).cast("decimal(18,0)") * step + move).alias("_from"))
-    return unpacked(due, columns, {"size": F.col("_size"), "source_size": F.col("source_size"), "target": F.col("target"), "copies": F.expr(f"(_to div {UNIT}) - (_from div {UNIT})")})
+    due = joined.select(
+        "*", (F.col("_place").cast("decimal(18,0)") * step + move).alias("_to"),
+        ((F.col("_place") - 1).cast("decimal(18,0)") * step + move).alias("_from")
+    )
+    return unpacked(
+        due, columns,
+        {
+            "size": F.col("_size"), "source_size": F.col("source_size"), "target": F.col("target"),
+            "copies": F.expr(f"(_to div {UNIT}) - (_from div {UNIT})")
+        }
+    )
 
 
 def emit(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """The mix itself: each document as often as it was taken."""
-    return mixed.filter("copies > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).select(*columns)
+    return mixed.filter("copies > 0").select(
+        *columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")
+    ).select(*columns)
 
 
 __all__ = ["emit", "mix", "targets", "words"]

@@ -87,7 +87,10 @@ def stored_ids(column: pa.Array) -> Iterator[np.ndarray]:
     return (x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.empty(0, dtype=np.int32) for x in column)
 
 
-def pack(tokens: DataFrame, *, capacity: int = 2048, end_id: int = 50256, vocabulary: int = 50257, key: str = "doc_id", ids: str = "ids", block: int = 2_000_000, ids_of: Callable[[pa.Array], Iterator[np.ndarray]] = stored_ids) -> DataFrame:
+def pack(
+    tokens: DataFrame, *, capacity: int = 2048, end_id: int = 50256, vocabulary: int = 50257, key: str = "doc_id", ids: str = "ids",
+    block: int = 2_000_000, ids_of: Callable[[pa.Array], Iterator[np.ndarray]] = stored_ids
+) -> DataFrame:
     """Packed rows of SCHEMA; ids are uint16 if the vocabulary allows, else uint32. ids_of reads them from the column."""
     kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
     keyed = tokens.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{ids}`").alias("_ids"))
@@ -98,7 +101,10 @@ def pack(tokens: DataFrame, *, capacity: int = 2048, end_id: int = 50256, vocabu
         out = {k: [] for k in ("pack_id", "ids", "n_tokens", "cu_seqlens", "position_resets", "doc_ids", "doc_starts")}
         for k, row in enumerate(rows):
             ends = np.cumsum([b - a for _, a, b in row])
-            values = (first + k, np.concatenate([parts[i][a:b] for i, a, b in row]).astype(kind).tobytes(), int(ends[-1]), [0, *ends.tolist()], [0, *ends[:-1].tolist()], [docs[i] for i, _, _ in row], [a for _, a, _ in row])
+            values = (
+                first + k, np.concatenate([parts[i][a:b] for i, a, b in row]).astype(kind).tobytes(), int(ends[-1]), [0, *ends.tolist()],
+                [0, *ends[:-1].tolist()], [docs[i] for i, _, _ in row], [a for _, a, _ in row]
+            )
             for name, v in zip(out, values, strict=True):
                 out[name].append(v)
         types = [pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(of_key), pa.list_(pa.int32())]

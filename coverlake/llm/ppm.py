@@ -102,7 +102,10 @@ def count(docs: DataFrame, *, key: str, text: str, order: int = ORDER) -> DataFr
         def out(kind: int) -> pa.RecordBatch:
             keys, counts = merged(kept[kind])
             kept[kind] = []
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, dtype=np.int32)), pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], names=["kind", "item", "n"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(keys), kind, dtype=np.int32)), pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))],
+                names=["kind", "item", "n"]
+            )
 
         rows = ((lowered(t.as_py()),) for b in batches for k, t in zip(b.column(0), b.column(1), strict=True) if not held_out(k.as_py()))
         for some in runs(rows):
@@ -156,7 +159,10 @@ class Model:
             s, n = raw[k]
             contexts, first, size = np.unique(s >> np.uint64(8), return_index=True, return_counts=True)
             total = np.add.reduceat(n, first) if len(first) else np.empty(0, dtype=np.int64)
-            entry = {"contexts": Table(contexts), "strings": Table(s), "log_n": np.log10(n), "open": np.log10(total + size), "escape": np.log10(size) - np.log10(total + size)}
+            entry = {
+                "contexts": Table(contexts), "strings": Table(s), "log_n": np.log10(n), "open": np.log10(total + size),
+                "escape": np.log10(size) - np.log10(total + size)
+            }
             if k:
                 # of the shorter context, what this one does not rule out
                 below, n_below = raw[k - 1]
@@ -213,7 +219,19 @@ class Model:
 def trie_levels(counts: DataFrame, order: int = ORDER) -> DataFrame:
     """item (level << 56 | string), n: from the counts of the longest strings those of all levels."""
     longest = counts.select("item", "n")
-    each = longest.select(F.explode(F.array(*[F.struct(F.lit(k << 56).bitwiseOR(F.col("item").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))).alias("item"), F.col("n").alias("n")) for k in range(order + 1)])).alias("x"))
+    each = longest.select(
+        F.explode(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(k << 56).bitwiseOR(F.col("item").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))).alias("item"),
+                        F.col("n").alias("n")
+                    )
+                    for k in range(order + 1)
+                ]
+            )
+        ).alias("x")
+    )
     return each.groupBy(F.col("x.item").alias("item")).agg(F.sum("x.n").alias("n"))
 
 
@@ -225,7 +243,9 @@ def mask(length: str) -> str:
 def leveled(levels: DataFrame) -> DataFrame:
     """item and n of trie_levels, then level, string and context (level << 56 | the string but for its last byte)."""
     level, string = "cast(shiftright(item, 56) as int)", f"(item & {mask('7')})"
-    return levels.selectExpr("item", "n", f"{level} level", f"{string} string", f"shiftleft(cast({level} as bigint), 56) | shiftright({string}, 8) context")
+    return levels.selectExpr(
+        "item", "n", f"{level} level", f"{string} string", f"shiftleft(cast({level} as bigint), 56) | shiftright({string}, 8) context"
+    )
 
 
 def context_logs(levels: DataFrame) -> DataFrame:
@@ -234,9 +254,15 @@ def context_logs(levels: DataFrame) -> DataFrame:
     each = leveled(levels)
     ends = each.selectExpr("*", f"if(level > 0, shiftleft(cast(level - 1 as bigint), 56) | (string & {mask('level')}), null) below")
     below = levels.selectExpr("item below", "n n_below")
-    sums = ends.join(below, "below", "left").groupBy("context").agg(F.first("level").alias("level"), F.sum("n").alias("total"), F.count("*").alias("size"), F.sum("n_below").alias("ruled"))
-    keyed = stored(sums.selectExpr("*", f"if(level > 0, shiftleft(cast(level - 1 as bigint), 56) | (context & {mask('level - 1')}), null) shorter"))
-    beside = keyed.join(keyed.selectExpr("context shorter", "total whole", "size sizes"), "shorter", "left").selectExpr("*", "whole - ruled left_", "sizes - size kinds")
+    sums = ends.join(below, "below", "left").groupBy("context").agg(
+        F.first("level").alias("level"), F.sum("n").alias("total"), F.count("*").alias("size"), F.sum("n_below").alias("ruled")
+    )
+    keyed = stored(
+        sums.selectExpr("*", f"if(level > 0, shiftleft(cast(level - 1 as bigint), 56) | (context & {mask('level - 1')}), null) shorter")
+    )
+    beside = keyed.join(
+        keyed.selectExpr("context shorter", "total whole", "size sizes"), "shorter", "left"
+    ).selectExpr("*", "whole - ruled left_", "sizes - size kinds")
     return beside.selectExpr(
         "context", "level", "log10(total + size) open", "log10(size) - log10(total + size) escape",
         "if(kinds > 0, log10(left_ + kinds), 0.0D) next_open", "if(kinds > 0, log10(kinds) - log10(left_ + kinds), 0.0D) next_escape",
@@ -246,19 +272,28 @@ def context_logs(levels: DataFrame) -> DataFrame:
 def joined(rows: DataFrame, table: DataFrame, key: str, few: str) -> DataFrame:
     """rows with what table has for their key; keys where few holds, a condition on level, are shared by many and few in all."""
     own = table.drop("level")
-    return rows.filter(few).join(F.broadcast(table.filter(few).drop("level")), key, "left").unionByName(rows.filter(f"not ({few})").join(own, key, "left"))
+    return rows.filter(few).join(
+        F.broadcast(table.filter(few).drop("level")), key, "left"
+    ).unionByName(rows.filter(f"not ({few})").join(own, key, "left"))
 
 
 def escaped(grams: DataFrame, levels: DataFrame, contexts: DataFrame, floor: float, order: int) -> DataFrame:
     """grams: gram, distinct, none of them in the trie. gram and Log10 of the probability of its last byte: of the longest
     context known the escape, then those of the shorter ones, down to the first that the byte did follow."""
     ends = grams.select("gram", F.explode(F.sequence(F.lit(0), F.lit(order))).alias("level"))
-    ends = ends.selectExpr("gram", "level", f"shiftleft(cast(level as bigint), 56) | (gram & {mask('level + 1')}) item", f"shiftleft(cast(level as bigint), 56) | (shiftright(gram, 8) & {mask('level')}) context")
+    ends = ends.selectExpr(
+        "gram", "level", f"shiftleft(cast(level as bigint), 56) | (gram & {mask('level + 1')}) item",
+        f"shiftleft(cast(level as bigint), 56) | (shiftright(gram, 8) & {mask('level')}) context"
+    )
     strings_ = leveled(levels).select("item", "n", "level")
     rows = joined(joined(ends, strings_, "item", "level <= 1"), contexts, "context", "level <= 2")
     known = F.when(F.col("open").isNotNull(), F.col("level"))
     hit = F.when(F.col("n").isNotNull(), F.col("level"))
-    each = rows.groupBy("gram").agg(F.max(known).alias("m"), F.coalesce(F.max(hit), F.lit(-1)).alias("h"), F.max_by("open", known).alias("open"), F.max_by("escape", known).alias("escape"), F.max_by("n", hit).alias("n"), F.collect_list(F.struct("level", "next_open", "next_escape")).alias("next"))
+    each = rows.groupBy("gram").agg(
+        F.max(known).alias("m"), F.coalesce(F.max(hit), F.lit(-1)).alias("h"), F.max_by("open", known).alias("open"),
+        F.max_by("escape", known).alias("escape"), F.max_by("n", hit).alias("n"),
+        F.collect_list(F.struct("level", "next_open", "next_escape")).alias("next")
+    )
     passed = "aggregate(filter(next, x -> x.level >= h + 2 and x.level <= m), 0.0D, (s, x) -> s + x.next_escape)"
     there = "log10(n) - element_at(filter(next, x -> x.level = h + 1), 1).next_open"
     return each.selectExpr("gram", f"if(h = m, log10(n) - open, escape + {passed} + if(h >= 0, {there}, {floor!r}D)) logp")
@@ -271,7 +306,10 @@ def outside(flat: np.ndarray, inside: np.ndarray, first: np.ndarray, n: np.ndarr
         t, k = np.unique(flat[f : f + m][~inside[f : f + m]], return_counts=True)
         values.append(t), times.append(k), sizes.append(len(t))
     offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-    return [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(values).view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(times).astype(np.int32)))]
+    return [
+        pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(values).view(np.int64))),
+        pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(times).astype(np.int32)))
+    ]
 
 
 def arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -283,7 +321,10 @@ def arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 _models: dict[str, tuple] = {}
 
 
-def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", order: int = ORDER, model_rows: int = 1_500_000, head_rows: int = 1_000_000, smooth: float = 0.1) -> DataFrame:
+def score(
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", order: int = ORDER, model_rows: int = 1_500_000,
+    head_rows: int = 1_000_000, smooth: float = 0.1
+) -> DataFrame:
     """The columns of docs but for the text, then held_out, n_tokens, n_known, train_tokens, base_score and score."""
     spark = docs.sparkSession
     columns = [c for c in docs.columns if c != text]
@@ -298,7 +339,9 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", order: in
         model_of = levels
     else:
         contexts = stored(context_logs(levels))
-        top = leveled(levels).filter(F.col("level") == order).join(contexts.select("context", "open"), "context").selectExpr("string item", "n", "log10(n) - open logp")
+        top = leveled(levels).filter(F.col("level") == order).join(
+            contexts.select("context", "open"), "context"
+        ).selectExpr("string item", "n", "log10(n) - open logp")
         longest = stored(top)
         string_from = cutoff(longest, model_rows)
         model_of = longest.filter(F.col("n") >= string_from).select("item", F.col("logp").alias("n"))
@@ -307,7 +350,15 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", order: in
     logs = np.log10(train + smooth * (kinds + 1))
 
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in columns]).alias("_row"), F.col(key).alias("_key"), F.col(text).alias("_text"))
-    schema = rows.select("_row", F.lit(True).alias("held_out"), *[F.lit(0).cast(t).alias(c) for c, t in (("_id", "long"), ("n_tokens", "long"), ("_known", "long"), ("_base", "double"), ("score", "double"))], F.array(F.lit(0).cast("long")).alias("_tail"), F.array(F.lit(0).cast("int")).alias("_times"), *([] if whole else [F.array(F.lit(0).cast("long")).alias("_grams"), F.array(F.lit(0).cast("int")).alias("_often")])).schema
+    schema = rows.select(
+        "_row", F.lit(True).alias("held_out"),
+        *[
+            F.lit(0).cast(t).alias(c)
+            for c, t in (("_id", "long"), ("n_tokens", "long"), ("_known", "long"), ("_base", "double"), ("score", "double"))
+        ],
+        F.array(F.lit(0).cast("long")).alias("_tail"), F.array(F.lit(0).cast("int")).alias("_times"),
+        *([] if whole else [F.array(F.lit(0).cast("long")).alias("_grams"), F.array(F.lit(0).cast("int")).alias("_often")])
+    ).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _models:  # one for each worker process
@@ -344,19 +395,28 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", order: in
                 at += len(some)
 
     scored = stored(rows.mapInArrow(run, schema))
-    tail = scored.select("_id", F.explode(F.arrays_zip("_tail", "_times")).alias("_t")).select("_id", F.col("_t._tail").alias("item"), F.col("_t._times").alias("times"))
+    tail = scored.select("_id", F.explode(F.arrays_zip("_tail", "_times")).alias("_t")).select(
+        "_id", F.col("_t._tail").alias("item"), F.col("_t._times").alias("times")
+    )
     rare = tokens.filter(F.col("n") < head_from)
     c = F.coalesce("n", F.lit(0))
-    found = tail.join(rare, "item", "left").groupBy("_id").agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("_rare_known"), F.sum(F.col("times") * (F.log10(c + F.lit(smooth)) - F.lit(float(logs)))).alias("_rare_base"))
+    found = tail.join(rare, "item", "left").groupBy("_id").agg(
+        F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("_rare_known"),
+        F.sum(F.col("times") * (F.log10(c + F.lit(smooth)) - F.lit(float(logs)))).alias("_rare_base")
+    )
     rest = F.lit(0.0)
     if not whole:
-        grams = scored.select("_id", F.explode(F.arrays_zip("_grams", "_often")).alias("_g")).select("_id", F.col("_g._grams").alias("gram"), F.col("_g._often").alias("times"))
+        grams = scored.select("_id", F.explode(F.arrays_zip("_grams", "_often")).alias("_g")).select(
+            "_id", F.col("_g._grams").alias("gram"), F.col("_g._often").alias("times")
+        )
         listed = longest.filter(F.col("n") < string_from).select(F.col("item").alias("gram"), "logp")
         # texts of the training have no others
         new = scored.filter("held_out").select(F.explode("_grams").alias("gram")).distinct().join(listed, "gram", "left_anti")
         floor = -float(np.log10(max(SYMBOLS - levels.filter(F.col("item") < 1 << 56).count(), 1)))
         logs_of = listed.unionByName(escaped(new, levels, contexts, floor, order))
-        found = found.join(grams.join(logs_of, "gram").groupBy("_id").agg(F.sum(F.col("times") * F.col("logp")).alias("_rare_score")), "_id", "full")
+        found = found.join(
+            grams.join(logs_of, "gram").groupBy("_id").agg(F.sum(F.col("times") * F.col("logp")).alias("_rare_score")), "_id", "full"
+        )
         rest = F.coalesce("_rare_score", F.lit(0.0))
     zero = F.lit(0).cast("long")
     added = {

@@ -42,7 +42,9 @@ RATIOS = {
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """All columns of docs, then n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long)."""
     columns = docs.columns
-    at = docs.select(F.struct(*[docs[f"`{c}`"] for c in columns]).alias("_row"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("_text"))
+    at = docs.select(
+        F.struct(*[docs[f"`{c}`"] for c in columns]).alias("_row"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("_text")
+    )
     lines = F.filter(F.split("_text", "\n", -1), lambda x: x.rlike(WORD))
     one = at.select("_row", "_text", F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)).alias("_words"), lines.alias("_lines"))
     counts = {
@@ -51,22 +53,44 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_symbols": F.regexp_count("_text", F.lit(SYMBOLS)),
         "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
     }
-    two = one.select("_row", *[v.cast("long").alias(k) for k, v in counts.items()], F.transform("_words", lambda w: F.xxhash64(w)).alias("_h1"))
+    two = one.select(
+        "_row", *[v.cast("long").alias(k) for k, v in counts.items()], F.transform("_words", lambda w: F.xxhash64(w)).alias("_h1")
+    )
     # each step in a select of its own: an array that two expressions need is then made once
     for width in (1, 2, 4):
         rest = F.slice(f"_h{width}", width + 1, F.greatest(F.size(f"_h{width}"), F.lit(1)))
         two = two.select("_row", *counts, F.zip_with(f"_h{width}", rest, lambda a, b: F.xxhash64(a, b)).alias(f"_h{2 * width}"))
-    three = two.select("_row", *counts, F.when(F.col("n_words") > WINDOW, F.slice("_h8", 1, F.greatest(F.col("n_words").cast("int") - (WINDOW - 1), F.lit(0)))).alias("_win"))
-    four = three.select("_row", *counts, F.when(F.size(F.array_distinct("_win")) < F.size("_win"), F.array_sort(F.transform("_win", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("_sorted"))
+    three = two.select(
+        "_row", *counts,
+        F.when(
+            F.col("n_words") > WINDOW, F.slice("_h8", 1, F.greatest(F.col("n_words").cast("int") - (WINDOW - 1), F.lit(0)))
+        ).alias("_win")
+    )
+    four = three.select(
+        "_row", *counts,
+        F.when(
+            F.size(F.array_distinct("_win")) < F.size("_win"),
+            F.array_sort(F.transform("_win", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        ).alias("_sorted")
+    )
     # windows beside an equal one in the sorted order are those found twice or more
     n = F.size("_sorted")
     after = F.slice("_sorted", 2, F.greatest(n, F.lit(1)))
-    five = four.select("_row", *counts, "_sorted", F.when(F.col("_sorted").isNotNull(), F.zip_with("_sorted", after, lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False)))).alias("_same"))
+    five = four.select(
+        "_row", *counts, "_sorted",
+        F.when(
+            F.col("_sorted").isNotNull(), F.zip_with("_sorted", after, lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False)))
+        ).alias("_same")
+    )
     before = F.concat(F.array(F.lit(False)), F.slice("_same", 1, F.greatest(n - 1, F.lit(0))))
     marked = F.zip_with("_sorted", F.zip_with("_same", before, lambda a, b: a | b), lambda s, twice: F.when(twice, s["i"]))
-    six = five.select("_row", *counts, F.when(F.col("_sorted").isNotNull(), F.array_sort(F.filter(marked, lambda i: i.isNotNull()))).alias("_at"))
+    six = five.select(
+        "_row", *counts, F.when(F.col("_sorted").isNotNull(), F.array_sort(F.filter(marked, lambda i: i.isNotNull()))).alias("_at")
+    )
     # a window adds its eight words, less those that the next one begins with
-    steps = F.zip_with("_at", F.slice("_at", 2, F.greatest(F.size("_at"), F.lit(1))), lambda a, b: F.least(F.coalesce(b - a, F.lit(WINDOW)), F.lit(WINDOW)))
+    steps = F.zip_with(
+        "_at", F.slice("_at", 2, F.greatest(F.size("_at"), F.lit(1))), lambda a, b: F.least(F.coalesce(b - a, F.lit(WINDOW)), F.lit(WINDOW))
+    )
     covered = F.when(F.col("_at").isNull(), F.lit(0)).otherwise(F.aggregate(steps, F.lit(0), lambda acc, x: acc + x)).cast("long")
     # as the output of a generator the statistics are made once: a later filter on them does not move below
     made = six.select("_row", F.explode(F.array(F.struct(*counts, covered.alias("n_repeat_words")))).alias("_s"))
@@ -90,7 +114,10 @@ class Rule:
         return out
 
 
-def learn(x: dict[str, np.ndarray], bad: np.ndarray, *, max_rules: int = 12, max_tests: int = 3, min_precision: float = 0.97, min_covered: int = 20, cuts: int = 64) -> list[Rule]:
+def learn(
+    x: dict[str, np.ndarray], bad: np.ndarray, *, max_rules: int = 12, max_tests: int = 3, min_precision: float = 0.97,
+    min_covered: int = 20, cuts: int = 64
+) -> list[Rule]:
     """Sequential covering: grow on two thirds of the rows, prune on the rest, keep rules that hold on both."""
     rules: list[Rule] = []
     grow = np.arange(len(bad)) % 3 != 2
@@ -135,14 +162,18 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, *, max_rules: int = 12, max
     return rules
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", fit_rows: int = 12_000, **how) -> list[Rule]:
+def fit(
+    docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", fit_rows: int = 12_000, **how
+) -> list[Rule]:
     """Learn the list from at most fit_rows labelled documents; label 0 is bad. Rows that fail the base rules teach nothing."""
     usable = labels.select(F.col(key).alias("_key"), F.col(label).alias("_label")).dropna()
     some = usable.orderBy(F.xxhash64("_key"), "_key", "_label").limit(fit_rows)
     # at most fit_rows ids, so the broadcast is bounded
     mine = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     rows = statistics(mine.join(F.broadcast(some), "_key"), "_text").filter(~base_failed())
-    seen = rows.orderBy(F.xxhash64("_key"), "_key", "_label", *STATISTICS).select("_label", *[F.expr(v).alias(k) for k, v in RATIOS.items()]).limit(fit_rows).collect()
+    seen = rows.orderBy(F.xxhash64("_key"), "_key", "_label", *STATISTICS).select(
+        "_label", *[F.expr(v).alias(k) for k, v in RATIOS.items()]
+    ).limit(fit_rows).collect()
     x = {k: np.array([r[k] for r in seen], dtype=float) for k in RATIOS}
     return learn(x, np.array([r["_label"] == 0 for r in seen], dtype=bool), **how)
 

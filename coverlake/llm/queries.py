@@ -42,13 +42,20 @@ def op4_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(VOCABULARY)
     tokens = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text"), path)
-    return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return tokens.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256")
+    )
 
 
 def op6_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     docs = table(spark, sf_dir, "documents").select("doc_id", raw.alias("raw")).select("doc_id", "raw", F.length("raw").alias("n"))
-    padded = docs.select("doc_id", F.col("n").cast("long").alias("n_bytes"), F.concat("raw", F.expr("cast(repeat('\\0', if(n = 0, 64, pmod(-n, 64))) as binary)")).alias("payload"))
+    padded = docs.select(
+        "doc_id", F.col("n").cast("long").alias("n_bytes"),
+        F.concat("raw", F.expr("cast(repeat('\\0', if(n = 0, 64, pmod(-n, 64))) as binary)")).alias("payload")
+    )
     # the codec follows from the payload, so equal texts are stored alike
     kinds = F.element_at(F.array(F.lit(audio.MULAW), F.lit(audio.ALAW), F.lit(audio.ADPCM)), (F.crc32("payload") % 3 + 1).cast("int"))
     media = stored(audio.store(padded.select("doc_id", "n_bytes", "payload", kinds.alias("kind")), kind="kind").drop("payload", "kind"))
@@ -70,13 +77,22 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = "</s>[INST] ok [/INST]"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))
+    more = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text")
+    )
     chats = chat.conversations(turns.unionByName(more))
     read = chats.select("conv_id", "valid", "formatted", "segments", chat.read_turns(F.col("formatted")).alias("turns"))
     lost = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: chat.unescaped(s["text"])), "")
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    out = read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), lost.alias("_loss"), F.length("formatted").cast("long").alias("formatted_chars"), "valid")
-    return out.select("conv_id", "n_turns", "turns_sha256", F.length("_loss").cast("long").alias("loss_chars"), F.sha2("_loss", 256).alias("loss_sha256"), "formatted_chars", "valid")
+    out = read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), lost.alias("_loss"),
+        F.length("formatted").cast("long").alias("formatted_chars"), "valid"
+    )
+    return out.select(
+        "conv_id", "n_turns", "turns_sha256", F.length("_loss").cast("long").alias("loss_chars"), F.sha2("_loss", 256).alias("loss_sha256"),
+        "formatted_chars", "valid"
+    )
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +104,9 @@ def op10_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return lexical.search(
+        table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text")
+    )
 
 
 def op12_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -127,7 +127,16 @@ def fingerprints(docs: DataFrame, text: str = "text", size: int = 3, sets: bool
     """The columns of docs but for the text, then _fp (binary). Of sets also the text again, _at (a number for each row),
     _keys (names of blocks by shared shingles) and _shingles (how many)."""
     rest = [c for c in docs.columns if c != text]
-    schema = docs.select(*[docs[f"`{c}`"] for c in rest], F.lit(b"").alias("_fp"), *([docs[f"`{text}`"], F.lit(0).cast("long").alias("_at"), F.array(F.lit(0).cast("long")).alias("_keys"), F.lit(0).cast("long").alias("_shingles")] if sets else [])).schema
+    schema = docs.select(
+        *[docs[f"`{c}`"] for c in rest], F.lit(b"").alias("_fp"),
+        *(
+            [
+                docs[f"`{text}`"], F.lit(0).cast("long").alias("_at"), F.array(F.lit(0).cast("long")).alias("_keys"),
+                F.lit(0).cast("long").alias("_shingles")
+            ]
+            if sets else []
+        )
+    ).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = TaskContext.get().partitionId() << 40
@@ -142,7 +151,9 @@ def fingerprints(docs: DataFrame, text: str = "text", size: int = 3, sets: bool
                     sizes.append(len(h))
                 else:
                     fps.append(majority(h))
-            more = [b.column(text), pa.array(made + np.arange(len(fps))), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64())] if sets else []
+            more = [
+                b.column(text), pa.array(made + np.arange(len(fps))), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64())
+            ] if sets else []
             made += len(fps)
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in rest], pa.array(fps, pa.binary()), *more], names=schema.names)
 
@@ -194,12 +205,16 @@ def quarters(fps: DataFrame) -> DataFrame:
     """fp (binary of 8 bytes) in its six blocks: exact for a radius of two bits."""
     value = F.conv(F.hex("fp"), 16, -10).cast("long")
     mask: Column = F.array(*[F.lit(np.uint64(QUARTERS[p] | QUARTERS[q]).astype(np.int64).item()) for p, q in combinations(range(4), 2)])
-    return fps.select("fp", value.alias("_value"), F.posexplode(mask).alias("_block", "_mask")).select("fp", "_block", F.col("_value").bitwiseAND(F.col("_mask")).alias("_key"))
+    return fps.select(
+        "fp", value.alias("_value"), F.posexplode(mask).alias("_block", "_mask")
+    ).select("fp", "_block", F.col("_value").bitwiseAND(F.col("_mask")).alias("_key"))
 
 
 def bit_total(fp: str, words: int) -> Column:
     """Set bits among the first words of 64 bits of fp (binary)."""
-    return sum((F.bit_count(F.conv(F.substring(F.hex(fp), 16 * k + 1, 16), 16, -10).cast("long")) for k in range(words)), F.lit(0)).cast("int")
+    return sum(
+        (F.bit_count(F.conv(F.substring(F.hex(fp), 16 * k + 1, 16), 16, -10).cast("long")) for k in range(words)), F.lit(0)
+    ).cast("int")
 
 
 def in_tiles(blocks: DataFrame, radius: int, tile: int = 1024, words: int = 1) -> DataFrame:
@@ -211,8 +226,12 @@ def in_tiles(blocks: DataFrame, radius: int, tile: int = 1024, words: int = 1) -
     # only blocks with two members have pairs; a block has at most one entry in _totals for each bit total
     counted = blocks.select("*", bit_total("fp", words).alias("_total"))
     parts = counted.groupBy("_block", "_key", "_total").agg(F.count("*").alias("_n"))
-    sizes = parts.groupBy("_block", "_key").agg(F.sum("_n").alias("_n"), F.array_sort(F.collect_list(F.struct("_total", "_n"))).alias("_totals")).filter("_n > 1")
-    before = lambda p: F.aggregate(F.filter("_totals", lambda q: q["_total"] < p["_total"]), F.lit(0).cast("long"), lambda s, q: s + q["_n"])
+    sizes = parts.groupBy("_block", "_key").agg(
+        F.sum("_n").alias("_n"), F.array_sort(F.collect_list(F.struct("_total", "_n"))).alias("_totals")
+    ).filter("_n > 1")
+    before = lambda p: F.aggregate(
+        F.filter("_totals", lambda q: q["_total"] < p["_total"]), F.lit(0).cast("long"), lambda s, q: s + q["_n"]
+    )
     runs = F.transform("_totals", lambda p: F.struct(p["_total"].alias("total"), before(p).alias("first"), p["_n"].alias("n")))
     sizes = sizes.select("_block", "_key", F.when(F.col("_n") > tile, runs).alias("_runs"))
     own = F.filter("_runs", lambda r: r["total"] == F.col("_total"))[0]
@@ -220,7 +239,10 @@ def in_tiles(blocks: DataFrame, radius: int, tile: int = 1024, words: int = 1) -
     of = lambda place: F.floor(place / tile).cast("long")
     others = F.sequence(of(near[0]["first"]), of(F.element_at(near, -1)["first"] + F.element_at(near, -1)["n"] - 1))
     zero = F.lit(0).cast("long")
-    return counted.join(sizes, ["_block", "_key"]).select(*blocks.columns, F.coalesce(of(own["first"] + F.pmod(F.xxhash64("fp"), own["n"])), zero).alias("_tile"), F.coalesce(others, F.array(zero)).alias("_others"))
+    return counted.join(sizes, ["_block", "_key"]).select(
+        *blocks.columns, F.coalesce(of(own["first"] + F.pmod(F.xxhash64("fp"), own["n"])), zero).alias("_tile"),
+        F.coalesce(others, F.array(zero)).alias("_others")
+    )
 
 
 def links(blocks: DataFrame, radius: int, tile: int = 1024) -> DataFrame:
@@ -267,7 +289,13 @@ def verified(placed: DataFrame, sets: DataFrame, radius: int, similarity: float,
                 for k in np.unique(both, axis=0):
                     own = (both == k).all(axis=1)
                     members = np.unique(np.concatenate([i[own], j[own]]))
-                    yield pa.RecordBatch.from_arrays([pa.array([made] * len(members), pa.int64()), pa.array([values[x]["fp"] for x in members], pa.binary()), pa.array([values[x]["_at"] for x in members], pa.int64())], names=["_group", "fp", "_at"])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([made] * len(members), pa.int64()), pa.array([values[x]["fp"] for x in members], pa.binary()),
+                            pa.array([values[x]["_at"] for x in members], pa.int64())
+                        ],
+                        names=["_group", "fp", "_at"]
+                    )
                     made += 1
 
     groups = stored(pairs.mapInArrow(find, "_group long, fp binary, _at long"))
@@ -289,7 +317,9 @@ def verified(placed: DataFrame, sets: DataFrame, radius: int, similarity: float,
                 i, j = i[i < j], j[i < j]
                 yield star_edges(names, *similar([np.frombuffer(x, dtype=np.uint64) for _, x in values], i, j, similarity))
 
-    members = texts.mapInArrow(digest, schema).groupBy("_group").agg(F.collect_list(F.struct("fp", "_set")).alias("members")).select("members")
+    members = texts.mapInArrow(digest, schema).groupBy("_group").agg(
+        F.collect_list(F.struct("fp", "_set")).alias("members")
+    ).select("members")
     return one_each(members.mapInArrow(link, "a binary, b binary").distinct())
 
 
@@ -340,13 +370,17 @@ def star_edges(names: list[bytes], i: np.ndarray, j: np.ndarray) -> pa.RecordBat
     group mostly agree on their centre."""
     label = stars(len(names), i, j)
     own = np.flatnonzero(label != np.arange(len(names)))
-    return pa.RecordBatch.from_arrays([pa.array([names[k] for k in own], pa.binary()), pa.array([names[label[k]] for k in own], pa.binary())], names=["a", "b"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array([names[k] for k in own], pa.binary()), pa.array([names[label[k]] for k in own], pa.binary())], names=["a", "b"]
+    )
 
 
 def met(member: DataFrame, value: Column, block: list[str]) -> DataFrame:
     """member: the columns of its block, _tile and _others (the tiles that it meets, its own too). For each pair of tiles that
     meet: the block, left and right (arrays of values; no right for a tile and itself)."""
-    dealt = member.select(value.alias("_value"), *block, "_tile", F.explode("_others").alias("_other")).select("_value", *block, "_tile", F.least("_tile", "_other").alias("_i"), F.greatest("_tile", "_other").alias("_j"))
+    dealt = member.select(value.alias("_value"), *block, "_tile", F.explode("_others").alias("_other")).select(
+        "_value", *block, "_tile", F.least("_tile", "_other").alias("_i"), F.greatest("_tile", "_other").alias("_j")
+    )
     left = F.collect_list(F.when(F.col("_tile") == F.col("_i"), F.col("_value"))).alias("left")
     right = F.collect_list(F.when(F.col("_tile") != F.col("_i"), F.col("_value"))).alias("right")
     return dealt.groupBy(*block, "_i", "_j").agg(left, right).select(*block, "left", "right")
@@ -377,7 +411,11 @@ def one_each(edges: DataFrame) -> DataFrame:
     """edges: (a, b), b the lesser. The same components with about one edge for each a: to the least b, which the other b
     are then joined to."""
     least = edges.select("b", "a", F.min("b").over(W.partitionBy("a")).alias("_least"))
-    return least.select(F.explode(F.array(F.struct("a", F.col("_least").alias("b")), F.struct(F.col("b").alias("a"), F.col("_least").alias("b")))).alias("e")).select("e.a", "e.b").filter("a <> b").distinct()
+    return least.select(
+        F.explode(
+            F.array(F.struct("a", F.col("_least").alias("b")), F.struct(F.col("b").alias("a"), F.col("_least").alias("b")))
+        ).alias("e")
+    ).select("e.a", "e.b").filter("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -391,7 +429,11 @@ def components(edges: DataFrame) -> DataFrame:
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")))
     while True:
         near = joined_back(both, labels.withColumnRenamed("node", "b"), "b", degree).groupBy("a").agg(F.min("label").alias("_near"))
-        low = stored(labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("_was"), F.least("label", "_near").alias("_low")))
+        low = stored(
+            labels.join(near, labels["node"] == near["a"]).select(
+                "node", F.col("label").alias("_was"), F.least("label", "_near").alias("_low")
+            )
+        )
         jump = labels.select(F.col("node").alias("_low"), F.col("label").alias("_next"))
         after = joined_back(low, jump, "_low", low.groupBy("_low").agg(F.count("*").alias("_n")))
         after = stored(after.select("node", "_was", F.least("_low", "_next").alias("label")))
@@ -409,7 +451,9 @@ def beside(groups: DataFrame, totals: DataFrame) -> DataFrame:
     return salted.join(spread, ["label", "_salt"]).drop("_salt")
 
 
-def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 3, similarity: float | None = None, tile: int = 1024) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 3, similarity: float | None = None, tile: int = 1024
+) -> DataFrame:
     """The columns of docs but for the text, then fingerprint (hex digits) and component_id (the least key reachable).
 
     Links: at most two of 64 bits, or texts whose sets of shingles have at least the given Jaccard similarity.
@@ -421,7 +465,11 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         distinct = stored(marked.groupBy(F.col("_fp").alias("fp")).agg(F.min("_id").alias("_least"), F.count("*").alias("_n")))
         edges = links(quarters(distinct.select("fp")), 2, tile)
     else:
-        distinct = stored(marked.groupBy(F.col("_fp").alias("fp")).agg(F.min("_id").alias("_least"), F.count("*").alias("_n"), F.min(F.struct("_at", "_keys", "_shingles")).alias("_one")))
+        distinct = stored(
+            marked.groupBy(F.col("_fp").alias("fp")).agg(
+                F.min("_id").alias("_least"), F.count("*").alias("_n"), F.min(F.struct("_at", "_keys", "_shingles")).alias("_one")
+            )
+        )
         radius = radius_of(similarity, 64 * WORDS)
         blocks = distinct.select("fp", "_one.*", F.posexplode("_one._keys").alias("_block", "_key"))
         edges = verified(in_tiles(blocks, radius, tile, WORDS), marked.select("_at", "_text"), radius, similarity, size)

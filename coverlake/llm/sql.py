@@ -70,7 +70,10 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' order by n) filter (where role = 'assistant'), '')) as loss_sha256, cast(sum(size) as bigint) as formatted_chars, bool_and(ok) and bool_or(n = last and role = 'assistant') as valid
 from checked group by conv_id
 """
-CHAT = CHAT.replace("cast(sum(length(text)) filter (where role = 'assistant') as bigint)", "cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint)")
+CHAT = CHAT.replace(
+    "cast(sum(length(text)) filter (where role = 'assistant') as bigint)",
+    "cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint)"
+)
 
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -115,4 +118,7 @@ ranked as (
 select * from ranked where rank <= 2000
 """
 
-ORACLE: dict[str, str] = {"op1_mix_sources": MIX, "op3_secret_scan": SECRETS, "op8_chat_format": CHAT, "op11_lexical_search": SEARCH, "op13_collocations": COLLOCATIONS}
+ORACLE: dict[str, str] = {
+    "op1_mix_sources": MIX, "op3_secret_scan": SECRETS, "op8_chat_format": CHAT, "op11_lexical_search": SEARCH,
+    "op13_collocations": COLLOCATIONS
+}

@@ -41,7 +41,10 @@ def load_words(path: str) -> dict:
     last = np.zeros(256, dtype=np.int32)
     for c, b in byte_names().items():
         last[b] = vocab[c + END]
-    return {"first": np.concatenate([model["first"], last]), "keys": model["keys"], "ranks": model["ranks"], "made": model["made"], "added": model["added"], "json": whole}
+    return {
+        "first": np.concatenate([model["first"], last]), "keys": model["keys"], "ranks": model["ranks"], "made": model["made"],
+        "added": model["added"], "json": whole
+    }
 
 
 class Pool:
@@ -55,7 +58,9 @@ class Pool:
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
         while self.count + len(size) > len(self.size):
-            self.first, self.size = np.concatenate([self.first, np.empty_like(self.first)]), np.concatenate([self.size, np.empty_like(self.size)])
+            self.first, self.size = np.concatenate(
+                [self.first, np.empty_like(self.first)]
+            ), np.concatenate([self.size, np.empty_like(self.size)])
         ends = np.cumsum(size, dtype=np.int64) + self.used
         self.first[self.count : self.count + len(size)] = ends - size
         self.size[self.count : self.count + len(size)] = size
@@ -168,7 +173,9 @@ class WordEncoder:
             a, b = a[by], b[by]
             fresh = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
             first = missing[by[fresh]]
-            n = self.chunks.put(low[first], high[first], *self.of_new([whole[x:y] for x, y in zip(at[first].tolist(), ends[first].tolist(), strict=True)]))
+            n = self.chunks.put(
+                low[first], high[first], *self.of_new([whole[x:y] for x, y in zip(at[first].tolist(), ends[first].tolist(), strict=True)])
+            )
             found[missing[by]] = n + np.cumsum(fresh) - 1
         flat, size = self.chunks.use(found)
         # a text's chunks are those that begin before its end

@@ -24,7 +24,11 @@ def ids_of(text):
     return LIBRARY.encode(text or "", add_special_tokens=False).ids
 
 
-ODD = ["", "It's DON'T 'S İstanbul ΣΑΣ ﬁ é éx <|endoftext|>abc<|startoftext|>", "a\x1cb \x85c\xa0d 12345 ½ ²³", "x" * 3000 + " " + "é" * 100, "日本語テキスト 한국어 각", "̀ͅa ̀", "A\x00b", "don''t ''s 's'S", "ǅ ǆ Ŀ ŉ ʼn ſ ẞ ß ɏ", "  \r\n\t ", "fi- 'LL we'll''ve", "\U0001f600 😀a1b2", "a" * 64 + "b " + "c" * 65, "naïve—“quoted” …"]
+ODD = [
+    "", "It's DON'T 'S İstanbul ΣΑΣ ﬁ é éx <|endoftext|>abc<|startoftext|>", "a\x1cb \x85c\xa0d 12345 ½ ²³", "x" * 3000 + " " + "é" * 100,
+    "日本語テキスト 한국어 각", "̀ͅa ̀", "A\x00b", "don''t ''s 's'S", "ǅ ǆ Ŀ ŉ ʼn ſ ẞ ß ɏ", "  \r\n\t ", "fi- 'LL we'll''ve", "\U0001f600 😀a1b2",
+    "a" * 64 + "b " + "c" * 65, "naïve—“quoted” …"
+]
 
 
 def test_encoder_is_the_librarys():
@@ -87,7 +91,9 @@ def test_search_against_all_packings(lengths):
 
 def test_exchanges_empty_bins():
     # best fit decreasing leaves more bins than needed: each kind of exchange finds one of them
-    assert len(best_fit([44, 24, 24, 22, 21, 17, 8, 8, 6, 6], 60)) == 4 and len(binpack.pack_block([44, 24, 24, 22, 21, 17, 8, 8, 6, 6], 60)) == 3
+    assert len(best_fit([44, 24, 24, 22, 21, 17, 8, 8, 6, 6], 60)) == 4 and len(
+        binpack.pack_block([44, 24, 24, 22, 21, 17, 8, 8, 6, 6], 60)
+    ) == 3
     rng = random.Random(5)
     lengths = []
     for _ in range(700):
@@ -123,7 +129,9 @@ def test_query(spark, sf_dir):
     for d, own in pieces.items():
         ids = [*ids_of(docs[d]), 0]
         own.sort(key=lambda r: r["piece"])
-        assert [(r["piece"], r["start"], r["length"]) for r in own] == [(k, 2048 * k, min(2048, len(ids) - 2048 * k)) for k in range(-(-len(ids) // 2048))]
+        assert [(r["piece"], r["start"], r["length"]) for r in own] == [
+            (k, 2048 * k, min(2048, len(ids) - 2048 * k)) for k in range(-(-len(ids) // 2048))
+        ]
         for r in own:
             assert r["ids_crc32"] == zlib.crc32(np.array(ids[r["start"] : r["start"] + r["length"]], dtype="<u4").tobytes())
     total = sum(r["length"] for r in rows)

@@ -7,7 +7,9 @@ import pytest
 
 from coverlake.llm import extraction
 
-PROSE = " ".join(["Readers who follow the river upstream find the old mill, long since closed, and beside it the house where the miller lived."] * 3)
+PROSE = " ".join(
+    ["Readers who follow the river upstream find the old mill, long since closed, and beside it the house where the miller lived."] * 3
+)
 BODY = "<p>A long paragraph of the article, with many words in it, that ends with a stop as such texts do.</p>"
 TEXT = "A long paragraph of the article, with many words in it, that ends with a stop as such texts do."
 MORE = f"<p>{PROSE} So it goes on.</p>"
@@ -20,11 +22,22 @@ def costs(request, spark):
     return extraction.fit(spark.read.parquet(f"/root/testdata/{request.param}/pages.parquet").select("page_id", "url", "html"))
 
 
-@pytest.mark.parametrize("name", ["comments", "comment-list", "advert", "ad", "ad-slot sponsored", "sidebar", "related", "newsletter", "cookie-notice", "social share"])
+@pytest.mark.parametrize(
+    "name",
+    ["comments", "comment-list", "advert", "ad", "ad-slot sponsored", "sidebar", "related", "newsletter", "cookie-notice", "social share"]
+)
 def test_named_prose_goes(costs, name):
-    parts = [f'<div class="{name}"><p>{PROSE}</p></div>', f'<section id="{name}"><p>{PROSE}</p><p>{PROSE}</p></section>', f'<div class="{name}"><ul><li><p>{PROSE}</p></li><li><p>{PROSE}</p></li></ul></div>', f'<div class="{name}"><div><div><p>{PROSE}</p></div></div></div>', f'<div class="{name}"><p>Buy now.</p></div>']
+    parts = [
+        f'<div class="{name}"><p>{PROSE}</p></div>', f'<section id="{name}"><p>{PROSE}</p><p>{PROSE}</p></section>',
+        f'<div class="{name}"><ul><li><p>{PROSE}</p></li><li><p>{PROSE}</p></li></ul></div>',
+        f'<div class="{name}"><div><div><p>{PROSE}</p></div></div></div>', f'<div class="{name}"><p>Buy now.</p></div>'
+    ]
     for part in parts:
-        for page in (f"<article>{BODY}{MORE}</article>{part}", f"{part}<main>{BODY}{MORE}</main>", f"<article>{BODY}{part}{MORE}</article>", f"<article>{BODY}{MORE}{part}</article>", f"<body><div class=post>{BODY}{MORE}</div>{part}</body>", f"<body>{BODY}{part}{MORE}</body>"):
+        for page in (
+            f"<article>{BODY}{MORE}</article>{part}", f"{part}<main>{BODY}{MORE}</main>", f"<article>{BODY}{part}{MORE}</article>",
+            f"<article>{BODY}{MORE}{part}</article>", f"<body><div class=post>{BODY}{MORE}</div>{part}</body>",
+            f"<body>{BODY}{part}{MORE}</body>"
+        ):
             assert extraction.main_text(page, costs) == f"{TEXT} {PROSE} So it goes on.", page
 
 
@@ -32,7 +45,9 @@ def test_paragraphs_of_an_article(costs):
     lead = "Readers who follow the river upstream find the old mill, long since closed."
     assert extraction.main_text(f'<article><p class="lead related">{lead}</p>{BODY}</article>', costs) == f"{lead} {TEXT}"
     for name in ("advert", "ad", "sponsored", "newsletter-signup", "comment"):
-        assert extraction.main_text(f'<article>{BODY}<p class="{name}">{PROSE}</p>{MORE}</article>', costs) == f"{TEXT} {PROSE} So it goes on.", name
+        assert extraction.main_text(
+            f'<article>{BODY}<p class="{name}">{PROSE}</p>{MORE}</article>', costs
+        ) == f"{TEXT} {PROSE} So it goes on.", name
 
 
 def test_linked_lists_of_an_article_stay(costs):
@@ -47,12 +62,16 @@ def test_unnamed_prose_beside_an_article_goes(costs):
     for part in (f"<div><p>{PROSE}</p></div>", "<div><p>Buy now and save.</p></div>", f"<p>{PROSE}</p>"):
         assert extraction.main_text(f"<body><article>{BODY}{MORE}{BODY}</article>{part}</body>", costs) == whole
     # an article of a few words is a teaser, not the page's text
-    assert extraction.main_text(f"<body><article><h2>Short</h2></article><div>{BODY}{MORE}</div></body>", costs).endswith(f"{TEXT} {PROSE} So it goes on.")
+    assert extraction.main_text(
+        f"<body><article><h2>Short</h2></article><div>{BODY}{MORE}</div></body>", costs
+    ).endswith(f"{TEXT} {PROSE} So it goes on.")
 
 
 def test_names_of_whole_pages(costs):
     for name in ("sidebar-right", "header-fixed", "site nav-left", "with-widget search"):
-        assert extraction.main_text(f'<body><div class="{name}"><div>{BODY}{MORE}</div></div></body>', costs) == f"{TEXT} {PROSE} So it goes on.", name
+        assert extraction.main_text(
+            f'<body><div class="{name}"><div>{BODY}{MORE}</div></div></body>', costs
+        ) == f"{TEXT} {PROSE} So it goes on.", name
     for name in ("comments", "advert", "newsletter"):  # such names are not layouts
         assert extraction.main_text(f'<body><div class="{name}">{MORE}</div></body>', costs) == ""
 
@@ -71,7 +90,9 @@ def plain(html, costs):
         pairs += [(beside[-1], i, 0.4)] if beside else []
 
     def cost(labels):
-        return sum(max(-g, 0) if keep else max(g, 0) for g, keep in zip(gain, labels)) + sum(w for i, j, w in pairs if labels[i] != labels[j])
+        return sum(
+            max(-g, 0) if keep else max(g, 0) for g, keep in zip(gain, labels)
+        ) + sum(w for i, j, w in pairs if labels[i] != labels[j])
 
     best = min(itertools.product([False, True], repeat=len(blocks)), key=lambda x: (round(cost(x), 9), sum(x)))
     return " ".join(b[0] for b, keep in zip(blocks, best) if keep)

@@ -40,8 +40,14 @@ def plain(docs, items, k=10):
 
 
 LONG = "wide " * 30_000 + "River river RIVER"
-DOCS = [(1, "the river the mill"), (2, None), (3, ""), (4, "THE River, the MILL!"), (5, LONG), (None, "the river"), (None, "the river"), (7, "the river"), (7, "the river"), (8, "ÉTÉ été river\x00mill 42"), (9, "...  \n"), (10, "ſ river's mill")] + [(100 + k, f"the common word{k % 7} river" if k % 3 else "the common") for k in range(40)]
-ITEMS = [(0, "The river"), (1, "river river mill"), (2, None), (3, "..."), (4, "ÉTÉ 42 nowhere"), (5, "nowhere"), (6, "word1 common"), (6, "mill"), (None, "river")]
+DOCS = [
+    (1, "the river the mill"), (2, None), (3, ""), (4, "THE River, the MILL!"), (5, LONG), (None, "the river"), (None, "the river"),
+    (7, "the river"), (7, "the river"), (8, "ÉTÉ été river\x00mill 42"), (9, "...  \n"), (10, "ſ river's mill")
+] + [(100 + k, f"the common word{k % 7} river" if k % 3 else "the common") for k in range(40)]
+ITEMS = [
+    (0, "The river"), (1, "river river mill"), (2, None), (3, "..."), (4, "ÉTÉ 42 nowhere"), (5, "nowhere"), (6, "word1 common"),
+    (6, "mill"), (None, "river")
+]
 
 
 @pytest.mark.parametrize("most_terms", [500_000, 0])

@@ -26,7 +26,10 @@ def stages(spark, sf_dir, tmp_path_factory):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
     long = " ".join(f"word{k % 977}x{k % 13}" for k in range(3000))
     secret = "Here is a note that keeps to the rules and then says password = abcdef123456ghij for all to see, which nobody should do at any time."
-    edge = [(None, long, "en", None, 1), (None, long, "en", None, 1), (900001, None, "en", "a", 0), (900002, "", None, "", None), (900003, secret, "en", "src1", len(secret)), (900003, secret, "en", "src1", len(secret)), (None, secret + " End.", None, None, None)]
+    edge = [
+        (None, long, "en", None, 1), (None, long, "en", None, 1), (900001, None, "en", "a", 0), (900002, "", None, "", None),
+        (900003, secret, "en", "src1", len(secret)), (900003, secret, "en", "src1", len(secret)), (None, secret + " End.", None, None, None)
+    ]
     rows = docs.unionByName(spark.createDataFrame(edge, docs.schema))
     out = [rows.collect()]
     for k, (_, stage) in enumerate(cp.STAGES):
@@ -45,7 +48,10 @@ def test_quality(stages):
     for r in after:
         n, _, _, _, repeats = brute.statistics(r["text"])
         assert n >= 20 and 100 * repeats <= 30 * n
-    plain = [r for r in before if not any(c in (r["text"] or "") for c in "#*$%&|<>") and (s := brute.statistics(r["text"]))[0] >= 20 and 100 * s[4] <= 30 * s[0]]
+    plain = [
+        r for r in before
+        if not any(c in (r["text"] or "") for c in "#*$%&|<>") and (s := brute.statistics(r["text"]))[0] >= 20 and 100 * s[4] <= 30 * s[0]
+    ]
     assert not Counter(map(tuple, plain)) - Counter(map(tuple, after))
 
 
