@@ -215,6 +215,46 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_predictions(fx.articles(spark, sf_dir))
 
 
+def asked_watermarks(items: DataFrame, asked: list[tuple[str, str]]) -> DataFrame:
+    """The newest publication of each endpoint (outlet_id, method) of a list of values; null where there is none."""
+    spark = items.sparkSession
+    wanted = spark.createDataFrame(asked, "outlet_id string, method string").distinct()
+    found = items.join(F.broadcast(wanted), ["outlet_id", "method"], "left_semi").groupBy("outlet_id", "method")  # a list of values
+    newest = found.agg(F.max("published_at").alias("last_publication_at"))
+    return wanted.join(newest, ["outlet_id", "method"], "left")
+
+
+def asked_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = fx.runs(spark, sf_dir).select("outlet_id", "method", F.col("newest_item_published_at").alias("published_at"))
+    return asked_watermarks(items, [(str(k), m) for k in (1, 2, 3, 5, 8, 13, 999) for m in ("rss", "sitemap")] + [("1", "rss")])
+
+
+def headquarters(publishers: DataFrame, table: DataFrame) -> DataFrame:
+    """publishers: publisher, country. table: at (its order), publisher, country, city, lat, lon. Each publisher's first seat in its
+    country, by name without case and outer or double spaces."""
+    name = lambda c: F.lower(F.regexp_replace(F.trim(c), r"\s+", " "))
+    seats = table.groupBy(name(F.col("publisher")).alias("_name"), F.col("country").alias("_country"))
+    first = seats.agg(F.min_by(F.struct("city", "lat", "lon"), "at").alias("_seat"))
+    beside = (name(F.col("publisher")) == F.col("_name")) & (F.col("country") == F.col("_country"))
+    return publishers.join(first, beside, "left").select("publisher", "country", "_seat.city", "_seat.lat", "_seat.lon")
+
+
+def seats_of_publishers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Publishers spelled in two ways, and a table of seats with some twice."""
+    s = fx.load(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    land = F.concat(F.lit("C"), (k % 4).cast("string"))
+    asked = s.select(
+        F.when(k % 2 == 0, F.concat(F.lit(" "), F.upper("s_name"))).otherwise(F.col("s_name")).alias("publisher"), land.alias("country")
+    )
+    seat = lambda at, where, town: s.select(
+        (at * 1000000 + k).alias("at"), F.col("s_name").alias("publisher"), where.alias("country"),
+        F.concat(F.lit(town), k.cast("string")).alias("city"), (k + at).cast("double").alias("lat"), (-k).cast("double").alias("lon")
+    )
+    table = seat(2, land, "Second ").unionByName(seat(1, F.when(k % 3 == 0, "C9").otherwise(land), "First ").filter(k % 5 > 0))
+    return headquarters(asked, table)
+
+
 READ = NewsRead(
     text="k1", sources=["src1, src2", "src3"], languages=["en", "De"], sections=["world", "sports, business"],
     published=("2024-01-03 00:00:00", "2024-01-19 12:00:00"), created=("2024-01-02 00:00:00", None), updated=(None, "2024-01-20 00:00:00"),
@@ -235,6 +275,7 @@ def all_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "sc10_asked_watermarks": asked_endpoints, "x38_headquarters": seats_of_publishers,
     "a24_endpoint_profiles": lambda spark, sf_dir: endpoint_breakdown(endpoints_of(spark, sf_dir)), "x40_sitemap_kinds": sitemap_kinds,
     "x35_moved_places": moved_places, "x49_url_words": words_of_addresses, "q52_word_predictions": predictions, "q10_news_read": read_page,
     "q10_news_recent": read_recent, "q11_filter_lists": all_filters

@@ -1,7 +1,7 @@
 """DuckDB statements beside the plans over endpoints, places, words of addresses and the news API."""
 
 from .endpoints import INDEX, JITTER, NEWS, PROFILES, STOP
-from .oracle import ARTICLES, AS_OF, VISIBLE, statement
+from .oracle import ARTICLES, AS_OF, RUNS, VISIBLE, statement
 
 SITE = "'https://src' || s_suppkey || '.example.com'"
 ENDPOINTS = f"""ends0 as (
@@ -29,7 +29,12 @@ def page(where: str, limit: int, offset: int) -> str:
     )
 
 
+ASKED = ", ".join(f"('{k}', '{m}')" for k in (1, 2, 3, 5, 8, 13, 999) for m in ("rss", "sitemap"))
+
 SQL = {
+    "sc10_asked_watermarks": statement("select outlet_id, method, max(newest_item_published_at) as last_publication_at from wanted left join runs using (outlet_id, method) group by 1, 2", RUNS, f"wanted(outlet_id, method) as (values {ASKED})"),
+    "x38_headquarters": """select case when s_suppkey % 2 = 0 then ' ' || upper(s_name) else s_name end as publisher, 'C' || (s_suppkey % 4) as country, case when s_suppkey % 5 > 0 and s_suppkey % 3 > 0 then 'First ' else 'Second ' end || s_suppkey as city,
+      cast(s_suppkey + case when s_suppkey % 5 > 0 and s_suppkey % 3 > 0 then 1 else 2 end as double) as lat, cast(-s_suppkey as double) as lon from supplier""",
     "a24_endpoint_profiles": "with " + ENDPOINTS + " select country, " + ", ".join(f"count(*) filter (where profile = '{p}') as {p}" for p in PROFILES) + " from ends group by 1",
     "x40_sitemap_kinds": "with " + ENDPOINTS + " select source, kind, profile from ends",
     "x35_moved_places": f"""

@@ -17,6 +17,9 @@ from ..sources import fixtures as fx
 PUBLISHER = {"exact": "high", "prefix": "medium", "part": "low"}
 KEYWORD = {"high": 0.84, "medium": 0.72}
 UNKNOWN = 0.51
+#: Confidence by what a feed's category meets, of categories that meet nothing, and the least of a hint.
+CATEGORY = {"direct": 0.9, "high": 0.86, "medium": 0.75}
+UNMAPPED, HINT = 0.55, 0.68
 
 
 def by(names: dict, key: Column) -> Column:
@@ -90,6 +93,54 @@ def places(articles: DataFrame, labels: DataFrame, conditions: DataFrame, **how)
     return found.select("external_id", F.coalesce("_place", "_own", F.lit("Global")).alias("place"), basis.alias("basis"))
 
 
+def hint_text(source: Column, url: Column) -> Column:
+    """Source and address as words."""
+    return F.trim(F.regexp_replace(F.lower(F.concat_ws(" ", source, host(url), path(url))), r"[\s._/+?&=%-]+", " "))
+
+
+def hybrid_sections(articles: DataFrame, table: DataFrame, **how) -> DataFrame:
+    """The most confident of three: the first of a feed's categories that a rule knows (by name, else by its words), the words of
+    the title, and those of source and address. Equal confidence keeps what comes from the title, then from the category.
+
+    table: what read_rules() returns, with the weights direct (field ``category``), high and medium (field ``title``), in that
+    order.
+    """
+    conditions = rules.conditions(table)
+    labels = table.select("rule", F.col("label").alias("_label"), F.col("attributes")["weight"].alias("_weight"))
+
+    def told(rows: DataFrame, fields: dict[str, Column]) -> DataFrame:
+        return rules.first_rule(rows, conditions, fields, **how).join(labels, "rule", "left")
+
+    rows = articles.select("external_id", "feed_categories", folded(F.coalesce("title_original", F.lit(""))).alias("_title"),
+                           hint_text(F.col("source"), F.col("url")).alias("_hint"))
+    each = rows.select(
+        "external_id", F.posexplode("feed_categories").alias("_at", "_c")
+    ).withColumn("_c", F.substring(F.trim(folded("_c")), 1, 120)).filter("_c <> ''")
+    met = told(each, {"category": F.col("_c"), "title": F.col("_c")})
+    first = F.min_by(F.struct("_label", "_weight"), F.when(F.col("_label").isNotNull(), F.col("_at")))
+    by_category = met.groupBy("external_id").agg(first.alias("_f")).select(
+        "external_id", F.coalesce("_f._label", F.lit("others")).alias("category_section"),
+        F.coalesce(by(CATEGORY, F.col("_f._weight")), F.lit(UNMAPPED)).alias("_category"),
+    )
+    kept = lambda name: (
+        F.coalesce("_label", F.lit("others")).alias(f"{name}_section"),
+        F.coalesce(by(KEYWORD, F.col("_weight")), F.lit(UNKNOWN)).alias(f"_{name}")
+    )
+    by_title = told(rows.select("external_id", "_title"), {"title": F.col("_title")}).select("external_id", *kept("keyword"))
+    by_hint = told(
+        rows.select("external_id", "_hint"), {"title": F.col("_hint")}
+    ).filter("_label is not null").select("external_id", *kept("hint"))
+    whole = by_title.join(by_category, "external_id", "left").join(by_hint, "external_id", "left")
+    hint = F.greatest(F.col("_hint"), F.lit(HINT))
+    best = F.greatest("_keyword", F.coalesce("_category", F.lit(0.0)), F.coalesce(hint, F.lit(0.0)))
+    section = F.when(F.col("_keyword") == best, F.col("keyword_section")).when(
+        F.col("_category") == best, F.col("category_section")
+    ).otherwise(F.col("hint_section"))
+    return whole.select(
+        "external_id", "keyword_section", "category_section", "hint_section", section.alias("section"), best.alias("confidence")
+    )
+
+
 # ---- tables of rules made from the generated tables ----
 
 
@@ -131,15 +182,21 @@ def publisher_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return publishers(fx.articles(spark, sf_dir), *publisher_rules(spark, sf_dir))
 
 
-KEYWORD_FILE = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "rules", "keywords.json")
+FOLDER = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "rules")
+KEYWORD_FILE, SECTION_FILE = os.path.join(FOLDER, "keywords.json"), os.path.join(FOLDER, "sections.json")
 
 
 def keyword_rules(spark: SparkSession, rule_file: str = KEYWORD_FILE) -> DataFrame:
     """Rules of a file of this package, which only the driver can be sure to see."""
     with open(rule_file, encoding="utf-8") as f:
-        return spark.createDataFrame([(f.read(),)], "value string").select(
-            F.posexplode(F.from_json("value", rules.FILE)).alias("rule", "r")
-        ).select(F.col("rule").cast("long").alias("rule"), "r.*")
+        whole = spark.createDataFrame([(f.read(),)], "value string")
+    return whole.select(
+        F.posexplode(F.from_json("value", rules.FILE)).alias("rule", "r")
+    ).select(F.col("rule").cast("long").alias("rule"), "r.*")
+
+
+def hybrid_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hybrid_sections(fx.articles(spark, sf_dir), keyword_rules(spark, SECTION_FILE))
 
 
 def document_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,5 +270,5 @@ def place_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "x37_publisher_rules": publisher_table, "x26_keyword_lists": document_keywords, "x31_context_rules": context_table,
-    "f15_address_rules": address_table, "x29_topic_rules": topic_table, "x34_place_rules": place_table
+    "f15_address_rules": address_table, "x29_topic_rules": topic_table, "x34_place_rules": place_table, "x25_hybrid_rules": hybrid_table
 }

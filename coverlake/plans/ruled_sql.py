@@ -3,7 +3,7 @@
 import json
 
 from .oracle import ARTICLES, statement
-from .ruled import KEYWORD_FILE
+from .ruled import KEYWORD_FILE, SECTION_FILE
 
 NUMBERED = "numbered as (select 2 * p_partkey as n, p_name as name from part union all select 2 * c_custkey + 1, c_name from customer)"
 HOST = "regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)', 1)), '^www\\.', '')"
@@ -41,6 +41,37 @@ def keywords() -> str:
       from (select *, case {cases} end as rule from (select doc_id, lang, lower(strip_accents(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) as t from documents))"""
 
 
+def hybrid() -> str:
+    with open(SECTION_FILE, encoding="utf-8") as f:
+        table = json.load(f)
+
+    def first(text: str, direct: bool) -> str:
+        whens = []
+        for k, r in enumerate(table):
+            c = r["clauses"][0]
+            if c["field"] == "category":
+                whens += [f"when {text} in ({', '.join(quoted(v) for v in c['exact'])}) then {k}"] if direct else []
+            else:
+                words = [f"regexp_matches({text}, {quoted(f'(?:^|[^\\p{{L}}\\p{{N}}]){v}(?:$|[^\\p{{L}}\\p{{N}}])')})" for v in c["word"]]
+                whens.append(f"when {' or '.join(words)} then {k}")
+        return f"case {' '.join(whens)} end"
+
+    label = lambda rule: f"case {rule} {' '.join(f'when {k} then {quoted(r['label'])}' for k, r in enumerate(table))} end"
+    score = lambda rule, marks: f"case {rule} {' '.join(f'when {k} then {marks[r['attributes']['weight']]}' for k, r in enumerate(table))} end"
+    words = {"direct": 0.84, "high": 0.84, "medium": 0.72}
+    return statement(
+        f"""select external_id, keyword_section, category_section, hint_section, case when kc >= coalesce(cc, 0) and kc >= coalesce(hc, 0) then keyword_section when coalesce(cc, 0) >= coalesce(hc, 0) then category_section else hint_section end as section,
+              cast(greatest(kc, coalesce(cc, 0), coalesce(hc, 0)) as double) as confidence from (
+            select external_id, coalesce({label('tr')}, 'others') as keyword_section, coalesce({score('tr', words)}, 0.51) as kc, {label('hr')} as hint_section, greatest({score('hr', words)}, 0.68) as hc,
+              case when seen then coalesce({label('cr')}, 'others') end as category_section, case when seen then coalesce({score('cr', {'direct': 0.9, 'high': 0.86, 'medium': 0.75})}, 0.55) end as cc from (
+                select *, {first('title', False)} as tr, {first('hint', False)} as hr from told left join cats using (external_id)))""",
+        ARTICLES,
+        "told as (select external_id, lower(coalesce(title_original, '')) as title, trim(regexp_replace(lower(source || ' ' || source || '.example.com' || ' /' || language_hint || '/' || event_id), '[\\s._/+?&=%-]+', ' ', 'g')) as hint from articles)",
+        f"each as (select external_id, i, lower(trim(c)) as c from (select external_id, unnest(feed_categories) as c, generate_subscripts(feed_categories, 1) as i from articles))",
+        f"cats as (select external_id, true as seen, arg_min(rule, i) filter (where rule is not null) as cr from (select *, {first('c', True)} as rule from each) group by 1)",
+    )
+
+
 SQL = {
     "x37_publisher_rules": statement(
         """, met as (
@@ -53,6 +84,7 @@ from pairs p left join best b on p.source = b.source and p.source_country is not
         ARTICLES, NUMBERED, "pairs as (select distinct source, source_country from articles)",
     ),
     "x26_keyword_lists": keywords(),
+    "x25_hybrid_rules": hybrid(),
     "x31_context_rules": statement(
         f"""select external_id, rule, case when rule is null then 'others' else ['world', 'sports', 'tech', 'arts', 'health', 'science', 'climate'][rule % 7 + 1] end as section
 from articles left join (select external_id, min(n) as rule from rows0, numbered where {CONTEXT} group by 1) using (external_id)""",

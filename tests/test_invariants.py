@@ -90,7 +90,10 @@ PYTHON = {
     "a30_greedy_lift", "m02_syndication_clusters", "sc02_catalog_file", "sc03_feed_items", "sc04_sitemap_entries", "sc05_list_pages",
     "sc06_sitemap_children", "sc09_landed_bytes", "x01_addresses", "x_text_values"
 }
-RULES = {"x37_publisher_rules", "x26_keyword_lists", "x31_context_rules", "f15_address_rules", "x29_topic_rules", "x34_place_rules"}
+RULES = {
+    "x25_hybrid_rules", "x37_publisher_rules", "x26_keyword_lists", "x31_context_rules", "f15_address_rules", "x29_topic_rules",
+    "x34_place_rules"
+}
 #: A window over one row for each window and version.
 ONE_ROW = {"q36_map_metrics"}
 
