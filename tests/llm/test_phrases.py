@@ -44,7 +44,10 @@ def corpus(seed=1, docs=120):
     fixed = ["the old stone mill", "river of été", "Mill\tof the river", "old stone"]
     out = [(None, None), ("en", ""), ("", "the old, stone"), ("und", "the old stone mill")]
     for _ in range(docs):
-        text = "".join(rng.choice([*words, *fixed]) + rng.choice([" ", " ", "  ", "\t", ". ", ",", "\n", "\x0b", ": "]) for _ in range(rng.randint(1, 60)))
+        text = "".join(
+            rng.choice([*words, *fixed]) + rng.choice([" ", " ", "  ", "\t", ". ", ",", "\n", "\x0b", ": "])
+            for _ in range(rng.randint(1, 60))
+        )
         out.append((rng.choice(["en", "en", "en", "fr", None]), text))
     return out + [("en", "the river " * 20_000)]
 
@@ -55,7 +58,9 @@ def test_collocations(spark, monkeypatch, sizes, cells):
     for k, v in sizes.items():
         monkeypatch.setattr(phrases, k, v)
     rows = corpus()
-    docs = spark.createDataFrame([(lang, text, "p", 1) for lang, text in rows], "lang string, text string, phrase string, n int").repartition(3)
+    docs = spark.createDataFrame(
+        [(lang, text, "p", 1) for lang, text in rows], "lang string, text string, phrase string, n int"
+    ).repartition(3)
     for least, top in ((8, 2000), (30, 5)):
         out = phrases.collocations(docs, least=least, top=top, most_cells=cells)
         assert out.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
