@@ -290,7 +290,7 @@ def frequent(docs: DataFrame, *, text: str = "text", lang: str = "lang", least:
     # what each task sends on is much the same, so tasks are few and large
     texts = texts.coalesce(max(texts.sparkSession.sparkContext.defaultParallelism, -(-size // TASK)))
     about = size // 6  # words; only the size of the sketches depends on it
-    bits = min(max(18, (4 * about // least).bit_length()), (most_cells // ROWS).bit_length() - 1)
+    bits = max(18, min((4 * about // least).bit_length(), (most_cells // ROWS).bit_length() - 1))
     maps: list[np.ndarray] = []
     for _ in range(LEVELS):
         maps.append(sketch(texts, maps, bits, least))
