@@ -42,7 +42,7 @@ END, START = 0xFF, 0xFE
 #: The digest that stands for the end token.
 END_TOKEN = np.uint64(0xFFFFFFFFFFFFFFFF)
 SYMBOLS = 257
-PART = 1 << 21
+PART = 1 << 20
 
 
 def held_out(doc_id: object) -> bool:
@@ -115,7 +115,7 @@ def count(docs: DataFrame, *, key: str, text: str, order: int = ORDER) -> DataFr
                 kept[kind].append(np.unique(values, return_counts=True))
                 if sum(len(k) for k, _ in kept[kind]) > 4 * PART:
                     kept[kind] = [merged(kept[kind])]
-                    if len(kept[kind][0][0]) > PART:
+                    if len(kept[kind][0][0]) > 2 * PART:
                         yield out(kind)
         for kind in (0, 1):
             if kept[kind]:
