@@ -19,109 +19,93 @@ POLICY = {"temporary_after": 2, "temporary_days": 7, "permanent_404_after": 3, "
 DAY = 86_400_000_000
 
 
-def greedy_order(titles: DataFrame, candidates: int = 256) -> DataFrame:
+def greedy_order(titles: DataFrame, candidates: int = 256, entries: int = 2_000_000) -> DataFrame:
     """(network, source, title): the order in which sources add most titles that no earlier source of the network has.
 
     Of equal additions the source with more titles goes first, then the first by name.
 
-    All that matters of a title is which sources have it, so titles are counted by their set of sources. Then each round takes
-    the most promising sources of each network, ``candidates`` of them, and what the sets that are left hold of these only. A
-    network's greedy steps on that are right as long as the best candidate is ahead of the best other source, since what a
-    source adds can only fall; so a round fixes one source at least and mostly many. No task holds more than the sets of
-    candidates that occur together; all sets are dealt out.
+    What a source adds can only fall, so sources follow each other by what they add when their turn comes, and only that has to be
+    found. All that matters of a title is which sources have it, so titles are counted by their set of sources. A source whose
+    titles no other has, or that were all taken with earlier ones, has nothing left to find. For the others each round takes the
+    most promising sources of each network, ``candidates`` of them and more while the sets they are in come to no more than
+    ``entries``, and what the sets that are left hold of these only. A network's greedy steps on that are right as long as the
+    best candidate is ahead of the best other source; so a round fixes one source at least and mostly all candidates. No task
+    holds more than the sets of candidates that occur together; all sets are dealt out.
     """
     of_title = titles.filter("source is not null").groupBy("network", "title").agg(F.array_sort(F.collect_set("source")).alias("sources"))
     counts = of_title.groupBy("network", "sources").agg(F.count("*").alias("n")).select("*", F.monotonically_increasing_id().alias("_set"))
-    left = stored(counts)
-    each = left.select("network", F.explode("sources").alias("source"), "n")
-    waiting = stored(each.groupBy("network", "source").agg(F.sum("n").alias("total")))
-    done, rank = None, waiting.select("network").distinct().withColumn("_from", F.lit(0).cast("long"))
+    counts = stored(counts)
+    each = counts.select("network", F.explode("sources").alias("source"), "n", (F.size("sources") == 1).alias("_alone"))
+    alone = F.coalesce(F.sum(F.when(F.col("_alone"), F.col("n"))), F.lit(0).cast("long"))
+    whole = stored(each.groupBy("network", "source").agg(F.sum("n").alias("total"), alone.alias("alone")))
+    same = F.col("network").eqNullSafe(F.col("_network")) & (F.col("source") == F.col("_source"))
+    left, done = counts.filter(F.size("sources") > 1), None
     while True:
-        lifts = left.select("network", F.explode("sources").alias("source"), "n").groupBy("network", "source").agg(F.sum("n").alias("lift"))
-        lifts = lifts.select(F.col("network").alias("_network"), F.col("source").alias("_source"), "lift")
-        known = waiting.join(
-            lifts, F.col("network").eqNullSafe(F.col("_network")) & (F.col("source") == F.col("_source")), "left"
-        ).select("network", "source", "total", F.coalesce("lift", F.lit(0).cast("long")).alias("lift"))
+        members = left.select("network", "_set", "n", F.explode("sources").alias("source"))
+        shared = members.groupBy(F.col("network").alias("_network"), F.col("source").alias("_source")).agg(
+            F.sum("n").alias("_shared"), F.count("*").alias("_sets")
+        )
+        known = whole.join(shared, same).select("network", "source", "total", (F.col("alone") + F.col("_shared")).alias("lift"), "_sets")
         order = W.partitionBy("network").orderBy(F.desc("lift"), F.desc("total"), F.asc("source"))
-        top = stored(known.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= candidates + 1))
+        taken = (F.row_number().over(order) <= candidates) | (F.sum("_sets").over(order) <= entries)
+        placed = known.withColumn("_taken", taken).withColumn("_next", F.lag("_taken", 1, True).over(order))
+        top = stored(placed.filter("_taken or _next").select("network", "source", "total", "lift", "_taken"))
         if not top.limit(1).count():
             break
-        own = top.filter(F.col("_rn") <= candidates).select(F.col("network").alias("_network"), F.col("source").alias("_source"))
-        held = left.select("network", "_set", "n", F.explode("sources").alias("source")).join(
-            own, F.col("network").eqNullSafe(F.col("_network")) & (F.col("source") == F.col("_source"))
-        )
-        of_set = held.groupBy("network", "_set", "n").agg(F.array_sort(F.collect_list("source")).alias("sources"))
+        own = top.filter("_taken").select(F.col("network").alias("_network"), F.col("source").alias("_source"))
+        of_set = members.join(own, same).groupBy("network", "_set", "n").agg(F.array_sort(F.collect_list("source")).alias("sources"))
         sets = of_set.groupBy("network", "sources").agg(F.sum("n").alias("n")).select(
             "network", "sources", "n", F.lit(0).cast("long").alias("total"), F.lit(False).alias("last")
         )
         rows = sets.unionByName(
-            top.select(
-                "network", F.array("source").alias("sources"), F.col("lift").alias("n"), "total", (F.col("_rn") > candidates).alias("last")
-            )
-        )
-        picked = stored(rows.groupBy("network").applyInPandas(steps, "network string, source string, place long, lift long, total long"))
-        now = picked.join(rank.withColumnRenamed("network", "_network"), F.col("network").eqNullSafe(F.col("_network"))).select(
-            "network", "source", (F.col("_from") + F.col("place")).alias("rank"), "lift",
-            (F.col("total") - F.col("lift")).alias("duplicates")
-        )
-        done = now if done is None else done.unionByName(now)
-        rest = waiting.join(
-            picked.select(F.col("network").alias("_network"), F.col("source").alias("_source")),
-            F.col("network").eqNullSafe(F.col("_network")) & (F.col("source") == F.col("_source")), "left_anti"
-        )
-        waiting = stored(rest)
-        if not waiting.limit(1).count():
-            break
-        names = picked.groupBy(F.col("network").alias("_network")).agg(
-            F.collect_set("source").alias("_picked"), F.max("place").alias("_more")
-        )
-        beside = F.col("network").eqNullSafe(F.col("_network"))
-        left = stored(
-            left.join(names, beside, "left").filter(
-                ~F.coalesce(F.arrays_overlap("sources", "_picked"), F.lit(False))
-            ).select("network", "sources", "n", "_set")
-        )
-        rank = stored(
-            rank.join(names, beside, "left").select("network", (F.col("_from") + F.coalesce("_more", F.lit(0).cast("long"))).alias("_from"))
+            top.select("network", F.array("source").alias("sources"), F.col("lift").alias("n"), "total", (~F.col("_taken")).alias("last"))
         )
-    empty = waiting.sparkSession.createDataFrame([], "network string, source string, rank long, lift long, duplicates long")
-    return done if done is not None else empty
+        picked = stored(rows.groupBy("network").applyInPandas(steps, "_network string, _source string, lift long"))
+        done = picked if done is None else done.unionByName(picked)
+        covered = members.join(picked, same, "left_semi").select("_set").distinct()
+        left = stored(left.join(covered, "_set", "left_anti"))
+    if done is None:
+        done = whole.sparkSession.createDataFrame([], "_network string, _source string, lift long")
+    lifts = whole.join(done, same, "left").select("network", "source", "total", F.coalesce("lift", "alone").alias("lift"))
+    rank = F.row_number().over(W.partitionBy("network").orderBy(F.desc("lift"), F.desc("total"), F.asc("source")))
+    return lifts.select("network", "source", rank.cast("long").alias("rank"), "lift", (F.col("total") - F.col("lift")).alias("duplicates"))
 
 
 def steps(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A network's greedy steps among candidates. pdf: sets of candidates with their number n (total 0), then a row for each
-    candidate with what it adds (n) and its total, and one (last) for the best source that is no candidate."""
+    """A network's greedy steps among candidates, until none has a set that is left. pdf: sets of candidates with their number n
+    (total 0), then a row for each candidate with what it adds (n) and its total, and one (last) for the best source that is no
+    candidate."""
     network = pdf["network"].iloc[0]
-    sets, total, bound = [], {}, None
+    sets, total, lift, bound = [], {}, {}, None
     for own, n, whole, last in zip(pdf["sources"], pdf["n"].tolist(), pdf["total"].tolist(), pdf["last"].tolist(), strict=True):
         if last:
             bound = (-n, -whole, own[0])
         elif whole:
-            total[own[0]] = whole
+            total[own[0]], lift[own[0]] = whole, n
         else:
             sets.append((own, n))
-    lift, held = defaultdict(int), defaultdict(list)
-    for k, (own, n) in enumerate(sets):
+    held = defaultdict(list)
+    for k, (own, _) in enumerate(sets):
         for s in own:
-            lift[s] += n
             held[s].append(k)
     heap = [(-lift[s], -n, s) for s, n in total.items()]
     heapq.heapify(heap)
-    covered, out = [False] * len(sets), []
-    while heap:
+    covered, left, out = [False] * len(sets), len(sets), []
+    while heap and left:
         gain, n, best = heapq.heappop(heap)
         if -gain != lift[best]:  # it fell since; lifts only fall
             heapq.heappush(heap, (-lift[best], n, best))
             continue
         if bound is not None and (gain, n, best) > bound:
             break
-        out.append((network, best, len(out) + 1, -gain, -n))
+        out.append((network, best, -gain))
         for k in held[best]:
             if not covered[k]:
                 covered[k] = True
+                left -= 1
                 for s in sets[k][0]:
                     lift[s] -= sets[k][1]
-    return pd.DataFrame(out, columns=["network", "source", "place", "lift", "total"])
+    return pd.DataFrame(out, columns=["_network", "_source", "lift"])
 
 
 def syndication_clusters(items: DataFrame, hours: int = 36) -> DataFrame:

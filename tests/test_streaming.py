@@ -121,6 +121,28 @@ def test_greedy_order_against_plain_steps(spark, candidates):
     assert folds.greedy_order(df.limit(0), candidates).collect() == []
 
 
+@pytest.mark.parametrize("entries", [0, 2_000_000])
+def test_greedy_order_of_many_sources_takes_few_rounds(spark, entries, monkeypatch):
+    """Sources that share nothing any more, and those past the first 256, do not each wait for a round."""
+    import random
+
+    rng = random.Random(7)
+    rows = {("n", f"s{s}", f"t{rng.randint(0, 99)}") for s in range(1200) for _ in range(2)} | {("n", f"s{s}", f"own{s}") for s in range(0, 1200, 3)}
+    own, covered, want = {}, set(), []
+    for _, s, t in rows:
+        own.setdefault(s, set()).add(t)
+    while own:
+        best = min(own, key=lambda s: (-len(own[s] - covered), -len(own[s]), s))
+        new = len(own[best] - covered)
+        want.append(("n", best, len(want) + 1, new, len(own[best]) - new))
+        covered |= own.pop(best)
+    made = []
+    monkeypatch.setattr(folds, "stored", lambda df, real=folds.stored: made.append(1) or real(df))
+    df = spark.createDataFrame(sorted(rows), "network string, source string, title string")
+    assert sorted(map(tuple, folds.greedy_order(df, 60, entries).collect())) == sorted(want)
+    assert len(made) < 40
+
+
 def test_clusters(spark):
     hours = [0, 30, 60, 100]
     rows = [("n", "f", str(h), T + datetime.timedelta(hours=h)) for h in hours]
