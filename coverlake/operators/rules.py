@@ -7,8 +7,11 @@ and ``word`` (anywhere between characters that are no letters or digits). A null
 in any text but as a word. Case and accents are the caller's: fold texts and values alike.
 
 Two ways with equal results. Tables of up to ``most_bytes`` (counted first) are broadcast and become one automaton for each
-field, which reads a text once whatever the number of rules. Larger ones meet the texts in joins: a value of some length can
-only be found where its first characters stand, so texts are cut into anchors, joined with the values that begin so, and checked.
+field, which reads a text once whatever the number of rules. Larger ones meet the texts in joins. Only distinct values meet distinct
+texts there: a value of some length can only be where as many characters of the text are the same, so texts are cut to the
+lengths that values have, and joined. What no text has is then taken out of the rules, those that are equal in the rest become
+one class, and a class meets the texts that hold a value of its rarest clause. So rules that share their values, or values that
+begin alike, cost no pairs.
 """
 
 from __future__ import annotations
@@ -17,13 +20,17 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .stages import stored
+
 KINDS = ("exact", "prefix", "suffix", "part", "word")
-#: Characters of an anchor, at most.
-ANCHOR = 6
+#: Characters by which a long value is found inside a text, before it is compared in whole.
+ANCHOR = 32
+#: Texts that a worker holds at a time.
+SLICE = 256
 SCHEMA = "rule long, clause int, field string, kind string, value string"
 #: A rule file is an array of these, first rule first.
 CLAUSE = "struct<field: string, exact: array<string>, prefix: array<string>, suffix: array<string>, part: array<string>, word: array<string>>"
@@ -148,64 +155,150 @@ class Shared:
 
 def by_automaton(rows: DataFrame, table: list[tuple], fields: dict[str, Column], first: bool) -> DataFrame:
     shared, names = Shared(rows.sparkSession.sparkContext.broadcast(table)), list(fields)
+    kind = pa.list_(pa.struct([("rule", pa.int64()), ("kind", pa.int32()), ("n", pa.int32())]))
+
+    @F.arrow_udf("array<struct<rule: bigint, kind: int, n: int>>")
+    def held(texts: pa.Array) -> pa.Array:
+        m, out = matcher(shared), []
+        for at in range(0, len(texts), SLICE):
+            found = [m.held(row) for row in texts.slice(at, SLICE).to_pylist()]
+            out.append(pa.array([[{"rule": r, "kind": k, "n": n} for r, k, n in (own[:1] if first else own)] for own in found], kind))
+        return pa.concat_arrays(out) if out else pa.array([], kind)
+
+    return rows.withColumn("_held", held(F.struct(*[fields[f].cast("string").alias(f) for f in names])))
+
+
+def cuts(values: DataFrame) -> Column:
+    """All (kind, gram) of a text (columns field, text) that a value may be, by the lengths of a field's values; values: field, kind, size."""
+    inner = lambda c: c.rlike(r"[\p{L}\p{N}]")
+    text, size, none = F.col("text"), F.col("_size"), F.array().cast("array<struct<kind: string, gram: string>>")
+    gram = lambda kind, i, n: F.struct(F.lit(kind).alias("kind"), text.substr(i, n).alias("gram"))
+    own: dict[str, dict[str, list[int]]] = {}
+    for r in values.distinct().collect():  # a row for each length that there is
+        own.setdefault(r["field"], {}).setdefault(r["kind"], []).append(r["size"])
+    out = none
+    for field, kinds in own.items():
+        every = []
+        for kind, sizes in sorted(kinds.items()):
+            listed = F.array(*[F.lit(n) for n in sorted(sizes)])
+            fit = F.filter(listed, lambda n: n <= size)
+            if kind == "exact":
+                every.append(F.array(gram(kind, F.lit(1), size)))
+            elif kind == "prefix":
+                every.append(F.transform(fit, lambda n: gram("prefix", F.lit(1), n)))
+            elif kind == "suffix":
+                every.append(F.transform(fit, lambda n: gram("suffix", size - n + 1, n)))
+            else:
+                places = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array(F.lit(1)))
+                if kind == "word":
+                    places = F.filter(places, lambda i: (i == 1) | ~inner(text.substr(i - 1, F.lit(1))))
+                    # a long value is compared in whole, with its end
+                    ends = lambda i, n: (n >= ANCHOR) | (i + n > size) | ~inner(text.substr(i + n, F.lit(1)))
+                    at = lambda i: F.filter(listed, lambda n: (i + n - 1 <= size) & ends(i, n))
+                    every.append(F.flatten(F.transform(places, lambda i: F.transform(at(i), lambda n: gram("word", i, n)))))
+                else:
+                    at = lambda i: F.filter(listed, lambda n: (i + n - 1 <= size) & ((n > 0) | (i == 1)))
+                    every.append(F.flatten(F.transform(places, lambda i: F.transform(at(i), lambda n: gram("part", i, n)))))
+        out = F.when(F.col("field") == field, F.array_distinct(F.concat(none, *every))).otherwise(out)
+    return out
 
-    @F.pandas_udf("array<struct<rule: bigint, kind: int, n: int>>")
-    def held(texts: pd.DataFrame) -> pd.Series:
-        m = matcher(shared)
-        out = []
-        for row in texts.itertuples(index=False, name=None):
-            own = m.held(dict(zip(names, (t if isinstance(t, str) else None for t in row), strict=True)))
-            out.append([{"rule": r, "kind": k, "n": n} for r, k, n in (own[:1] if first else own)])
-        return pd.Series(out)
 
-    return rows.withColumn("_held", held(F.struct(*[c.cast("string").alias(f) for f, c in fields.items()])))
+def met_values(each: DataFrame, values: DataFrame) -> DataFrame:
+    """(field, text, vid) of the values (vid, field, kind, value) that hold for texts; each: distinct field and text."""
+    anywhere = F.col("kind").isin("part", "word")
+    cut = values.filter("not (kind = 'word' and value = '')").withColumn(
+        "gram", F.when(anywhere, F.substring("value", 1, ANCHOR)).otherwise(F.col("value"))
+    )
+    # of exact values one length says that there are some
+    sizes = cut.select("field", "kind", F.when(F.col("kind") == "exact", 0).otherwise(F.length("gram")).alias("size"))
+    grams = each.withColumn("_size", F.length("text")).select("field", "text", F.explode(cuts(sizes)).alias("g")).select("field", "text", "g.*")
+    text, value = F.col("text"), F.col("value")
+    edges = F.expr(r"text rlike concat('(?<![\\p{L}\\p{N}])\\Q', replace(value, '\\E', '\\E\\\\E\\Q'), '\\E(?![\\p{L}\\p{N}])')")
+    short = ~F.col("kind").isin("part", "word") | (F.length("gram") < ANCHOR)
+    holds = F.when(short, True).when(F.col("kind") == "part", text.contains(value)).otherwise(edges)
+    return grams.join(cut, ["field", "kind", "gram"]).filter(holds).select("field", "text", "vid")
 
 
-def by_joins(rows: DataFrame, table: DataFrame, fields: dict[str, Column], first: bool) -> DataFrame:
+def by_joins(rows: DataFrame, table: DataFrame, fields: dict[str, Column], first: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows with _texts, found, members): found has _texts, class, rule (its least), kind and n, for each class that holds;
+    members the rules of each class."""
     texts = F.array(*[F.struct(F.lit(f).alias("field"), c.cast("string").alias("text")) for f, c in fields.items()])
     keyed = rows.withColumn("_texts", F.filter(texts, lambda t: t["text"].isNotNull()))
-    each = keyed.select(F.explode("_texts").alias("t")).select("t.field", "t.text").distinct()
-    anchored = table.distinct().withColumn("anchor", F.substring("value", 1, ANCHOR))
-    # anchors of all lengths up to ANCHOR, at all places
-    size = F.length("text")
-    at = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
-    cuts = F.flatten(
-        F.transform(
-            at, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(ANCHOR), size - i + 1)), lambda n: F.col("text").substr(i, n))
-        )
-    )
-    grams = each.select("field", "text", F.explode(F.array_distinct(F.array_append(cuts, F.lit("")))).alias("anchor"))
-    text, value = F.col("text"), F.col("value")
-    edges = F.expr(r"value <> '' and text rlike concat('(?<![\\p{L}\\p{N}])\\Q', value, '\\E(?![\\p{L}\\p{N}])')")
-    holds = F.when(F.col("kind") == "exact", text == value).when(
-        F.col("kind") == "prefix", text.startswith(value)
-    ).when(F.col("kind") == "suffix", text.endswith(value)).when(F.col("kind") == "part", text.contains(value)).otherwise(edges)
-    met = grams.join(anchored, ["field", "anchor"]).filter(holds).select("field", "text", "rule", "clause", "kind", "value")
-    pairs = keyed.select("_texts").distinct().select(
-        "_texts", F.explode("_texts").alias("t")
-    ).select("_texts", "t.field", "t.text").join(met, ["field", "text"])
+    tuples = stored(keyed.select("_texts").distinct().withColumn("_tid", F.monotonically_increasing_id()))
+    told = tuples.select("_tid", F.explode("_texts").alias("t")).select("_tid", "t.field", "t.text")
+    table = stored(table.distinct())
+    values = stored(table.select("field", "kind", "value").distinct().withColumn("vid", F.monotonically_increasing_id()))
+    of_text = met_values(told.select("field", "text").distinct(), values).groupBy("field", "text").agg(F.collect_set("vid").alias("vids"))
+    met = stored(told.join(of_text, ["field", "text"]).groupBy("_tid").agg(F.flatten(F.collect_list("vids")).alias("vids")))
+    often = stored(met.select(F.explode("vids").alias("vid")).groupBy("vid").agg(F.count("*").alias("often")))
+    # what no text has can not help a clause; a clause without the rest can not hold
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int") - 1
-    zero = F.col("clause") == 0
-    counted = pairs.groupBy("_texts", "rule").agg(
-        F.count_distinct("clause").alias("_met"), F.min(F.when(zero, rank)).alias("kind"),
-        F.count_distinct(F.when(zero, F.col("value"))).cast("int").alias("n")
+    live = table.join(values, ["field", "kind", "value"]).join(often, "vid").withColumn("_kind", rank)
+    zero = F.when(F.col("clause") == 0, F.struct("vid", F.col("_kind").alias("kind"), "value"))
+    clauses = live.groupBy("rule", "clause").agg(
+        F.array_sort(F.collect_set("vid")).alias("vids"), F.sum("often").alias("often"), F.array_sort(F.collect_set(zero)).alias("zero")
     )
     need = table.groupBy("rule").agg(F.count_distinct("clause").alias("_need"))
-    good = counted.join(need, "rule").filter("_met = _need").select(
-        "_texts", F.struct("rule", F.coalesce("kind", F.lit(0)).alias("kind"), "n").alias("h")
+    whole = clauses.groupBy("rule").agg(
+        F.count("*").alias("_live"), F.array_sort(F.collect_set("vids")).alias("clauses"), F.flatten(F.collect_list("zero")).alias("zero"),
+        F.min(F.struct("often", "vids"))["vids"].alias("key")
+    ).join(need, "rule").filter("_live = _need")
+    classes = stored(
+        whole.groupBy("clauses", "zero").agg(F.min("rule").alias("rule"), F.min("key").alias("key"), *([] if first else [F.collect_list("rule").alias("rules")]))
+        .withColumn("class", F.monotonically_increasing_id())
     )
-    best = good.groupBy("_texts").agg((F.array(F.min("h")) if first else F.array_sort(F.collect_list("h"))).alias("_held"))
-    none = F.array().cast("array<struct<rule: bigint, kind: int, n: int>>")
-    return keyed.join(best, "_texts", "left").withColumn("_held", F.coalesce("_held", none)).select(*rows.columns, "_held")
+    keys = classes.select("class", "rule", "clauses", "zero", "key", F.explode("key").alias("vid"))
+    asked = met.select("_tid", "vids", F.explode("vids").alias("vid")).join(keys, "vid")
+    once = F.array_min(F.array_intersect("key", "vids")) == F.col("vid")
+    good = asked.filter(once & F.forall("clauses", lambda c: F.arrays_overlap(c, "vids")))
+    own = F.filter("zero", lambda z: F.array_contains("vids", z["vid"]))
+    found = good.select("_tid", "class", "rule", own.alias("_own")).select(
+        "_tid", "class", "rule", F.coalesce(F.array_min(F.transform("_own", lambda z: z["kind"])), F.lit(0)).alias("kind"),
+        F.size(F.array_distinct(F.transform("_own", lambda z: z["value"]))).alias("n")
+    )
+    if first:
+        found = found.groupBy("_tid").agg(F.min(F.struct("rule", "class", "kind", "n")).alias("h")).select("_tid", "h.*")
+    members = classes.select("class", F.explode(F.array("rule") if first else F.col("rules")).alias("rule"))
+    return keyed, tuples.join(found, "_tid").select("_texts", "class", "rule", "kind", "n"), members
 
 
-def held(rows: DataFrame, table: DataFrame, fields: dict[str, Column], *, first: bool = False, most_bytes: int = 32 << 20) -> DataFrame:
-    """rows, then _held: array of (rule, kind, n) for the rules that hold, in order, or the first of them. n: values of clause 0."""
+def conditions_of(table: DataFrame, most_bytes: int) -> tuple[DataFrame, bool]:
+    """What binds of a rule table, and whether it is small."""
     some = table.select("rule", "clause", "field", "kind", "value").filter(F.col("value").isNotNull())
     size = some.agg(F.coalesce(F.sum(F.octet_length("value") + 64), F.lit(0))).first()[0]  # one row
-    if size <= most_bytes:
+    return some, size <= most_bytes
+
+
+#: Bytes of a table that becomes an automaton: some thousand conditions, as a text may meet each of them.
+MOST_BYTES = 256 << 10
+
+
+def held(rows: DataFrame, table: DataFrame, fields: dict[str, Column], *, first: bool = False, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """rows, then _held: array of (rule, kind, n) for the rules that hold, in order, or the first of them. n: values of clause 0."""
+    some, small = conditions_of(table, most_bytes)
+    if small:
         return by_automaton(rows, [tuple(r) for r in some.collect()], fields, first)
-    return by_joins(rows, some, fields, first)
+    keyed, found, members = by_joins(rows, some, fields, first)
+    one = F.struct("rule", "kind", "n")
+    if first:
+        best = found.select("_texts", F.array(one).alias("_held"))
+    else:
+        best = found.drop("rule").join(members, "class").groupBy("_texts").agg(F.array_sort(F.collect_list(one)).alias("_held"))
+    none = F.array().cast("array<struct<rule: bigint, kind: int, n: int>>")
+    return keyed.join(best, "_texts", "left").withColumn("_held", F.coalesce("_held", none)).select(*rows.columns, "_held")
+
+
+def rule_counts(rows: DataFrame, table: DataFrame, fields: dict[str, Column], *, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """(rule, n, rows): for how many rows a rule holds by so many values of its clause 0. Rules that are equal in what rows have are
+    counted together, so pairs of rows and rules are not made."""
+    some, small = conditions_of(table, most_bytes)
+    if small:
+        each = held(rows, table, fields, most_bytes=most_bytes).select(F.explode("_held").alias("h"))
+        return each.groupBy("h.rule", "h.n").agg(F.count("*").alias("rows"))
+    keyed, found, members = by_joins(rows, some, fields, False)
+    texts = keyed.groupBy("_texts").agg(F.count("*").alias("rows"))
+    counted = found.join(texts, "_texts").groupBy("class", "n").agg(F.sum("rows").alias("rows"))
+    return counted.join(members, "class").select("rule", "n", "rows")
 
 
 def first_rule(rows: DataFrame, table: DataFrame, fields: dict[str, Column], **how) -> DataFrame:
@@ -226,4 +319,4 @@ def all_rules(rows: DataFrame, table: DataFrame, fields: dict[str, Column], **ho
     )
 
 
-__all__ = ["KINDS", "SCHEMA", "all_rules", "conditions", "first_rule", "held", "listed", "read_rules"]
+__all__ = ["KINDS", "SCHEMA", "all_rules", "conditions", "first_rule", "held", "listed", "read_rules", "rule_counts"]

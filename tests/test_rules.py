@@ -128,3 +128,36 @@ def test_both_ways_on_queries(spark, sf_dir):
         a, t = ruled.fx.articles(spark, sf_dir).limit(300), table(spark, sf_dir)
         rows = lambda **how: sorted(map(tuple, plan(a, *t, **how).collect()), key=repr)  # noqa: B023, E731
         assert rows() == rows(most_bytes=0)
+
+
+def test_rules_that_begin_or_end_alike_meet_no_pairs(spark):
+    """Classes of equal rules are found, not their members; a value that only begins like a text is not met."""
+    rows = spark.createDataFrame([(f"report {k} of k{k % 3}", f"src{k}.example.com") for k in range(200)], "title string, host string")
+    table = [(r, 0, "title", "word", f"report {r % 400}") for r in range(4000)] + [(r, 1, "host", "suffix", ".example.com") for r in range(4000)]
+    conditions, fields = spark.createDataFrame(table, rules.SCHEMA), {"title": F.col("title"), "host": F.col("host")}
+    _, found, members = rules.by_joins(rows, conditions, fields, False)
+    assert found.count() == 200 and members.count() == 2000
+    assert rules.by_joins(rows, conditions, fields, True)[2].count() == 200
+    for most in (0, 32 << 20):
+        counts = {(r["rule"], r["n"]): r["rows"] for r in rules.rule_counts(rows, conditions, fields, most_bytes=most).collect()}
+        assert counts == {(r, 1): 1 for r in range(4000) if r % 400 < 200}
+
+
+def test_long_values_by_joins(spark):
+    """Values longer than what they are found by, with marks of quoting and at edges."""
+    long = "ab" * 20
+    table = [(0, 0, "title", "word", long + "\\E.x"), (1, 0, "title", "part", long + "z"), (2, 0, "title", "word", long), (3, 0, "title", "prefix", long + "ab")]
+    texts = [f"x {long}\\E.x y", f"{long}z", long, f"{long}abz", f"-{long}-", f"{long}\\E.xy", None]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id long, title string")
+    got = [
+        sorted((r["id"], r["rule"], r["matched_by"], r["n"]) for r in rules.all_rules(rows, spark.createDataFrame(table, rules.SCHEMA), {"title": F.col("title")}, most_bytes=m).collect())
+        for m in (0, 32 << 20)
+    ]
+    assert got[0] == got[1] == sorted((k, rule, rules.KINDS[kind], n) for k, t in enumerate(texts) if t for rule, kind, n in scan({"title": t}, table))
+
+
+def test_topic_totals_are_those_of_the_pairs(spark, sf_dir):
+    a, (labels, conditions) = ruled.fx.articles(spark, sf_dir).limit(200), ruled.topic_rules(spark, sf_dir)
+    each = ruled.topics(a, labels, conditions, most_bytes=32 << 20).groupBy("topic").agg(F.count("*").alias("titles"), F.sum("score_percent").alias("points"))
+    want = sorted(map(tuple, each.collect()))
+    assert want and all(sorted(map(tuple, ruled.topic_totals(a, labels, conditions, most_bytes=m).collect())) == want for m in (0, 32 << 20))
