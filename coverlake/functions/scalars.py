@@ -89,13 +89,17 @@ def categories(values: Column) -> Column:
 
 def fnv1a(text: Column) -> Column:
     """FNV-1a over the UTF-16 units of the text, as a long from 0 to 2^32 - 1."""
-    units = F.encode(F.coalesce(text, F.lit("")), "UTF-16BE")
+    whole = F.coalesce(text, F.lit(""))
+    step = lambda h, u: (h.bitwiseXOR(u) * FNV_PRIME).bitwiseAND(0xFFFFFFFF)
+    start = F.lit(FNV_START).cast("long")
+    # a character is one unit but for those past the first plane, whose two units are read from bytes
+    plain = F.aggregate(F.split(whole, ""), start, lambda h, c: step(h, F.ascii(c).cast("long")))
+    units = F.encode(whole, "UTF-16BE")
     codes = F.transform(
         F.sequence(F.lit(0), F.greatest(F.length(units) / 2 - 1, F.lit(0)).cast("int")),
         lambda i: F.conv(F.hex(F.substring(units, i * 2 + 1, F.lit(2))), 16, 10).cast("long")
     )
-    folded = F.aggregate(codes, F.lit(FNV_START).cast("long"), lambda h, u: (h.bitwiseXOR(u) * FNV_PRIME).bitwiseAND(0xFFFFFFFF))
-    return F.when(F.length(units) > 0, folded).otherwise(F.lit(FNV_START).cast("long"))
+    return F.when(whole == "", start).when(whole.rlike(r"[^\x{0}-\x{FFFF}]"), F.aggregate(codes, start, step)).otherwise(plain)
 
 
 def base36(n: Column) -> Column:

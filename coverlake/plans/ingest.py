@@ -161,9 +161,9 @@ def tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scalar_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scalar functions over articles and pages' addresses."""
-    a = fx.articles(spark, sf_dir)
+    a = fx.articles(spark, sf_dir).withColumn("_fnv", x.fnv1a(F.col("url")))
     return a.select(
-        "external_id", x.article_id(F.col("url")).alias("article_id"), x.host(F.col("url")).alias("host"), x.path_depth(F.col("url")).alias("depth"), x.base36(x.fnv1a(F.col("url"))).alias("fnv36"), x.stable_bucket(F.col("url"), 12).alias("bucket"),
+        "external_id", x.article_id(F.col("url")).alias("article_id"), x.host(F.col("url")).alias("host"), x.path_depth(F.col("url")).alias("depth"), x.base36(F.col("_fnv")).alias("fnv36"), F.pmod("_fnv", F.lit(12)).alias("bucket"),
         x.breaking(F.col("title_original")).alias("breaking"), F.array_join(x.categories(F.concat("feed_categories", F.transform("feed_categories", lambda c: F.concat(F.lit(" "), F.upper(c))))), "|").alias("categories"), x.truncated(F.col("title_original"), 12).alias("short_title"),
     )
 

@@ -158,3 +158,21 @@ def test_display_name(spark):
     from coverlake.plans.dossier import display_name
 
     assert values(spark, display_name, ["Doe, Jane", "A  B (captain)", "X [1] Y", None]) == ["Jane Doe", "A B", "X Y", ""]
+
+
+def test_fnv_of_all_planes_is_read_once(spark, sf_dir):
+    """Against plain steps; the values of an article share one hash."""
+    from coverlake.plans import ingest
+
+    texts = ["", "a", "é", "日本", "a\n b", "\U0001f600", "x\U0001f600é", "\uffff", None, " ", "a" * 300]
+
+    def fnv(text):
+        h, data = 2166136261, (text or "").encode("utf-16-be")
+        for i in range(0, len(data), 2):
+            h = (h ^ int.from_bytes(data[i : i + 2], "big")) * 16777619 & 0xFFFFFFFF
+        return h
+
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(texts)], "k int, v string").select("k", scalars.fnv1a(F.col("v")).alias("h"))
+    assert {r["k"]: r["h"] for r in rows.collect()} == {k: fnv(v) for k, v in enumerate(texts)}
+    plan = ingest.scalar_values(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("2166136261") <= 3
