@@ -7,6 +7,7 @@ import re
 import unicodedata
 from datetime import datetime, timezone
 from email.utils import parsedate_to_datetime
+from functools import lru_cache
 from urllib.parse import unquote
 from zoneinfo import ZoneInfo
 
@@ -135,6 +136,7 @@ def tells(words: list[str]) -> bool:
 def title_from_link(links: pd.Series) -> pd.Series:
     """The words of the last path segment that tells something, as a sentence; empty without one."""
 
+    @lru_cache(maxsize=1 << 12)
     def one(link: str | None) -> str:
         u = parsed(link)
         told = (w for w in map(slug_words, reversed(u.path.split("/") if u else [])) if w and tells(w))

@@ -41,3 +41,19 @@ def test_clean():
         "https://www.bing.com/news/apiclick.aspx?ref=x&url=https%3a%2f%2fe.org%2fa%2f..%2fb%3futm_source%3dq&c=1": "https://e.org/b", "https://e.org/a//": "https://e.org/a", None: "", "": "", "https://e.org/x?b&a=2&a=1&A=0": "https://e.org/x?a=1&a=2&A=0&b=",
     }
     assert {k: text.clean_url(k) for k in cases} == cases
+
+
+def test_plain_parts_are_passed_on_as_they_are():
+    """The short ways give what the long ones give, and take them: a character is not looked at one by one."""
+    import random
+
+    rng = random.Random(3)
+    for chosen in (whatwg.FRAGMENT, whatwg.QUERY, whatwg.SPECIAL_QUERY, whatwg.PATH, whatwg.USERINFO, ""):
+        for _ in range(300):
+            t = "".join(rng.choice("ab9/ ~^]\\[-'\"`?#<>\x7f\x01é日") for _ in range(rng.randint(0, 6)))
+            want = "".join(c if " " <= c <= "~" and c not in chosen else "".join(f"%{b:02X}" for b in c.encode("utf-8")) for c in t)
+            assert whatwg.encoded(t, chosen) == want
+    plain = "/view/123"
+    assert whatwg.encoded(plain, whatwg.PATH) is plain
+    assert whatwg.domain("SRC1.Example.COM") == "src1.example.com"
+    assert whatwg.written([("a.b", "c d"), ("é", "")]) == "a.b=c+d&%C3%A9="
