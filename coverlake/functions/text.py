@@ -12,6 +12,7 @@ from urllib.parse import unquote
 from zoneinfo import ZoneInfo
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,10 +95,25 @@ def plain_text(values: pd.Series) -> pd.Series:
     return values.map(one)
 
 
-@F.pandas_udf(T.StringType())
-def folded(values: pd.Series) -> pd.Series:
+def fold(text: str | None) -> str:
     """Lower case without accents."""
-    return values.map(lambda v: "".join(c for c in unicodedata.normalize("NFKD", v or "") if not unicodedata.combining(c)).lower())
+    if (text := text or "").isascii():
+        return text.lower()
+    text = unicodedata.normalize("NFKD", text)
+    for mark in filter(unicodedata.combining, set(text)):
+        text = text.replace(mark, "")
+    return text.lower()
+
+
+#: Texts that a worker holds as Python strings at a time.
+SLICE = 256
+
+
+@F.arrow_udf(T.StringType())
+def folded(values: pa.Array) -> pa.Array:
+    """fold() of a column."""
+    parts = [pa.array([fold(v.as_py()) for v in values.slice(at, SLICE)], pa.string()) for at in range(0, len(values), SLICE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
 
 #: Path words that name a part of a site, a kind of item, or who numbered it.

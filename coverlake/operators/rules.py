@@ -4,7 +4,8 @@ A rule table is a DataFrame of conditions: ``rule`` (long; the least number come
 of the row), ``kind`` and ``value``. A clause holds if any of its values is found in its field, and a rule if all its clauses
 hold. Clause 0 is the one whose kind of match is told. Kinds, strongest first: ``exact``, ``prefix``, ``suffix``, ``part`` (anywhere)
 and ``word`` (anywhere between characters that are no letters or digits). A null text holds nothing; an empty value is found
-in any text but as a word. Case and accents are the caller's: fold texts and values alike.
+in any text but as a word. Case and accents are the caller's: values are as they are to be found, and texts of the fields named
+in ``fold`` meet them in lower case and without accents.
 
 Two ways with equal results. Tables of up to ``most_bytes`` (counted first) are broadcast and become one automaton for each
 field, which reads a text once whatever the number of rules. Larger ones meet the texts in joins. Only distinct values meet distinct
@@ -24,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from .stages import stored
 
 KINDS = ("exact", "prefix", "suffix", "part", "word")
 #: Characters by which a long value is found inside a text, before it is compared in whole.
 ANCHOR = 32
-#: Texts that a worker holds at a time.
+#: Texts whose results a worker holds as Python objects at a time; of the texts themselves it holds one so.
 SLICE = 256
 SCHEMA = "rule long, clause int, field string, kind string, value string"
 #: A rule file is an array of these, first rule first.
@@ -153,16 +155,21 @@ class Shared:
         return self.broadcast.value
 
 
-def by_automaton(rows: DataFrame, table: list[tuple], fields: dict[str, Column], first: bool) -> DataFrame:
+def by_automaton(rows: DataFrame, table: list[tuple], fields: dict[str, Column], first: bool, fold: tuple[str, ...] = ()) -> DataFrame:
     shared, names = Shared(rows.sparkSession.sparkContext.broadcast(table)), list(fields)
     kind = pa.list_(pa.struct([("rule", pa.int64()), ("kind", pa.int32()), ("n", pa.int32())]))
+    each = [tx.fold if f in fold else str for f in names]
 
+    # texts are folded here, not in a function before: so they go to one worker, and only what is found comes back
     @F.arrow_udf("array<struct<rule: bigint, kind: int, n: int>>")
     def held(texts: pa.Array) -> pa.Array:
         m, out = matcher(shared), []
         for at in range(0, len(texts), SLICE):
-            found = [m.held(row) for row in texts.slice(at, SLICE).to_pylist()]
-            out.append(pa.array([[{"rule": r, "kind": k, "n": n} for r, k, n in (own[:1] if first else own)] for own in found], kind))
+            found = []
+            for row in zip(*texts.slice(at, SLICE).flatten()):
+                own = m.held({f: None if (v := t.as_py()) is None else how(v) for f, how, t in zip(names, each, row)})
+                found.append([{"rule": r, "kind": k, "n": n} for r, k, n in (own[:1] if first else own)])
+            out.append(pa.array(found, kind))
         return pa.concat_arrays(out) if out else pa.array([], kind)
 
     return rows.withColumn("_held", held(F.struct(*[fields[f].cast("string").alias(f) for f in names])))
@@ -273,11 +280,20 @@ def conditions_of(table: DataFrame, most_bytes: int) -> tuple[DataFrame, bool]:
 MOST_BYTES = 256 << 10
 
 
-def held(rows: DataFrame, table: DataFrame, fields: dict[str, Column], *, first: bool = False, most_bytes: int = MOST_BYTES) -> DataFrame:
+def in_folds(fields: dict[str, Column], fold: tuple[str, ...]) -> dict[str, Column]:
+    """The fields, those to fold folded; null stays null."""
+    return {f: F.when(c.isNotNull(), tx.folded(c.cast("string"))) if f in fold else c for f, c in fields.items()}
+
+
+def held(
+    rows: DataFrame, table: DataFrame, fields: dict[str, Column], *, first: bool = False, most_bytes: int = MOST_BYTES,
+    fold: tuple[str, ...] = ()
+) -> DataFrame:
     """rows, then _held: array of (rule, kind, n) for the rules that hold, in order, or the first of them. n: values of clause 0."""
     some, small = conditions_of(table, most_bytes)
     if small:
-        return by_automaton(rows, [tuple(r) for r in some.collect()], fields, first)
+        return by_automaton(rows, [tuple(r) for r in some.collect()], fields, first, fold)
+    fields = in_folds(fields, fold)
     keyed, found, members = by_joins(rows, some, fields, first)
     one = F.struct("rule", "kind", "n")
     if first:
@@ -288,14 +304,14 @@ def held(rows: DataFrame, table: DataFrame, fields: dict[str, Column], *, first:
     return keyed.join(best, "_texts", "left").withColumn("_held", F.coalesce("_held", none)).select(*rows.columns, "_held")
 
 
-def rule_counts(rows: DataFrame, table: DataFrame, fields: dict[str, Column], *, most_bytes: int = MOST_BYTES) -> DataFrame:
+def rule_counts(rows: DataFrame, table: DataFrame, fields: dict[str, Column], *, most_bytes: int = MOST_BYTES, fold: tuple[str, ...] = ()) -> DataFrame:
     """(rule, n, rows): for how many rows a rule holds by so many values of its clause 0. Rules that are equal in what rows have are
     counted together, so pairs of rows and rules are not made."""
     some, small = conditions_of(table, most_bytes)
     if small:
-        each = held(rows, table, fields, most_bytes=most_bytes).select(F.explode("_held").alias("h"))
+        each = held(rows, table, fields, most_bytes=most_bytes, fold=fold).select(F.explode("_held").alias("h"))
         return each.groupBy("h.rule", "h.n").agg(F.count("*").alias("rows"))
-    keyed, found, members = by_joins(rows, some, fields, False)
+    keyed, found, members = by_joins(rows, some, in_folds(fields, fold), False)
     texts = keyed.groupBy("_texts").agg(F.count("*").alias("rows"))
     counted = found.join(texts, "_texts").groupBy("class", "n").agg(F.sum("rows").alias("rows"))
     return counted.join(members, "class").select("rule", "n", "rows")

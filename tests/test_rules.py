@@ -7,6 +7,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
+from coverlake.functions import text
 from coverlake.operators import rules
 from coverlake.plans import ruled
 
@@ -161,3 +162,26 @@ def test_topic_totals_are_those_of_the_pairs(spark, sf_dir):
     each = ruled.topics(a, labels, conditions, most_bytes=32 << 20).groupBy("topic").agg(F.count("*").alias("titles"), F.sum("score_percent").alias("points"))
     want = sorted(map(tuple, each.collect()))
     assert want and all(sorted(map(tuple, ruled.topic_totals(a, labels, conditions, most_bytes=m).collect())) == want for m in (0, 32 << 20))
+
+
+@pytest.mark.parametrize("most_bytes", [32 << 20, 0])
+def test_folding_is_part_of_the_match(spark, most_bytes):
+    """Texts of the fields to fold meet values without accents and in lower case, whatever the way; null stays null."""
+    texts = ["Élan  VITAL", "ΣΊΣΥΦΟΣ", "élan", "straße", "ﬁne", "İstanbul", "日本 É", "", None, "plain Élan"]
+    rows = spark.createDataFrame([(k, t, t) for k, t in enumerate(texts)], "id long, title string, lang string")
+    values = ["elan", "σισυφος", "fine", "strasse", "istanbul", "e", ""]
+    table = [(k, 0, "title", "part", v) for k, v in enumerate(values)] + [(9, 0, "lang", "part", "É")]
+    found = rules.all_rules(
+        rows, spark.createDataFrame(table, rules.SCHEMA), {c: F.col(c) for c in ("title", "lang")}, fold=("title",), most_bytes=most_bytes
+    )
+    plain = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).lower()
+    want = {(k, r) for k, t in enumerate(texts) if t is not None for r, v in enumerate(values) if v in plain(t)}
+    want |= {(k, 9) for k, t in enumerate(texts) if t and "É" in t}
+    assert {(r["id"], r["rule"]) for r in found.collect()} == want
+    assert [r[0] for r in rows.select(text.folded("title")).collect()] == [plain(t or "") for t in texts]
+
+
+def test_keyword_texts_go_to_one_worker(spark, sf_dir):
+    """Not first to one that folds them and sends them back whole."""
+    plan = ruled.document_keywords(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("EvalPython") == 1
