@@ -24,20 +24,30 @@ def quality_rank(c: Column) -> Column:
 def united(*arrays: Column) -> Column:
     """Distinct members of all, in order; null and blank ones go."""
     whole = F.concat(*[F.coalesce(a, F.array().cast(NONE)) for a in arrays])
-    return F.array_sort(F.array_distinct(F.filter(whole, lambda x: x.isNotNull() & (F.trim(x) != ""))))
+    # no blank text is as great as "!": lists of such members need no look at each, which is slow
+    plain = F.sort_array(F.array_except(whole, F.array(F.lit(None).cast("string"))))
+    looked = F.array_sort(F.array_distinct(F.filter(whole, lambda x: x.isNotNull() & (F.trim(x) != ""))))
+    return F.when((F.size(whole) == 0) | (F.array_min(whole) >= "!"), plain).otherwise(looked)
 
 
 def dedupe(
     rows: DataFrame, key: Column, *, arrays: tuple[str, ...] = ("feed_categories", "topics", "sections_normalized"),
     first: tuple[str, ...] = ("stable_id", "source_country")
 ) -> DataFrame:
-    """One row per key: better title quality, then newer, then earlier in seq; lists united, gaps filled from the others."""
+    """One row per key: better title quality, then newer, then earlier in seq; lists united, gaps filled from the others.
+
+    All is told by windows over one sort of each key's rows, so nearly all keys may be distinct: no group has an aggregate of objects.
+    """
     order = [F.desc(quality_rank(F.col("title_quality"))), F.desc("publication_datetime"), F.asc("seq")]
-    ranked = rows.withColumn("_key", key).withColumn("_rn", F.row_number().over(W.partitionBy("_key").orderBy(*order)))
-    plain = [c for c in rows.columns if c not in arrays and c not in first]
-    return ranked.groupBy("_key").agg(
-        *[F.min_by(F.struct(F.col(c)), "_rn")[c].alias(c) for c in plain], *[F.min_by(c, F.when(blank_to(c).isNotNull(), F.col("_rn"))).alias(c) for c in first], *[united(F.flatten(F.collect_set(c))).alias(c) for c in arrays]
-    ).select(*rows.columns)
+    ranked = W.partitionBy(key).orderBy(*order)
+    whole = ranked.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    told = {c: F.first(F.when(blank_to(c).isNotNull(), F.col(c)), True) for c in first} | {c: F.collect_set(c) for c in arrays}
+    best = rows.select(
+        "*", F.row_number().over(ranked).alias("_rn"), *[v.over(whole).alias(f"_of_{c}") for c, v in told.items()]
+    ).filter("_rn = 1")
+    return best.select(
+        *[(united(F.flatten(f"_of_{c}")) if c in arrays else F.col(f"_of_{c}" if c in first else c)).alias(c) for c in rows.columns]
+    )
 
 
 def dedupe_batch(rows: DataFrame) -> DataFrame:
@@ -188,7 +198,8 @@ def merge_into(incoming: DataFrame, path: str, buckets: int = 64) -> None:
             raise
         merged = batch
     else:
-        hit = [r[0] for r in batch.select(bucket.alias("b")).distinct().collect()]  # at most one for each bucket
+        # at most one for each bucket; ids come from the rows as they are, for which no duplicates need be found
+        hit = [r[0] for r in incoming.select(bucket.alias("b")).distinct().collect()]
         merged = upsert(stored.filter(F.col("bucket").isin(hit)).select(*batch.columns), batch)
     staged = f"{path}.staged"
     merged.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(staged)
