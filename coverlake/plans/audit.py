@@ -198,9 +198,11 @@ def similar_titles(rows: DataFrame, least_overlap: int, containment: float, jacc
     """rows: host, tokens, legacy. (host, tokens, other_tokens) with overlap, containment and jaccard: pairs of like token sets of
     one host, the first of legacy rows, the other of canonical ones.
 
-    Two token sets with a Jaccard similarity of at least t share a token among the first n - ceil(t * n) + 1 of each, rarest
-    first; so sets meet by host and rare token instead of in all pairs of a host.
+    Two sets that have to share m of their n tokens (the least overlap, or ceil(t * n) for a Jaccard similarity of t) share one among
+    the first n - m + 1 of each, rarest first; so sets meet by host and rare token instead of in all pairs of a host. Those that
+    share several such tokens count at the first, which both have in the same order: no pair is held to be found again.
     """
+    rows = rows.filter(F.size("tokens") >= least_overlap)
     each = rows.select("host", "tokens", "legacy").distinct().select("host", "tokens", "legacy", F.explode("tokens").alias("token"))
     # a word of a large host is counted in parts, not sorted in one place
     counted = each.join(each.groupBy("host", "token").agg(F.count("*").alias("_n")), ["host", "token"])
@@ -208,13 +210,13 @@ def similar_titles(rows: DataFrame, least_overlap: int, containment: float, jacc
         F.transform(F.array_sort(F.collect_list(F.struct("_n", "token"))), lambda x: x["token"]).alias("_rare")
     )
     n = F.size("_rare")
-    keyed = ordered.select(
-        "host", "tokens", "legacy", F.explode(F.slice("_rare", 1, n - F.ceil(n * jaccard).cast("int") + 1)).alias("token")
-    )
+    keys = F.slice("_rare", 1, n - F.greatest(F.ceil(n * jaccard).cast("int"), F.lit(least_overlap)) + 1)
+    keyed = ordered.select("host", "tokens", "legacy", keys.alias("_keys")).select("*", F.explode("_keys").alias("token"))
     old, new = keyed.filter("legacy").drop("legacy"), keyed.filter("not legacy").select(
-        "host", "token", F.col("tokens").alias("other_tokens")
+        "host", "token", F.col("tokens").alias("other_tokens"), F.col("_keys").alias("_others")
     )
-    pairs = old.join(new, ["host", "token"]).select("host", "tokens", "other_tokens").distinct()
+    once = F.get(F.array_intersect("_keys", "_others"), F.lit(0)) == F.col("token")
+    pairs = old.join(new, ["host", "token"]).filter(once).select("host", "tokens", "other_tokens")
     shared = F.size(F.array_intersect("tokens", "other_tokens"))
     smaller, union = F.least(F.size("tokens"), F.size("other_tokens")), F.size("tokens") + F.size("other_tokens") - F.col("overlap")
     scored = pairs.withColumn("overlap", shared).withColumn(
@@ -231,8 +233,8 @@ def url_drift(
 
     Titles are compared as distinct token sets of a host, never as articles. For each pair of sets an article then finds the
     nearest publication before and after its own by windows over both sides in order of time, so articles of one repeated title
-    do not meet in pairs. A window holds a span of time as long as the band: an article looks into its own span and those beside
-    it, so all of one title are never in one place. Of equally near ones the first by id counts.
+    do not meet in pairs. A window holds the articles of a span of time as long as the band, and what is offered in that span and
+    those beside it, so all of one title are never in one place. Of equally near ones the first by id counts.
     """
     told = articles.filter(F.col("source").startswith(source_prefix)).select(
         "external_id", F.col("stable_id").isNull().alias("legacy"), F.lower(host(F.col("url"))).alias("host"), url_date("url").alias("day"), title_tokens(F.col("title_original")).alias("tokens"), F.unix_seconds(F.col("publication_datetime").cast("timestamp")).alias("at"),
@@ -253,8 +255,9 @@ def url_drift(
     offered = offers.groupBy("host", "other_tokens", "day", "at").agg(F.min("external_id").alias("found"))
     none = {c: F.lit(None).cast(t) for c, t in left.dtypes if c in ("external_id", "overlap", "containment", "jaccard")}
     span = F.floor(F.col("at") / max(hours * 3600, 1))
-    both = left.withColumn("span", F.explode(F.sequence(span - 1, span + 1))).unionByName(
-        offered.withColumns(none).withColumn("span", span)
+    # an offer is there once for its set and time, an article for each like set: so offers are the side to repeat
+    both = left.withColumn("span", span).unionByName(
+        offered.withColumns(none).withColumn("span", F.explode(F.sequence(span - 1, span + 1)))
     )
     group = W.partitionBy("host", "other_tokens", "day", "span")
     order, reverse = group.orderBy("at", F.col("found").isNull()), group.orderBy(F.desc("at"), F.col("found").isNull())
