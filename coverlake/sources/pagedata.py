@@ -24,9 +24,9 @@ def unescaped(c: Column) -> Column:
 def objects(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """(key, script, place, object): all objects that the scripts of a page hold at the top, in lists, or in ``@graph``."""
     scripts = pages.select(F.col(key), F.posexplode(F.regexp_extract_all(html, F.lit(LD), F.lit(1))).alias("script", "_t"))
-    whole = scripts.select(
-        key, "script", F.coalesce(F.try_parse_json("_t"), F.try_parse_json(unescaped(F.col("_t")))).alias("_v")
-    ).filter("_v is not null")
+    # a text that does not parse is slow to fail: it is tried again only if there is something to unescape
+    again = F.when(F.contains("_t", F.lit("&")), F.try_parse_json(unescaped(F.col("_t"))))
+    whole = scripts.select(key, "script", F.coalesce(F.try_parse_json("_t"), again).alias("_v")).filter("_v is not null")
     level = whole.select(key, "script", F.array(F.lit(0)).alias("place"), F.col("_v").alias("object"), F.lit(False).alias("_open"))
     many = lambda path: F.try_variant_get("object", path, "array<variant>")
     one = lambda x, done: F.struct(x.alias("object"), F.lit(done).alias("_open"))

@@ -105,3 +105,12 @@ def test_signals(spark):
         ("keywords", "q"), ("keywords", "r")
     ]
     assert {r["page_id"] for r in rows} == {1}
+
+
+def test_broken_scripts_fail_once(spark):
+    """Only a script with something to unescape is tried again."""
+    script = '<script type="application/ld+json">{}</script>'.format
+    rows = spark.createDataFrame([("a", script("{broken")), ("b", script("{&quot;k&quot;: 1}")), ("c", script('{"k": "&amp;"}'))], "page_id string, html string")
+    found = pagedata.objects(rows)
+    assert sorted((r[0], r[1]) for r in found.selectExpr("page_id", "to_json(object)").collect()) == [("b", '{"k":1}'), ("c", '{"k":"&amp;"}')]
+    assert "contains(" in found._jdf.queryExecution().optimizedPlan().toString().lower()
